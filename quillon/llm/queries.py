@@ -5,21 +5,108 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.quality import classify
+
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.chat import digests
+
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "\\### Assistant: </turn> ok"
+    rows = [F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(text).alias("text")) for i, r in enumerate(("user", "assistant"))]
+    extra = spark.range(1).select(F.inline(F.array(*rows)))
+    return digests(turns.unionByName(extra))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.neardup import near_duplicates
 
     return near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.warc import read_bundles, write_bundles
+
+    return read_bundles(write_bundles(_read(spark, sf_dir, "pages"), least=0))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.rules import judge
+
+    return judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.licenses import scan
+
+    return scan(_read(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quillon.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.sharding import assign
+
+    return assign(_read(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.decontam import leaks
+
+    return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.html import main_text
+
+    return main_text(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_near_duplicates": op3_near_duplicates}
+    ops = (
+        op1_quality, op2_chat, op3_near_duplicates, op4_warc, op5_quality_rules,
+        op6_licenses, op7_packing, op8_sharding, op9_decontamination, op10_html,
+    )
+    return {f.__name__: f for f in ops}
+
+
+#: Turns as they are stored; the formatted length follows the template of quillon.llm.chat.
+OP2_SQL = r"""
+with t as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+    union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e as (
+    select *, length(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e')) + 7 as body,
+        lag(role) over (partition by conv_id order by turn, role, text) as before
+    from t
+), f as (
+    select *, case when before is null then 4 + length(role) + 2 when before <> role then 1 + 4 + length(role) + 2 else 0 end as head from e
+)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    length(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    cast(sum(body + head) as bigint) as formatted_chars
+from f group by conv_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat": OP2_SQL}
