@@ -35,6 +35,10 @@ K, BITS, BLOCKS, RADIUS, LEAST = 5, 64, 7, 20, 0.8
 BROADCAST_SHINGLES = 1_000_000
 
 
+# Arrays are exploded with the outer form: for the inner one Spark adds a filter on the array's size below the step
+# that makes it, and so would split the text again for every word.
+
+
 def tokens(text: str) -> Column:
     return F.filter(F.split(F.lower(F.col(text)), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
 
@@ -77,14 +81,14 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     items = items.select("item_id", F.size("w").alias("n_words"), F.array_distinct(shingle_hashes("w")).alias("h"), shingle_hashes("w").alias("all"))
     n = items.agg(F.count_distinct("item_id").alias("n"))
     weights = (
-        items.select("item_id", F.explode("h").alias("s"))
+        items.select("item_id", F.explode_outer("h").alias("s"))
         .groupBy("s")
         .agg(F.count_distinct("item_id").alias("df"))
         .crossJoin(F.broadcast(n))  # one row
         .select("s", F.log1p(F.col("n") / F.col("df")).alias("weight"), F.log1p("n").alias("most"))
     )
     by_item = (
-        items.select("item_id", F.explode("h").alias("s"))
+        items.select("item_id", F.explode_outer("h").alias("s"))
         .distinct()
         .join(weights, "s")
         .groupBy("item_id")
@@ -108,7 +112,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small = known.count() <= BROADCAST_SHINGLES
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     hashed = docs.select("doc_id", tokens("text").alias("w")).select("doc_id", shingle_hashes("w").alias("h"))
-    hits = hashed.select("doc_id", F.posexplode("h").alias("pos", "s")).join(F.broadcast(known) if small else known, "s", "left_semi")
+    hits = hashed.select("doc_id", F.posexplode_outer("h").alias("pos", "s")).join(F.broadcast(known) if small else known, "s", "left_semi")
     # a document's shared places; no more than its words
     places = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     wide, at = f"greatest(l - {K} + 1, 1)", "transform(p, (x, i) -> named_struct('x', x, 'i', i))"
@@ -140,7 +144,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         docs.join(windows, "doc_id")
         .select("doc_id", "windows", tokens("text").alias("w"))
         .select("doc_id", "windows", shingle_hashes("w").alias("h"))
-        .select("doc_id", F.explode(F.expr(f"transform(windows, v -> named_struct('start', v.start, 'n_words', v.n_words, 'h', slice(h, v.start + 1, greatest(v.n_words - {K} + 1, 1))))")).alias("v"))
+        .select("doc_id", F.explode_outer(F.expr(f"transform(windows, v -> named_struct('start', v.start, 'n_words', v.n_words, 'h', slice(h, v.start + 1, greatest(v.n_words - {K} + 1, 1))))")).alias("v"))
         .select("doc_id", "v.*")
         .withColumn("finger", fingerprint("h"))
     )

@@ -203,7 +203,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     weights, classes, offsets, temperature = train(spark)
     told = F.array(*map(F.lit, telling_words()))
-    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
+    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split("text", "\n")).alias("line", "paragraph"))
     found = lines.withColumn("w", words(F.col("paragraph"))).where(F.arrays_overlap("w", told))
     found = table(found.select("doc_id", "line", "paragraph", "w", F.xxhash64("paragraph").alias("key")), "licence-lines")
     # a text that many documents have is judged once
