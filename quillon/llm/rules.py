@@ -89,11 +89,15 @@ def fit(texts: pa.Array, label: np.ndarray, steps: int = 120) -> Model:
     for kind, (bucket, a, b) in enumerate(kinds):
         for i in np.flatnonzero(b > a):
             u, c = np.unique(bucket[a[i] : b[i]], return_counts=True)
-            rows.append(np.full(len(u), i))
-            cols.append(u.astype(np.int64) + (kind << BITS))
-            vals.append(c / (b[i] - a[i]))
+            rows.append(np.full(len(u), i, np.int32))
+            cols.append(u.astype(np.int32) + np.int32(kind << BITS))
+            vals.append((c / (b[i] - a[i])).astype(np.float32))
+    del kinds, h, data, offsets
     rows, cols, vals = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
-    used, cols = np.unique(cols, return_inverse=True)
+    seen = np.zeros(3 << BITS, bool)
+    seen[cols] = True
+    used = np.flatnonzero(seen)
+    cols = (np.cumsum(seen, dtype=np.int32) - 1)[cols]
     w, bias = np.zeros(len(used)), 0.0
     weight = np.where(label == 1, 0.5 * n / label.sum(), 0.5 * n / (n - label.sum())) * ~check / n
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
