@@ -2,7 +2,8 @@
 
 Each byte has a learned vector of ``WIDTH`` numbers. ``FILTERS`` learned filters see windows of 8 bytes that begin at
 every fourth byte; their rectified answers are averaged over chunks of 512 bytes that overlap by half and cover the
-whole document. The largest average of each filter over all chunks goes into one logistic unit.
+whole document. The largest average of each filter over all chunks goes into one logistic unit. One more filter is fixed: it answers 8 where a window
+repeats the one ``LAGS`` bytes before, which no filter of fixed weights can see.
 
 The network is fitted on a bounded sample of labelled rows (``training.SAMPLE_ROWS``) outside the held-out fifth, and
 calibrated on a part of that sample that it was not fitted on. Text alone is scored: labels, lang, source and doc_id
@@ -25,6 +26,7 @@ from quillon.llm import words as W
 from quillon.llm.training import SAMPLE_ROWS, calibrate, held_out, labelled_sample, sigmoid
 
 WIDTH, FILTERS, STRIDE, HALF = 8, 16, 4, 64  # HALF: windows in half a chunk
+LAGS = range(2, 17)
 EPOCHS, BATCH, SEED = 5, 32, 11
 
 
@@ -33,7 +35,7 @@ class Net:
     bytes: np.ndarray  # 256 x WIDTH
     filters: np.ndarray  # (2 * STRIDE * WIDTH) x FILTERS
     bias: np.ndarray
-    out: np.ndarray  # FILTERS + 1
+    out: np.ndarray  # FILTERS, the fixed filter and an offset
     slope: float = 1.0
     offset: float = 0.0
 
@@ -56,6 +58,24 @@ def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return grid, starts, halves
 
 
+def repeats(grid: np.ndarray, starts: np.ndarray, halves: np.ndarray) -> np.ndarray:
+    """1 for each window whose 8 bytes (not all zero) also stand a few bytes before in the same document."""
+    n = len(grid) // STRIDE - 1
+    wide = np.concatenate([grid, np.zeros(16, np.uint8)])
+    at = np.zeros(len(grid) + 8, np.uint64)
+    for k in range(8):
+        part = wide[k : k + (len(wide) - k) // 8 * 8].view(np.uint64)
+        at[k::8] = part[: len(at[k::8])]
+    first = starts[np.concatenate([[0], np.cumsum(halves + 1)])[:-1]]
+    place = STRIDE * (np.arange(n) - np.repeat(first, np.diff(np.append(first, n))))
+    here = STRIDE * np.arange(n)
+    own = at[here]
+    out = np.zeros(n, bool)
+    for lag in LAGS:
+        out |= (own == at[np.maximum(here - lag, 0)]) & (place >= lag)
+    return (out & (own != 0)).astype(np.float32)
+
+
 def forward(net: Net, grid: np.ndarray, starts: np.ndarray, halves: np.ndarray):
     rows = net.bytes[grid].reshape(-1, STRIDE * WIDTH)
     part = STRIDE * WIDTH
@@ -63,6 +83,7 @@ def forward(net: Net, grid: np.ndarray, starts: np.ndarray, halves: np.ndarray):
     act += rows[1:] @ net.filters[part:]
     act += net.bias
     np.maximum(act, 0, out=act)
+    act = np.column_stack([act, 8 * repeats(grid, starts, halves)])
     per = halves + 1
     first = np.concatenate([[0], np.cumsum(per)])[:-1]
     sums = np.add.reduceat(act, starts, axis=0)
@@ -94,8 +115,9 @@ def fit(texts: pa.Array, label: np.ndarray) -> Net:
         rng.normal(0, 0.5, (256, WIDTH)).astype(np.float32),
         rng.normal(0, 0.25, (2 * part, FILTERS)).astype(np.float32),
         np.zeros(FILTERS, np.float32),
-        np.append(rng.normal(0, 0.5, FILTERS), 0).astype(np.float32),
+        np.append(rng.normal(0, 0.5, FILTERS + 1), 0).astype(np.float32),
     )
+    net.out[FILTERS] = -0.5
     n = len(label)
     if not n or label.min() == label.max():
         net.slope, share = 0.0, (label.sum() + 1) / (n + 2)
@@ -133,15 +155,15 @@ def fit(texts: pa.Array, label: np.ndarray) -> Net:
             top = mean == pooled[doc]
             top &= mean >= 0
             order_top = np.cumsum(top, axis=0)
-            before = np.concatenate([np.zeros((1, FILTERS), order_top.dtype), order_top[:-1]])[first]
+            before = np.concatenate([np.zeros((1, FILTERS + 1), order_top.dtype), order_top[:-1]])[first]
             top &= (order_top - before[doc]) == 1
             g_mean[top] = g_pool[doc][top]
             g_half = g_mean / np.maximum(span, 1)[:, None]
             g_sum = g_half.copy()
             g_sum[1:] += g_half[:-1]
             g_sum[first + halves] = 0
-            g_act = np.repeat(g_sum, np.diff(np.append(starts, len(act))), axis=0)
-            g_act[act <= 0] = 0
+            g_act = np.repeat(g_sum[:, :FILTERS], np.diff(np.append(starts, len(act))), axis=0)
+            g_act[act[:, :FILTERS] <= 0] = 0
             g_filters = np.concatenate([rows[:-1].T @ g_act, rows[1:].T @ g_act])
             g_rows = np.zeros_like(rows)
             g_rows[:-1] += g_act @ net.filters[:part].T
