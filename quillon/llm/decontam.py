@@ -23,6 +23,7 @@ null ids are left out; an empty benchmark gives an empty result; extra columns a
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from quillon.llm.shared import table
 
 K, BITS, BLOCKS, RADIUS, LEAST = 5, 64, 7, 20, 0.8
-#: The benchmark's shingles are broadcast up to this number (16 bytes each), and joined by a shuffle beyond.
-BROADCAST_SHINGLES = 1_000_000
+#: Up to so many shingles of the benchmark (8 bytes each) are a literal of the plan; more are joined by a shuffle.
+LITERAL_SHINGLES = 100_000
 
 
 # Arrays are exploded with the outer form: for the inner one Spark adds a filter on the array's size below the step
@@ -99,6 +100,18 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _shared_places(known: DataFrame) -> Column:
+    """Places in ``h`` of hashes that are among ``known`` (few, by a check before)."""
+    hashes = [r[0] for r in known.collect()]
+    n = 1 << max(4, len(hashes).bit_length() - 1)
+    buckets: list[list[int]] = [[] for _ in range(n)]
+    for x in sorted(hashes):
+        buckets[x & (n - 1)].append(x)
+    held = F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
+    marked = F.transform("h", lambda x, i: F.when(F.array_contains(held[x.bitwiseAND(F.lit(n - 1).cast("long")).cast("int")], x), i).otherwise(-1))
+    return F.filter(marked, lambda i: i >= 0)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, start, n_words) for each document and item that it holds."""
     spark = docs.sparkSession
@@ -109,42 +122,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     empty = "doc_id long, item_id long, similarity double, start int, n_words int"
     if not lengths:
         return spark.createDataFrame([], empty)
-    small = known.count() <= BROADCAST_SHINGLES
+    small = known.count() <= LITERAL_SHINGLES
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     hashed = docs.select("doc_id", tokens("text").alias("w")).select("doc_id", shingle_hashes("w").alias("h"))
-    hits = hashed.select("doc_id", F.posexplode_outer("h").alias("pos", "s")).join(F.broadcast(known) if small else known, "s", "left_semi")
-    # a document's shared places; no more than its words
-    places = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("p"))
+    if small:
+        # the benchmark's hashes as a literal, in buckets of a few: shared places are found in a document's own row
+        placed = hashed.withColumn("p", _shared_places(known))
+    else:
+        hits = hashed.select("doc_id", F.posexplode_outer("h").alias("pos", "s")).join(known, "s", "left_semi")
+        # a document's shared places; no more than its words
+        placed = hashed.join(hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("p")), "doc_id")
     wide, at = f"greatest(l - {K} + 1, 1)", "transform(p, (x, i) -> named_struct('x', x, 'i', i))"
     # a place whose shingle no item has weighs at least as much as any other: beyond this share of them a window can't reach LEAST
     enough = f"{wide} - cast(floor({wide} * {1 / LEAST - 1}) as int)"
     sizes = f"array({', '.join(map(str, lengths))})"
     ahead = f"size(filter(slice(p, f.i + 1, {wide}), y -> y < f.x + {wide}))"
     behind = f"size(filter(slice(p, greatest(f.i + 2 - {wide}, 1), {wide}), y -> y <= f.x and y > f.x - {wide}))"
-    windows = (
-        places.select(
-            "doc_id", "p",
-            F.expr(f"filter({at}, f -> f.i = 0 or p[greatest(f.i - 1, 0)] <> f.x - 1)").alias("first"),
-            F.expr(f"filter({at}, f -> f.i = size(p) - 1 or p[least(f.i + 1, size(p) - 1)] <> f.x + 1)").alias("last"),
-        )
-        .select(
-            "doc_id",
-            F.expr(
-                "array_distinct(flatten(concat("
-                f"transform(first, f -> transform(filter({sizes}, l -> {ahead} >= {enough}), l -> named_struct('start', f.x, 'n_words', l))), "
-                f"transform(last, f -> transform(filter({sizes}, l -> f.x >= {wide} - 1 and {behind} >= {enough}), "
-                f"l -> named_struct('start', f.x - {wide} + 1, 'n_words', l))))))"
-            ).alias("windows"),
-        )
-        .where("size(windows) > 0")
+    windows = placed.select(
+        "doc_id", "h", "p",
+        F.expr(f"filter({at}, f -> f.i = 0 or p[greatest(f.i - 1, 0)] <> f.x - 1)").alias("first"),
+        F.expr(f"filter({at}, f -> f.i = size(p) - 1 or p[least(f.i + 1, size(p) - 1)] <> f.x + 1)").alias("last"),
+    ).select(
+        "doc_id", "h",
+        F.expr(
+            "array_distinct(flatten(concat("
+            f"transform(first, f -> transform(filter({sizes}, l -> {ahead} >= {enough}), l -> named_struct('start', f.x, 'n_words', l))), "
+            f"transform(last, f -> transform(filter({sizes}, l -> f.x >= {wide} - 1 and {behind} >= {enough}), "
+            f"l -> named_struct('start', f.x - {wide} + 1, 'n_words', l))))))"
+        ).alias("windows"),
     )
-    windows = table(windows, "windows")
-    # the table's size is known now: Spark broadcasts it if it is small, and shuffles both sides if not
     laid = (
-        docs.join(windows, "doc_id")
-        .select("doc_id", "windows", tokens("text").alias("w"))
-        .select("doc_id", "windows", shingle_hashes("w").alias("h"))
-        .select("doc_id", F.explode_outer(F.expr(f"transform(windows, v -> named_struct('start', v.start, 'n_words', v.n_words, 'h', slice(h, v.start + 1, greatest(v.n_words - {K} + 1, 1))))")).alias("v"))
+        windows.select("doc_id", F.explode_outer(F.expr(f"transform(windows, v -> named_struct('start', v.start, 'n_words', v.n_words, 'h', slice(h, v.start + 1, greatest(v.n_words - {K} + 1, 1))))")).alias("v"))
+        .where("v is not null")
         .select("doc_id", "v.*")
         .withColumn("finger", fingerprint("h"))
     )
