@@ -1,0 +1,203 @@
+"""Conversations, decisions, references, sensitive data and contradictions found in texts."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillon.functions import scores as S
+from quillon.functions.text import ascii_boundaries
+
+#: Names, categories and patterns of sensitive data.
+RULES = [
+    ("email", "email", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"),
+    ("us_phone", "phone", r"(?:\+1[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}"),
+    ("ssn", "ssn", r"\b\d{3}-\d{2}-\d{4}\b"),
+    ("local_path_unix", "local_path", r"/Users/[a-zA-Z][a-zA-Z0-9._-]*/"),
+    ("local_path_windows", "local_path", r"[A-Z]:\\Users\\[a-zA-Z][a-zA-Z0-9._\- ]*\\"),
+    ("api_key_assignment", "api_key", r"(?i)(?:api[_-]?key|secret[_-]?key|access[_-]?token)\s*[:=]\s*[\"']?[a-zA-Z0-9_\-]{20,}[\"']?"),
+    ("sk_key", "api_key", r"\bsk-[a-zA-Z0-9]{20,}\b"),
+    ("aws_key", "aws_key", r"\bAKIA[0-9A-Z]{16}\b"),
+    ("private_key_header", "private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
+    ("github_token", "api_key", r"\bgh[ps]_[a-zA-Z0-9]{36,}\b"),
+    ("slack_token", "api_key", r"\bxox[bpsar]-[a-zA-Z0-9\-]{10,}\b"),
+    ("sk_ant_key", "api_key", r"\bsk-ant-[a-zA-Z0-9_\-]{20,}\b"),
+    ("sk_proj_key", "api_key", r"\bsk-proj-[a-zA-Z0-9_\-]{20,}\b"),
+    ("sk_svcacct_key", "api_key", r"\bsk-svcacct-[a-zA-Z0-9_\-]{20,}\b"),
+    ("hf_token", "api_key", r"\bhf_[a-zA-Z0-9]{20,}\b"),
+    ("gcp_api_key", "cloud", r"\bAIza[0-9A-Za-z_\-]{35}\b"),
+    ("digitalocean_pat", "cloud", r"\bdop_v1_[a-f0-9]{64}\b"),
+    ("digitalocean_oauth", "cloud", r"\bdoo_v1_[a-f0-9]{64}\b"),
+    ("github_pat_fine", "git", r"\bgithub_pat_[a-zA-Z0-9_]{22,}\b"),
+    ("gitlab_pat", "git", r"\bglpat-[a-zA-Z0-9_\-]{20,}\b"),
+    ("gitlab_deploy", "git", r"\bgldt-[a-zA-Z0-9_\-]{20,}\b"),
+    ("slack_bot_token", "messages", r"\bxoxb-[0-9]{10,}-[a-zA-Z0-9\-]+\b"),
+    ("slack_app_token", "messages", r"\bxapp-[0-9]-[a-zA-Z0-9\-]{20,}\b"),
+    ("twilio_api_key", "messages", r"\bSK[a-f0-9]{32}\b"),
+    ("sendgrid_key", "messages", r"\bSG\.[a-zA-Z0-9_\-]{22,}\.[a-zA-Z0-9_\-]{20,}\b"),
+    ("npm_token", "developer", r"\bnpm_[a-zA-Z0-9]{36,}\b"),
+    ("pypi_token", "developer", r"\bpypi-[a-zA-Z0-9_\-]{50,}\b"),
+    ("postman_key", "developer", r"\bPMAK-[a-f0-9]{24,}\b"),
+    ("pulumi_token", "developer", r"\bpul-[a-f0-9]{40,}\b"),
+    ("grafana_cloud_key", "observability", r"\bglc_[a-zA-Z0-9_\-]{20,}\b"),
+    ("grafana_sa_key", "observability", r"\bglsa_[a-zA-Z0-9_\-]{20,}\b"),
+    ("sentry_user_token", "observability", r"\bsntryu_[a-f0-9]{64}\b"),
+    ("sentry_system_token", "observability", r"\bsntrys_[a-f0-9]{64}\b"),
+    ("stripe_secret", "payment", r"\bsk_(?:test|live)_[a-zA-Z0-9]{20,}\b"),
+    ("stripe_restricted", "payment", r"\brk_(?:test|live)_[a-zA-Z0-9]{20,}\b"),
+    ("shopify_pat", "payment", r"\bshpat_[a-f0-9]{32,}\b"),
+    ("shopify_shared_secret", "payment", r"\bshpss_[a-f0-9]{32,}\b"),
+]
+#: Phrases that say that something has changed, been chosen, or holds in one place only.
+NEGATION = (
+    "no longer using", "no longer use", "no longer", "not anymore", "instead of", "replaced by", "replaced with", "deprecated", "removed", "dropped", "abandoned",
+    "stopped using", "don't use", "do not use", "won't use", "will not use", "not using",
+)
+TEMPORAL = (
+    "as of today", "as of now", "as of", "changed to", "changed from", "updated to", "moved to", "switched to", "switched from", "migrated to", "migrated from",
+    "now using", "now uses", "now use", "going forward", "from now on", "starting today", "effective immediately",
+)
+PREFERENCE = (
+    "prefer to use", "decided to use", "decided on", "chosen over", "better than", "prefer", "chose", "picked", "selected", "went with", "go with", "opted for",
+    "moved away from", "moving away from",
+)
+CONTEXT = (
+    "in this project", "for this repo", "for this project", "in this case", "in this context", "specifically for", "only for", "when using", "depending on",
+    "except when", "for production", "for development", "for testing", "on linux", "on mac", "on windows",
+)
+#: How decisions are worded, what speaks against one, and what gives a reason.
+DECISIONS = [
+    r"(?i)\*\*Decision:?\*\*\s*(.+?)(?:\n|$)",
+    r"(?im)(?:^|\n)\s*Decision:\s*(.+?)(?:\n|$)",
+    r"(?i)(?:chose|picked|selected)\s+(.+?)\s+over\s+(.+?)\s+(?:because|since|due to)\s+(.+?)(?:\.|$)",
+    r"(?i)(?:I |we |I've |we've )?decided\s+(?:to|on|that)\s+(.+?)(?:\.|$)",
+    r"(?i)(?:I |we )?went\s+with\s+(.+?)(?:\.|$)",
+    r"(?i)let'?s\s+(?:go with|use|adopt|stick with)\s+(.+?)(?:\.|$)",
+    r"(?i)(?:I |we )?(?:chose|picked)\s+(.+?)(?:\.|$)",
+    r"(?i)(?:I'm |we're |I am |we are )?going\s+(?:to use|with)\s+(.+?)(?:\.|$)",
+]
+REASON = r"(?i)(?:because|since|due to|reason|rationale|trade-?off|instead of|over|better|simpler|easier|faster|prefer|advantage|benefit)"
+DOUBTS = (
+    r"(?i)(?:if|when|would|could|should|might)\s+(?:we|I|you)\s+(?:decide|chose)",
+    r"(?i)(?:haven't|hasn't|didn't)\s+(?:decided|chose)",
+    r"(?i)(?:need to|want to)\s+decide",
+)
+FALSE_FINDS = ("example.com", "example.org", "test@", "noreply@", "your-api-key", "xxxx")
+
+
+def _found_by(name: str, category: str):
+    return lambda m: F.struct(F.lit(name).alias("rule"), F.lit(category).alias("category"), m.alias("found"))
+
+
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: list[tuple[str, str, str]] | None = None, false_finds: tuple[str, ...] = ()) -> DataFrame:
+    """(key, line, rule, category, found) of every match in every line; lines that define patterns are skipped.
+
+    The rules are columns of one pass over the lines, so no text is copied for each rule.
+    """
+    lines = docs.select(key, F.posexplode_outer(F.split(text, "\n")).alias("line", "content")).where("content is not null and not contains(content, 'regexp.')")
+    finds = [
+        F.transform(F.regexp_extract_all("content", F.lit(ascii_boundaries(pattern)), F.lit(0)), _found_by(name, category))
+        for name, category, pattern in (rules or RULES)
+    ]
+    # no rule can match a line without a digit, an at sign, a slash, a backslash or a dash
+    worth = lines.where(F.col("content").rlike(r"[0-9@/\\-]") | F.lower("content").rlike("key|token"))
+    out = worth.select(key, "line", F.explode_outer(F.concat(*finds)).alias("f")).where("f is not null").select(key, "line", "f.rule", "f.category", "f.found")
+    for x in false_finds:
+        out = out.where(~F.lower("found").contains(x))
+    return out
+
+
+def redact(found: Column) -> Column:
+    """First and last three characters; shorter finds are hidden whole."""
+    return F.when(F.length(found) <= 8, "***").otherwise(F.concat(F.left(found, F.lit(3)), F.lit("***"), F.right(found, F.lit(3))))
+
+
+def signals(text: Column, phrases: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a + b, [F.when(text.contains(p), 1).otherwise(0) for p in phrases])
+
+
+def contradiction(text: Column, similarity: Column) -> Column:
+    """struct(kind, confidence) of what a new text says against a similar old one; null below a confidence of 0.3."""
+    low = F.lower(text)
+    n, t, p, c = (signals(low, x) for x in (NEGATION, TEMPORAL, PREFERENCE, CONTEXT))
+    kind = F.when((c > 0) & (c >= n) & (c >= p), "context").when((p > 0) & (p >= n) & (p >= t), "preference").when(n + t + p + c > 0, "factual")
+    count = F.when(kind == "context", c).when(kind == "preference", p + t).otherwise(n + t)
+    near = F.greatest(F.lit(0.0), (similarity - 0.7) / 0.3)
+    sure = S.clamp(0.6 * (1 - F.pow(F.lit(0.5), count)) + 0.4 * near)
+    return F.when(kind.isNotNull() & (similarity >= 0.7) & (sure >= 0.3), F.struct(kind.alias("kind"), S.round3(sure).alias("confidence")))
+
+
+def decisions(messages: DataFrame, key: list[str], text: str = "text", role: str = "role") -> DataFrame:
+    """Decisions in messages that aren't the user's and have 20 characters at least; a pandas UDF, as matches look around."""
+    import re
+
+    patterns, reason, doubts = [re.compile(p) for p in DECISIONS], re.compile(REASON), [re.compile(p) for p in DOUBTS]
+
+    def find(body: str) -> list[dict]:
+        out, seen = [], set()
+        for i, p in enumerate(patterns):
+            for m in p.finditer(body):
+                what = m[0].strip()
+                if what.lower() in seen or any(d.search(body[max(0, m.start() - 20) : m.end()]) for d in doubts):
+                    continue
+                explicit = i < 2
+                if not explicit and not reason.search(body[max(0, m.start() - 200) : m.end() + 200]):
+                    continue
+                seen.add(what.lower())
+                out.append({"decision": what, "confidence": "high" if i < 3 else "medium", "context": body[max(0, m.start() - 100) : m.end() + 100]})
+        return out
+
+    @F.pandas_udf("array<struct<decision:string,confidence:string,context:string>>")
+    def run(bodies: pd.Series) -> pd.Series:
+        return bodies.map(find)
+
+    worth = messages.where((F.lower(role) != "user") & (F.length(text) >= 20) & F.col(text).rlike("(?i)decision|chose|picked|selected|decided|went\\s+with|let'?s|going\\s+"))
+    return worth.select(*key, F.explode_outer(run(F.col(text))).alias("d")).where("d is not null").select(*key, "d.decision", "d.confidence", "d.context")
+
+
+def referenced(usage: DataFrame, answers: DataFrame) -> DataFrame:
+    """(session_id, path, was_referenced): whether a session's answers name a path, its file name, or the name in plain words."""
+    name = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.md$", "")
+    plain = F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
+    paths = usage.select("session_id", F.explode_outer("injected_paths").alias("path")).where("path is not null").distinct()
+    said = F.lower("answer")
+    joined = paths.join(answers, "session_id", "left")
+    hit = said.contains(F.lower("path")) | ((F.length(name) > 3) & said.contains(F.lower(name))) | ((F.length(plain) > 5) & F.regexp_replace(said, "[^a-z0-9]+", " ").contains(plain))
+    return joined.groupBy("session_id", "path").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("was_referenced"))
+
+
+def turn_groups(turns: DataFrame) -> DataFrame:
+    """(conv_id, pair, heading, text): a user's turn and what follows it; what comes before the first is a preamble."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    numbered = turns.withColumn("pair", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w)).where("pair > 0 or role <> 'assistant'")
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return numbered.groupBy("conv_id", "pair").agg(F.array_join(F.transform(ordered, lambda t: t["text"]), "\n\n").alias("text"), F.min("turn").alias("first_turn"))
+
+
+def alternating_pairs(turns: DataFrame) -> DataFrame:
+    """Conversations with how many answers follow a question at once, and whether they are cut by turns."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = turns.withColumn("before", F.lag("role").over(w))
+    return t.groupBy("conv_id").agg(F.count("*").alias("markers"), F.count_if((F.col("role") == "assistant") & (F.col("before") == "user")).alias("pairs")).withColumn(
+        "by_turns", (F.col("markers") >= 4) & (F.col("pairs") >= 2)
+    )
+
+
+def last_messages(turns: DataFrame, n: int, role: str | None = None) -> DataFrame:
+    rows = turns.where(F.col("role") == role) if role else turns
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).drop("n")
+
+
+def topic_changes(prompts: DataFrame, threshold: float = 0.35) -> DataFrame:
+    """Each user turn with the similarity of its terms to those of the one before, and whether the topic is new."""
+    from quillon.functions.text import term_array
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    terms = prompts.withColumn("terms", term_array(F.col("text")))
+    before = terms.withColumn("before", F.lag("terms").over(w))
+    like = F.when(F.col("before").isNull(), -1.0).otherwise(F.round(S.jaccard(F.col("terms"), F.col("before")), 6))
+    return before.select("conv_id", "turn", like.alias("similarity")).withColumn("changed", F.col("similarity") <= threshold)
