@@ -33,7 +33,7 @@ LENGTH, WINDOW, END_ID = 2048, 64, 1
 #: Documents in a bucket of a queue (about), and rounds in a group: bounds on what one task sums up.
 BUCKET_DOCS, GROUP_ROUNDS = 2000, 16
 _PLAIN = 0x250  # code points below this are split by table; texts with others go to the tokenizer whole
-_CACHE = 1_000_000
+_CACHE = 300_000  # pieces of text that a worker remembers, some 100 bytes each
 
 
 class Encoder:

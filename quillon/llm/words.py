@@ -6,6 +6,7 @@ A word is a maximal run of bytes other than space and \\x09-\\x0D; in UTF-8 that
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,15 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back: workers live on between stages, and two of them share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes of text (a longer text makes a part of its own), to bound memory."""
     _, offsets = flat(batch.column(column))
@@ -60,6 +70,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterato
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
