@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.storage import table
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge from either end: two equi joins later instead of one join with OR."""
@@ -25,13 +27,18 @@ def traverse(edges: DataFrame, start: int, depth: int = 5, rel: str | None = Non
     if rel:
         step = step.where(F.col("rel") == rel)
     step = step.select("src", "dst", "weight")
-    found = front = step.where(F.col("src") == start).where(F.col("dst") != start).select(
+    front = step.where(F.col("src") == start).where(F.col("dst") != start).select(
         F.col("dst").alias("node"), F.lit(1).alias("depth"), F.array("src", "dst").alias("walk"), F.col("weight").alias("total")
     )
+    found = front = table(front, "front")
     for d in range(2, min(depth, 10) + 1):
         front = front.join(step, front["node"] == step["src"]).where(~F.array_contains("walk", F.col("dst"))).select(
             F.col("dst").alias("node"), F.lit(d).alias("depth"), F.array_append("walk", F.col("dst")).alias("walk"), (F.col("total") + F.col("weight")).alias("total")
         )
+        # each step's walks are written, so that the next one doesn't compute all before it again
+        front = table(front, "front")
+        if front.limit(1).count() == 0:
+            break
         found = found.union(front)
     return found.orderBy("depth", "walk").limit(limit)
 
@@ -44,12 +51,14 @@ def shortest_path(edges: DataFrame, start: int, goal: int, depth: int = 10) -> D
     spark = edges.sparkSession
     front = spark.range(1).select(F.lit(start).cast("long").alias("node"), F.array(F.lit(start).cast("long")).alias("walk"))
     reached = front
-    step = edges.select("src", "dst").distinct()
+    step = table(edges.select("src", "dst").distinct(), "steps")
     for _ in range(depth):
-        if start == goal:
+        if reached.where(F.col("node") == goal).limit(1).count():
             break
         ahead = front.join(step, front["node"] == step["src"]).select(F.col("dst").alias("node"), F.array_append("walk", F.col("dst")).alias("walk"))
-        front = ahead.groupBy("node").agg(F.min("walk").alias("walk")).join(reached.select("node"), "node", "left_anti")
+        front = table(ahead.groupBy("node").agg(F.min("walk").alias("walk")).join(reached.select("node"), "node", "left_anti"), "front")
+        if front.limit(1).count() == 0:
+            break
         reached = reached.union(front)
     return reached.where(F.col("node") == goal).select("walk", (F.size("walk") - 1).alias("edges"))
 
