@@ -102,8 +102,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: list[t
         F.transform(F.regexp_extract_all("content", F.lit(ascii_boundaries(pattern)), F.lit(0)), _found_by(name, category))
         for name, category, pattern in (rules or RULES)
     ]
-    # no rule can match a line without a digit, an at sign, a slash, a backslash or a dash
-    worth = lines.where(F.col("content").rlike(r"[0-9@/\\-]") | F.lower("content").rlike("key|token"))
+    # no rule can match a line without any of these
+    worth = lines.where(F.col("content").rlike(r"[0-9@/\\_-]|(?i:key|token)|AKIA|AIza|SK[a-f]|SG\."))
     out = worth.select(key, "line", F.explode_outer(F.concat(*finds)).alias("f")).where("f is not null").select(key, "line", "f.rule", "f.category", "f.found")
     for x in false_finds:
         out = out.where(~F.lower("found").contains(x))

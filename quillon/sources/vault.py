@@ -15,7 +15,7 @@ def walk(spark: SparkSession, folder: str, ignore: list[str] | None = None) -> D
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
     root = re.escape(folder.rstrip("/").removeprefix("file://"))
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^.*?{root}/", "")
-    files = raw.select(path.alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"), F.unix_timestamp("modificationTime").cast("double").alias("modified"))
+    files = raw.select(path.alias("path"), F.decode("content", "UTF-8").alias("content"), F.unix_timestamp("modificationTime").cast("double").alias("modified"))
     parts = F.split("path", "/")
     skipped = F.arrays_overlap(parts, F.array(*map(F.lit, SKIP_FOLDERS)))
     return files.where(~skipped & ~ignored(F.col("path"), ignore or [])).withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
