@@ -4,7 +4,7 @@ Words are maximal runs other than space and \\x09-\\x0D of the lower-cased text;
 document with fewer words has its whole sequence as one, so a shorter item is found as a whole document only). A window has as many words as some item. Windows that hold
 no shingle of any item have similarity 0 with every item, so windows are laid at the ends of runs of shared shingles:
 one that begins where a run begins, and one that ends where a run ends, for each item length. A window in which more
-places are foreign to the whole benchmark than ``LEAST`` allows is not laid.
+places are foreign to the whole benchmark than ``LEAST`` allows is not laid. The end of a text may cut a window short.
 
 The fingerprint of a window or item has ``BITS`` bits, the signs of its shingles' hash bits summed up. Fingerprints of
 equal window length within ``RADIUS`` are found by a multi-index: of ``BLOCKS`` blocks at least one differs in at most
