@@ -27,6 +27,12 @@ def _keyed(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")
 
 
+def _expire(state: GroupState, rows: pd.DataFrame, seconds: int) -> None:
+    """The key's state goes when event time has passed its last row by so many seconds."""
+    last = int(rows["ts"].iloc[-1].timestamp() * 1000)
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + seconds * 1000)
+
+
 def debounced(events: DataFrame, seconds: int = 300) -> DataFrame:
     """Events (session_id, hook_name, ts) that fire: the first, and each that comes ``seconds`` or more after the last that fired."""
 
@@ -36,17 +42,18 @@ def debounced(events: DataFrame, seconds: int = 300) -> DataFrame:
             return
         last = state.get[0] if state.exists else None
         out = []
-        for ts in _keyed(rows)["ts"]:
+        out_of = _keyed(rows)
+        for ts in out_of["ts"]:
             now = ts.timestamp()
             if last is None or now - last >= seconds:
                 last = now
                 out.append((*key, ts))
         state.update((last,))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        _expire(state, out_of, 24 * 3600)
         yield pd.DataFrame(out, columns=["session_id", "hook_name", "ts"])
 
-    return events.groupBy("session_id", "hook_name").applyInPandasWithState(
-        run, "session_id string, hook_name string, ts timestamp", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return events.withWatermark("ts", WATERMARK).groupBy("session_id", "hook_name").applyInPandasWithState(
+        run, "session_id string, hook_name string, ts timestamp", "last double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -59,7 +66,8 @@ def topic_gate(prompts: DataFrame, threshold: float = 0.35) -> DataFrame:
             return
         last = set(state.get[0]) if state.exists else None
         out = []
-        for ts, terms in _keyed(rows)[["ts", "terms"]].itertuples(index=False):
+        out_of = _keyed(rows)
+        for ts, terms in out_of[["ts", "terms"]].itertuples(index=False):
             now = set(terms)
             like = -1.0 if last is None else (1.0 if not now | last else len(now & last) / len(now | last))
             new = like <= threshold
@@ -67,11 +75,11 @@ def topic_gate(prompts: DataFrame, threshold: float = 0.35) -> DataFrame:
                 last = now
             out.append((key[0], ts, like, new))
         state.update((sorted(last or ()),))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        _expire(state, out_of, 24 * 3600)
         yield pd.DataFrame(out, columns=["session_id", "ts", "similarity", "changed"])
 
-    return prompts.groupBy("session_id").applyInPandasWithState(
-        run, "session_id string, ts timestamp, similarity double, changed boolean", "terms array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return prompts.withWatermark("ts", WATERMARK).groupBy("session_id").applyInPandasWithState(
+        run, "session_id string, ts timestamp, similarity double, changed boolean", "terms array<string>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -84,7 +92,8 @@ def admitted(writes: DataFrame, seconds: int = 60, most: int = 30) -> DataFrame:
             return
         recent = list(state.get[0]) if state.exists else []
         out = []
-        for ts in _keyed(rows)["ts"]:
+        out_of = _keyed(rows)
+        for ts in out_of["ts"]:
             now = ts.timestamp()
             recent = [t for t in recent if t > now - seconds]
             fits = len(recent) < most
@@ -92,11 +101,11 @@ def admitted(writes: DataFrame, seconds: int = 60, most: int = 30) -> DataFrame:
                 recent.append(now)
             out.append((key[0], ts, fits))
         state.update((recent,))
-        state.setTimeoutDuration(10 * seconds * 1000)
+        _expire(state, out_of, 10 * seconds)
         yield pd.DataFrame(out, columns=["user_id", "ts", "admitted"])
 
-    return writes.groupBy("user_id").applyInPandasWithState(
-        run, "user_id long, ts timestamp, admitted boolean", "recent array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return writes.withWatermark("ts", WATERMARK).groupBy("user_id").applyInPandasWithState(
+        run, "user_id long, ts timestamp, admitted boolean", "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
