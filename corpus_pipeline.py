@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.llm import decontam, neardup, packing, quality, rules
 from quillon.llm.shared import table
@@ -17,29 +16,18 @@ from quillon.llm.shared import table
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id has no rejected row in ``verdicts`` (doc_id, good); rows with null ids stay.
-
-    Verdicts are on texts and ids, so rows that repeat an id go together if one of their texts is rejected.
-    """
-    bad = table(verdicts.where("not good and doc_id is not null").select("doc_id").distinct(), "rejected")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte-level network scores below its threshold go."""
     train = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    got = quality.classify(docs, labels, train=train)
-    return _keep(docs, got.select("doc_id", (F.col("predicted") == 1).alias("good")))
+    return quality.sift(docs, labels, train=train)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the n-gram model go. The model is fitted on labelled rows of all documents."""
     train = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    got = rules.judge(docs, labels, train=train)
-    return _keep(docs, got.select("doc_id", F.col("kept").alias("good")))
+    return rules.sift(docs, labels, train=train)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import words as W
-from quillon.llm.shared import connected_components, table
+from quillon.llm.shared import connected_components, small_batches, table
 
 BANDS, ROWS, MANTISSA, BLOCK = 24, 6, 10, 256
 BUCKETS = BANDS * ROWS
@@ -171,6 +171,7 @@ def _estimated(percent: int):
                     like = estimate(reg[a], reg[b], sizes[a], sizes[b]) >= least
                     out += _forest(ids, a[like], b[like])
             yield pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+        W.release()
 
     return run
 
@@ -212,6 +213,7 @@ def _confirmed(percent: int):
                 a, b = np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1))
                 out += _forest(ids, a, b)
             yield pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+        W.release()
 
     return run
 
@@ -233,7 +235,8 @@ def _blocks(df: DataFrame, keys: list[str], column: str, block: int) -> DataFram
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text); see the module's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    sketches = table(docs.mapInArrow(_sketches(k), "doc_id long, n_shingles long, one long, two long, registers binary"), "sketches")
+    with small_batches(docs.sparkSession, 1000):
+        sketches = table(docs.mapInArrow(_sketches(k), "doc_id long, n_shingles long, one long, two long, registers binary"), "sketches")
     classes = (
         sketches.where("n_shingles > 0")
         .groupBy("n_shingles", "one", "two")
@@ -258,7 +261,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     groups = connected_components(loose).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     # one text of each class (repeated ids may bring several rows)
     texts = docs.join(groups, docs["doc_id"] == groups["rep"], "inner").select("rep", "cluster", "text")
-    sets = table(texts.mapInArrow(_sets(k), "rep long, cluster long, shingles binary"), "sets")
+    with small_batches(docs.sparkSession, 500):
+        sets = table(texts.mapInArrow(_sets(k), "rep long, cluster long, shingles binary"), "sets")
     parts = ["cluster", "i", "j"]
     tight = (
         _blocks(sets, ["cluster"], "rep", BLOCK // 2)
@@ -267,7 +271,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         .mapInPandas(_confirmed(percent), "a long, b long")
         .distinct()
     )
-    linked = connected_components(tight)
+    with small_batches(docs.sparkSession, 500):
+        linked = connected_components(tight)
     of_class = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n_shingles", "one", "two", F.coalesce("component", "rep").alias("component_id")
     )

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import words as W
-from quillon.llm.shared import table
+from quillon.llm.shared import small_batches, table
 
 LENGTH, WINDOW, END_ID = 2048, 64, 1
 #: Documents in a bucket of a queue (about), and rounds in a group: bounds on what one task sums up.
@@ -147,7 +147,7 @@ def tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pack = encoder(tokenizer), zstandard.ZstdCompressor(level=3)
         for whole in batches:
-            for batch in W.slices(whole, "text"):
+            for batch in W.slices(whole, "text", 1_000_000):
                 ids = [np.append(x, END_ID).astype(np.uint32) for x in enc.encode([t or "" for t in batch.column("text").to_pylist()])]
                 # all low halves, then all high ones: shorter when compressed
                 halves = [pack.compress(x.view(np.uint16).reshape(-1, 2).T.tobytes()) for x in ids]
@@ -236,7 +236,8 @@ def pack(docs: DataFrame, tokenizer: str, shares: dict[str, float] | None = None
 
     ``shares`` are the sources' target shares of every mixture window (default: their shares of all tokens).
     """
-    held = table(tokens(docs, tokenizer), "tokens")
+    with small_batches(docs.sparkSession, 1000):
+        held = table(tokens(docs, tokenizer), "tokens")
     pieces = plan(held.select("row", "doc_id", "source", "n"), shares, length)
     # a document's own pieces, as many as its tokens at most
     by_row = pieces.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))

@@ -179,6 +179,7 @@ def fit(texts: pa.Array, label: np.ndarray) -> Net:
     rows = np.flatnonzero(check) if check.any() else use
     net.slope, net.offset = calibrate(_raw(net, *pick(rows)), label[rows])
     net.slope = max(net.slope, 0.0)
+    W.release()
     return net
 
 
@@ -217,3 +218,15 @@ def classify(docs: DataFrame, labels: DataFrame, train: DataFrame | None = None,
     # only the id and the score leave the network
     scored = scores(text, net).select("doc_id", "score")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def sift(docs: DataFrame, labels: DataFrame, train: DataFrame | None = None, threshold: float = 0.3, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score at least ``threshold``; judged where they lie, without a join."""
+    net = fit(*labelled_sample(docs if train is None else train, labels, rows=rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in W.slices(whole, "text", 8_000_000):
+                yield batch.filter(pa.array(score(net, batch.column("text")) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -73,47 +73,61 @@ def raw(model: Model, kinds) -> np.ndarray:
     return total
 
 
-def fit(texts: pa.Array, label: np.ndarray, steps: int = 120) -> Model:
-    """Adam on the log loss of n-gram shares, then calibration on the fifth of the rows that was left out."""
-    n = len(label)
-    check = np.arange(n) % 5 == 4
-    if n and (len(np.unique(label[check])) < 2 or len(np.unique(label[~check])) < 2):
-        check[:] = False
-    if len(np.unique(label[~check])) < 2:
-        return Model()
+def _sparse(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, share) of every n-gram of some texts."""
     with np.errstate(over="ignore"):
         data, offsets = W.flat(texts)
         h, _, _, first = W.words(data, offsets, lower=False)
         kinds = grams(data, offsets, h, first)
-    rows, cols, vals = [], [], []
+    rows, cols, vals = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
     for kind, (bucket, a, b) in enumerate(kinds):
         for i in np.flatnonzero(b > a):
             u, c = np.unique(bucket[a[i] : b[i]], return_counts=True)
             rows.append(np.full(len(u), i, np.int32))
             cols.append(u.astype(np.int32) + np.int32(kind << BITS))
             vals.append((c / (b[i] - a[i])).astype(np.float32))
-    del kinds, h, data, offsets
-    rows, cols, vals = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
-    seen = np.zeros(3 << BITS, bool)
-    seen[cols] = True
-    used = np.flatnonzero(seen)
-    cols = (np.cumsum(seen, dtype=np.int32) - 1)[cols]
-    w, bias = np.zeros(len(used)), 0.0
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
+
+
+def fit(texts: pa.Array, label: np.ndarray, steps: int = 120) -> Model:
+    """Adam on the log loss of n-gram shares, then calibration on the fifth of the rows that was left out."""
+    n = len(label)
+    check = np.arange(n) % 5 == 4
+    if n and (len(np.unique(label[check])) < 2 or len(np.unique(label[~check])) < 2):
+        check[:] = False
+    if len(np.unique(label[~check])) < 2:
+        return Model()
+    # sparse rows in blocks, so that steps need little memory besides them
+    blocks, seen = [], np.zeros(3 << BITS, bool)
+    for low in range(0, n, 250):
+        block = _sparse(texts.slice(low, 250))
+        seen[block[1]] = True
+        blocks.append((slice(low, min(low + 250, n)), *block))
+    used, place = np.flatnonzero(seen), np.cumsum(seen, dtype=np.int32) - 1
+    blocks = [(at, rows, place[cols], vals) for at, rows, cols, vals in blocks]
+    w, bias = np.zeros(len(used), np.float32), 0.0
     weight = np.where(label == 1, 0.5 * n / label.sum(), 0.5 * n / (n - label.sum())) * ~check / n
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, steps + 1):
-        z = np.bincount(rows, vals * w[cols], n) + bias
-        err = (sigmoid(z) - label) * weight
-        g, gb = np.bincount(cols, vals * err[rows], len(used)) + 1e-7 * w, err.sum()
+    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+    z = np.zeros(n)
+    for t in range(1, steps + 2):
+        g, gb = 1e-7 * w.astype(np.float64), 0.0
+        for at, rows, cols, vals in blocks:
+            z[at] = np.bincount(rows, vals * w[cols], at.stop - at.start) + bias
+            err = ((sigmoid(z[at]) - label[at]) * weight[at]).astype(np.float32)
+            g += np.bincount(cols, vals * err[rows], len(used))
+            gb += float(err.sum())
+        if t > steps:  # the last round only computes the answers
+            break
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         mb += 0.1 * (gb - mb)
         vb += 0.01 * (gb * gb - vb)
-        w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        w -= (0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)).astype(np.float32)
         bias -= 0.05 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-9)
-    z = np.bincount(rows, vals * w[cols], n) + bias
     fold = check if check.any() else ~check
     slope, offset = calibrate(z[fold], label[fold])
+    del blocks
+    W.release()
     table = np.zeros(3 << BITS, np.float32)
     table[used] = w
     return Model(table.reshape(3, -1), float(bias), max(slope, 0.0), offset)
@@ -170,3 +184,17 @@ def judge(docs: DataFrame, labels: DataFrame, train: DataFrame | None = None, ro
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (F.col("probability") >= KEEP)).alias("kept"), "probability",
     )
+
+
+def sift(docs: DataFrame, labels: DataFrame, train: DataFrame | None = None, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are kept; judged where they lie, without a join."""
+    model = fit(*labelled_sample(docs if train is None else train, labels, rows=rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in W.slices(whole, "text"):
+                got = measures(batch.column("text"), model)
+                failed = (got["n_words"] < LEAST_WORDS) | (100 * got["n_repeat_words"] > REPEAT_PERCENT * got["n_words"])
+                yield batch.filter(pa.array(~failed & (got["probability"] >= KEEP)))
+
+    return docs.mapInArrow(run, docs.schema)

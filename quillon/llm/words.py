@@ -62,7 +62,7 @@ def release() -> None:
         pass
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes of text (a longer text makes a part of its own), to bound memory."""
     _, offsets = flat(batch.column(column))
     at = 0
