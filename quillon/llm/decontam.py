@@ -80,13 +80,12 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """(item_id, n_words, shingles map<hash, weight>, weight, most, finger) of each item with a word."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens("text").alias("w")).where("item_id is not null and size(w) > 0")
     items = items.select("item_id", F.size("w").alias("n_words"), F.array_distinct(shingle_hashes("w")).alias("h"), shingle_hashes("w").alias("all"))
-    n = items.agg(F.count_distinct("item_id").alias("n"))
+    n = items.agg(F.count_distinct("item_id").alias("n")).first()["n"]
     weights = (
         items.select("item_id", F.explode_outer("h").alias("s"))
         .groupBy("s")
         .agg(F.count_distinct("item_id").alias("df"))
-        .crossJoin(F.broadcast(n))  # one row
-        .select("s", F.log1p(F.col("n") / F.col("df")).alias("weight"), F.log1p("n").alias("most"))
+        .select("s", F.log1p(F.lit(float(n)) / F.col("df")).alias("weight"), F.log1p(F.lit(float(n))).alias("most"))
     )
     by_item = (
         items.select("item_id", F.explode_outer("h").alias("s"))
