@@ -6,10 +6,13 @@ from the root. For each branch, over the host's distinct pages that have it,
 * content importance is the entropy of its texts, as a share of the most that many pages could have, and
 * presentation importance is the same of the sequences of elements inside it.
 
-A branch on one page only has importance 1 for both. The mean is weighed by what the style itself says: navigation,
-headers, footers, asides, forms, notices, adverts and comments (by tag, role, class or id) count a tenth; an article
-or main element is kept whatever repeats; other branches count ``PLAIN``, or ``BESIDE`` on a page whose article stands
-elsewhere. Branches below ``LEAST`` are removed from the page with all below them.
+A branch on one page only has importance 1 for both. Importance is the larger of the mean and content importance, and
+is weighed by what the style itself says: an article or main element (``MAIN``), other branches (``PLAIN``, or ``BESIDE``
+on a page whose article stands elsewhere), times ``MARKED`` for a form, or a word of navigation, adverts, comments and the
+like in a class or id. Branches below ``LEAST`` are removed, so text of its own
+lifts a marked branch. An unmarked article or main is kept whatever repeats, and noise or text beside an article goes.
+html, body and the elements around an article or main are neither noise nor marked; an article or main
+inside noise is an article.
 
 What is left is cut into blocks at block elements; character references are decoded, white space in a block becomes one
 space, blocks are joined in page order by two line breaks. Scripts, styles, templates and comments are never text.
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from quillon.llm import words as W
 from quillon.llm.shared import table
 
-PLAIN, BESIDE, NOISE, LEAST = 0.6, 0.25, 0.1, 0.3
+MAIN, PLAIN, BESIDE, MARKED, NOISE, LEAST = 1.0, 0.6, 0.25, 0.6, 0.1, 0.3
 SALTS = 16
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -41,7 +44,7 @@ _DIGITS = re.compile(r"\d+")
 _STRUCTURE = frozenset("html body div section article main aside nav header footer form ul ol dl table figure blockquote details dialog fieldset menu search center".split())
 _BLOCK = _STRUCTURE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre hr figcaption caption address thead tbody tfoot summary legend hgroup optgroup option".split())
 _RAW = frozenset("script style noscript template iframe object svg canvas textarea select button head title noframes audio video math".split())
-_NOISE_TAGS = frozenset("nav header footer aside form menu dialog search".split())
+_NOISE_TAGS = frozenset("nav header footer aside menu dialog search".split())
 _MAIN_TAGS = frozenset(["article", "main"])
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _NOISE_WORDS = frozenset(
@@ -52,20 +55,23 @@ _NOISE_WORDS = frozenset(
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _style(name: str, tag: str) -> tuple[str, str]:
-    """A style's name in the tree, and what it says: main, noise or nothing."""
+def _style(name: str, tag: str) -> tuple[str, str, bool]:
+    """A style's name in the tree, what it says (main, noise or nothing), and whether it is marked."""
     found = {k.lower(): (v[1:-1] if v[:1] in "\"'" else v) for k, v in _ATTRIBUTE.findall(tag, len(name) + 1)} if len(tag) > len(name) + 2 else {}
     marks = f"{found.get('class', '')} {found.get('id', '')}"
     said = {w.lower() for w in _PARTS.findall(marks)} if marks.strip() else set()
     role = found.get("role", "").lower()
     label = name + "".join(f".{c}" for c in sorted(found.get("class", "").split())) + (f"#{found['id']}" if found.get("id") else "")
-    if name in _NOISE_TAGS or role in _NOISE_ROLES or said & _NOISE_WORDS or "hidden" in found or found.get("aria-hidden") == "true":
+    label = _DIGITS.sub("0", label)
+    if name in ("html", "body"):
+        return label, "", False
+    if name in _NOISE_TAGS or role in _NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true":
         kind = "noise"
     elif name in _MAIN_TAGS or role in ("main", "article"):
         kind = "main"
     else:
         kind = ""
-    return _DIGITS.sub("0", label), kind
+    return label, kind, name == "form" or bool(said & _NOISE_WORDS)
 
 
 class Page:
@@ -73,10 +79,9 @@ class Page:
 
     def __init__(self, html: str):
         self.blocks: list[tuple[int, str]] = []  # branch and text, in page order
-        self.ways: list[str] = [""]
-        self.kinds: list[str] = [""]
-        self.shapes: list[list[str]] = [[]]
-        known = {"": 0}
+        # elements: the one around, tag, style, what it says, whether marked, whether an article or main is inside
+        elements: list[list] = [[0, "", "", "", False, False]]
+        shapes: list[list[str]] = [[]]
         stack: list[tuple[str, int]] = [("", 0)]
         text: list[str] = []
 
@@ -104,7 +109,7 @@ class Page:
                             del stack[i:]
                             break
                 continue
-            branch = stack[-1][1]
+            parent = stack[-1][1]
             if name in _RAW:
                 if tag[-2:] != "/>":
                     end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
@@ -117,38 +122,55 @@ class Page:
                     text.append(" ")
             elif name in _BLOCK:
                 flush()
-                self.shapes[branch].append(name)
+                shapes[parent].append(name)
                 if name in _STRUCTURE:
-                    label, kind = _style(name, tag)
-                    inside = self.kinds[branch]
-                    # a header of an article is its own heading; other noise inside it is noise
-                    if inside == "noise" or kind == "main" and inside == "main" or kind == "" or kind == "noise" and name == "header" and inside == "main":
-                        kind = inside
-                    way = f"{self.ways[branch]}/{label}"
-                    if kind and kind != inside:
-                        way = f"{way}!{kind}"
-                    if way not in known:
-                        known[way] = len(self.ways)
-                        self.ways.append(way)
-                        self.kinds.append(kind)
-                        self.shapes.append([])
-                    stack.append((name, known[way]))
+                    style = _style(name, tag)
+                    elements.append([parent, name, *style, False])
+                    shapes.append([])
+                    if style[1] == "main":
+                        for _, e in stack:
+                            elements[e][5] = True
+                    stack.append((name, len(elements) - 1))
             elif name == "br":
                 text.append(" ")
         text.append(html[at:])
         flush()
+        self._merge(elements, shapes)
         self.has_main = any(self.kinds[b] == "main" for b, _ in self.blocks)
 
+    def _merge(self, elements: list[list], shapes: list[list[str]]) -> None:
+        """Elements of one way become one branch."""
+        self.ways, self.kinds, self.marked, self.shapes = [""], [""], [False], [shapes[0]]
+        known, of = {"": 0}, [0]
+        for (parent, name, label, kind, mark, around), shape in zip(elements[1:], shapes[1:], strict=True):
+            up = of[parent]
+            inside = self.kinds[up]
+            if around and kind == "noise":
+                kind = ""
+            # a header of an article is its own heading; other noise inside it is noise
+            if kind == "" or kind == "noise" and name == "header" and inside == "main":
+                kind = inside if not (around and inside == "noise") else ""
+            mark = not around and (mark or self.marked[up] and kind == inside)
+            way = f"{self.ways[up]}/{label}" + (f"!{kind}" if kind != inside else "") + ("!marked" if mark and not self.marked[up] else "!free" if self.marked[up] and not mark else "")
+            if way not in known:
+                known[way] = len(self.ways)
+                self.ways.append(way)
+                self.kinds.append(kind)
+                self.marked.append(mark)
+                self.shapes.append([])
+            of.append(known[way])
+            self.shapes[known[way]] += shape
+        self.blocks = [(of[e], t) for e, t in self.blocks]
+
     def weight(self, branch: int) -> float:
-        """What the style itself says; 0 for main branches, which are kept whatever repeats."""
+        """What the style itself says."""
         kind = self.kinds[branch]
-        return 0.0 if kind == "main" else NOISE if kind == "noise" else BESIDE if self.has_main else PLAIN
+        if kind == "noise":
+            return NOISE
+        return (MAIN if kind == "main" else BESIDE if self.has_main else PLAIN) * (MARKED if self.marked[branch] else 1)
 
     def text(self, removed: frozenset[str] | set[str]) -> str:
-        keep = []
-        for i, way in enumerate(self.ways):
-            weight = self.weight(i)
-            keep.append(weight == 0 or weight >= LEAST and way not in removed)
+        keep = [self.weight(i) >= LEAST and way not in removed for i, way in enumerate(self.ways)]
         return "\n\n".join(t for b, t in self.blocks if keep[b])
 
 
@@ -184,14 +206,14 @@ def _entropy(pages: DataFrame, by: str) -> DataFrame:
     counts = pages.groupBy("host", "way", by).agg(F.count("*").alias("c"))
     sums = counts.groupBy("host", "way").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     share = F.when(F.col("n") > 1, 1 - F.col("clogc") / (F.col("n") * F.log("n"))).otherwise(1.0)
-    return sums.select("host", "way", share.alias(f"{by}_share"))
+    return sums.select("host", "way", "n", share.alias(f"{by}_share"))
 
 
 def site_styles(branches: DataFrame) -> DataFrame:
-    """(host, way, importance before weighing) of each branch of each host's tree."""
+    """(host, way, n, importance before weighing) of each branch of each host's tree."""
     pages = branches.select("host", "way", "key", "content", "shape").distinct()
-    return _entropy(pages, "content").join(_entropy(pages, "shape"), ["host", "way"]).select(
-        "host", "way", ((F.col("content_share") + F.col("shape_share")) / 2).alias("mean"), "content_share"
+    return _entropy(pages, "content").join(_entropy(pages, "shape").drop("n"), ["host", "way"]).select(
+        "host", "way", "n", ((F.col("content_share") + F.col("shape_share")) / 2).alias("mean"), "content_share"
     )
 
 
@@ -201,10 +223,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     pages = pages.withColumn("key", F.xxhash64("html"))
     branches = table(pages.mapInArrow(_branches, "page_id long, key long, host string, way string, weight double, content long, shape long"), "branches")
     # texts that repeat on a host are little worth, and so is a shape that repeats; texts that don't repeat keep a branch
-    importance = F.col("weight") * F.greatest("mean", "content_share")
-    styles = site_styles(branches).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    worth = F.greatest("mean", "content_share")
+    # only styles that some weight brings below LEAST; written, so that Spark knows how few they are
+    styles = table(site_styles(branches).select("host", "way", "n", worth.alias("worth")).where(F.col("worth") * PLAIN * MARKED < LEAST), "styles")
+    styles = styles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     weighed = branches.where(f"weight >= {LEAST}").withColumn("salt", F.pmod(F.xxhash64("key", "page_id"), F.lit(SALTS)).cast("int"))
-    low = weighed.join(styles, ["host", "way", "salt"]).where(importance < LEAST)
+    low = weighed.join(styles, ["host", "way", "salt"]).where((F.col("weight") * F.col("worth") < LEAST) & (F.col("weight") < MAIN))
     # a page's own branches only
     low = table(low.groupBy("page_id", "key").agg(F.collect_set("way").alias("low")), "low")
     low = low.select(F.col("page_id").alias("of"), F.col("key").alias("page_key"), "low")

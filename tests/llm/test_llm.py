@@ -425,6 +425,20 @@ def test_pages(spark):
     assert html.main_text(read(spark, "pages").limit(0)).count() == 0
 
 
+def test_pages_marked_by_class_or_form(spark):
+    """The mark of a wrapper, or of a section inside an article, takes no text that is a page's own."""
+    htmls = {
+        1: '<html class="no-ads"><body class="has-sidebar"><article><p>Body</p></article></body></html>',
+        2: '<html><body><form id="aspnetForm"><div><p>All in a form</p></div></form></body></html>',
+        3: '<body><div class="sidebar-layout"><article><p>Text</p><section id="discussion"><p>Discussed</p></section><section id="related-work"><p>Related</p></section></article></div></body>',
+        4: '<body><aside><p>Links</p><main><p>Inside</p></main></aside></body>',
+        5: '<body class="no-sidebar"><p>Plain page</p><nav>Menu</nav></body>',
+    }
+    rows = [(i, f"http://marked{i}/", h) for i, h in htmls.items()]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Body" and got[2] == "All in a form" and got[3] == "Text\n\nDiscussed\n\nRelated" and got[4].endswith("Inside") and got[5] == "Plain page"
+
+
 def test_pages_of_the_tables(spark):
     import html as entities
     import re
