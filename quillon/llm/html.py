@@ -9,10 +9,12 @@ from the root. For each branch, over the host's distinct pages that have it,
 A branch on one page only has importance 1 for both. Importance is the larger of the mean and content importance, and
 is weighed by what the style itself says: an article or main element (``MAIN``), other branches (``PLAIN``, or ``BESIDE``
 on a page whose article stands elsewhere), times ``MARKED`` for a form, or a word of navigation, adverts, comments and the
-like in a class or id. Branches below ``LEAST`` are removed, so text of its own
-lifts a marked branch. An unmarked article or main is kept whatever repeats, and noise or text beside an article goes.
-html, body and the elements around an article or main are neither noise nor marked; an article or main
-inside noise is an article.
+like in a class or id. Branches below ``LEAST`` are removed, so the host's pages decide: a banner that repeats goes even
+from an article, and text of its own lifts a marked branch. Two cases are decided without entropy: what is navigation,
+header, footer, aside, menu, dialog or hidden by its tag, role or attribute (``NOISE``), and what is marked and beside an
+article. html, body and the elements around an article or main are neither noise nor marked; an article or main
+inside noise is an article. A main branch goes only if it repeats on ``FEW`` pages at least, and not if no main
+text of the page would be left: such a page is a copy of others.
 
 What is left is cut into blocks at block elements; character references are decoded, white space in a block becomes one
 space, blocks are joined in page order by two line breaks. Scripts, styles, templates and comments are never text.
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from quillon.llm import words as W
 from quillon.llm.shared import table
 
-MAIN, PLAIN, BESIDE, MARKED, NOISE, LEAST = 1.0, 0.6, 0.25, 0.6, 0.1, 0.3
+MAIN, PLAIN, BESIDE, MARKED, NOISE, LEAST = 1.0, 0.6, 0.45, 0.6, 0.1, 0.3
+FEW = 3
 SALTS = 16
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -171,6 +174,8 @@ class Page:
 
     def text(self, removed: frozenset[str] | set[str]) -> str:
         keep = [self.weight(i) >= LEAST and way not in removed for i, way in enumerate(self.ways)]
+        if self.has_main and not any(keep[b] and self.kinds[b] == "main" for b, _ in self.blocks):
+            keep = [k or kind == "main" for k, kind in zip(keep, self.kinds, strict=True)]
         return "\n\n".join(t for b, t in self.blocks if keep[b])
 
 
@@ -228,7 +233,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     styles = table(site_styles(branches).select("host", "way", "n", worth.alias("worth")).where(F.col("worth") * PLAIN * MARKED < LEAST), "styles")
     styles = styles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     weighed = branches.where(f"weight >= {LEAST}").withColumn("salt", F.pmod(F.xxhash64("key", "page_id"), F.lit(SALTS)).cast("int"))
-    low = weighed.join(styles, ["host", "way", "salt"]).where((F.col("weight") * F.col("worth") < LEAST) & (F.col("weight") < MAIN))
+    low = weighed.join(styles, ["host", "way", "salt"]).where((F.col("weight") * F.col("worth") < LEAST) & ((F.col("weight") < MAIN) | (F.col("n") >= FEW)))
     # a page's own branches only
     low = table(low.groupBy("page_id", "key").agg(F.collect_set("way").alias("low")), "low")
     low = low.select(F.col("page_id").alias("of"), F.col("key").alias("page_key"), "low")

@@ -439,6 +439,21 @@ def test_pages_marked_by_class_or_form(spark):
     assert got[1] == "Body" and got[2] == "All in a form" and got[3] == "Text\n\nDiscussed\n\nRelated" and got[4].endswith("Inside") and got[5] == "Plain page"
 
 
+def test_pages_by_entropy(spark):
+    """On pages with an article, too, what repeats on the host goes and what doesn't stays."""
+    names = ["one", "two", "three", "four"]
+    rows = [(i, f"http://e/{i}", f'<main><div class="top">Same for all</div><div><p>Story {w}</p></div></main>') for i, w in enumerate(names)]
+    rows += [(10 + i, f"http://f/{i}", f'<article>Card</article><div class="text"><p>Real {w}</p></div><div class="foot">Repeated</div>') for i, w in enumerate(names)]
+    # marked inside an article: own text stays, repeated text goes
+    rows += [(20 + i, f"http://g/{i}", f'<article><p>Text {w}</p><div class="related">Read more</div><div id="discussion">Point {w}</div></article>') for i, w in enumerate(names)]
+    # copies of one article under different navigation stay
+    rows += [(30 + i, f"http://k/{i}", f"<nav>{w}</nav><article><p>Copied</p></article>") for i, w in enumerate(names)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, w in enumerate(names):
+        assert got[i] == f"Story {w}" and got[10 + i] == f"Card\n\nReal {w}"
+        assert got[20 + i] == f"Text {w}\n\nPoint {w}" and got[30 + i] == "Copied"
+
+
 def test_pages_of_the_tables(spark):
     import html as entities
     import re
