@@ -1,10 +1,11 @@
 """Benchmark passages in documents by SimHash of item-sized windows, with Spark expressions only (operator 9).
 
 Words are maximal runs other than space and \\x09-\\x0D of the lower-cased text; shingles are ``K`` words (an item or
-document with fewer words has its whole sequence as one, so a shorter item is found as a whole document only). A window has as many words as some item. Windows that hold
-no shingle of any item have similarity 0 with every item, so windows are laid at the ends of runs of shared shingles:
-one that begins where a run begins, and one that ends where a run ends, for each item length. A window in which more
-places are foreign to the whole benchmark than ``LEAST`` allows is not laid. The end of a text may cut a window short.
+document with fewer words has its whole sequence as one, so a shorter item is found as a whole document only). A window has as many words as some item.
+Windows that hold no shingle of an item have similarity 0 with it, and one that begins with a place the item lacks is no
+better than the next window; so windows are laid at every place whose shingle some item has, for the lengths of the items
+that have it, and no best similarity is missed. A window in which more places are foreign to the whole benchmark than
+``LEAST`` allows is not laid. The end of a text may cut a window short.
 
 The fingerprint of a window or item has ``BITS`` bits, the signs of its shingles' hash bits summed up. Fingerprints of
 equal window length within ``RADIUS`` are found by a multi-index: of ``BLOCKS`` blocks at least one differs in at most
@@ -99,55 +100,60 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _shared_places(known: DataFrame) -> Column:
-    """Places in ``h`` of hashes that are among ``known`` (few, by a check before)."""
-    hashes = [r[0] for r in known.collect()]
-    n = 1 << max(4, len(hashes).bit_length() - 1)
+def _literal(rows: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(rows)), kind)
+
+
+def _shared_places(hashed: DataFrame, known: DataFrame) -> DataFrame:
+    """``hashed`` with ``p``, the places in ``h`` of hashes that are among ``known`` (few, by a check before), and ``q``, their lengths."""
+    rows = sorted((r["s"], sorted(r["lengths"])) for r in known.collect())
+    n = 1 << max(4, len(rows).bit_length() - 1)
     buckets: list[list[int]] = [[] for _ in range(n)]
-    for x in sorted(hashes):
+    lengths: list[list[list[int]]] = [[] for _ in range(n)]
+    for x, of in rows:
         buckets[x & (n - 1)].append(x)
-    held = F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
-    marked = F.transform("h", lambda x, i: F.when(F.array_contains(held[x.bitwiseAND(F.lit(n - 1).cast("long")).cast("int")], x), i).otherwise(-1))
-    return F.filter(marked, lambda i: i >= 0)
+        lengths[x & (n - 1)].append(of)
+    held, long = _literal(buckets, "array<array<bigint>>"), _literal(lengths, "array<array<array<int>>>")
+    bucket = lambda x: x.bitwiseAND(F.lit(n - 1).cast("long")).cast("int")
+    marked = F.transform("h", lambda x, i: F.when(F.array_contains(held[bucket(x)], x), i).otherwise(-1))
+    placed = hashed.withColumn("p", F.filter(marked, lambda i: i >= 0))
+
+    def lengths_of(i: Column) -> Column:
+        x = F.col("h")[i]
+        return long[bucket(x)][(F.array_position(held[bucket(x)], x) - 1).cast("int")]
+
+    return placed.withColumn("q", F.transform("p", lengths_of))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, start, n_words) for each document and item that it holds."""
     spark = docs.sparkSession
     items = table(benchmark_items(benchmark), "items")
-    known = table(items.select(F.explode(F.map_keys("shingles")).alias("s")).distinct(), "known")
-    # distinct lengths: as many as the longest item has words at most
-    lengths = sorted(r[0] for r in items.select("n_words").distinct().collect())
+    # with the distinct lengths of the items that have it: as many as the longest item has words at most
+    known = table(items.select("n_words", F.explode(F.map_keys("shingles")).alias("s")).groupBy("s").agg(F.collect_set("n_words").alias("lengths")), "known")
     empty = "doc_id long, item_id long, similarity double, start int, n_words int"
-    if not lengths:
+    if not items.limit(1).count():
         return spark.createDataFrame([], empty)
     small = known.count() <= LITERAL_SHINGLES
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    hashed = docs.select("doc_id", tokens("text").alias("w")).select("doc_id", shingle_hashes("w").alias("h"))
+    # rows that repeat an id are told apart by their texts
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("row"), tokens("text").alias("w")).select("doc_id", "row", shingle_hashes("w").alias("h"))
     if small:
         # the benchmark's hashes as a literal, in buckets of a few: shared places are found in a document's own row
-        placed = hashed.withColumn("p", _shared_places(known))
+        placed = _shared_places(hashed, known)
     else:
-        hits = hashed.select("doc_id", F.posexplode_outer("h").alias("pos", "s")).join(known, "s", "left_semi")
+        hits = hashed.select("doc_id", "row", F.posexplode_outer("h").alias("pos", "s")).join(known, "s")
         # a document's shared places; no more than its words
-        placed = hashed.join(hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("p")), "doc_id")
-    wide, at = f"greatest(l - {K} + 1, 1)", "transform(p, (x, i) -> named_struct('x', x, 'i', i))"
+        places = hits.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("pos", "lengths"))).alias("f"))
+        placed = hashed.join(places, ["doc_id", "row"]).select("doc_id", "h", F.col("f.pos").alias("p"), F.col("f.lengths").alias("q"))
+    wide = f"greatest(l - {K} + 1, 1)"
     # a place whose shingle no item has weighs at least as much as any other: beyond this share of them a window can't reach LEAST
-    enough = f"{wide} - cast(floor({wide} * {1 / LEAST - 1}) as int)"
-    sizes = f"array({', '.join(map(str, lengths))})"
-    ahead = f"size(filter(slice(p, f.i + 1, {wide}), y -> y < f.x + {wide}))"
-    behind = f"size(filter(slice(p, greatest(f.i + 2 - {wide}, 1), {wide}), y -> y <= f.x and y > f.x - {wide}))"
+    enough = f"greatest(least({wide}, size(h) - x) - cast(floor({wide} * {1 / LEAST - 1}) as int), 1)"
     windows = placed.select(
-        "doc_id", "h", "p",
-        F.expr(f"filter({at}, f -> f.i = 0 or p[greatest(f.i - 1, 0)] <> f.x - 1)").alias("first"),
-        F.expr(f"filter({at}, f -> f.i = size(p) - 1 or p[least(f.i + 1, size(p) - 1)] <> f.x + 1)").alias("last"),
-    ).select(
         "doc_id", "h",
         F.expr(
-            "array_distinct(flatten(concat("
-            f"transform(first, f -> transform(filter({sizes}, l -> {ahead} >= {enough}), l -> named_struct('start', f.x, 'n_words', l))), "
-            f"transform(last, f -> transform(filter({sizes}, l -> f.x >= {wide} - 1 and {behind} >= {enough}), "
-            f"l -> named_struct('start', f.x - {wide} + 1, 'n_words', l))))))"
+            "flatten(transform(p, (x, i) -> transform("
+            f"filter(q[i], l -> coalesce(get(p, i + {enough} - 1) < x + {wide}, false)), l -> named_struct('start', x, 'n_words', l))))"
         ).alias("windows"),
     )
     laid = (

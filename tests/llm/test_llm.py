@@ -393,6 +393,23 @@ def test_decontamination_by_shuffle(spark, monkeypatch):
     assert {(r.doc_id, r.item_id, r.start) for r in decontam.leaks(read(spark, "documents"), read(spark, "benchmark")).collect()} == small
 
 
+@pytest.mark.parametrize("literal", [100_000, 0])
+def test_decontamination_inside_runs(spark, monkeypatch, literal):
+    """Items within a longer run of known shingles, and rows that repeat an id."""
+    monkeypatch.setattr(decontam, "LITERAL_SHINGLES", literal)
+    w, v, x = ([f"{c}{i}" for i in range(100)] for c in "wvx")
+    parts = [w[0:50], w[25:75], w[50:100], v[0:40] + w[26:74] + v[40:80], x[0:12]]
+    items = [(i, " ".join(p)) for i, p in enumerate(parts)]
+    own = [(1, " ".join(w[10:90])), (2, " ".join(w)), (3, " ".join(["foreign"] * 30 + v[0:40] + w[26:74] + v[40:80])), (4, " ".join(["b"] + w[30:50] + ["c"] + w[10:25]))]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(spark.createDataFrame(own, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks(own, items)
+    assert {(1, 1), (2, 0), (2, 1), (2, 2), (3, 3), (3, 1)} <= set(want)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    twice = [(5, " ".join(x[0:12] + ["end"] * 9)), (5, " ".join(["a"] * 7 + w[20:60] + x[5:9]))]
+    found = decontam.leaks(spark.createDataFrame(twice, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.start) for r in found} == {(5, 4, 0)}
+
+
 def test_index_reaches_the_radius():
     for at, n in decontam._block_bounds():
         assert 0 <= at < 64 and n <= 10
