@@ -613,7 +613,7 @@ def eval_mrr(spark, sf_dir):
     from pyspark.sql import Window
 
     e = A.read(spark, sf_dir, "embeddings")
-    cases = F.broadcast(e.where("vec_id % 40 = 0").limit(10_000).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"), F.col("label").alias("category")))  # a stated query set
+    cases = F.broadcast(e.where("vec_id % 40 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"), F.col("label").alias("category")))  # a stated query set
     found = e.join(cases, F.col("vec_id") != F.col("q_id")).select("q_id", "category", "vec_id", "label", F.round(S.l2(F.col("q"), F.col("embedding")), 9).alias("d"))
     place = F.row_number().over(Window.partitionBy("q_id").orderBy("d", "vec_id"))
     ranks = found.withColumn("place", place).groupBy("q_id", "category").agg(F.min(F.when(F.col("label") == F.col("category"), F.col("place"))).alias("rank"))
