@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import scores as S
@@ -34,32 +34,27 @@ def similar_pairs(vectors: DataFrame, threshold: float, group: str) -> DataFrame
 def leader_groups(items: DataFrame, pairs: DataFrame, order: str = "modified") -> DataFrame:
     """(leader, member): items, newest first, join the first leader they are similar to, or lead themselves.
 
-    Whether an item leads depends on those before it, so items are settled in rounds: in each, an item whose similar
-    predecessors are all settled is settled too. Rounds are as many as the longest chain of such dependence.
+    Whether an item leads depends on those before it, so items are settled in rounds: in each, items without an unsettled
+    predecessor lead, and what follows one of them is settled as a follower at once. Rounds are as many as the longest
+    chain of leaders that wait for each other. A follower's leader is sought when all leaders are known.
     """
-    rank = Window.orderBy(F.desc(order), "id")
-    place = items.select("id", F.row_number().over(rank).alias("place"))
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    later = (
-        both.join(place.withColumnRenamed("id", "a").withColumnRenamed("place", "at"), "a")
-        .join(place.withColumnRenamed("id", "b").withColumnRenamed("place", "before"), "b")
-        .where("before < at")
-        .select("a", "b", "at", "before")
-    )
-    settled = place.join(later.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader"))
-    waiting = later
-    for _ in range(100):
-        lead = settled.select(F.col("id").alias("b"), (F.col("id") == F.col("leader")).alias("leads"))
-        seen = waiting.join(lead, "b", "left")
-        ready = seen.groupBy("a").agg(
-            F.count_if(F.col("leads").isNull()).alias("open"), F.min_by("b", F.when(F.col("leads"), F.col("before"))).alias("first")
-        ).where("open = 0")
-        new = ready.select(F.col("a").alias("id"), F.coalesce("first", "a").alias("leader"))
-        settled = table(settled.unionByName(new), "settled")
-        waiting = table(waiting.join(settled.select(F.col("id").alias("a")), "a", "left_anti"), "waiting")
-        if waiting.limit(1).count() == 0:
-            break
-    return settled.select("leader", F.col("id").alias("member"))
+    when = items.select("id", F.col(order).alias("at"))
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    later = both.join(when.withColumnRenamed("id", "a"), "a").join(when.select(F.col("id").alias("b"), F.col("at").alias("before")), "b")
+    later = later.where("(before is not null and at is null) or before > at or (before <=> at and b < a)")
+    later = table(later.select("a", "b", "before"), "later")
+    waiting, followers = later.select("a", "b"), items.select("id").limit(0)
+    while waiting.limit(1).count():
+        lead = waiting.select("b").distinct().join(waiting.select(F.col("a").alias("b")), "b", "left_anti")
+        new = table(waiting.join(lead, "b", "left_semi").select(F.col("a").alias("id")).distinct(), "followers")
+        followers = followers.unionByName(new)
+        waiting = waiting.join(new.select(F.col("id").alias("a")), "a", "left_anti").join(new.select(F.col("id").alias("b")), "b", "left_anti")
+        waiting = table(waiting, "waiting")
+    followers = table(followers, "followers")
+    leaders = table(items.select("id").join(followers, "id", "left_anti"), "leaders")
+    first = later.join(leaders.withColumnRenamed("id", "b"), "b", "left_semi").join(followers.withColumnRenamed("id", "a"), "a", "left_semi")
+    first = first.groupBy("a").agg(F.max_by("b", F.struct("before", (-F.col("b")).alias("back"))).alias("leader"))
+    return leaders.select(F.col("id").alias("leader"), F.col("id").alias("member")).union(first.select("leader", F.col("a").alias("member")))
 
 
 def tag_groups(notes: DataFrame, least: int = 2) -> DataFrame:
