@@ -123,8 +123,22 @@ TEMPLATES = {
 }
 
 
+# headings and identifiers, as they stand alone in a line
+for _family, _names in {
+    "Apache-2.0": ["Apache License 2.0", "Apache-2.0"], "MIT": ["MIT License", "MIT"], "BSD": ["BSD 3-Clause License", "BSD-3-Clause", "BSD-2-Clause"],
+    "GPL": ["GNU General Public License", "GPL-3.0-or-later", "GPL-2.0-only"], "LGPL": ["GNU Lesser General Public License", "LGPL-2.1-or-later", "LGPL-3.0-only"],
+    "AGPL": ["GNU Affero General Public License", "AGPL-3.0-or-later", "AGPL-3.0-only"], "MPL-2.0": ["Mozilla Public License 2.0", "MPL-2.0"], "CC-BY": ["CC-BY-4.0"],
+    "CC-BY-SA": ["CC-BY-SA-4.0"], "CC-BY-NC": ["CC-BY-NC-4.0"], "CC0": ["CC0-1.0"], "ISC": ["ISC License", "ISC"], "Unlicense": ["The Unlicense", "Unlicense"],
+}.items():
+    for _name in _names:
+        _spelled = "License" in _name or " " in _name
+        TEMPLATES[_family] += [_name] if _spelled else [f"License: {_name}", f"SPDX-License-Identifier: {_name}"]
+#: Between words; dots stay inside words only.
+BETWEEN = r"\.*+[^a-z0-9.]++\.*+|^\.++|\.++$"
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9.]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), BETWEEN), lambda w: w != "")
 
 
 def ngrams(words: str) -> Column:
@@ -144,7 +158,7 @@ def telling_words() -> list[str]:
     """Words of templates that no plain sentence has, and the words that name licences."""
     import re
 
-    cut = lambda t: {w for w in re.split("[^a-z0-9.]+", t.lower()) if w}
+    cut = lambda t: {w for w in re.split(BETWEEN, t.lower()) if w}
     plain = {w for t in TEMPLATES[UNKNOWN] for w in cut(t)}
     named = {"license", "licensed", "copyright", "apache", "mit", "public", "rights", "reserved", "permission", "software"}
     common = {"a", "an", "and", "any", "at", "be", "by", "if", "in", "is", "it", "of", "on", "one", "or", "the", "this", "to", "you", "was", "with", "are", "can", "as", "that", "not", "no", "all", "either"}

@@ -266,6 +266,17 @@ def test_licences(spark):
     assert licenses.scan(empty_docs(spark)).count() == 0
 
 
+def test_licences_that_are_no_templates(spark):
+    said = {
+        "MIT License": "MIT", "License: MIT.": "MIT", "// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "The MIT License (MIT)": "MIT",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "GPL", "This code is released under the MIT license...": "MIT",
+        "SPDX-License-Identifier: EPL-2.0": None, "He lost his license.": None, "She studied at MIT.": None, "The license plate was lost.": None,
+    }
+    rows = list(enumerate(said))
+    got = {r.doc_id: r.family for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[i] for i, t in rows} == said
+
+
 # 7 packing
 
 
