@@ -2,13 +2,14 @@
 
 Each source is a queue of its documents (in the order of a hash), cut into packets of at most ``LENGTH`` tokens. Deficit
 round-robin serves the queues: in every round, a mixture window of ``WINDOW`` sequences, source s earns its share of
-the window's tokens, and packets are served while its credit lasts; what a packet takes too much, or credit left over,
-is carried into the next window. As credit only depends on what was served before, the round of a packet is the number
-of tokens before it in its queue divided by what the source earns each round, and the whole order follows from prefix
-sums. These are taken in two levels (buckets of a queue, then places in a bucket; groups of rounds, then places in a
-group), so no queue, however large, is one task, and deficits carry across partitions as they do across windows. Once a
-queue is empty the others fill its place. The served stream is cut every ``LENGTH`` tokens; what is left in the end is
-cut at powers of two, so there is no padding.
+the window's tokens, and a packet is served once its last token is earned; credit left over is carried into the next
+window. A source begins with credit for a part of a packet, by a hash of its name, so that sources too small for a
+packet in every window take turns. As credit only depends on what was served before, the round of a packet is the
+number of tokens up to its end in its queue, less the first credit, divided by what the source earns each round, and
+the whole order follows from prefix sums. These are taken in levels (places in a bucket of a queue, buckets in a block, blocks;
+places in a group of rounds, groups in a block, blocks), so no queue, however large, is one task, and deficits carry across partitions as they do across
+windows. Inside a round packets are mixed by a hash. Once a queue is empty the others fill its place. The served stream is cut every ``LENGTH`` tokens; what is left in the
+end is cut at powers of two, so there is no padding.
 
 Null texts are empty documents of one token, the end mark. Null sources are one source. Rows that repeat an id, and
 null ids, are documents of their own. An empty table has no pieces. Extra columns are ignored.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,84 +33,116 @@ from quillon.llm.shared import small_batches, table
 
 LENGTH, WINDOW, END_ID = 2048, 64, 1
 #: Documents in a bucket of a queue (about), and rounds in a group: bounds on what one task sums up.
-BUCKET_DOCS, GROUP_ROUNDS = 2000, 16
-_PLAIN = 0x250  # code points below this are split by table; texts with others go to the tokenizer whole
-_CACHE = 300_000  # pieces of text that a worker remembers, some 100 bytes each
+BUCKET_DOCS, GROUP_ROUNDS = 250, 4
+_CODES, _STOP, _NEW = 0x110000, 4, 255
+#: Byte-level vocabularies write a byte as this sign: printable ones as themselves, the others from 256 on.
+_SHOWN = np.array([33 <= b < 127 or 161 <= b < 173 or b > 173 for b in range(256)])
+_SIGNS = np.where(_SHOWN, np.arange(256), 255 + np.cumsum(~_SHOWN)).astype(np.uint32)
+_ONE, _E = np.array([ord(c) for c in "stmd"]), np.array([ord(c) for c in "rv"])
 
 
 class Encoder:
     """Ids of many texts by a byte-level BPE tokenizer, with each distinct piece of text tokenised once.
 
-    The tokenizer never joins across pieces: letters, numbers or other signs, each with one space before; white space.
-    Pieces are found by table for texts of common code points; for any other text the tokenizer is asked directly.
+    The tokenizer never joins across pieces: letters, numbers or other signs, each with one space before; contractions;
+    white space. Which of these a code point is, is asked of the tokenizer when the code point is first met. Pieces are
+    known by 64-bit hashes, held sorted; when there are more than ``known``, the half that was not met for longest goes.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: int = 1_000_000):
         import os
 
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        kind = [regex.compile(p) for p in (r"\p{L}", r"\p{N}", r"\s")]
-        self.kind = np.array([next((k + 1 for k, p in enumerate(kind) if p.match(chr(c))), 0) for c in range(_PLAIN)], np.uint8)
-        self.value = W.mix(np.arange(1, _PLAIN + 1, dtype=np.uint64))
-        self.odd = regex.compile(r"['\x00]|<\||[^\x00-ɏ]")
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool, self.start, self.size, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-
-    def learn(self, hashes: list[int], pieces: list[str]) -> None:
-        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        ids = [x.ids for x in got]
-        need, n = sum(map(len, ids)), len(self.known)
-        while self.used + need > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(ids) > len(self.start):
-            self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        sizes = np.array([len(x) for x in ids])
-        self.size[n : n + len(ids)] = sizes
-        self.start[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.pool[self.used : self.used + need] = np.concatenate([np.array(x, np.int32) for x in ids])
+        self.tokenizer, self.limit = Tokenizer.from_file(path), known
+        self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
+        self.kind = np.full(_CODES, _NEW, np.uint8)
+        self.value = W.mix(np.arange(1, _CODES + 1, dtype=np.uint64))
+        self.clock = 0
+        self.key, self.start = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.size, self.met = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 20, np.uint16), 0
+
+    def _kinds(self, code: np.ndarray) -> np.ndarray:
+        kind = self.kind[code]
+        if (kind == _NEW).any():
+            for c in np.unique(code[kind == _NEW]).tolist():
+                # a letter goes on from a letter, a number from a number, another sign from another sign
+                self.kind[c] = next((k for k, before in ((1, "a"), (2, "1"), (0, "!")) if len(self.split(before + chr(c))) == 1), 3)
+            kind = self.kind[code]
+        return kind
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        # the model is asked for each piece; it has a sign for each byte, and pieces are not cut again
+        raw = [p.encode() for p in pieces]
+        signs = _SIGNS[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-32-le")
+        cut = np.cumsum([0, *map(len, raw)]).tolist()
+        ids = [[t.id for t in self.model.tokenize(signs[a:b])] for a, b in pairwise(cut)]
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        if len(self.key) + len(keys) > self.limit:
+            self._forget()
+        need = int(size.sum())
+        if self.used + need > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(need, self.used // 2), np.uint16)])
+        self.pool[self.used : self.used + need] = np.fromiter(chain.from_iterable(ids), np.uint16, need)
+        at = np.searchsorted(self.key, keys)
+        self.key = np.insert(self.key, at, keys)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
+        self.met = np.insert(self.met, at, np.full(len(keys), self.clock, np.int32))
         self.used += need
-        self.known.update(zip(hashes, range(n, n + len(ids)), strict=True))
+
+    def _forget(self) -> None:
+        keep = self.met > np.median(self.met)
+        size = self.size[keep].astype(np.int64)
+        to = np.cumsum(size) - size
+        pool = self.pool[np.repeat(self.start[keep] - to, size) + np.arange(size.sum())]
+        self.key, self.size, self.met, self.start = self.key[keep], self.size[keep], self.met[keep], to
+        self.pool, self.used = pool, len(pool)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [bool(self.odd.search(t)) for t in texts]
         out: list = [None] * len(texts)
-        if any(odd):
-            rest = [i for i, o in enumerate(odd) if o]
-            for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, np.int32)
-        plain = [i for i, o in enumerate(odd) if not o]
-        if plain:
-            for i, ids in zip(plain, self.encode_plain([texts[i] for i in plain]), strict=True):
-                out[i] = ids
+        # strings of special tokens are the tokenizer's own matter, and zero marks ends below
+        special = ["<|" in t or "\0" in t for t in texts]
+        whole = [i for i, s in enumerate(special) if s]
+        for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False) if whole else [], strict=True):
+            out[i] = np.array(e.ids, np.uint16)
+        rest = [i for i, s in enumerate(special) if not s]
+        for i, ids in zip(rest, self._pieces([texts[i] for i in rest]) if rest else [], strict=True):
+            out[i] = ids
         return out
 
-    def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > _CACHE:
-            self.clear()
+    def _pieces(self, texts: list[str]) -> list[np.ndarray]:
+        self.clock += 1
         joined = "\n".join([*texts, ""])
         code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         stop = np.cumsum([len(t) + 1 for t in texts]) - 1
-        kind = self.kind[code]
-        kind[stop] = 4
+        kind = self._kinds(code)
+        kind[stop] = _STOP
         begin = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1])
         of, end = kind[begin], np.append(begin[1:], len(code))
-        mark = np.zeros(len(code), bool)
+        mark = np.zeros(len(code) + 3, bool)
         space = of == 3
         mark[begin[space]] = True
-        follow = np.append(of[1:], 4)
-        long = space & (end - begin > 1) & (follow != 4)
+        follow = np.append(of[1:], _STOP)
+        # the last sign of white space belongs to what follows, or is a piece of its own
+        long = space & (end - begin > 1) & (follow != _STOP)
         mark[end[long] - 1] = True
         sign = of < 3
         joins = np.zeros(len(begin), bool)
         joins[1:] = (of[:-1] == 3) & (code[begin[1:] - 1] == 32)
         mark[begin[sign & ~joins]] = True
+        # an apostrophe alone with s, t, m, d, re, ve or ll behind it
+        quote = begin[(of == 0) & ~joins & (end - begin == 1) & (follow == 1) & (code[begin] == 39)]
+        if len(quote):
+            one = code[quote + 1]
+            two = np.where(kind[quote + 2] == 1, code[quote + 2], 0)  # a text's end follows a letter at least
+            size = np.where(np.isin(one, _ONE), 2, np.where((np.isin(one, _E) & (two == 101)) | ((one == 108) & (two == 108)), 3, 0))
+            quote, size = quote[size > 0], size[size > 0]
+            mark[quote + 1] = False
+            mark[quote + size] = True  # more letters, or what would begin there anyway unless it is white space's second part
+        mark = mark[: len(code)]
         mark[stop] = True
         at = np.flatnonzero(mark)
         size = np.diff(np.append(at, len(code)))
@@ -117,17 +151,24 @@ class Encoder:
             value = self.value[code]
             value *= W.powers(int(size.max()) + 1)[place]
             h = W.mix(np.add.reduceat(value, at) + size.astype(np.uint64))
-        real = kind[at] != 4
+        real = kind[at] != _STOP
         at, size, h = at[real], size[real], h[real]
+        if not len(h):
+            return [np.zeros(0, np.uint16) for _ in texts]
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        hashes = distinct.tolist()
-        new = [k for k, x in enumerate(hashes) if x not in self.known]
-        if new:
-            self.learn([hashes[k] for k in new], [joined[at[j] : at[j] + size[j]] for j in first[new]])
-        entry = np.fromiter(map(self.known.__getitem__, hashes), np.int64, len(hashes))[back] if hashes else np.zeros(0, np.int64)
-        n = self.size[entry]
+        entry = np.searchsorted(self.key, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = entry < len(self.key)
+        known[inside] = self.key[entry[inside]] == distinct[inside]
+        self.met[entry[known]] = self.clock
+        if not known.all():
+            new = ~known
+            self._learn(distinct[new], [joined[at[j] : at[j] + size[j]] for j in first[new].tolist()])
+            entry = np.searchsorted(self.key, distinct)
+        entry = entry[back]
+        n = self.size[entry].astype(np.int64)
         to = np.concatenate([[0], np.cumsum(n)])
-        ids = self.pool[np.repeat(self.start[entry] - to[:-1], n) + np.arange(to[-1])] if len(entry) else np.zeros(0, np.int32)
+        ids = self.pool[np.repeat(self.start[entry] - to[:-1], n) + np.arange(to[-1])]
         edge = to[np.searchsorted(at, np.concatenate([[0], stop]))]
         return [ids[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
@@ -169,45 +210,60 @@ def unpack(ids: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), np.uint16).reshape(2, -1).T.copy().view(np.uint32).ravel()
 
 
+def ahead(rows: DataFrame, by: list[str], order: str, value: str, block: int = 4096) -> DataFrame:
+    """``rows`` (one for each ``by`` and whole number ``order``) with ``ahead``, the sum of ``value`` over the rows before.
+
+    Sums are taken over blocks of ``order`` first, so a task orders the rows of a block, or the blocks of a group.
+    """
+    rows = rows.withColumn("block", F.floor(F.col(order) / block))
+    blocks = rows.groupBy(*by, "block").agg(F.sum(value).alias("size"))
+    blocks = blocks.select(*by, "block", (F.sum("size").over(Window.partitionBy(*by).orderBy("block")) - F.col("size")).alias("before"))
+    inside = Window.partitionBy(*by, "block").orderBy(order)
+    rows = rows.withColumn("within", F.sum(value).over(inside) - F.col(value)).join(blocks, [*by, "block"])
+    return rows.withColumn("ahead", F.col("before") + F.col("within")).drop("block", "before", "within")
+
+
 def plan(sizes: DataFrame, shares: dict[str, float] | None = None, length: int = LENGTH) -> DataFrame:
     """(row, start, length, sequence_id, offset) of each piece, from (row, doc_id, source, n); see the module's text."""
     totals = sizes.agg(F.sum("n").alias("n"), F.count("*").alias("docs")).first()
     total, docs = int(totals["n"] or 0), int(totals["docs"])
     bits = max(0, math.ceil(math.log2(max(docs / BUCKET_DOCS, 1))))
-    queue = sizes.withColumn("key", F.xxhash64("doc_id", "row")).withColumn("bucket", F.pmod(F.col("key"), F.lit(1 << bits)).cast("int"))
+    queue = sizes.withColumn("key", F.xxhash64("doc_id", "row")).withColumn("bucket", F.pmod(F.col("key"), F.lit(1 << bits)).cast("long"))
     # tokens before each bucket of its source's queue
-    buckets = queue.groupBy("source", "bucket").agg(F.sum("n").alias("size"))
-    in_order = Window.partitionBy("source").orderBy("bucket")
-    buckets = buckets.select(
-        "source", "bucket",
-        (F.sum("size").over(in_order) - F.col("size")).alias("ahead"),
-        F.sum("size").over(Window.partitionBy("source")).alias("source_size"),
-    )
+    buckets = table(ahead(queue.groupBy("source", "bucket").agg(F.sum("n").alias("size")), ["source"], "bucket", "size"), "buckets")
+    sources = buckets.groupBy("source").agg(F.sum("size").alias("source_size"))
     if shares:
         given = F.create_map(*[x for s, w in shares.items() for x in (F.lit(s), F.lit(float(w)))])
-        rest = min(shares.values())
-        earned = F.coalesce(given[F.col("source")], F.lit(rest)) / sum(shares.values()) * WINDOW * length
+        sources = sources.withColumn("weight", F.coalesce(given[F.col("source")], F.lit(float(min(shares.values())))))
     else:
-        earned = F.col("source_size") / max(total, 1) * WINDOW * length
-    buckets = buckets.withColumn("earned", F.greatest(earned, F.lit(1.0)))
+        sources = sources.withColumn("weight", F.col("source_size").cast("double"))
+    sources = table(sources, "sources")
+    weights = float(sources.agg(F.sum("weight")).first()[0] or 1.0)
+    phase = F.pmod(F.xxhash64(F.lit("phase"), "source"), F.lit(1 << 20)) / (1 << 20)
+    sources = sources.select(
+        "source",
+        (F.col("weight") / weights * WINDOW * length).alias("earned"),
+        # the credit that a source begins with: a part of a packet
+        (phase * F.least(F.lit(length), F.col("source_size"))).alias("credit"),
+    )
     inside = Window.partitionBy("source", "bucket").orderBy("key", "row")
-    placed = queue.withColumn("within", F.sum("n").over(inside) - F.col("n")).join(buckets, ["source", "bucket"])
+    placed = queue.withColumn("within", F.sum("n").over(inside) - F.col("n")).join(buckets.join(sources, "source").drop("size"), ["source", "bucket"])
     packets = placed.select(
-        "row", "source", "earned", (F.col("ahead") + F.col("within")).alias("before"), "n",
+        "row", "source", "earned", "credit", (F.col("ahead") + F.col("within")).alias("before"), "n",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(length).cast("long"))).alias("start"),
     )
+    size = F.least(F.lit(length), F.col("n") - F.col("start"))
+    served = F.col("before") + F.col("start")
+    # the first round in which a packet's last token is earned
     packets = packets.select(
-        "row", "source", "start",
-        F.least(F.lit(length), F.col("n") - F.col("start")).alias("size"),
-        (F.col("before") + F.col("start")).alias("served"),
-        F.floor((F.col("before") + F.col("start")) / F.col("earned")).alias("round"),
+        "row", "source", "start", size.alias("size"), served.alias("served"),
+        F.greatest(F.ceil((served + size - F.col("credit")) / F.col("earned")) - 1, F.lit(0)).cast("long").alias("round"),
     ).withColumn("rounds", F.floor(F.col("round") / GROUP_ROUNDS))
     packets = table(packets, "packets")
-    groups = packets.groupBy("rounds").agg(F.sum("size").alias("tokens"))
     # one row for GROUP_ROUNDS * WINDOW sequences
-    groups = groups.select("rounds", (F.sum("tokens").over(Window.orderBy("rounds")) - F.col("tokens")).alias("ahead"))
-    order = Window.partitionBy("rounds").orderBy("round", "source", "served", "row")
-    stream = packets.withColumn("within", F.sum("size").over(order) - F.col("size")).join(groups, "rounds")
+    groups = ahead(packets.groupBy("rounds").agg(F.sum("size").alias("tokens")), [], "rounds", "tokens")
+    order = Window.partitionBy("rounds").orderBy("round", F.xxhash64("source", "served", "row"), "row", "start")
+    stream = packets.withColumn("within", F.sum("size").over(order) - F.col("size")).join(groups.select("rounds", "ahead"), "rounds")
     stream = stream.select("row", "start", "size", (F.col("ahead") + F.col("within")).alias("at")).withColumn("end", F.col("at") + F.col("size"))
     full = total // length * length
     tails, at, number = [], full, full // length
