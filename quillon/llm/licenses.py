@@ -1,11 +1,14 @@
 """Licence paragraphs by a sparse word n-gram logistic regression (operator 6), with Spark expressions only.
 
-Every line of every text is a paragraph. Its n-grams of one to three words are looked up in the model's sparse weights;
-only n-grams with a telling word (one that licence templates have and plain sentences have not) are features, so a
-line without a telling word has no feature at all and the constant verdict "unknown". The model is multinomial, with
-"unknown" as a class of its own learned from plain sentences that use licence words, and a temperature fitted on rows
-left out of the fit makes its probabilities honest. A prediction counts if the class is a family, its probability is at
-least ``SURE``, and the paragraph's word pairs lie to at least ``ALIKE`` in one template of that family.
+A paragraph is a line, with the lines after it as long as each but the last is a wrapped one: at most ``WRAP`` letters
+long, without a mark of a sentence's end, and followed by a line with text. Its features are n-grams of one to three
+words with weights in the model, which is multinomial with "unknown" as a class of its own. The model is trained on
+``training_rows``: notices, and statements made of sentence patterns and licence names, against sentences that use the
+same words otherwise. Every fifth pattern and notice is left out of the fit as a whole and sets the temperature, and
+every fifth is left out of both, for tests. The penalty leaves few n-grams a weight; ``marks`` is a set of words such that each
+n-gram that speaks for a family has one. A paragraph without a mark can't be judged other than unknown, so only texts and paragraphs
+with a mark are cut into words. A prediction counts if the class is a family, its probability is at least ``SURE``, and
+the paragraph's word pairs lie to at least ``ALIKE`` in one template of that family (or the template's in it).
 
 Null and empty texts have no paragraphs. Each row of ``documents`` has one result row (rows that repeat an id share
 findings); null ids stay, without findings. Equal probabilities: the first family by name. Extra columns are ignored.
@@ -15,15 +18,16 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import table
 
-SURE, ALIKE, UNKNOWN = 0.5, 0.5, "unknown"
+SURE, ALIKE, UNKNOWN, WRAP = 0.5, 0.5, "unknown", 120
 #: Short public notices of licence families, and plain sentences that use words of theirs.
-TEMPLATES = {
+NOTICES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -91,10 +95,16 @@ TEMPLATES = {
     ],
     "Unlicense": [
         "This is free and unencumbered software released into the public domain.",
+        "Free and unencumbered software released into the public domain by its authors.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, for any purpose, commercial or non-commercial, and by any means.",
         "Released under the Unlicense.",
     ],
     "Proprietary": [
         "Copyright. All rights reserved.",
+        "All rights reserved.",
+        "Copyright 2019 by the authors. All rights reserved worldwide.",
+        "This material is proprietary and confidential. All rights reserved.",
+        "No part of this document may be reproduced without prior written permission of the publisher.",
         "All rights reserved. No part of this publication may be reproduced or transmitted in any form without prior written permission.",
         "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
     ],
@@ -123,16 +133,42 @@ TEMPLATES = {
 }
 
 
-# headings and identifiers, as they stand alone in a line
-for _family, _names in {
-    "Apache-2.0": ["Apache License 2.0", "Apache-2.0"], "MIT": ["MIT License", "MIT"], "BSD": ["BSD 3-Clause License", "BSD-3-Clause", "BSD-2-Clause"],
-    "GPL": ["GNU General Public License", "GPL-3.0-or-later", "GPL-2.0-only"], "LGPL": ["GNU Lesser General Public License", "LGPL-2.1-or-later", "LGPL-3.0-only"],
-    "AGPL": ["GNU Affero General Public License", "AGPL-3.0-or-later", "AGPL-3.0-only"], "MPL-2.0": ["Mozilla Public License 2.0", "MPL-2.0"], "CC-BY": ["CC-BY-4.0"],
-    "CC-BY-SA": ["CC-BY-SA-4.0"], "CC-BY-NC": ["CC-BY-NC-4.0"], "CC0": ["CC0-1.0"], "ISC": ["ISC License", "ISC"], "Unlicense": ["The Unlicense", "Unlicense"],
-}.items():
-    for _name in _names:
-        _spelled = "License" in _name or " " in _name
-        TEMPLATES[_family] += [_name] if _spelled else [f"License: {_name}", f"SPDX-License-Identifier: {_name}"]
+#: Names and identifiers of the families' licences.
+NAMES = {
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license", "Apache Software License", "Apache-2.0", "Apache License"],
+    "MIT": ["MIT License", "MIT", "MIT license (MIT)", "MIT/X11 license", "Expat License", "MIT-style license"],
+    "BSD": ["BSD 3-Clause License", "BSD license", "two-clause BSD license", "New BSD License", "Simplified BSD License", "BSD-3-Clause", "BSD-2-Clause", "BSD-style license"],
+    "GPL": ["GNU General Public License", "GNU General Public License, version 3", "GNU GPL v3", "GPL version 2 or later", "GPLv3", "GPLv2", "GPL", "GPL-3.0-or-later", "GPL-2.0-only"],
+    "LGPL": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "LGPL version 3 or later", "LGPLv3", "LGPL", "LGPL-2.1-or-later", "GNU Library General Public License"],
+    "AGPL": ["GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL version 3", "AGPLv3", "AGPL", "AGPL-3.0-or-later", "AGPL-3.0-only"],
+    "MPL-2.0": ["Mozilla Public License", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0", "MPL-2.0", "MPL"],
+    "CC-BY": ["CC BY 4.0", "CC-BY-4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 3.0 License"],
+    "CC-BY-SA": ["CC BY-SA 4.0", "CC-BY-SA-3.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC-BY-NC-4.0", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC0": ["CC0 1.0 Universal", "CC0", "CC0-1.0", "Creative Commons Zero", "CC0 public domain dedication"],
+    "ISC": ["ISC License", "ISC", "ISC license (ISC)"],
+    "Unlicense": ["Unlicense", "Unlicense license"],
+}
+#: Licences of no family, which are unknown.
+OTHERS = [
+    "Eclipse Public License", "EPL-2.0", "zlib License", "Artistic License 2.0", "Boost Software License", "EUPL-1.2", "CDDL-1.0", "PostgreSQL License", "WTFPL", "Python license",
+    "Microsoft Public License", "SIL Open Font License", "Open Data Commons license", "driving license", "house rules", "contract", "treaty", "city license", "fishing license",
+]
+#: What is said of a licence.
+PATTERNS = [
+    "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This software is distributed under the terms of the {}.", "{}", "License: {}",
+    "This project is released under the {} license.", "Available under {}", "The code is made available under the {}, see LICENSE for details.", "Distributed under the {}.",
+    "SPDX-License-Identifier: {}", "Published under {}.", "This library is covered by the {}.", "Subject to the terms and conditions of the {}.", "The {}",
+    "You may use this file under the terms of the {}.", "Licensed {}", "All content is provided under {}.", "This program is free software under the {}.", "Its source is licensed under the {} unless stated otherwise.",
+    "License {}", "SPDX-License-Identifier: ({})", "License :: {}", "License identifier: {}", "license = {}", "SPDX identifier {} in this file", "Code license: {}",
+]
+#: Words that stand in most English texts, and a German one. N-grams of these alone are no features.
+COMMON = frozenset("a all an and any are as at be by for from in is it may not of on or see that the this to under use was with you your mit".split())
+#: Sentences for any word.
+PLAIN = [
+    "They talked about the {} again.", "A {} was seen near the road.", "The old {} is gone and nobody asked.", "Some {} and other things.", "In the {} of the year it is that.",
+    "Er kommt {} dem Zug und bleibt.", "We are under the {} for this.", "The {} is not the same as the first.", "It was the {} of the house.", "{}",
+]
 #: Between words; dots stay inside words only.
 BETWEEN = r"\.*+[^a-z0-9.]++\.*+|^\.++|\.++$"
 
@@ -149,41 +185,43 @@ def ngrams(words: str) -> Column:
     return F.expr(f"array_distinct(concat({', '.join(parts)}))")
 
 
-def _rows(spark: SparkSession, rows: list[tuple[str, str, int]]) -> DataFrame:
-    made = [F.struct(F.lit(a).alias("family"), F.lit(b).alias("text"), F.lit(c).alias("number")) for a, b, c in rows]
-    return spark.range(1).select(F.inline(F.array(*made)))
-
-
-def telling_words() -> list[str]:
-    """Words of templates that no plain sentence has, and the words that name licences."""
-    import re
-
+def training_rows() -> list[tuple[str, str, str]]:
+    """(family, text, use); use is fit, temperature or test, and the same for all rows of one pattern or notice."""
+    use = lambda i: {3: "temperature", 4: "test"}.get(i % 5, "fit")
+    rows = [(f, t, use(i)) for f, ts in NOTICES.items() for i, t in enumerate(ts)]
+    rows += [(f, p.format(n), use(i)) for f, names in {**NAMES, UNKNOWN: OTHERS}.items() for i, p in enumerate(PATTERNS) for n in names]
+    # every word of the above that isn't part of one family's name alone, in plain sentences
     cut = lambda t: {w for w in re.split(BETWEEN, t.lower()) if w}
-    plain = {w for t in TEMPLATES[UNKNOWN] for w in cut(t)}
-    named = {"license", "licensed", "copyright", "apache", "mit", "public", "rights", "reserved", "permission", "software"}
-    common = {"a", "an", "and", "any", "at", "be", "by", "if", "in", "is", "it", "of", "on", "one", "or", "the", "this", "to", "you", "was", "with", "are", "can", "as", "that", "not", "no", "all", "either"}
-    return sorted(({w for f, ts in TEMPLATES.items() if f != UNKNOWN for t in ts for w in cut(t)} - plain - common | named))
+    named = {f: {w for n in names for w in cut(n)} for f, names in NAMES.items()}
+    own = {w for f, ws in named.items() for w in ws if not any(w in other for g, other in named.items() if g != f)}
+    words = sorted({w for f, t, _ in rows if f != UNKNOWN for w in cut(t)} - own | {"mit", "apache", "expat", "universal", "zero"})
+    return rows + [(UNKNOWN, p.format(w), use(i)) for i, p in enumerate(PLAIN) for w in words]
 
 
-def train(spark: SparkSession) -> tuple[DataFrame, list[str], dict[str, float], float]:
-    """(feature, w0, w1, ...) with one weight for each class, the classes, their offsets and the temperature.
+def model_rows(spark: SparkSession) -> DataFrame:
+    """``training_rows`` with their n-grams and the number of their class."""
+    classes = sorted(NOTICES)
+    rows = json.dumps([{"family": f, "text": t, "use": u, "label": classes.index(f)} for f, t, u in training_rows()])
+    made = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<family:string,text:string,use:string,label:double>>")))
+    # a word that stands in a plain sentence says nothing alone
+    plain = sorted({w for f, t, _ in training_rows() if f == UNKNOWN for w in re.split(BETWEEN, t.lower())})
+    grams = F.filter(ngrams("w"), lambda g: F.size(F.array_except(F.split(g, " "), F.array(*map(F.lit, sorted(COMMON))))) > 0)
+    return made.withColumn("w", words(F.col("text"))).withColumn("grams", F.array_except(grams, F.array(*map(F.lit, plain))))
 
-    Every fifth row of a class with at least five is left out of the fit and sets the temperature.
-    """
+
+def train(spark: SparkSession) -> tuple[list[tuple[str, list[float]]], dict[str, float], float]:
+    """The n-grams with weights (one for each class, by name), the classes' offsets, and the temperature."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer
 
-    classes = sorted(TEMPLATES)
-    rows = [(f, t, classes.index(f)) for f in classes for t in TEMPLATES[f]]
-    told = F.array(*map(F.lit, telling_words()))
-    data = _rows(spark, rows).withColumn("w", words(F.col("text"))).withColumn("grams", _telling(ngrams("w"), told))
-    data = data.withColumn("label", F.col("number").cast("double")).cache()
-    counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1.0, vocabSize=8192).fit(data)
-    vectors = counts.transform(data)
-    number = F.row_number().over(_by_family())
-    vectors = vectors.withColumn("left_out", (number % 5 == 0))
-    fitted = LogisticRegression(family="multinomial", regParam=0.005, elasticNetParam=0.5, maxIter=60).fit(vectors.where("not left_out"))
-    raw = [(list(r["rawPrediction"]), int(r["label"])) for r in fitted.transform(vectors.where("left_out")).select("rawPrediction", "label").collect()]
+    classes = sorted(NOTICES)
+    data = model_rows(spark).coalesce(1).cache()
+    fit = data.where("use = 'fit'")
+    counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1.0, vocabSize=16384).fit(fit)
+    fitted = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=0.9, maxIter=50, standardization=False).fit(counts.transform(fit).select("features", "label"))
+    # a few hundred rows, all from this file
+    left = counts.transform(data.where("use = 'temperature'")).select("features", "label")
+    raw = [(list(r["rawPrediction"]), int(r["label"])) for r in fitted.transform(left).select("rawPrediction", "label").collect()]
     data.unpersist()
 
     def loss(t: float) -> float:
@@ -193,50 +231,73 @@ def train(spark: SparkSession) -> tuple[DataFrame, list[str], dict[str, float],
             total += math.log(sum(math.exp((v - top) / t) for v in z)) - (z[y] - top) / t
         return total
 
-    temperature = min((0.25 * 1.25**k for k in range(16)), key=loss)
+    temperature = min((0.04 * 1.25**k for k in range(24)), key=loss)
     matrix = fitted.coefficientMatrix.toArray()
-    offsets = {c: float(b) for c, b in zip(classes, fitted.interceptVector.toArray(), strict=True)}
-    # one literal: as many entries as the templates have n-grams that matter
-    model = [{"gram": g, "w": [round(float(x), 9) for x in matrix[:, j]]} for j, g in enumerate(counts.vocabulary) if abs(matrix[:, j]).max() > 1e-9]
-    weights = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(model)), "array<struct<gram:string,w:array<double>>>")))
-    return table(weights, "licence-weights"), classes, offsets, temperature
-
+    offsets = dict(zip(classes, map(float, fitted.interceptVector.toArray()), strict=True))
+    grams = [(g, [round(float(x), 9) for x in matrix[:, j]]) for j, g in enumerate(counts.vocabulary) if abs(matrix[:, j]).max() > 1e-9]
+    return grams, offsets, temperature
 
-def _by_family():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("family").orderBy("text")
+def marks(grams: list[tuple[str, list[float]]], offsets: dict[str, float]) -> list[str]:
+    """Words without which no text is judged other than unknown.
 
-
-def _telling(grams: Column, told: Column) -> Column:
-    return F.filter(grams, lambda g: F.arrays_overlap(F.split(g, " "), told))
+    For each family, all n-grams without such a word, had a text them all, don't add up to what unknown is ahead by.
+    """
+    classes = sorted(offsets)
+    of = classes.index(UNKNOWN)
+    ahead = [offsets[UNKNOWN] - offsets[c] for c in classes]
+    if any(a <= 0 for i, a in enumerate(ahead) if i != of):
+        raise ValueError("a text without features has to be unknown")
+    open_ = [(set(g.split(" ")), [max(x - w[of], 0.0) for x in w]) for g, w in grams]
+    found: list[str] = []
+    while True:
+        total = [sum(m[i] for _, m in open_) for i in range(len(classes))]
+        short = [i for i in range(len(classes)) if i != of and total[i] >= ahead[i]]
+        if not short:
+            return sorted(found)
+        gain: dict[str, float] = {}
+        for ws, m in open_:
+            for w in ws:
+                gain[w] = gain.get(w, 0.0) + sum(m[i] for i in short) * (1e-6 if w in COMMON else 1)
+        best = max(sorted(gain), key=lambda w: gain[w])
+        found.append(best)
+        open_ = [x for x in open_ if best not in x[0]]
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, family, probability, alike) of every paragraph that is a licence notice."""
+    """(doc_id, line, family, probability, alike) of every paragraph that is a licence notice; ``line`` is its first line."""
     spark = docs.sparkSession
-    weights, classes, offsets, temperature = train(spark)
-    told = F.array(*map(F.lit, telling_words()))
-    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split("text", "\n")).alias("line", "paragraph"))
-    found = lines.withColumn("w", words(F.col("paragraph"))).where(F.arrays_overlap("w", told))
-    found = table(found.select("doc_id", "line", "paragraph", "w", F.xxhash64("paragraph").alias("key")), "licence-lines")
-    # a text that many documents have is judged once
-    once = found.groupBy("key", "paragraph").agg(F.first("w").alias("w"))
-    grams = once.select("key", "paragraph", F.explode(_telling(ngrams("w"), told)).alias("gram"))
-    z = F.array(*[(F.sum(F.col("w")[i]) + offsets[c]) / temperature for i, c in enumerate(classes)])
-    logits = grams.join(F.broadcast(weights), "gram").groupBy("key", "paragraph").agg(z.alias("z"))
+    grams, offsets, temperature = train(spark)
+    classes, told = sorted(offsets), marks(grams, offsets)
+    # as many entries as the training rows have n-grams that matter
+    weights = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"gram": g, "w": w} for g, w in grams])), "array<struct<gram:string,w:array<double>>>")))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def marked(text: Column) -> Column:
+        return text.rlike(rf"(?i)(?<![a-z0-9])(?:{'|'.join(map(re.escape, told))})(?![a-z0-9])")
+
+    # a wrapped line is joined to the next by \x1f, so that lines can still be counted
+    wrapped = F.regexp_replace("text", rf"(?m)(?<=^|\x1f)([^\n]{{1,{WRAP - 1}}}+(?<![.:;!?\s])[ \t\r]*+)\n(?=[^\n]*+\S)", "$1\x1f")
+    lines = texts.where(marked(F.col("text"))).select("doc_id", F.posexplode_outer(F.split(wrapped, "\n")).alias("number", "paragraph"))
+    found = lines.where(marked(F.col("paragraph"))).withColumn("w", words(F.col("paragraph"))).where(F.arrays_overlap("w", F.array(*map(F.lit, told))))
+    found = table(found.select("doc_id", F.col("number").alias("line"), "w", F.xxhash64("w").alias("key")), "licence-lines")
+    # what many documents have is judged once
+    once = found.groupBy("key", "w").agg(F.lit(1).alias("one"))
+    features = once.select("key", "w", F.explode(ngrams("w")).alias("gram"))
+    z = F.array(*[(F.sum(F.col("weight")[i]) + offsets[c]) / temperature for i, c in enumerate(classes)])
+    logits = features.join(F.broadcast(weights.withColumnRenamed("w", "weight")), "gram").groupBy("key", "w").agg(z.alias("z"))
     names = ", ".join(f"'{c}'" for c in classes)
     judged = logits.select(
-        "key", "paragraph",
+        "key", "w",
         F.expr(f"element_at(array({names}), cast(array_position(z, array_max(z)) as int))").alias("family"),
         F.expr("1 / aggregate(z, 0D, (acc, x) -> acc + exp(x - array_max(z)))").alias("probability"),
     ).where((F.col("family") != UNKNOWN) & (F.col("probability") >= SURE))
     pairs = lambda w: F.expr(f"if(size({w}) > 1, array_distinct(transform(sequence(0, size({w}) - 2), i -> concat_ws(' ', {w}[i], {w}[i + 1]))), {w})")
-    known = _rows(spark, [(f, t, 0) for f in classes if f != UNKNOWN for t in TEMPLATES[f]]).withColumn("tw", words(F.col("text"))).select("family", pairs("tw").alias("template"))
-    shared = judged.withColumn("w", words(F.col("paragraph"))).withColumn("own", pairs("w")).join(F.broadcast(known), "family")
+    known = model_rows(spark).where(f"family <> '{UNKNOWN}'").select("family", pairs("w").alias("template"))
+    shared = judged.withColumn("own", pairs("w")).join(F.broadcast(known), "family")
     alike = F.size(F.array_intersect("own", "template")) / F.least(F.size("own"), F.size("template"))
-    confirmed = shared.groupBy("key", "paragraph", "family", "probability").agg(F.max(alike).alias("alike")).where(F.col("alike") >= ALIKE)
-    return found.select("doc_id", "line", "paragraph", "key").join(table(confirmed, "licence-paragraphs"), ["key", "paragraph"]).select("doc_id", "line", "family", F.round("probability", 6).alias("probability"), F.round("alike", 6).alias("alike"))
+    confirmed = shared.groupBy("key", "w", "family", "probability").agg(F.max(alike).alias("alike")).where(F.col("alike") >= ALIKE)
+    return found.join(table(confirmed, "licence-paragraphs"), ["key", "w"]).select("doc_id", "line", "family", F.round("probability", 6).alias("probability"), F.round("alike", 6).alias("alike"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
