@@ -277,6 +277,45 @@ def test_licences_that_are_no_templates(spark):
     assert {t: got[i] for i, t in rows} == said
 
 
+def test_licences_unseen_wordings_and_wrapped_notices(spark):
+    """Wordings that are no templates, comment signs and lines wrapped at 70 columns; one notice each."""
+    said = {
+        "We put all of this code under the MIT License, so go ahead.": "MIT",
+        "For what you may do with this, see the GNU General Public License.": "GPL",
+        " * This file is part of a project that is licensed under the\n * Apache License, Version 2.0, and so are its tests.": "Apache-2.0",
+        "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files, to deal in\nthe Software without restriction under the terms of the MIT license.": "MIT",
+        "Figures are shared by us under CC BY-SA 4.0": "CC-BY-SA",
+        "The general public\nwas at the library to license a new style of boat": None,
+        "A driving license\n\nThe general public": None,
+    }
+    rows = list(enumerate(said))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.family, r.n_notices) for r in licenses.scan(frame).collect()}
+    assert {t: got[i] for i, t in rows} == {t: (f, int(f is not None)) for t, f in said.items()}
+
+
+def test_licences_held_out_templates(spark):
+    """Whole patterns and notices that neither the fit nor the temperature saw: precision, recall, calibration error."""
+    grams, offsets, temperature = licenses.train(spark)
+    classes, weight = sorted(offsets), dict(grams)
+    rows = licenses.model_rows(spark).where("use = 'test'").select("family", "grams", "w").collect()
+    told = set(licenses.marks(grams, offsets))
+    right = said = there = 0
+    bins = defaultdict(list)
+    for r in rows:
+        z = np.array([sum(weight[g][i] for g in r.grams if g in weight) + offsets[c] for i, c in enumerate(classes)]) / temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        best = classes[int(p.argmax())]
+        if not told & set(r.w):
+            assert best == licenses.UNKNOWN  # what isn't looked at couldn't be a notice
+        bins[int(p.max() * 10)].append((p.max(), best == r.family))
+        said += best != licenses.UNKNOWN
+        there += r.family != licenses.UNKNOWN
+        right += best == r.family != licenses.UNKNOWN
+    error = sum(abs(sum(p for p, _ in b) - sum(ok for _, ok in b)) for b in bins.values()) / len(rows)
+    assert len(rows) > 500 and right / said > 0.98 and right / there > 0.95 and error < 0.05
+
+
 # 7 packing
 
 
@@ -328,6 +367,45 @@ def test_packing_mixture(spark):
             assert abs(r.n - total[r.source] / sum(total.values()) * packing.WINDOW * packing.LENGTH) < 700 * 8
 
 
+def test_packing_many_sources(spark):
+    """Sources too small for a packet in each window take turns: no window or group of rounds holds them all."""
+    sizes = spark.range(20_000).select(F.col("id").alias("row"), F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id")).alias("source"), F.lit(300).cast("long").alias("n"))
+    got = packing.plan(sizes).join(sizes.select("row", "source"), "row").withColumn("w", (F.col("sequence_id") / packing.WINDOW).cast("int"))
+    # the last digit of the source stands for a group of sources with a tenth of the tokens each
+    per = {(r.w, r.g): r.n for r in got.groupBy("w", F.substring("source", -1, 1).alias("g")).agg(F.sum("length").alias("n")).collect()}
+    window = packing.WINDOW * packing.LENGTH
+    last = max(w for w, _ in per)
+    assert last == 20_000 * 300 // window
+    assert all(abs(n - window / 10) < window / 20 for (w, _), n in per.items() if w < last)
+
+
+def test_packing_shares(spark):
+    """Given shares hold in each window for as long as every source has tokens; then the others fill its place."""
+    sizes = spark.range(4000).select(F.col("id").alias("row"), F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"), F.lit(700).cast("long").alias("n"))
+    got = packing.plan(sizes, {"a": 3.0, "b": 1.0}).join(sizes.select("row", "source"), "row")
+    per = {(r.w, r.source): r.n for r in got.groupBy((F.col("sequence_id") / packing.WINDOW).cast("int").alias("w"), "source").agg(F.sum("length").alias("n")).collect()}
+    window = packing.WINDOW * packing.LENGTH
+    full = 2000 * 700 * 4 // 3 // window
+    assert full > 10
+    assert all(abs(per[w, "a"] - window * 3 / 4) < 3 * 700 for w in range(full))
+    assert sum(per.values()) == 4000 * 700 and ((full + 2), "a") not in per
+
+
+def test_encoder_pieces():
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(path), packing.Encoder(path, known=500)
+    parts = ["don't", "'", "s", "'s", "'re", "'ll", " ", "  ", "\n", "\t", "'ve", "l", "ve", "é", "中文", "٣", "½", "!", "''", "'m", "\xa0", "\u2003", "😀", "'d", "\x1f", "\x85", "１", " '", "word"]
+    rng = np.random.default_rng(3)
+    texts = ["".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 12))) for _ in range(6000)]
+    for at in range(0, len(texts), 300):
+        batch = texts[at : at + 300]
+        assert [x.tolist() for x in own.encode(batch)] == [x.ids for x in plain.encode_batch(batch, add_special_tokens=False)]
+    assert len(own.key) <= 1000  # the limit, and one batch
+
+
 # 8 sharding
 
 
