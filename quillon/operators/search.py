@@ -6,12 +6,17 @@ later steps rank is as small as the limit. Ties are broken by path or id.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scores as S
 from quillon.functions import text as T
 from quillon.operators.filters import metadata, visible
+from quillon.storage import table
 
 CEILING = 20.0  # the distance at which semantic similarity ends
 
@@ -28,6 +33,35 @@ def nearest(notes: DataFrame, vectors: DataFrame, query: Column, k: int) -> Data
     return notes.join(top, notes["id"] == top["note_id"]).drop("note_id")
 
 
+def nearest_of_each(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(q_id, other, place): for each query (note_id, embedding) the k nearest other vectors, the nearest first.
+
+    Blocks of queries meet blocks of vectors; a task keeps k for each of its queries, and the best of those are sought by query.
+    """
+    q = queries.where("embedding is not null").select("note_id", "embedding")
+    v = vectors.where("embedding is not null").select("note_id", "embedding")
+    n, m = max(1, math.ceil(q.count() / block)), max(1, math.ceil(v.count() / block))
+    deal = lambda df, own, parts, other, others: df.withColumn(own, F.pmod(F.xxhash64("note_id"), F.lit(parts)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"q_id": [], "other": [], "distance": []})
+        a, b = np.stack(left["embedding"].to_numpy()).astype(np.float64), np.stack(right["embedding"].to_numpy()).astype(np.float64)
+        ids, others = left["note_id"].to_numpy(), right["note_id"].to_numpy()
+        out = []
+        for i, x in zip(ids, a, strict=True):
+            d = np.round(np.sqrt(((b - x) ** 2).sum(axis=1)), 9)
+            d[others == i] = np.inf
+            first = np.lexsort((others, d))[:k]
+            first = first[np.isfinite(d[first])]
+            out.append(pd.DataFrame({"q_id": i, "other": others[first], "distance": d[first]}))
+        return pd.concat(out, ignore_index=True)
+
+    met = deal(q, "i", n, "j", m).groupBy("i", "j").cogroup(deal(v, "j", m, "i", n).groupBy("i", "j")).applyInPandas(best, "q_id long, other long, distance double")
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "other"))
+    return met.withColumn("place", place).where(F.col("place") <= k).select("q_id", "other", "place")
+
+
 def vector_search(notes: DataFrame, vectors: DataFrame, query: Column, top_k: int = 10, ceiling: float = CEILING, tags=None, **equal) -> DataFrame:
     """Five times as many neighbours, then metadata, the best chunk of each path, blended scores, top k by distance."""
     top_k = max(1, min(top_k, 100))
@@ -69,9 +103,12 @@ def _matches(terms: list[str], *columns: str) -> Column:
 def keyword_search(chunks: DataFrame, terms: list[str], limit: int = 10) -> DataFrame:
     """Root rows of notes any chunk of which has a term; most terms in the root row first, then the newest."""
     seen = chunks.where(visible())
-    hit = seen.where(_matches(terms, "title", "text") > 0).select("path").distinct()
-    roots = seen.where("chunk_id = 0").join(hit, "path", "left_semi")
-    return roots.withColumn("matches", _matches(terms, "title", "text")).orderBy(F.desc("matches"), F.desc("modified"), "path").limit(limit)
+    # one pass: a path's rows come down to whether any has a term, and its root row
+    hit = _matches(terms, "title", "text")
+    root = F.struct("id", "title", "modified", "text")
+    paths = seen.groupBy("path").agg(F.max(hit > 0).alias("hit"), F.max(F.when(F.col("chunk_id") == 0, root)).alias("root")).where("hit and root is not null")
+    roots = paths.select("path", "root.*").withColumn("matches", hit)
+    return roots.orderBy(F.desc("matches"), F.desc("modified"), "path").limit(limit)
 
 
 def content_term_search(chunks: DataFrame, terms: list[str], least: int = 1, limit: int = 10) -> DataFrame:
@@ -123,7 +160,8 @@ def bm25(notes: DataFrame, terms: list[str], limit: int = 30, k1: float = 1.2, b
     """(id, rank) by BM25. Only the query's terms are counted in each text; collection figures are one row."""
     all_terms = T.tokens(F.concat_ws(" ", "path", "title", "text"))
     base = notes.select("id", all_terms.alias("terms"))
-    per = base.select("id", F.size("terms").alias("length"), *[F.size(F.filter("terms", _equal_to(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    # texts are cut once; both the figures and the ranking read what is left of them
+    per = table(base.select("id", F.size("terms").alias("length"), *[F.size(F.filter("terms", _equal_to(t))).alias(f"tf{i}") for i, t in enumerate(terms)]), "counts")
     figures = per.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))])
     total = F.lit(0.0)
     for i in range(len(terms)):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +28,33 @@ def propagate(notes: DataFrame, sources: DataFrame, files: DataFrame, as_of: flo
     return j.select("path", F.when(F.col("stale"), "stale").when(F.col("sourced"), "validated").otherwise(F.col("trust_state")).alias("trust_state"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, group: str) -> DataFrame:
-    """Pairs of one group with a cosine of at least ``threshold``; groups keep this an equi join."""
-    a, b = vectors.alias("a"), vectors.alias("b")
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.note_id") < F.col("b.note_id")))
-    return pairs.select(F.col("a.note_id").alias("a"), F.col("b.note_id").alias("b"), F.round(S.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """(a, b, similarity) of all pairs a < b of (note_id, embedding) with a cosine of at least ``threshold``.
+
+    Vectors are dealt into blocks of about ``block``; each task multiplies two of them and only pairs near the threshold
+    leave it, to be judged again exactly. All vectors are compared, so the work grows with their square, in even tasks. Null
+    vectors, and vectors of length zero, are like nothing.
+    """
+    rows = vectors.where("embedding is not null").select("note_id", "embedding")
+    n = max(1, math.ceil(rows.count() / block))
+
+    def multiply(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+        ids, own = frame["note_id"].to_numpy(), frame["own"].to_numpy()
+        unit = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
+        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        p, q = np.nonzero(unit[left] @ unit[right].T >= threshold - 1e-5)
+        a, b = ids[left[p]], ids[right[q]]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        keep = (a < b) if i != j else (ids[left[p]] < ids[right[q]])
+        return pd.DataFrame({"a": a[keep], "b": b[keep]})
+
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("note_id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+    near = dealt.groupBy("i", "j").applyInPandas(multiply, "a long, b long").distinct()
+    one, two = rows.select(F.col("note_id").alias("a"), F.col("embedding").alias("va")), rows.select(F.col("note_id").alias("b"), F.col("embedding").alias("vb"))
+    return near.join(one, "a").join(two, "b").select("a", "b", F.round(S.cosine(F.col("va"), F.col("vb")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def leader_groups(items: DataFrame, pairs: DataFrame, order: str = "modified") -> DataFrame:

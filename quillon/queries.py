@@ -352,8 +352,8 @@ def retention_newest_n(spark, sf_dir):
     return dml.keep_newest(A.read(spark, sf_dir, "events"), 500, F.desc("ts"), F.desc("event_id")).select("event_id", "ts")
 
 
-CLAIMS = """old as (select 'f' || (event_id % 50) as path, 'agent' || (event_id % 3) as agent, case when event_id % 2 = 0 then 'read' else 'write' end as type, max(event_id) as expires_at from events where event_id < 500 group by all),
-    fresh as (select 'f' || (event_id % 70) as path, 'agent' || (event_id % 3) as agent, case when event_id % 2 = 0 then 'read' else 'write' end as type, max(event_id) as expires_at from events where event_id >= 500 and event_id < 600 group by all),
+CLAIMS = """old as (select 'f' || (event_id % 90) as path, 'agent' || (event_id % 3) as agent, case when event_id % 2 = 0 then 'read' else 'write' end as type, max(event_id) as expires_at from events where ts < timestamp '2024-01-15' group by all),
+    fresh as (select 'f' || (event_id % 70) as path, 'agent' || (event_id % 3) as agent, case when event_id % 2 = 0 then 'read' else 'write' end as type, max(event_id) as expires_at from events where ts >= timestamp '2024-01-15' group by all),
     claims as (select * from fresh union all select * from old where (path, agent, type) not in (select (path, agent, type) from fresh))"""
 
 
@@ -365,7 +365,8 @@ def _claims(spark, sf_dir):
             F.concat(F.lit("f"), F.col("event_id") % n).alias("path"), F.concat(F.lit("agent"), F.col("event_id") % 3).alias("agent"), F.when(F.col("event_id") % 2 == 0, "read").otherwise("write").alias("type")
         ).agg(F.max("event_id").alias("expires_at"))
 
-    return dml.upsert(make(e.where("event_id < 500"), 50), make(e.where("event_id >= 500 and event_id < 600"), 70), ["path", "agent", "type"])
+    before = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+    return dml.upsert(make(e.where(before), 90), make(e.where(~before), 70), ["path", "agent", "type"])
 
 
 @query(f"with {CLAIMS} select * from claims")
@@ -373,9 +374,9 @@ def upsert_claims(spark, sf_dir):
     return _claims(spark, sf_dir)
 
 
-@query(f"with {CLAIMS} select * from claims where expires_at > 450")
+@query(f"with {CLAIMS} select * from claims where expires_at > 4500")
 def active_claims(spark, sf_dir):
-    return dml.active_claims(_claims(spark, sf_dir), 450)
+    return dml.active_claims(_claims(spark, sf_dir), 4500)
 
 
 SOURCES = f"""src as (select path as note_path, 'file' as source_type, 'files/' || (id % 40) || '.txt' as source_path, sha256((id % 41) :: varchar) as source_hash, modified as captured_at from notes where id % 4 = 0),
@@ -417,11 +418,12 @@ def graph_mentions(spark, sf_dir):
     return graph.mentions(A.notes(spark, sf_dir))
 
 
-EDGES = "edges as (select doc_id as src, (7 * doc_id + 3) % 200 as dst, 'references' as rel, (doc_id % 10 + 1) / 10 as weight from documents where doc_id < 200)"
+EDGES = "edges as (select doc_id as src, (7 * doc_id + 3) % (select count(*) from documents) as dst, 'references' as rel, (doc_id % 10 + 1) / 10 as weight from documents)"
 
 
 def _edges(spark, sf_dir):
-    return A.note_edges(A.notes(spark, sf_dir).where("id < 200"), 200)
+    docs = A.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return A.note_edges(docs, docs.count())
 
 
 @query(f"with {EDGES} select dst as node, rel, weight from edges where src = 3 and dst <> 3 union select src, rel, weight from edges where dst = 3 and src <> 3")
@@ -429,9 +431,9 @@ def graph_neighbors(spark, sf_dir):
     return graph.neighbours(_edges(spark, sf_dir), 3)
 
 
-@query(f"with {EDGES} select (select count(*) from documents where doc_id < 200) as nodes, count(*) as edges, round(2.0 * count(*) / (select count(*) from documents where doc_id < 200), 6) as average_degree from edges")
+@query(f"with {EDGES} select (select count(*) from documents) as nodes, count(*) as edges, round(2.0 * count(*) / (select count(*) from documents), 6) as average_degree from edges")
 def graph_stats(spark, sf_dir):
-    return graph.stats(A.notes(spark, sf_dir).where("id < 200"), _edges(spark, sf_dir))
+    return graph.stats(A.read(spark, sf_dir, "documents").select("doc_id"), _edges(spark, sf_dir))
 
 
 @query(
@@ -444,15 +446,16 @@ def graph_traverse(spark, sf_dir):
     return found.select("node", "depth", F.array_join(F.transform("walk", lambda x: x.cast("string")), "-").alias("walk"), F.round("total", 6).alias("total"))
 
 
-_GOAL = (7 * (7 * (7 * 5 + 3) + 3) + 3) % 200
+_GOAL = 7 * (7 * (7 * 5 + 3) + 3) + 3
 
 
 @query(
     f"""with recursive {EDGES}, t as (select 5 :: bigint as node, [5 :: bigint] as walk union all select e.dst, list_append(walk, e.dst) from t join edges e on e.src = t.node where len(walk) < 6 and not list_contains(walk, e.dst))
-    select array_to_string(walk, '-') as walk, (len(walk) - 1) :: int as edges from t where node = {_GOAL} order by len(t.walk), t.walk limit 1"""
+    select array_to_string(walk, '-') as walk, (len(walk) - 1) :: int as edges from t where node = {_GOAL} % (select count(*) from documents) order by len(t.walk), t.walk limit 1"""
 )
 def shortest_path(spark, sf_dir):
-    return graph.shortest_path(_edges(spark, sf_dir), 5, _GOAL, 5).select(F.array_join(F.transform("walk", lambda x: x.cast("string")), "-").alias("walk"), "edges")
+    goal = _GOAL % A.read(spark, sf_dir, "documents").count()
+    return graph.shortest_path(_edges(spark, sf_dir), 5, goal, 5).select(F.array_join(F.transform("walk", lambda x: x.cast("string")), "-").alias("walk"), "edges")
 
 
 @query(
@@ -463,11 +466,10 @@ def subgraph(spark, sf_dir):
     return graph.subgraph(_edges(spark, sf_dir), 11, 2)
 
 
-@query("select n_nationkey :: bigint as id from nation where n_nationkey not in (select c_nationkey from customer where c_custkey < 20 union select s_nationkey from supplier)")
+@query("select c_custkey as id from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_orderpriority = '1-URGENT')")
 def prune_orphans(spark, sf_dir):
-    nodes = A.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.lit("nation").alias("type"))
-    c, s = A.read(spark, sf_dir, "customer").where("c_custkey < 20"), A.read(spark, sf_dir, "supplier")
-    edges = c.select(F.col("c_custkey").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).select(F.col("dst").alias("src"), "dst").union(s.select(F.col("s_nationkey").cast("long"), F.col("s_nationkey").cast("long")))
+    nodes = A.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("type"))
+    edges = A.read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("src"), (-F.col("o_orderkey")).alias("dst"))
     return graph.orphans(nodes, edges).select("id")
 
 
@@ -480,17 +482,16 @@ def graph_expand(spark, sf_dir):
     return graph.expand(cand, _edges(spark, sf_dir), cand.select("node"))
 
 
-@query("select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding :: double[], b.embedding :: double[]), 6) as similarity from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where round(list_cosine_similarity(a.embedding :: double[], b.embedding :: double[]), 6) >= 0.5")
+@query("select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding :: double[], b.embedding :: double[]), 6) as similarity from embeddings a join embeddings b on a.vec_id < b.vec_id where round(list_cosine_similarity(a.embedding :: double[], b.embedding :: double[]), 6) >= 0.4")
 def cosine_pairs(spark, sf_dir):
-    v = A.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("note_id"), "embedding", "label")
-    return trust.similar_pairs(v, 0.5, "label")
+    return trust.similar_pairs(A.vectors(spark, sf_dir), 0.4)
 
 
 @query()
 def leader_groups(spark, sf_dir):
-    v = A.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("note_id"), "embedding", "label")
+    v = A.vectors(spark, sf_dir)
     items = v.select(F.col("note_id").alias("id"), F.col("note_id").alias("modified"))
-    return trust.leader_groups(items, trust.similar_pairs(v, 0.6, "label"))
+    return trust.leader_groups(items, trust.similar_pairs(v, 0.4))
 
 
 @query(f"{NOTES} select array_to_string(list_sort(tags), ',') as tags, count(*) as n from notes group by 1 having count(*) >= 2")
@@ -521,15 +522,22 @@ def contradictions(spark, sf_dir):
     return rows.where("c is not null").select("doc_id", "c.kind", "c.confidence")
 
 
-_PII = [r for r in mining.RULES if r[0] in ("email", "us_phone", "ssn", "sk_key", "aws_key", "github_token")]
+#: ids of three kinds of secret are appended to some rows, so that more rules have finds
+_SECRETS = "case doc_id % 97 when 0 then chr(10) || 'AKIA' || 'ABCDEFGHIJKLMNOP' when 1 then chr(10) || 'mail a' || doc_id || '@b.org' when 2 then chr(10) || 'hf_' || repeat('aB3d', 6) when 3 then chr(10) || '-----BEGIN RSA PRIVATE KEY-----' else '' end"
+
+
+def _sql_text(x: str) -> str:
+    return x.replace("'", "''")
 
 
 @query(
-    "with l as (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents) "
-    + " union all ".join(f"select doc_id, line :: int as line, '{n}' as rule, '{c}' as category, unnest(regexp_extract_all(content, '{p}')) as found from l" for n, c, p in _PII)
+    f"with t as (select doc_id, text || {_SECRETS} as text from documents), "
+    "l as (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from t) "
+    + " union all ".join(f"select doc_id, line :: int as line, '{n}' as rule, '{c}' as category, unnest(regexp_extract_all(content, '{_sql_text(p)}')) as found from l where not contains(content, 'regexp.')" for n, c, p in mining.RULES)
 )
 def pii_scan(spark, sf_dir):
-    return mining.scan(A.read(spark, sf_dir, "documents"), rules=_PII)
+    text = F.expr("text || " + _SECRETS.replace("chr(10)", "'\\n'"))
+    return mining.scan(A.read(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
 
 
 @query()
@@ -604,19 +612,18 @@ def rate_limit(spark, sf_dir):
 
 
 @query(
-    """with c as (select vec_id, label from embeddings where vec_id % 40 = 0), r as (select c.vec_id, c.label, rank() over (partition by c.vec_id order by round(list_distance(q.embedding :: double[], e.embedding :: double[]), 9), e.vec_id) as place, e.vec_id as other, e.label as of
-        from c join embeddings q on q.vec_id = c.vec_id join embeddings e on e.vec_id <> c.vec_id),
-    f as (select vec_id, label, min(case when of = label then place end) as rank from r group by all)
+    """with c as (select vec_id, label, embedding :: double[] as v from embeddings where vec_id % 50 = 0),
+    r as (select c.vec_id, c.label, row_number() over (partition by c.vec_id order by round(list_distance(c.v, e.embedding :: double[]), 9), e.vec_id) as place, e.label as of from c join embeddings e on e.vec_id <> c.vec_id),
+    f as (select vec_id, label, min(case when of = label and place <= 5 then place end) as rank from r group by all)
     select label as category, count(*) as n, round(avg(case when rank <= 5 then 1.0 else 0.0 end), 6) as recall, round(avg(case when rank <= 5 then 1.0 / rank else 0.0 end), 6) as mrr from f group by 1"""
 )
 def eval_mrr(spark, sf_dir):
-    from pyspark.sql import Window
-
-    e = A.read(spark, sf_dir, "embeddings")
-    cases = F.broadcast(e.where("vec_id % 40 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"), F.col("label").alias("category")))  # a stated query set
-    found = e.join(cases, F.col("vec_id") != F.col("q_id")).select("q_id", "category", "vec_id", "label", F.round(S.l2(F.col("q"), F.col("embedding")), 9).alias("d"))
-    place = F.row_number().over(Window.partitionBy("q_id").orderBy("d", "vec_id"))
-    ranks = found.withColumn("place", place).groupBy("q_id", "category").agg(F.min(F.when(F.col("label") == F.col("category"), F.col("place"))).alias("rank"))
+    e = A.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("note_id"), "embedding", "label")
+    near = search.nearest_of_each(e.where("note_id % 50 = 0"), e, 5)  # a stated query set against all rows
+    labels = e.select(F.col("note_id").alias("other"), F.col("label").alias("of"))
+    cases = e.where("note_id % 50 = 0").select(F.col("note_id").alias("q_id"), F.col("label").alias("category"))
+    found = cases.join(near.join(labels, "other"), "q_id", "left")
+    ranks = found.groupBy("q_id", "category").agg(F.min(F.when(F.col("of") == F.col("category"), F.col("place"))).alias("rank"))
     return health.evaluate(ranks)
 
 
@@ -638,7 +645,7 @@ def prompt_gates(spark, sf_dir):
 
 @query()
 def decisions(spark, sf_dir):
-    c = A.read(spark, sf_dir, "conversations").withColumn("text", F.concat(F.lit("We chose "), "text"))
+    c = A.read(spark, sf_dir, "conversations").withColumn("text", F.concat(F.lit("We chose this one over that one because "), "text"))
     return mining.decisions(c, ["conv_id", "turn"])
 
 

@@ -24,7 +24,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(uses, "doc_id", "left").join(labels, "doc_id", "left").select(
         i.alias("id"),
         F.concat(F.when(i % 97 == 0, "_PRIVATE/").otherwise(""), F.concat_ws("/", "source", "lang"), F.lit("/doc_"), i, F.lit(".md")).alias("path"),
-        F.array_join(F.slice(F.split(F.translate("text", "\n", " "), " "), 1, 8), " ").alias("title"),
+        F.substring_index(F.translate(F.substring_index("text", " ", 8), "\n", " "), " ", 8).alias("title"),
         F.array("lang", "source").alias("tags"),
         F.col("lang").alias("domain"),
         F.col("source").alias("workstream"),

@@ -5,17 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back: cuts the lineage of loops. Uses spark.checkpoint.dir; a temporary folder only where it is unset."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset, a local session (as in tests) gets a folder of its own."""
+    context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillon-"))
         folder = context._jsc.sc().getCheckpointDir().get()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives the loss of executors."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
