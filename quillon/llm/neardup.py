@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import words as W
-from quillon.llm.shared import connected_components, small_batches, table
+from quillon.llm.shared import connected_components, small_batches, spread_join, table
 
 BANDS, ROWS, MANTISSA, BLOCK = 24, 6, 10, 256
 BUCKETS = BANDS * ROWS
@@ -285,10 +285,3 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         .unionByName(alone)
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )
-
-
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
-    """Join rows with the single row of their key; keys that many rows share are dealt over ``salts`` tasks."""
-    many = many.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return many.join(one, [*keys, "salt"]).drop("salt")
