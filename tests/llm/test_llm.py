@@ -476,16 +476,19 @@ def test_decontamination(spark):
     assert decontam.clean(frame, read(spark, "benchmark")).count() == frame.count() - sum(1 for d, _ in [*docs, extra[1]] if d in {k[0] for k in want})
 
 
-def test_decontamination_by_shuffle(spark, monkeypatch):
+def test_decontamination_by_shuffle(spark):
+    """With nothing sent to all tasks the result is the same."""
     small = {(r.doc_id, r.item_id, r.start) for r in decontam.leaks(read(spark, "documents"), read(spark, "benchmark")).collect()}
-    monkeypatch.setattr(decontam, "LITERAL_SHINGLES", 0)
-    assert {(r.doc_id, r.item_id, r.start) for r in decontam.leaks(read(spark, "documents"), read(spark, "benchmark")).collect()} == small
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {(r.doc_id, r.item_id, r.start) for r in decontam.leaks(read(spark, "documents"), read(spark, "benchmark")).collect()} == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-@pytest.mark.parametrize("literal", [100_000, 0])
-def test_decontamination_inside_runs(spark, monkeypatch, literal):
+def test_decontamination_inside_runs(spark):
     """Items within a longer run of known shingles, and rows that repeat an id."""
-    monkeypatch.setattr(decontam, "LITERAL_SHINGLES", literal)
     w, v, x = ([f"{c}{i}" for i in range(100)] for c in "wvx")
     parts = [w[0:50], w[25:75], w[50:100], v[0:40] + w[26:74] + v[40:80], x[0:12]]
     items = [(i, " ".join(p)) for i, p in enumerate(parts)]
@@ -500,10 +503,11 @@ def test_decontamination_inside_runs(spark, monkeypatch, literal):
 
 
 def test_index_reaches_the_radius():
-    for at, n in decontam._block_bounds():
-        assert 0 <= at < 64 and n <= 10
-    masks = decontam._near_masks(9)
-    assert len(masks) == 1 + 9 + 36 and decontam.RADIUS // decontam.BLOCKS == 2  # by the pigeonhole principle
+    bounds = decontam._block_bounds()
+    assert len(bounds) == decontam.BLOCKS and [a for a, _ in bounds[1:]] + [decontam.BITS] == [a + n for a, n in bounds]
+    assert all(a // 64 == (a + n - 1) // 64 for a, n in bounds)
+    assert len(decontam._near_masks(9)) == 1 + 9 + 36
+    assert decontam.RADIUS < decontam.BLOCKS * (decontam.RADIUS // decontam.BLOCKS + 1)  # by the pigeonhole principle
 
 
 # 10 pages
