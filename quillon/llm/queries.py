@@ -61,9 +61,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.llm.sharding import assign
+    from quillon.llm.shared import shared_path
+    from quillon.llm.sharding import read_shards, write_shards
 
-    return assign(_read(spark, sf_dir, "documents"))
+    docs, path = _read(spark, sf_dir, "documents").select("doc_id", "text"), shared_path(spark, "shards")
+    write_shards(docs, path)
+    written = read_shards(spark, path, "doc_id long, text string, shard string")
+    return written.select("doc_id", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

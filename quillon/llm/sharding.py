@@ -15,9 +15,9 @@ Null texts count no bytes; null ids are hashed as nulls. An empty table has an e
 
 from __future__ import annotations
 
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillon.llm.shared import table
 
@@ -69,55 +69,71 @@ def directory(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
         done = bits
 
 
-def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, bytes, depth, prefix, overflow_part, shard, shard_bytes) of each row; shard names the bucket's bits."""
+def _dealt(docs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(row, hash, bytes, depth, prefix, overflow, part, shard, shard_bytes) of each row, and the directory.
+
+    ``row`` is a struct of all columns of ``docs``, so no name of theirs can clash with one of ours.
+    """
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.struct("*").alias("row"),
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
-        F.xxhash64("doc_id", "text").alias("hash"),
+        F.xxhash64(F.col("doc_id").cast("long"), "text").alias("hash"),
     )
-    rows = table(rows, "rows")
-    tree = table(directory(rows.select("hash", "bytes"), limit), "directory")
-    depths = sorted(r[0] for r in tree.select("depth").distinct().collect())  # 65 at most
-    if not depths:
-        return docs.sparkSession.createDataFrame([], "doc_id long, bytes long, depth int, prefix long, overflow_part long, shard string, shard_bytes long")
+    # only sizes and hashes are grouped
+    tree = table(directory(table(rows.select("hash", "bytes"), "sizes"), limit), "directory")
+    depths = sorted(r[0] for r in tree.select("depth").distinct().collect()) or [0]  # 65 at most
     # each row's prefix at every depth that the directory has; one of them is its bucket
     own = F.array(*[F.struct(F.lit(d).alias("depth"), F.expr(_prefix(d)).alias("prefix")) for d in depths])
-    keyed = rows.withColumn("at", F.explode(own)).select("doc_id", "bytes", "hash", "at.depth", "at.prefix")
+    keyed = rows.withColumn("at", F.explode(own)).select("row", "bytes", "hash", "at.depth", "at.prefix")
     placed = keyed.join(tree.select("depth", "prefix", F.col("bytes").alias("shard_bytes"), "overflow"), ["depth", "prefix"])
-    plain = placed.where("not overflow").withColumn("overflow_part", F.lit(0).cast("long")).withColumn("own_bytes", F.col("shard_bytes"))
-    # equal rows only, so all have the same size: as many to a part as fit
+    # buckets of 64 bits that are too large: rows equal in id and text, all of one size; as many to a part as fit
+    over = table(placed.where("overflow").withColumn("number", F.monotonically_increasing_id()), "overflow")
+    over = over.withColumn("file", F.shiftright("number", 33))
+    files = over.groupBy("prefix", "file").agg(F.count("*").alias("n"))
+    files = files.select("prefix", "file", (F.sum("n").over(Window.partitionBy("prefix").orderBy("file")) - F.col("n")).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy("prefix", "file").orderBy("number")) - 1
     fit = F.greatest(F.floor(F.lit(limit) / F.greatest("bytes", F.lit(1))), F.lit(1))
-    number = F.row_number().over(Window.partitionBy("prefix").orderBy("doc_id")) - 1
-    over = placed.where("overflow").withColumn("overflow_part", F.floor(number / fit))
-    over = over.withColumn("own_bytes", F.sum("bytes").over(Window.partitionBy("prefix", "overflow_part")))
+    over = over.withColumn("place", place).join(files, ["prefix", "file"]).withColumn("part", F.floor((F.col("place") + F.col("ahead")) / fit))
+    size = F.least(fit, F.round(F.col("shard_bytes") / F.greatest("bytes", F.lit(1))) - F.col("part") * fit) * F.col("bytes")
+    over = over.withColumn("shard_bytes", size.cast("long"))
+    plain = placed.where("not overflow").withColumn("part", F.lit(0).cast("long"))
+    names = ["row", "hash", "bytes", "depth", "prefix", "overflow", "part", "shard_bytes"]
+    out = plain.select(*names).unionByName(over.select(*names))
     name = F.concat(
         F.lit("shard-"),
         F.when(F.col("depth") == 0, "").otherwise(F.expr("substring(lpad(bin(prefix), 64, '0'), 65 - depth, depth)")),
-        F.when(F.col("overflow"), F.concat(F.lit("-"), F.col("overflow_part"))).otherwise(""),
+        F.when(F.col("overflow"), F.concat(F.lit("-"), F.col("part"))).otherwise(""),
     )
-    out = plain.unionByName(over)
-    return out.select("doc_id", "bytes", "depth", "prefix", "overflow_part", name.alias("shard"), F.col("own_bytes").alias("shard_bytes"))
+    return out.withColumn("shard", name), tree
+
+
+def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(doc_id, bytes, depth, prefix, overflow_part, shard, shard_bytes) of each row; shard names the bucket's bits."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dealt, _ = _dealt(narrow, limit)
+    return dealt.select(F.col("row.doc_id").alias("doc_id"), "bytes", "depth", "prefix", F.col("part").alias("overflow_part"), "shard", "shard_bytes")
 
 
-def fill_directory(tree: DataFrame) -> int:
-    """The global depth: how many bits index the directory."""
+def global_depth(tree: DataFrame) -> int:
+    """How many bits index the directory."""
     return int(tree.agg(F.max("depth")).first()[0] or 0)
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """Write each row of ``docs`` (all columns) under a folder of its shard, and return the directory.
+    """Write each row of ``docs``, with all its columns, under a folder of its shard in ``path``; returns the directory.
 
-    Rows that no hash tells apart are dealt over the overflow parts of their bucket as they come.
+    A shard is one file, or a few if a task holds it in parts. The folders' column is called ``shard``; if ``docs`` has a column of that name, underscores are
+    added to it. Rows of equal id and text that exceed a shard together are dealt into parts by the rule of ``assign``.
     """
-    hashed = docs.withColumn("hash", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    sizes = hashed.select("hash", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
-    tree = table(directory(sizes, limit), "directory")
-    depths = sorted(r[0] for r in tree.select("depth").distinct().collect())
-    own = F.array(*[F.struct(F.lit(d).alias("depth"), F.expr(_prefix(d)).alias("prefix")) for d in depths])
-    keys = hashed.select("hash").distinct().withColumn("at", F.explode(own)).select("hash", "at.depth", "at.prefix").join(tree, ["depth", "prefix"])
-    parts = F.when(F.col("overflow"), F.ceil(F.col("bytes") / limit)).otherwise(1)
-    named = hashed.join(keys.select("hash", "depth", "prefix", parts.alias("parts")), "hash").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")))
-    shard = F.concat_ws("-", F.expr("if(depth = 0, 'all', substring(lpad(bin(prefix), 64, '0'), 65 - depth, depth))"), F.col("part"))
-    named.withColumn("shard", shard).drop("hash", "depth", "prefix", "parts", "part").repartition("shard").write.partitionBy("shard").parquet(path)
+    dealt, tree = _dealt(docs, limit)
+    folder = "shard"
+    while folder in {c.lower() for c in docs.columns}:
+        folder += "_"
+    # a shard is bounded, so one task can hold it
+    dealt.select("row.*", F.col("shard").alias(folder)).repartition(F.col(folder)).write.partitionBy(folder).parquet(path)
     return tree
+
+
+def read_shards(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Rows written by ``write_shards``; ``schema`` has the columns of the documents and the folders' column."""
+    return spark.read.schema(schema).parquet(path)
