@@ -26,9 +26,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import shared_path, table
+from quillon.llm.shared import shared_path, spread_join, table
 
-FRAME, BUNDLE, LEVEL, SALTS = 1 << 20, 64 << 20, 3, 16
+FRAME, BUNDLE, LEVEL = 1 << 20, 64 << 20, 3
 SEEK_MAGIC, SKIP_MAGIC = 0x8F92EAB1, 0x184D2A5E
 INDEX = "page_id long, record_id string, bundle string, frame int, offset long, length long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -164,15 +164,13 @@ def _writer(folder: str):
 def equal_payloads(pages: DataFrame, least: int = 0) -> DataFrame:
     """``pages`` with refers_to: the largest page_id of an equal payload, null for that one itself and for single ones.
 
-    Only ids and digests are grouped; the largest group is dealt over ``SALTS`` tasks, and pages are joined by their ids.
+    Only ids and digests are grouped; digests of very many pages are joined where their rows lie, and pages by their ids.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    keys = pages.where(F.octet_length(payload) >= least).select("page_id", F.sha1(payload).alias("digest")).distinct()
-    largest = keys.groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1")
-    largest = largest.select("digest", "largest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    refers = salted.join(largest, ["digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("largest")))
+    keys = table(pages.where(F.octet_length(payload) >= least).select("page_id", F.sha1(payload).alias("digest")).distinct(), "digests")
+    largest = keys.groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").select("digest", "largest")
+    refers = spread_join(keys, largest, ["digest"]).where(~F.col("page_id").eqNullSafe(F.col("largest")))
     refers = refers.select(F.col("page_id").alias("id"), F.col("digest").alias("of"), F.col("largest").alias("refers_to"))
     same = F.col("page_id").eqNullSafe(F.col("id")) & (F.sha1(payload) == F.col("of")) & (F.octet_length(payload) >= least)
     return pages.join(refers, same, "left").drop("id", "of")
@@ -194,30 +192,39 @@ def read_frame(path: str, number: int) -> bytes:
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every indexed record, from the bundles."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every indexed record.
+
+    The records of a frame are read together, each at the offset that the index gives: the bundle's seek table is read
+    once, the frame is decompressed once, and a record that is not the one that the index names is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, frames, number, data = None, [], None, b""
         for batch in batches:
             rows = []
-            for path in batch.column("bundle").to_pylist():
-                system, name = _open(path)
-                with system.open_input_file(name) as file:
-                    for at, packed, _ in read_seek_table(file, file.size()):
+            for own, name, bundle, frame, offset, length in zip(*(batch.column(c).to_pylist() for c in ("page_id", "record_id", "bundle", "frame", "offset", "length")), strict=True):
+                system, place = _open(bundle)
+                if bundle != path:
+                    with system.open_input_file(place) as file:
+                        path, frames, number = bundle, read_seek_table(file, file.size()), None
+                if frame != number:
+                    at, packed, _ = frames[frame]
+                    with system.open_input_file(place) as file:
                         file.seek(at)
-                        data, place = zstandard.ZstdDecompressor().decompress(file.read(packed)), 0
-                        while place < len(data):
-                            headers, block, place = parse_record(data, place)
-                            head, _, payload = block.partition(b"\r\n\r\n")
-                            said = int(head.rpartition(b"Content-Length: ")[2])
-                            kind, sha = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                            if kind == "response" and (len(payload) != said or digest(payload) != sha):
-                                raise ValueError(f"{path}: a damaged record {headers['WARC-Record-ID']}")
-                            own, refers = headers.get("X-Page-ID"), headers.get("X-Refers-To-Page")
-                            rows.append((None if own is None else int(own), said, sha, kind, None if refers is None else int(refers)))
+                        number, data = frame, zstandard.ZstdDecompressor().decompress(file.read(packed))
+                headers, block, end = parse_record(data, offset)
+                if headers["WARC-Record-ID"] != name or end - offset != length:
+                    raise ValueError(f"{bundle}: frame {frame} has another record at {offset} than {name}")
+                head, _, payload = block.partition(b"\r\n\r\n")
+                said = int(head.rpartition(b"Content-Length: ")[2])
+                kind, sha = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
+                if kind == "response" and (len(payload) != said or digest(payload) != sha):
+                    raise ValueError(f"{bundle}: a damaged record {name}")
+                refers = headers.get("X-Refers-To-Page")
+                rows.append((own, said, sha, kind, None if refers is None else int(refers)))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    # a bundle is written by one task and so its size is bounded
-    bundles = index.select("bundle").distinct()
-    return bundles.repartition(F.col("bundle")).mapInArrow(run, RECORD)
+    # frames are bounded in size, or hold one record
+    return index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(run, RECORD)
