@@ -434,7 +434,27 @@ def test_sharding(spark):
 def test_write_shards(spark, tmp_path):
     d = read(spark, "documents")
     sharding.write_shards(d, str(tmp_path / "s"), 60_000)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == d.count()
+    back = spark.read.parquet(str(tmp_path / "s"))
+    # what was written is what was assigned, text for text
+    want = Counter((r.doc_id, r.shard) for r in sharding.assign(d, 60_000).collect())
+    assert Counter((r.doc_id, r.shard) for r in back.collect()) == want
+    assert back.drop("shard").exceptAll(d).count() == 0 == d.exceptAll(back.drop("shard")).count()
+
+
+def test_write_shards_odd_tables(spark, tmp_path):
+    """An empty table, names that clash with ours, rows equal in id and text, nulls, very long texts."""
+    sharding.write_shards(empty_docs(spark), str(tmp_path / "empty"))
+    names = ["depth", "prefix", "hash", "bytes", "part", "shard", "row", "overflow", "at"]
+    rows = [(1, "x" * 100, *names)] * 50 + [(2, None, *names), (None, "y", *names), (3, "z" * 300_000, *names)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    sharding.write_shards(d, str(tmp_path / "clash"), 1000)
+    back = spark.read.parquet(str(tmp_path / "clash"))
+    assert back.drop("shard_").exceptAll(d).count() == 0 and back.count() == len(rows)
+    sizes = Counter()
+    for r in back.collect():
+        sizes[r.shard_] += len(r.text or "")
+    assert all(n <= 1000 or n == 300_000 for n in sizes.values())
+    assert Counter(r.shard for r in sharding.assign(d, 1000).collect() if r.bytes == 100) == Counter({s: 10 for s in sizes if sizes[s] == 1000})
 
 
 # 9 decontamination
