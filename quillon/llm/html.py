@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -35,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import words as W
-from quillon.llm.shared import table
+from quillon.llm.shared import spread_join, table
 
 MAIN, PLAIN, BESIDE, MARKED, NOISE, LEAST = 1.0, 0.6, 0.45, 0.6, 0.1, 0.3
 FEW = 3
-SALTS = 16
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>", re.S)
+# each alternative ends at the end of the page at the latest, so no place is looked at twice
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</?[a-zA-Z](?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _DIGITS = re.compile(r"\d+")
@@ -48,6 +49,8 @@ _STRUCTURE = frozenset("html body div section article main aside nav header foot
 _BLOCK = _STRUCTURE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre hr figcaption caption address thead tbody tfoot summary legend hgroup optgroup option".split())
 _RAW = frozenset("script style noscript template iframe object svg canvas textarea select button head title noframes audio video math".split())
 _NOISE_TAGS = frozenset("nav header footer aside menu dialog search".split())
+#: What an unclosed one of these swallows is no text; the others of _RAW only lose their tag then.
+_ENDLESS = frozenset("script style textarea title noframes iframe".split())
 _MAIN_TAGS = frozenset(["article", "main"])
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _NOISE_WORDS = frozenset(
@@ -86,6 +89,8 @@ class Page:
         elements: list[list] = [[0, "", "", "", False, False]]
         shapes: list[list[str]] = [[]]
         stack: list[tuple[str, int]] = [("", 0)]
+        open_ = Counter()  # names on the stack
+        unclosed: set[str] = set()  # names without another end
         text: list[str] = []
 
         def flush() -> None:
@@ -106,21 +111,23 @@ class Page:
             if tag[1] == "/":
                 if name in _BLOCK:
                     flush()
-                if name in _STRUCTURE:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == name:
-                            del stack[i:]
-                            break
+                if name in _STRUCTURE and open_[name]:
+                    closed = ""
+                    while closed != name:
+                        closed, _ = stack.pop()
+                        open_[closed] -= 1
                 continue
             parent = stack[-1][1]
             if name in _RAW:
                 if tag[-2:] != "/>":
-                    end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
+                    end = None if name in unclosed else re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
                     if end:
                         close = html.find(">", end.end())
                         at = len(html) if close < 0 else close + 1
-                    elif name != "head":
-                        at = len(html)
+                    else:
+                        unclosed.add(name)
+                        if name in _ENDLESS:
+                            at = len(html)
                 if name in ("button", "select", "textarea", "iframe"):
                     text.append(" ")
             elif name in _BLOCK:
@@ -131,9 +138,12 @@ class Page:
                     elements.append([parent, name, *style, False])
                     shapes.append([])
                     if style[1] == "main":
-                        for _, e in stack:
+                        for _, e in reversed(stack):
+                            if elements[e][5]:
+                                break  # and so are those around it
                             elements[e][5] = True
                     stack.append((name, len(elements) - 1))
+                    open_[name] += 1
             elif name == "br":
                 text.append(" ")
         text.append(html[at:])
@@ -154,7 +164,8 @@ class Page:
             if kind == "" or kind == "noise" and name == "header" and inside == "main":
                 kind = inside if not (around and inside == "noise") else ""
             mark = not around and (mark or self.marked[up] and kind == inside)
-            way = f"{self.ways[up]}/{label}" + (f"!{kind}" if kind != inside else "") + ("!marked" if mark and not self.marked[up] else "!free" if self.marked[up] and not mark else "")
+            # a way is known by a hash, however deep it is
+            way = f"{_hash(f'{self.ways[up]}/{label}!{kind}!{mark}'):x}"
             if way not in known:
                 known[way] = len(self.ways)
                 self.ways.append(way)
@@ -231,9 +242,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     worth = F.greatest("mean", "content_share")
     # only styles that some weight brings below LEAST; written, so that Spark knows how few they are
     styles = table(site_styles(branches).select("host", "way", "n", worth.alias("worth")).where(F.col("worth") * PLAIN * MARKED < LEAST), "styles")
-    styles = styles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    weighed = branches.where(f"weight >= {LEAST}").withColumn("salt", F.pmod(F.xxhash64("key", "page_id"), F.lit(SALTS)).cast("int"))
-    low = weighed.join(styles, ["host", "way", "salt"]).where((F.col("weight") * F.col("worth") < LEAST) & ((F.col("weight") < MAIN) | (F.col("n") >= FEW)))
+    weighed = table(branches.where(f"weight >= {LEAST}"), "weighed")
+    low = spread_join(weighed, styles, ["host", "way"]).where((F.col("weight") * F.col("worth") < LEAST) & ((F.col("weight") < MAIN) | (F.col("n") >= FEW)))
     # a page's own branches only
     low = table(low.groupBy("page_id", "key").agg(F.collect_set("way").alias("low")), "low")
     low = low.select(F.col("page_id").alias("of"), F.col("key").alias("page_key"), "low")
