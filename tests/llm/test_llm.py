@@ -569,6 +569,18 @@ def test_pages_marked_by_class_or_form(spark):
     assert got[1] == "Body" and got[2] == "All in a form" and got[3] == "Text\n\nDiscussed\n\nRelated" and got[4].endswith("Inside") and got[5] == "Plain page"
 
 
+def test_pages_malformed():
+    """Megabytes of what never ends are read once; an unclosed button or svg takes no text with it."""
+    import time
+
+    n, began = 1_000_000, time.process_time()
+    for bad in ("<a " * n, "<!x" * n, "<div>" * (n // 4) + "</section>" * (n // 4), "<head>" * (n // 4), "<article>" * (n // 8), '<p a="' * n, "<!--" * n, "&" * n, "<" * n, "</" * n):
+        assert isinstance(html.Page(f"<p>One</p>{bad}").text(set()), str)
+    assert time.process_time() - began < 120
+    assert html.Page("<p>One<button>Two<svg><p>Three").text(set()) == "One Two\n\nThree"
+    assert html.Page("<p title='a>b' don't>One</p><p x=\"1\"y>Two").text(set()) == "One\n\nTwo"
+
+
 def test_pages_by_entropy(spark):
     """On pages with an article, too, what repeats on the host goes and what doesn't stays."""
     names = ["one", "two", "three", "four"]
