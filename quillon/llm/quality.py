@@ -2,8 +2,9 @@
 
 Each byte has a learned vector of ``WIDTH`` numbers. ``FILTERS`` learned filters see windows of 8 bytes that begin at
 every fourth byte; their rectified answers are averaged over chunks of 512 bytes that overlap by half and cover the
-whole document. The largest average of each filter over all chunks goes into one logistic unit. One more filter is fixed: it answers 8 where a window
-repeats the one ``LAGS`` bytes before, which no filter of fixed weights can see.
+whole document. The largest average of each filter over all chunks goes into one logistic unit. One more filter sees the
+products of a window and the one ``LAGS`` bytes before it, which tells repeats: bytes have a second learned vector for it, the
+products of two bytes' vectors are weighed by learned weights and summed over the window, and the lag with the largest sum counts.
 
 The network is fitted on a bounded sample of labelled rows (``training.SAMPLE_ROWS``) outside the held-out fifth, and
 calibrated on a part of that sample that it was not fitted on. Text alone is scored: labels, lang, source and doc_id
@@ -35,7 +36,9 @@ class Net:
     bytes: np.ndarray  # 256 x WIDTH
     filters: np.ndarray  # (2 * STRIDE * WIDTH) x FILTERS
     bias: np.ndarray
-    out: np.ndarray  # FILTERS, the fixed filter and an offset
+    twin: np.ndarray  # 256 x WIDTH, the bytes' vectors for products
+    weigh: np.ndarray  # WIDTH weights of products and an offset
+    out: np.ndarray  # FILTERS, the filter of products and an offset
     slope: float = 1.0
     offset: float = 0.0
 
@@ -58,22 +61,25 @@ def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return grid, starts, halves
 
 
-def repeats(grid: np.ndarray, starts: np.ndarray, halves: np.ndarray) -> np.ndarray:
-    """1 for each window whose 8 bytes (not all zero) also stand a few bytes before in the same document."""
+def products(net: Net, grid: np.ndarray, starts: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window the largest sum of products with the window a lag before in the same document, and that lag."""
+    pair = ((net.twin * net.weigh[:-1]) @ net.twin.T).ravel()  # what two bytes are worth together
     n = len(grid) // STRIDE - 1
-    wide = np.concatenate([grid, np.zeros(16, np.uint8)])
-    at = np.zeros(len(grid) + 8, np.uint64)
-    for k in range(8):
-        part = wide[k : k + (len(wide) - k) // 8 * 8].view(np.uint64)
-        at[k::8] = part[: len(at[k::8])]
     first = starts[np.concatenate([[0], np.cumsum(halves + 1)])[:-1]]
     place = STRIDE * (np.arange(n) - np.repeat(first, np.diff(np.append(first, n))))
-    here = STRIDE * np.arange(n)
-    own = at[here]
-    out = np.zeros(n, bool)
+    here = grid.astype(np.intp)
+    wide, at, worth, one = here * 256, np.empty(len(grid), np.intp), np.zeros(len(grid), np.float32), np.ones(STRIDE, np.float32)
+    best, lags = np.full(n, -np.inf, np.float32), np.zeros(n, np.int32)
+    head = np.flatnonzero(place < LAGS[-1])  # windows at the beginning of a document
     for lag in LAGS:
-        out |= (own == at[np.maximum(here - lag, 0)]) & (place >= lag)
-    return (out & (own != 0)).astype(np.float32)
+        np.add(wide[lag:], here[:-lag], out=at[lag:])
+        np.take(pair, at[lag:], out=worth[lag:], mode="clip")
+        quarter = worth.reshape(-1, STRIDE) @ one
+        found = quarter[:-1] + quarter[1:]
+        found[head[place[head] < lag]] = -np.inf
+        np.copyto(lags, lag, where=found > best)
+        np.maximum(best, found, out=best)
+    return best, lags
 
 
 def forward(net: Net, grid: np.ndarray, starts: np.ndarray, halves: np.ndarray):
@@ -83,7 +89,8 @@ def forward(net: Net, grid: np.ndarray, starts: np.ndarray, halves: np.ndarray):
     act += rows[1:] @ net.filters[part:]
     act += net.bias
     np.maximum(act, 0, out=act)
-    act = np.column_stack([act, 8 * repeats(grid, starts, halves)])
+    best, lags = products(net, grid, starts, halves)
+    act = np.column_stack([act, np.maximum(best + net.weigh[-1], 0)])
     per = halves + 1
     first = np.concatenate([[0], np.cumsum(per)])[:-1]
     sums = np.add.reduceat(act, starts, axis=0)
@@ -100,7 +107,18 @@ def forward(net: Net, grid: np.ndarray, starts: np.ndarray, halves: np.ndarray):
     mean = joined / np.maximum(span, 1)[:, None]
     mean[tail] = -1
     pooled = np.maximum.reduceat(mean, first, axis=0)
-    return rows, act, mean, span, first, pooled
+    return rows, act, lags, mean, span, first, pooled
+
+
+def twin_gradient(net: Net, grid: np.ndarray, lags: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the products' vectors, and of their weights and offset, from that of the windows' answers."""
+    at = np.flatnonzero(grad)
+    here = (STRIDE * at[:, None] + np.arange(2 * STRIDE)).ravel()
+    before = here - np.repeat(lags[at], 2 * STRIDE)
+    worth = np.bincount(grid[here].astype(np.int64) * 256 + grid[before], np.repeat(grad[at], 2 * STRIDE), 65536).reshape(256, 256)
+    scaled = net.twin * net.weigh[:-1]
+    weigh = ((worth @ net.twin) * net.twin).sum(axis=0)
+    return (worth @ scaled + worth.T @ scaled).astype(np.float32), np.append(weigh, grad.sum()).astype(np.float32)
 
 
 def logits(net: Net, pooled: np.ndarray) -> np.ndarray:
@@ -115,9 +133,10 @@ def fit(texts: pa.Array, label: np.ndarray) -> Net:
         rng.normal(0, 0.5, (256, WIDTH)).astype(np.float32),
         rng.normal(0, 0.25, (2 * part, FILTERS)).astype(np.float32),
         np.zeros(FILTERS, np.float32),
+        rng.normal(0, 0.35, (256, WIDTH)).astype(np.float32),
+        np.append(np.ones(WIDTH), -5.0).astype(np.float32),
         np.append(rng.normal(0, 0.5, FILTERS + 1), 0).astype(np.float32),
     )
-    net.out[FILTERS] = -0.5
     n = len(label)
     if not n or label.min() == label.max():
         net.slope, share = 0.0, (label.sum() + 1) / (n + 2)
@@ -129,7 +148,7 @@ def fit(texts: pa.Array, label: np.ndarray) -> Net:
         check[:] = False
     use = np.flatnonzero(~check)
     weights = {1: 0.5 * n / label.sum(), 0: 0.5 * n / (n - label.sum())}
-    params = [net.bytes, net.filters, net.bias, net.out]
+    params = [net.bytes, net.filters, net.bias, net.twin, net.weigh, net.out]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     epochs = max(EPOCHS, min(60, 400 * BATCH // max(len(use), 1)))
 
@@ -142,7 +161,7 @@ def fit(texts: pa.Array, label: np.ndarray) -> Net:
         for low in range(0, len(order), BATCH):
             batch = order[low : low + BATCH]
             grid, starts, halves = layout(*pick(batch))
-            rows, act, mean, span, first, pooled = forward(net, grid, starts, halves)
+            rows, act, lags, mean, span, first, pooled = forward(net, grid, starts, halves)
             y = label[batch]
             err = (sigmoid(logits(net, pooled)) - y) * np.where(y == 1, weights[1], weights[0]) / len(batch)
             err = err.astype(np.float32)
@@ -162,8 +181,10 @@ def fit(texts: pa.Array, label: np.ndarray) -> Net:
             g_sum = g_half.copy()
             g_sum[1:] += g_half[:-1]
             g_sum[first + halves] = 0
-            g_act = np.repeat(g_sum[:, :FILTERS], np.diff(np.append(starts, len(act))), axis=0)
-            g_act[act[:, :FILTERS] <= 0] = 0
+            g_act = np.repeat(g_sum, np.diff(np.append(starts, len(act))), axis=0)
+            g_act[act <= 0] = 0
+            g_twin, g_weigh = twin_gradient(net, grid, lags, g_act[:, FILTERS])
+            g_act = np.ascontiguousarray(g_act[:, :FILTERS])
             g_filters = np.concatenate([rows[:-1].T @ g_act, rows[1:].T @ g_act])
             g_rows = np.zeros_like(rows)
             g_rows[:-1] += g_act @ net.filters[:part].T
@@ -172,7 +193,7 @@ def fit(texts: pa.Array, label: np.ndarray) -> Net:
             g_bytes = np.stack([np.bincount(grid, g_cells[:, k], 256) for k in range(WIDTH)], 1).astype(np.float32)
             t += 1
             rate = 0.01 * (1 - 0.9 * epoch / epochs)
-            for p, g, a, b in zip(params, [g_bytes, g_filters, g_act.sum(0), g_out], m, v, strict=True):
+            for p, g, a, b in zip(params, [g_bytes, g_filters, g_act.sum(0), g_twin, g_weigh, g_out], m, v, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a model is fitted on, at most. They are those with the smallest hashes of the id.
 SAMPLE_ROWS = 3000
+#: Longer texts (in bytes) are no sample rows; with the number of rows this bounds what comes to the driver.
+SAMPLE_BYTES = 1 << 16
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -17,7 +19,7 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> tuple[pa.Array, np.ndarray]:
-    """Whole texts and 0/1 labels of at most ``rows`` labelled rows outside the held-out fifth.
+    """Whole texts of at most ``SAMPLE_BYTES``, and 0/1 labels, of at most ``rows`` labelled rows outside the held-out fifth.
 
     Null ids and labels are left out; of rows that repeat an id the largest label counts, and one text of them.
     The ids are bounded by ``rows``, so they can be broadcast.
@@ -30,7 +32,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality",
         .limit(rows)
     )
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = text.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text")).toArrow()
+    got = text.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text")).toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     return got.column("text").combine_chunks().take(pa.array(order)), got.column("label").to_numpy()[order].astype(np.float64)
 
