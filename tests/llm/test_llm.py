@@ -75,9 +75,54 @@ def test_quality_learns_and_is_stable(spark):
     assert np.allclose(alone, together, atol=1e-6) and ((together >= 0) & (together <= 1)).all()
 
 
+def plain_net():
+    rng = np.random.default_rng(2)
+    return quality.Net(
+        np.eye(256, 8, dtype=np.float32), np.ones((64, quality.FILTERS), np.float32), np.zeros(quality.FILTERS, np.float32),
+        rng.normal(size=(256, 8)).astype(np.float32), rng.normal(size=9).astype(np.float32), np.ones(quality.FILTERS + 2, np.float32),
+    )
+
+
+def test_quality_products_by_hand():
+    """The filter of products against loops over bytes, and its gradient against nudged weights."""
+    net = plain_net()
+    texts = ["word word again again", "short", "", "ab" * 40]
+    grid, starts, halves = quality.layout(*W.flat(pa.array(texts)))
+    best, lags = quality.products(net, grid, starts, halves)
+    at = 0
+    for t in texts:
+        raw = t.encode() + bytes(40)
+        for w in range(max(1, -(-len(t.encode()) // 4))):
+            sums = {}
+            for lag in quality.LAGS:
+                if 4 * w >= lag:
+                    sums[lag] = sum(float((net.twin[raw[4 * w + k]] * net.twin[raw[4 * w + k - lag]] * net.weigh[:8]).sum()) for k in range(8))
+            if sums:
+                assert abs(best[at + w] - max(sums.values())) < 1e-3 and abs(sums[int(lags[at + w])] - max(sums.values())) < 1e-3
+            else:
+                assert best[at + w] == -np.inf
+        at += max(1, -(-len(t.encode()) // 4)) + 1
+    grad = np.where(np.isfinite(best), 1, 0).astype(np.float32)
+    g_twin, g_weigh = quality.twin_gradient(net, grid, lags, grad)
+    total = lambda: float(np.where(grad > 0, quality.products(net, grid, starts, halves)[0], 0).astype(np.float64).sum())
+    for weights, gradient, i in ((net.twin, g_twin, (ord("a"), 3)), (net.twin, g_twin, (ord("w"), 0)), (net.weigh, g_weigh, (5,))):
+        before, kept = total(), weights[i]
+        weights[i] += 1e-2
+        assert abs((total() - before) / 1e-2 - gradient[i]) < 0.05 * max(1, abs(gradient[i]))
+        weights[i] = kept
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    want = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [r for r in quality.classify(docs, labels).collect() if r.held_out and r.doc_id in want]
+    assert len(rows) > 50 and np.mean([r.predicted == want[r.doc_id] for r in rows]) > 0.9
+
+
 def test_quality_gradient():
     """Forward passes with a nudged filter move the loss as the chain rule says: the pooled answer is what it is by hand."""
-    net = quality.Net(np.eye(256, 8, dtype=np.float32), np.ones((64, quality.FILTERS), np.float32), np.zeros(quality.FILTERS, np.float32), np.ones(quality.FILTERS + 2, np.float32))
+    net = plain_net()
     text = bytes(range(8)) * 200
     data, offsets = W.flat(pa.array([text.decode("latin1")]))
     pooled = quality.forward(net, *quality.layout(data, offsets))[-1][0]
@@ -99,6 +144,9 @@ def test_sample_is_bounded_and_leaves_the_fold_out(spark):
     labels = read(spark, "labels").unionByName(spark.createDataFrame([(0, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int"))
     texts, y = training.labelled_sample(read(spark, "documents"), labels, rows=20)
     assert len(texts) == len(y) == 20
+    long = spark.createDataFrame([(1, "x" * 200_000), (2, "short")], "doc_id long, text string")
+    texts_, _ = training.labelled_sample(long, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert all(len(x) <= training.SAMPLE_BYTES for x in texts_.to_pylist())
     fold = {r.text for r in read(spark, "documents").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
     rest = {r.text for r in read(spark, "documents").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
     assert not (set(texts.to_pylist()) & (fold - rest))
