@@ -6,12 +6,16 @@ Empty registers of short documents are filled from other registers (the same one
 of two documents agree about as often as their sets' similarity says. Steps:
 
 1. exact copies (equal sets) become one class, with a partial aggregate, so large groups of copies cost nothing later;
-2. runs of ``ROWS`` compressed registers are the bands; classes that share a band meet in blocks of at most ``BLOCK``
-   and the similarity is estimated from their registers, less the agreement that chance gives. Only a spanning forest
-   of the estimated graph leaves a block, never all pairs;
-3. components of that graph are the candidate groups. Each group's blocks of full sets meet pairwise and every link is
-   confirmed exactly: ``100 * |A & B| >= percent * |A | B|``; again only a forest is kept;
-4. components of the confirmed links are the result.
+2. runs of ``ROWS`` compressed registers are the bands. Of the classes that share a band each is compared with the smallest
+   one, by their registers, less the agreement that chance gives; those unlike it are compared with all of the band, in blocks
+   of about ``BLOCK`` that meet pairwise. Only a spanning forest leaves a block, never all pairs; pairs of classes that
+   are both like the smallest are in one component already;
+3. components of that graph are the candidate groups. Each class is first compared, on full sets, with the ``PROBES`` smallest
+   classes that step 2 joined it to: ``100 * |A & B| >= percent * |A | B|``, work in proportion to the classes;
+4. where that leaves a group in several parts, every class outside its largest part is compared with every class of the
+   group, in blocks of full sets that meet pairwise; only a forest of the links found is kept. Links within a part
+   are not sought: its classes are one component already;
+5. components of the confirmed links are the result.
 
 Null and empty texts have an empty set, are linked with nothing and are kept. Repeated rows with one id are copies and
 fall in one class. A null id cannot be named in a result; such rows are left out. Extra columns are ignored.
@@ -24,14 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import words as W
 from quillon.llm.shared import connected_components, small_batches, spread_join, table
 
 BANDS, ROWS, MANTISSA, BLOCK = 24, 6, 10, 256
-BUCKETS = BANDS * ROWS
+BUCKETS, PROBES = BANDS * ROWS, 2
 #: An estimate from 144 registers has a deviation of 0.03 at a similarity of 0.85; candidates may lie this far below.
 MARGIN = 0.11
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -119,7 +123,8 @@ def _sets(k: int):
                     h, _, _, first = W.words(*W.flat(batch.column("text")), lower=True)
                     sh, at = W.shingles(h, first, k)
                     sets = pa.array([np.unique(sh[at[i] : at[i + 1]]).tobytes() for i in range(batch.num_rows)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("cluster"), sets], ["rep", "cluster", "shingles"])
+                    rest = [c for c in batch.schema.names if c != "text"]
+                    yield pa.RecordBatch.from_arrays([*map(batch.column, rest), sets], [*rest, "shingles"])
 
     return run
 
@@ -154,6 +159,22 @@ def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, in
     return [(int(ids[i]), int(ids[label[i]])) for i in np.flatnonzero(label != np.arange(len(ids)))]
 
 
+def _star(percent: int):
+    """Whether each class is like the smallest of its band."""
+    least = percent / 100 - MARGIN
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            reg = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(-1, BUCKETS)
+            top = np.frombuffer(b"".join(frame["center_registers"]), np.uint16).reshape(-1, BUCKETS)
+            size, top_size = frame["n_shingles"].to_numpy(), frame["center_shingles"].to_numpy()
+            fit = 100 * np.minimum(size, top_size) >= percent * np.maximum(size, top_size)
+            yield frame[["rep", "center"]].assign(linked=fit & (estimate(reg, top, size, top_size) >= least))
+        W.release()
+
+    return run
+
+
 def _estimated(percent: int):
     least = percent / 100 - MARGIN
 
@@ -161,10 +182,11 @@ def _estimated(percent: int):
         for groups in _groups(frames, ["band", "key", "i", "j"]):
             out: list[tuple[int, int]] = []
             for g in groups:
-                g = g.sort_values("rep")
+                g = g.drop_duplicates("rep").sort_values("rep")  # a class may come as one of either side
                 ids, sizes = g["rep"].to_numpy(), g["n_shingles"].to_numpy()
                 reg = np.frombuffer(b"".join(g["registers"]), np.uint16).reshape(len(g), BUCKETS)
-                a, b = np.triu_indices(len(g), 1)
+                # only pairs with a class that is unlike the smallest
+                a, b = np.nonzero(np.triu(np.ones((len(g), len(g)), bool), 1) & ~(g["linked"].to_numpy()[:, None] & g["linked"].to_numpy()[None, :]))
                 fit = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
                 a, b = a[fit], b[fit]
                 if len(a):
@@ -176,6 +198,29 @@ def _estimated(percent: int):
     return run
 
 
+def _tried(percent: int):
+    """Members of (b, j) groups against the set of b itself."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for groups in _groups(frames, ["b", "j"]):
+            out: list[tuple[int, int]] = []
+            for g in groups:
+                root = [np.frombuffer(x, np.uint64) for x in g["shingles"][g["rep"] == g["b"]]]
+                for rep, b, x in zip(g["rep"], g["b"], g["shingles"], strict=True):
+                    if rep == b:
+                        continue
+                    own = np.frombuffer(x, np.uint64)
+                    for r in root:
+                        both = len(np.intersect1d(own, r, assume_unique=True))
+                        if 100 * both >= percent * (len(own) + len(r) - both):
+                            out.append((int(rep), int(b)))
+                            break
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        W.release()
+
+    return run
+
+
 def common(sets: list[np.ndarray]) -> np.ndarray:
     """Intersection sizes of all pairs of sets, by products of incidence matrices over slices of what is shared."""
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -198,7 +243,7 @@ def _confirmed(percent: int):
         for groups in _groups(frames, ["cluster", "i", "j"]):
             out: list[tuple[int, int]] = []
             for g in groups:
-                g = g.sort_values("rep")
+                g = g.drop_duplicates("rep").sort_values("rep")  # a class may come as one of either side
                 ids = g["rep"].to_numpy()
                 sets = [np.frombuffer(x, np.uint64) for x in g["shingles"]]
                 sizes = np.array([len(s) for s in sets])
@@ -218,18 +263,12 @@ def _confirmed(percent: int):
     return run
 
 
-def _blocks(df: DataFrame, keys: list[str], column: str, block: int) -> DataFrame:
-    """Deal the rows of each group of ``keys`` into blocks, and give each row to every pair (i, j) of blocks."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("members")).where("members > 1")
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    own = F.pmod(F.xxhash64(column), blocks).cast("int")
-    return (
-        df.join(counts, keys)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-        .drop("own", "other", "members")
-    )
+def _grid(odd: Column) -> Column:
+    """Places (i, j) of a class on a grid of ``few`` by ``many`` blocks, so that every odd one meets every class."""
+    left, right = F.pmod(F.xxhash64("rep"), F.col("few")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("many")).cast("int")
+    as_odd = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda j: F.struct(left.alias("i"), j.alias("j")))
+    as_other = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda i: F.struct(i.alias("i"), right.alias("j")))
+    return F.when(odd, F.array_union(as_odd, as_other)).otherwise(as_other)
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
@@ -248,31 +287,60 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
         "rep", "band", F.substring("registers", 1, 0).alias("none"), F.expr(f"substring(registers, band * {width} + 1, {width})").alias("key")
     ).drop("none")
     # equal band and key meet; the registers follow only for those that meet anyone
-    met = _blocks(bands, ["band", "key"], "rep", BLOCK)
-    met = met.join(classes.select("rep", "n_shingles", "registers"), "rep")
-    parts = ["band", "key", "i", "j"]
-    loose = (
-        met.select("rep", "n_shingles", "registers", *parts)
-        .repartition(*parts)
-        .sortWithinPartitions(*parts)
-        .mapInPandas(_estimated(percent), "a long, b long")
-        .distinct()
-    )
+    shared = ["band", "key"]
+    counts = table(bands.groupBy(*shared).agg(F.min("rep").alias("center"), F.count("*").alias("members")).where("members > 1"), "bands")
+    met = table(spread_join(bands.select("rep", *shared), counts, shared), "met")
+    own = classes.select("rep", "n_shingles", "registers")
+    tops = counts.select("center").distinct().join(own.withColumnRenamed("rep", "center"), "center")
+    tops = tops.withColumnsRenamed({"n_shingles": "center_shingles", "registers": "center_registers"})
+    pairs = spread_join(table(met.where("rep <> center").select("rep", "center").distinct(), "pairs"), tops, ["center"]).join(own, "rep")
+    like = table(pairs.mapInPandas(_star(percent), "rep long, center long, linked boolean"), "stars")
+    stars = table(met.join(like, ["rep", "center"], "left").select("rep", *shared, F.coalesce("linked", F.col("rep") == F.col("center")).alias("linked")), "members")
+    loose = like.where("linked").select(F.col("rep").alias("a"), F.col("center").alias("b"))
+    odd = stars.groupBy(*shared).agg(F.count_if(~F.col("linked")).alias("odd"), F.count("*").alias("all")).where("odd > 0 and all > 2")
+    odd = table(odd.select(*shared, F.ceil(F.col("odd") / BLOCK).cast("int").alias("few"), F.ceil(F.col("all") / BLOCK).cast("int").alias("many")), "odd")
+    if odd.limit(1).count():
+        parts = [*shared, "i", "j"]
+        rows = spread_join(stars, odd, shared)
+        places = _grid(~F.col("linked"))
+        rows = rows.select("rep", "linked", *shared, F.explode(places).alias("at")).select("rep", "linked", *shared, "at.i", "at.j").join(own, "rep")
+        found = rows.repartition(*parts).sortWithinPartitions(*parts).mapInPandas(_estimated(percent), "a long, b long")
+        loose = loose.unionByName(found)
+    loose = table(loose.distinct(), "loose")
     groups = connected_components(loose).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    # one text of each class (repeated ids may bring several rows)
-    texts = docs.join(groups, docs["doc_id"] == groups["rep"], "inner").select("rep", "cluster", "text")
-    with small_batches(docs.sparkSession, 500):
-        sets = table(texts.mapInArrow(_sets(k), "rep long, cluster long, shingles binary"), "sets")
-    parts = ["cluster", "i", "j"]
-    tight = (
-        _blocks(sets, ["cluster"], "rep", BLOCK // 2)
-        .repartition(*parts)
-        .sortWithinPartitions(*parts)
-        .mapInPandas(_confirmed(percent), "a long, b long")
-        .distinct()
-    )
-    with small_batches(docs.sparkSession, 500):
-        linked = connected_components(tight)
+    half = BLOCK // 2
+
+    def confirmed(places: DataFrame, keys: list[str], judge) -> DataFrame:
+        """Links that ``judge`` finds in groups of ``keys``; ``places`` has the groups of each class."""
+        # one text of each class (repeated ids may bring several rows); a set is made once and goes to all its groups
+        texts = docs.join(places, docs["doc_id"] == places["rep"]).select("rep", "places", "text")
+        kind = places.schema["places"].dataType.simpleString()
+        with small_batches(docs.sparkSession, 500):
+            sets = texts.mapInArrow(_sets(k), f"rep long, places {kind}, shingles binary").select("rep", F.explode("places").alias("p"), "shingles")
+            dealt = sets.select("rep", "shingles", "p.*").repartition(*keys).sortWithinPartitions(*keys)
+            return table(dealt.mapInPandas(judge, "a long, b long").distinct(), "links")
+
+    # each class with few that it was joined to
+    tries = loose.groupBy("a").agg(F.slice(F.array_sort(F.collect_set("b")), 1, PROBES).alias("b"))
+    tries = table(tries.select("a", F.explode("b").alias("b")), "tries")
+    blocks = tries.groupBy("b").agg(F.ceil(F.count("*") / half).cast("int").alias("blocks"))
+    own = spread_join(tries, blocks, ["b"]).select(F.col("a").alias("rep"), "b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("j"))
+    roots = blocks.select(F.col("b").alias("rep"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    places = own.unionByName(roots).groupBy("rep").agg(F.collect_list(F.struct("b", "j")).alias("places"))
+    tight = confirmed(table(places, "places"), ["b", "j"], _tried(percent))
+    # groups that are still in parts
+    parts = connected_components(tight).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    members = table(groups.join(parts, "rep", "left").select("rep", "cluster", F.coalesce("part", "rep").alias("part")), "members")
+    sizes = members.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    apart = sizes.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("parts"))
+    # the only pair of a group of two has been tried
+    apart = table(apart.where("parts > 1 and all > 2").select("cluster", "main", F.ceil((F.col("all") - F.col("most")) / half).cast("int").alias("few"), F.ceil(F.col("all") / half).cast("int").alias("many")), "apart")
+    if apart.limit(1).count():
+        rest = spread_join(members, apart, ["cluster"])
+        places = F.transform(_grid(F.col("part") != F.col("main")), lambda x: F.struct(F.col("cluster").alias("cluster"), x["i"].alias("i"), x["j"].alias("j")))
+        places = rest.select("rep", places.alias("places"))
+        tight = tight.unionByName(confirmed(table(places, "places"), ["cluster", "i", "j"], _confirmed(percent)))
+    linked = connected_components(tight)
     of_class = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n_shingles", "one", "two", F.coalesce("component", "rep").alias("component_id")
     )
