@@ -221,6 +221,28 @@ def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(empty_docs(spark)).count() == 0
 
 
+def test_near_duplicates_in_parts(spark, monkeypatch):
+    """Groups that the first comparisons leave in parts: copies like their base only, chains, over several blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "PROBES", 1)
+    rng = np.random.default_rng(6)
+    texts = {}
+    base = [f"b{i}" for i in range(300)]
+    for i in range(50):
+        t = list(base)
+        for at in rng.choice(300, int(rng.integers(3, 10)), replace=False):
+            t[at] = f"x{i}y{at}"
+        texts[i] = " ".join(t)
+    texts[90] = " ".join(base)
+    words = [f"c{i}" for i in range(500)]
+    for i in range(30):  # each like the next few only
+        texts[int(100 + rng.permutation(100)[i] * 100 + i)] = " ".join(words[5 * i : 5 * i + 150])
+    want = brute_components({i: shingle_set(t, 3) for i, t in texts.items()}, 85)
+    assert len(set(want.values())) >= 2
+    got = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_registers_estimate():
     rng = np.random.default_rng(2)
     with np.errstate(over="ignore"):
