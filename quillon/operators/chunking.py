@@ -65,3 +65,22 @@ def full_text(chunks: DataFrame) -> DataFrame:
     """(path, text): a note's chunks in order, joined by blank lines."""
     ordered = F.array_sort(F.collect_list(F.struct("chunk_id", "text")))
     return chunks.groupBy("path").agg(F.array_join(F.transform(ordered, lambda c: c["text"]), "\n\n").alias("text"))
+
+
+#: Fixed value: how a line begins that hands a conversation over.
+TURN = r"(?m)^\*{0,2}(?:User|Assistant|Human|AI)\*{0,2}\s*:"
+
+
+def turn_markers(notes: DataFrame) -> DataFrame:
+    """(path, turn, role, text) of each turn marked in a text; markers in fenced code don't count.
+
+    Lines of fences get a control sign in front, so that none begins with a marker; it is taken away in the end.
+    """
+    fences = F.regexp_extract_all("text", F.lit(r"(?s)```.*?(?:```|\z)"), F.lit(0))
+    masked = F.aggregate(fences, F.col("text"), lambda t, f: F.replace(t, f, F.replace(f, F.lit("\n"), F.lit("\n\x01"))))
+    marked = F.regexp_replace(masked, TURN, "\x00$0")
+    parts = F.slice(F.split(marked, "\x00"), 2, 1_000_000)
+    rows = notes.select("path", F.posexplode_outer(parts).alias("turn", "part")).where("part is not null")
+    head = F.regexp_extract("part", TURN, 0)
+    role = F.when(F.lower(head).rlike("user|human"), "user").otherwise("assistant")
+    return rows.select("path", "turn", role.alias("role"), F.btrim(F.regexp_replace(F.translate(F.substring("part", F.length(head) + 1, F.length("part")), "\x01", ""), r"^\*{1,2}", ""), F.lit(" \n\t")).alias("text"))

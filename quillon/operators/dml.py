@@ -97,3 +97,13 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     a, b = old.select("path", F.col("content_hash").alias("was")), new.select("path", F.col("content_hash").alias("now"))
     kind = F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "deleted").when(F.col("was") == F.col("now"), "unchanged").otherwise("changed")
     return a.join(b, "path", "full_outer").select("path", kind.alias("change"))
+
+
+def delete_all(*tables: DataFrame) -> tuple[DataFrame, ...]:
+    """Each table's snapshot without rows, to be written over it; columns stay."""
+    return tuple(t.where(F.lit(False)) for t in tables)
+
+
+def orphan_vectors(vectors: DataFrame, notes: DataFrame) -> DataFrame:
+    """Vectors whose note is gone."""
+    return vectors.join(notes.select(F.col("id").alias("note_id")), "note_id", "left_anti")

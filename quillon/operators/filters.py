@@ -53,3 +53,12 @@ def suppressed_paths(roots: DataFrame) -> DataFrame:
 def valid_embeddings(vectors: DataFrame, size: int) -> DataFrame:
     """Vectors of the right size that aren't all zero."""
     return vectors.where((F.size("embedding") == size) & F.exists("embedding", lambda x: x != 0))
+
+
+def check_vectors(vectors: DataFrame, dims: int, stored: dict[str, str], provider: str, model: str) -> DataFrame:
+    """``vectors`` if they can be searched with this model, else an error; nothing stored is compatible with all."""
+    if int(stored.get("embed_dims", 0) or 0) not in (0, dims):
+        raise ValueError(f"vectors have {stored['embed_dims']} dimensions, the model has {dims}")
+    if "embed_provider" in stored and "embed_model" in stored and (stored["embed_provider"], stored["embed_model"]) != (provider, model):
+        raise ValueError("vectors were made by another model")
+    return vectors

@@ -117,3 +117,32 @@ def rate_limited(events: DataFrame, seconds: int = 60, most: int = 30) -> DataFr
     """Each event with how many its user had in the minute up to it, and whether that is too many."""
     w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("in_window", F.count("*").over(w)).withColumn("rejected", F.col("in_window") > most)
+
+
+def index_age(roots: DataFrame, as_of: float) -> DataFrame:
+    """One row: seconds since the newest note was changed; null for no notes."""
+    return roots.agg((F.lit(float(as_of)) - F.max("modified")).alias("age_seconds"))
+
+
+def status_rollup(roots: DataFrame, status: str = "status", content_type: str = "kaizen") -> DataFrame:
+    """(status, n) of the notes of a type; a missing or empty status is open."""
+    said = F.lower(F.btrim(status))
+    return roots.where(F.col("content_type") == content_type).groupBy(F.when(F.coalesce(said, F.lit("")) == "", "open").otherwise(said).alias("status")).agg(F.count("*").alias("n"))
+
+
+def recent_sessions(usage: DataFrame, limit: int = 10, user: str | None = None) -> DataFrame:
+    """(session_id, started, ended, n) of the sessions that ended last; ``user`` compares without case."""
+    rows = usage if user is None else usage.where(F.lower(F.col("user_id").cast("string")) == user.lower())
+    ends = rows.groupBy("session_id").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n"))
+    return ends.orderBy(F.desc("ended"), "session_id").limit(limit)
+
+
+def hook_activity(usage: DataFrame, limit: int = 20, hook: str | None = None) -> DataFrame:
+    """The newest uses, of one hook if named."""
+    rows = usage if hook is None else usage.where(F.col("hook_name") == hook)
+    return rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit)
+
+
+def sample_facts(facts: DataFrame, limit: int = 5) -> DataFrame:
+    """The newest facts: those of the largest ids."""
+    return facts.drop("embedding").orderBy(F.desc("fact_id")).limit(limit)

@@ -206,3 +206,29 @@ def federated(searches: dict[str, DataFrame], top_k: int = 10) -> DataFrame:
         every = every.unionByName(p)
     once = Window.partitionBy("vault", "path").orderBy(F.desc("score"), "path")
     return every.withColumn("n", F.row_number().over(once)).where("n = 1").drop("n").orderBy(F.desc("score"), "vault", "path").limit(top_k)
+
+
+def with_fallback(searches: list[DataFrame], top_k: int = 10, metadata_hits: DataFrame | None = None) -> DataFrame:
+    """(path, score, source, place): the first of ``searches`` (path, score) that finds anything, by score.
+
+    ``metadata_hits``, for a query about metadata, come before them, and a path found by both counts there. ``source`` is the
+    search's number, -1 for metadata. Each search is a top-k already, so all that is ordered here is a few rows.
+    """
+    found = [df.select("path", "score").withColumn("source", F.lit(i)) for i, df in enumerate(searches)]
+    every = found[0]
+    for df in found[1:]:
+        every = every.unionByName(df)
+    first = every.agg(F.min("source").alias("first"))
+    kept = every.join(F.broadcast(first), F.col("source") == F.col("first")).drop("first")  # one row
+    if metadata_hits is not None:
+        kept = kept.unionByName(metadata_hits.select("path", "score").withColumn("source", F.lit(-1)))
+    kept = kept.groupBy("path").agg(F.min(F.struct("source", (-F.col("score")).alias("back"))).alias("best"))
+    order = Window.orderBy("source", F.desc("score"), "path")
+    rows = kept.select("path", (-F.col("best.back")).alias("score"), "best.source").orderBy("source", F.desc("score"), "path").limit(top_k)
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+def ask_context(results: DataFrame, notes: DataFrame, letters: int = 1000) -> DataFrame:
+    """(place, path, context): what an answer is to be based on, numbered, each note's beginning."""
+    body = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), F.col("title"), F.lit(" ("), F.col("path"), F.lit(")\n"), F.left("text", F.lit(letters)))
+    return results.select("path", "place").join(notes.select("path", "title", "text"), "path").select("place", "path", body.alias("context"))

@@ -6,10 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import scores as S
+from quillon.operators.mining import contradiction
 from quillon.storage import table
 
 
@@ -90,3 +91,13 @@ def tag_groups(notes: DataFrame, least: int = 2) -> DataFrame:
 
 def folder_groups(notes: DataFrame) -> DataFrame:
     return notes.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("n")).where("n >= 2")
+
+
+def mark_contradicted(notes: DataFrame, near: DataFrame, text: Column, saved: Column, ceiling: float = 20.0) -> DataFrame:
+    """(path, kind, confidence) of the notes that a saved text contradicts.
+
+    ``near`` are the notes nearest to it (path, distance); the saved note itself is left out.
+    """
+    like = F.greatest(F.lit(0.0), 1 - F.col("distance") / ceiling)
+    judged = near.where(F.col("path") != saved).select("path", contradiction(text, like).alias("c")).where("c is not null")
+    return judged.join(notes.select("path"), "path", "left_semi").select("path", "c.kind", "c.confidence")

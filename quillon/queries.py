@@ -662,6 +662,98 @@ def ranked_titles(spark, sf_dir):
     return ranking.rank(found.select("id", "path", "title", "content_type", "score"), T.title_words(TEXT)).select("path", F.round("overlap", 9).alias("overlap"), "place")
 
 
+@query(f"{NOTES} select {float(A.AS_OF)} - max(modified) as age_seconds from notes")
+def index_age(spark, sf_dir):
+    return health.index_age(A.notes(spark, sf_dir), A.AS_OF)
+
+
+@query(f"{NOTES} select case id % 3 when 0 then 'open' when 1 then 'done' else 'open' end as status, count(*) as n from notes where content_type = 'kaizen' group by 1")
+def status_rollup(spark, sf_dir):
+    status = F.when(F.col("id") % 3 == 1, " Done ").when(F.col("id") % 3 == 2, "")
+    return health.status_rollup(A.notes(spark, sf_dir).withColumn("status", status))
+
+
+@query(f"{USAGE} select session_id, min(ts) as started, max(ts) as ended, count(*) as n from u where lower(user_id :: varchar) = '7' group by 1 order by ended desc, session_id limit 10")
+def recent_sessions(spark, sf_dir):
+    return health.recent_sessions(A.usage(spark, sf_dir), 10, "7")
+
+
+@query("select event_id, event_type as hook_name from events where event_type = 'purchase' order by ts desc, event_id desc limit 20")
+def hook_activity(spark, sf_dir):
+    return health.hook_activity(A.usage(spark, sf_dir), 20, "purchase").select("event_id", "hook_name")
+
+
+@query(f"{NOTES}, {FACTS} select fact_id, source_path from fact order by fact_id desc limit 5")
+def sample_facts(spark, sf_dir):
+    return health.sample_facts(A.facts(spark, sf_dir)).select("fact_id", "source_path")
+
+
+@query(f"{NOTES}, {FACTS} select distinct source_path from fact")
+def paths_with_facts(spark, sf_dir):
+    return A.facts(spark, sf_dir).select("source_path").distinct()
+
+
+@query(f"{NOTES} select vec_id as note_id from embeddings where vec_id not in (select id from notes where id % 4 <> 1)")
+def orphan_vectors(spark, sf_dir):
+    return dml.orphan_vectors(A.vectors(spark, sf_dir), A.notes(spark, sf_dir).where("id % 4 <> 1")).select("note_id")
+
+
+_META = "select path, 1.0 :: double as score from seen where domain = 'en' and content_type = 'hub' order by modified desc, path limit 4"
+FALLBACK = f"""{NOTES}, {BM25}, m as ({_META}), a as (select path, 0.5 :: double as score from seen join top using (id) order by rank desc, id limit 10),
+    r as (select *, -1 as source from m union all select *, 1 from a where path not in (select path from m)),
+    f as (select *, row_number() over (order by source, score desc, path) as place from r)"""
+
+
+@query(f"{FALLBACK} select path, score, source, place :: int as place from f where place <= 10")
+def search_with_fallback(spark, sf_dir):
+    return _fallback(spark, sf_dir)
+
+
+def _fallback(spark, sf_dir):
+    """The first search finds nothing; the second one does; the query is one about metadata."""
+    n = A.notes(spark, sf_dir)
+    nothing = search.title_match(n, ["no such title"], 1, 10).select("path", F.lit(0.9).alias("score"))
+    indexed = n.join(search.bm25(n.where(filters.visible()), _BM, 30), "id").orderBy(F.desc("rank"), "id").limit(10).select("path", F.lit(0.5).alias("score"))
+    like = search.keyword_search(A.chunks(n), TERMS, 10).select("path", F.lit(0.5).alias("score"))
+    hits = filters.metadata_search(n, 4, domain="en", content_type="hub").select("path", F.lit(1.0).alias("score"))
+    return search.with_fallback([nothing, indexed, like], 10, hits)
+
+
+@query(f"{FALLBACK} select place :: int as place, path, '[' || place || '] ' || title || ' (' || path || ')' || chr(10) || left(text, 200) as context from f join notes using (path) where place <= 10")
+def ask_context(spark, sf_dir):
+    return search.ask_context(_fallback(spark, sf_dir), A.notes(spark, sf_dir), 200)
+
+
+@query(f"{NOTES}, {BM25} select path, 0.5 :: double as composite from seen join top using (id) order by rank desc, id limit 10")
+def keyword_fallback(spark, sf_dir):
+    n = A.notes(spark, sf_dir).where(filters.visible())
+    return n.join(search.bm25(n, _BM, 30), "id").orderBy(F.desc("rank"), "id").limit(10).select("path", F.lit(0.5).alias("composite"))
+
+
+@query(
+    f"""{NOTES}, near as (select path, {DISTANCE} as distance from seen s join embeddings e on e.vec_id = s.id order by distance, id limit 20)
+    select path, 'preference' as kind, floor((0.6 * (1 - pow(0.5, 2)) + 0.4 * greatest(0.0, (greatest(0.0, 1 - distance / 20.0) - 0.7) / 0.3)) * 1000 + 0.5) / 1000 as confidence from near
+    where path <> (select path from notes where id = {QUERY_VECTOR}) and 1 - distance / 20.0 >= 0.7"""
+)
+def saved_contradictions(spark, sf_dir):
+    n = A.notes(spark, sf_dir)
+    near = search.nearest(n, A.vectors(spark, sf_dir), _vector(spark, sf_dir), 20).select("path", "distance")
+    saved = n.where(F.col("id") == QUERY_VECTOR).first()["path"]
+    return trust.mark_contradicted(n, near, F.lit("We picked this and went with it."), F.lit(saved))
+
+
+@query(
+    """select 'c' || conv_id as path, (row_number() over (partition by conv_id order by turn) - 1) :: int as turn, role, trim(text, ' ' || chr(10) || chr(9)) as text
+    from conversations where role in ('user', 'assistant')"""
+)
+def turn_markers(spark, sf_dir):
+    c = A.read(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+    said = F.concat(F.when(F.col("role") == "user", "**User:** ").otherwise("Assistant: "), "text")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("line")))), lambda t: t["line"])
+    notes = c.groupBy(F.concat(F.lit("c"), "conv_id").alias("path")).agg(F.concat(F.lit("```\nUser: in code\n```\n"), F.array_join(lines, "\n")).alias("text"))
+    return chunking.turn_markers(notes)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 

@@ -193,3 +193,53 @@ def test_transcripts(spark):
     got = transcripts.parse(df).collect()
     assert [(r.role, r.text) for r in got] == [("user", "hello"), ("assistant", "done")]
     assert sorted(r.changed for r in transcripts.files_changed(transcripts.parse(df)).collect()) == ["a.py", "out.txt", "q"]
+
+
+def test_turn_markers(spark):
+    from quillon.operators import chunking
+
+    body = "User: one\n```\nAI: in code\n```\nmore\n**Assistant**: two\nuser: no marker\n**Human:** three\n```\nAI: never closed"
+    got = chunking.turn_markers(spark.createDataFrame([("a", body), ("b", None), ("c", "no turns")], "path string, text string")).collect()
+    assert [(r.path, r.turn, r.role, r.text) for r in sorted(got, key=lambda r: r.turn)] == [
+        ("a", 0, "user", "one\n```\nAI: in code\n```\nmore"), ("a", 1, "assistant", "two\nuser: no marker"), ("a", 2, "user", "three\n```\nAI: never closed"),
+    ]
+
+
+def test_vectors_of_another_model(spark):
+    import pytest
+
+    from quillon.operators import filters
+
+    v = spark.createDataFrame([(1, [0.5, 0.5])], "note_id long, embedding array<double>")
+    assert filters.check_vectors(v, 2, {}, "p", "m") is v
+    assert filters.check_vectors(v, 2, {"embed_dims": "2", "embed_provider": "p", "embed_model": "m"}, "p", "m") is v
+    for stored in ({"embed_dims": "3"}, {"embed_provider": "p", "embed_model": "other"}):
+        with pytest.raises(ValueError):
+            filters.check_vectors(v, 2, stored, "p", "m")
+
+
+def test_delete_all_keeps_columns(spark):
+    from quillon.operators import dml
+
+    a, b = dml.delete_all(spark.createDataFrame([(1, "x")], "id long, path string"), spark.range(3))
+    assert a.columns == ["id", "path"] and a.count() == b.count() == 0
+
+
+def test_similar_pairs_and_nearest_by_brute_force(spark):
+    import numpy as np
+
+    from quillon.operators import search, trust
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 6))
+    x[7] = x[3]
+    x[11] = 0
+    v = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)] + [(500, None)], "note_id long, embedding array<double>")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if round(float(unit[i] @ unit[j]), 6) >= 0.7}
+    assert {(r.a, r.b) for r in trust.similar_pairs(v, 0.7, block=16).collect()} == want and (3, 7) in want
+    near = {(r.q_id, r.place): r.other for r in search.nearest_of_each(v.where("note_id % 10 = 0"), v, 3, block=16).collect()}
+    for q in range(0, 90, 10):
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        assert [near[q, p] for p in (1, 2, 3)] == [int(i) for i in np.lexsort((np.arange(90), np.round(d, 9)))[:3]]
