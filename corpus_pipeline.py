@@ -3,6 +3,12 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns the documents it keeps, with the
 columns of ``docs``; the last one returns packed pieces. ``run`` writes what each stage returns as Parquet in the shared
 folder and reads it again as the next one's ``docs``, so a lost executor costs one stage's tasks at most.
+
+In every stage: null and empty texts are judged as empty ones by the models (and fail the base rules, as they have fewer than
+20 words); near duplicates and decontamination keep them, packing gives them a piece of one token. Rows with a null id are
+kept by all stages and packed. Rows that repeat an id are judged by their own texts by the models; near duplicates and decontamination keep
+or drop all rows of an id together. Ties go to the smallest id. An empty table gives empty results; columns beyond those
+of ``documents`` go along, whatever they are called, and packing ignores them. Texts are read whole, however long.
 """
 
 from __future__ import annotations
