@@ -16,7 +16,7 @@ with a null conversation form one conversation with a null id. Null turns come f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END, HEAD = "</turn>", "### "
@@ -39,8 +39,14 @@ def unescape(text: Column) -> Column:
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, formatted, loss_spans array<struct<start,length>>) of each conversation."""
     role = F.replace(escape(F.coalesce(F.col("role"), F.lit(""))), F.lit(":"), F.lit("\\c"))
-    rows = turns.select("conv_id", F.struct("turn", role.alias("role"), escape(F.coalesce(F.col("text"), F.lit(""))).alias("text")).alias("t"))
-    gathered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), escape(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+    # where each text begins in the formatted one: a running sum of texts, marks, and heads (with a line break) where a block begins
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    before = F.lag("role").over(order)
+    head = F.when(before.isNull(), F.length("role") + len(HEAD) + 2).when(before != F.col("role"), F.length("role") + len(HEAD) + 3).otherwise(0)
+    end = F.sum(head + F.length("text") + len(END)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("at", (end - F.length("text") - len(END)).cast("int"))
+    gathered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "at"))).alias("turns"))
     # where runs of one role begin, then a block for each run
     merged = gathered.withColumn(
         "begins", F.expr("filter(sequence(0, size(turns) - 1), i -> i = 0 or turns[i].role <> turns[greatest(i - 1, 0)].role)")
@@ -56,21 +62,8 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         "formatted",
         F.expr(f"array_join(transform(blocks, (b, k) -> concat(heads[k], array_join(b.texts, '{END}'), '{END}')), '\n')"),
     )
-    # length of each text with its mark, preceded by a head (and a line break) where a block begins
-    steps = formatted.withColumn(
-        "steps",
-        F.expr(
-            "flatten(transform(blocks, (b, k) -> transform(b.texts, (t, i) -> named_struct("
-            "'skip', if(i = 0, length(heads[k]) + if(k = 0, 0, 1), 0), 'len', length(t), "
-            f"'loss', b.role = '{loss_role}'))))"
-        ),
-    )
-    spans = F.expr(
-        "filter(aggregate(steps, named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,length:int,loss:boolean>>)), "
-        f"(acc, s) -> named_struct('at', acc.at + s.skip + s.len + {len(END)}, 'spans', "
-        "concat(acc.spans, array(named_struct('start', acc.at + s.skip, 'length', s.len, 'loss', s.loss))))).spans, s -> s.loss)"
-    )
-    return steps.select("conv_id", "formatted", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("loss_spans"))
+    spans = F.expr(f"transform(filter(turns, t -> t.role = '{loss_role}'), t -> named_struct('start', t.at, 'length', length(t.text)))")
+    return formatted.select("conv_id", "formatted", spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
