@@ -710,3 +710,35 @@ def test_pipeline(spark):
     assert sum(1 for d, q in labels.items() if q == 0 and d in left) <= 2
     out = p.run(spark, SF).collect()
     assert {r.doc_id for r in out} == left and sum(r.length for r in out if r.start == 0) > 0
+
+
+def test_pipeline_odd_rows(spark):
+    """Nulls, repeated ids, a column named like one of a stage's own, and an empty table, through every stage."""
+    import corpus_pipeline as p
+
+    good = max((r for r in read(spark, "documents").join(read(spark, "labels").where("quality = 1"), "doc_id").collect()), key=lambda r: len(set(r.text.split())))
+    rows = [(1, good.text, "en", "s", 0, "x"), (2, good.text, "en", None, 0, "x"), (2, good.text, None, "s", None, None), (None, good.text, "en", "s", 0, "x"), (4, None, "en", "s", 0, "x"), (5, "", "en", "s", 0, "x")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    left = {}
+    for name, stage in p.STAGES[:-1]:
+        got = stage(spark, odd, SF)
+        assert got.columns == odd.columns
+        left[name] = Counter(r.doc_id for r in got.collect())
+        assert stage(spark, odd.limit(0), SF).count() == 0
+    assert left["quality rules"] == Counter({1: 1, 2: 2, None: 1})
+    assert left["near duplicates"] == Counter({1: 1, None: 1, 4: 1, 5: 1})  # of one text the smallest id stays
+    assert sum(left["benchmark decontamination"].values()) in (len(rows), len(rows) - 4)
+    packed = p.STAGES[-1][1](spark, odd, SF).collect()
+    assert sum(r.length for r in packed if r.doc_id in (4, 5)) == 2 and sum(r.start == 0 for r in packed) == len(rows)
+    assert p.STAGES[-1][1](spark, odd.limit(0), SF).count() == 0
+
+
+def test_chat_of_many_turns(spark):
+    """Places of loss spans in a conversation of thousands of turns, null turns and repeated rows among them."""
+    rows = [(1, i if i % 50 else None, "assistant" if i % 3 else "user", f"text {i % 7} </turn> \\\\h ###") for i in range(3000)] + [(1, 3, "assistant", "same")] * 2
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.format_conversations(frame)).first()
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0))
+    assert len(got.turns) == len(rows) and Counter((t.role, t.text) for t in got.turns) == Counter((r[2], r[3]) for r in want)
+    assert got.loss_text == "".join(t.text for t in got.turns if t.role == "assistant")
+
