@@ -33,6 +33,8 @@ from quillon.llm.shared import table
 
 #: A similarity of 0.8 leaves 19 of 128 bits different on average, with a deviation of 4.
 K, BITS, BLOCKS, RADIUS, LEAST = 5, 128, 11, 32, 0.8
+#: Values of the marks by which documents without a shared place are left where they lie; no more rows than this are broadcast.
+MARKS = 1 << 20
 
 
 # Arrays are exploded with the outer form: for the inner one Spark adds a filter on the array's size below the step
@@ -119,8 +121,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = hashed.select("doc_id", "row", F.posexplode_outer("h").alias("pos", "s")).join(known, "s")
     # a document's shared places; no more than its words
     places = table(hits.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("pos", "lengths"))).alias("f")), "places")
-    # what shares anything is cut into words again, so that no text or hashes of others were carried along
-    again = docs.join(places, ["doc_id", "row"]).select("doc_id", "f", tokens("text").alias("w"))
+    # what shares anything is cut into words again; of the others only texts that meet a mark by chance are shuffled
+    mark = F.pmod(F.xxhash64("doc_id", "row"), F.lit(MARKS)).cast("int").alias("mark")
+    some = docs.select("*", mark).join(F.broadcast(places.select(mark).distinct()), "mark", "left_semi")
+    again = some.join(places.hint("merge"), ["doc_id", "row"]).select("doc_id", "f", tokens("text").alias("w"))
     placed = again.select("doc_id", shingle_hashes("w").alias("h"), F.col("f.pos").alias("p"), F.col("f.lengths").alias("q"))
     wide = f"greatest(l - {K} + 1, 1)"
     # a place whose shingle no item has weighs at least as much as any other: beyond this share of them a window can't reach LEAST
