@@ -82,10 +82,29 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_read(spark, sf_dir, "pages"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.fingerprints import fingerprints
+
+    return fingerprints(_read(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.negatives import mine
+
+    return mine(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.clusters import lloyd
+
+    return lloyd(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_quality, op2_chat, op3_near_duplicates, op4_warc, op5_quality_rules,
         op6_licenses, op7_packing, op8_sharding, op9_decontamination, op10_html,
+        op11_fingerprints, op12_hard_negatives, op13_centroids,
     )
     return {f.__name__: f for f in ops}
 
@@ -112,5 +131,45 @@ from f group by conv_id
 """
 
 
+#: Vectors without a null or non-finite component, as whole numbers.
+_WHOLE = """list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"""
+
+OP12_SQL = f"""
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, {_WHOLE} and label is not null),
+s as (
+    select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_inner_product(a.v::double[], b.v::double[]) as bigint) as score
+    from r a join r b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+), p as (
+    select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5
+)
+select p.anchor_id, p.positive_id, cast(row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other) as int) as rank,
+    s.other as negative_id, p.positive_score, s.score as negative_score
+from p join s using (anchor_id) where not s.same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score
+qualify rank <= 3
+"""
+
+
+def _op13_sql(rounds: int = 5, k: int = 40, seed: int = 2) -> str:
+    """Every round in full: all vectors against all centroids."""
+    parts = [
+        f"r as materialized (select vec_id, {_WHOLE} and len(embedding) = 64)",
+        f"c0 as materialized (select row_number() over (order by sha256('{seed}:' || vec_id)) - 1 as cluster, v as c from r order by sha256('{seed}:' || vec_id) limit {k})",
+    ]
+    far = "cast(list_inner_product(v::double[], v::double[]) - 2 * list_inner_product(v::double[], c::double[]) + list_inner_product(c::double[], c::double[]) as bigint)"
+    for i in range(rounds + 1):
+        parts.append(
+            f"a{i} as materialized (select vec_id, any_value(v) as v, arg_min(cluster, (d, cluster)) as cluster, min(d) as distance from (select vec_id, v, cluster, {far} as d from r, c{i}) group by vec_id)"
+        )
+        if i < rounds:
+            parts.append(
+                f"""m{i} as (select cluster, list(cast((s - ((s % n) + n) % n) // n as bigint) order by pos) as c from (
+                    select cluster, pos, sum(x) as s, count(*) as n from (select cluster, unnest(v) as x, generate_subscripts(v, 1) as pos from a{i}) group by all) group by cluster)"""
+            )
+            parts.append(f"c{i + 1} as materialized (select cluster, coalesce(m{i}.c, c{i}.c) as c from c{i} left join m{i} using (cluster))")
+    return f"""with {", ".join(parts)} select vec_id, cast(cluster as int) as cluster, distance, cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia,
+        cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256 from a{rounds} join c{rounds} using (cluster)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL}
+    return {"op2_chat": OP2_SQL, "op12_hard_negatives": OP12_SQL, "op13_centroids": _op13_sql()}
