@@ -94,7 +94,10 @@ class Encoder:
         self.used += need
 
     def _forget(self) -> None:
-        keep = self.met > np.median(self.met)
+        # what the slice at hand has met must stay; of the rest the older half goes
+        keep = self.met >= self.clock
+        if not keep.all():
+            keep |= self.met > np.median(self.met[~keep])
         size = self.size[keep].astype(np.int64)
         to = np.cumsum(size) - size
         pool = self.pool[np.repeat(self.start[keep] - to, size) + np.arange(size.sum())]
