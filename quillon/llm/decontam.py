@@ -7,7 +7,9 @@ better than the next window; so windows are laid at every place whose shingle so
 that have it, and no best similarity is missed. A window in which more places are foreign to the whole benchmark than
 ``LEAST`` allows is not laid. The end of a text may cut a window short.
 
-The fingerprint of a window or item has ``BITS`` bits, the signs of its shingles' hash bits summed up. Fingerprints of
+The fingerprint of a window or item has ``BITS`` bits, the signs of its distinct shingles' hash bits summed up, each by the square root
+of the shingle's weight (one that no item has weighs the most): so the angle between a window and an item follows from the weights that the
+similarity below compares, and one of 0.8 has a cosine of 0.889 at least, however unequal the weights are. Fingerprints of
 equal window length within ``RADIUS`` are found by a multi-index: of ``BLOCKS`` blocks at least one differs in at most
 RADIUS // BLOCKS bits, and the items' side of the index lists every value of a block within that distance, so none
 within the radius is missed. Candidates are verified exactly:
@@ -54,10 +56,10 @@ def shingle_hashes(words: str) -> Column:
     )
 
 
-def fingerprint(hashes: str) -> Column:
-    """128 signs packed in two longs: a bit is set if more than half of the shingles' hashes have it."""
-    bits = "aggregate(transform(sequence(0, 63), b -> if(aggregate(x, 0, (acc, y) -> acc + cast(shiftright(y, b) & 1 as int)) * 2 > size(x), shiftleft(1L, b), 0L)), 0L, (acc, y) -> acc | y)"
-    return F.expr(f"transform(array({hashes}, transform({hashes}, x -> xxhash64(x))), x -> {bits})")
+def fingerprint(weighed: str) -> Column:
+    """128 signs packed in two longs, of an array of struct(s, w): a bit is set if the hashes that have it outweigh the others."""
+    bits = "aggregate(transform(sequence(0, 63), b -> if(aggregate(x, 0D, (acc, y) -> acc + if(shiftright(y.s, b) & 1 = 1, y.w, -y.w)) > 0, shiftleft(1L, b), 0L)), 0L, (acc, y) -> acc | y)"
+    return F.expr(f"transform(array({weighed}, transform({weighed}, x -> named_struct('s', xxhash64(x.s), 'w', x.w))), x -> {bits})")
 
 
 def _block_bounds() -> list[tuple[int, int]]:
@@ -84,7 +86,7 @@ def _near_masks(n: int) -> list[int]:
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """(item_id, n_words, shingles map<hash, weight>, weight, most, finger) of each item with a word."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens("text").alias("w")).where("item_id is not null and size(w) > 0")
-    items = items.select("item_id", F.size("w").alias("n_words"), F.array_distinct(shingle_hashes("w")).alias("h"), shingle_hashes("w").alias("all"))
+    items = items.select("item_id", F.size("w").alias("n_words"), F.array_distinct(shingle_hashes("w")).alias("h"))
     n = items.agg(F.count_distinct("item_id").alias("n")).first()["n"]
     weights = (
         items.select("item_id", F.explode_outer("h").alias("s"))
@@ -97,11 +99,10 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
         .distinct()
         .join(weights, "s")
         .groupBy("item_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("s", "weight"))).alias("shingles"), F.sum("weight").alias("weight"), F.max("most").alias("most"))
+        .agg(F.collect_list(F.struct("s", "weight")).alias("entries"), F.sum("weight").alias("weight"), F.max("most").alias("most"))
+        .select("item_id", F.map_from_entries("entries").alias("shingles"), F.transform("entries", lambda e: F.struct(e["s"].alias("s"), F.sqrt(e["weight"]).alias("w"))).alias("z"), "weight", "most")
     )
-    return items.groupBy("item_id").agg(F.max("n_words").alias("n_words"), F.max_by("all", "n_words").alias("all")).join(by_item, "item_id").select(
-        "item_id", "n_words", "shingles", "weight", "most", fingerprint("all").alias("finger")
-    )
+    return items.groupBy("item_id").agg(F.max("n_words").alias("n_words")).join(by_item, "item_id").select("item_id", "n_words", "shingles", "weight", "most", fingerprint("z").alias("finger"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -109,9 +110,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = table(benchmark_items(benchmark), "items")
     # with the distinct lengths of the items that have it: as many as the longest item has words at most
-    known = table(items.select("n_words", F.explode(F.map_keys("shingles")).alias("s")).groupBy("s").agg(F.collect_set("n_words").alias("lengths")), "known")
+    known = items.select("n_words", F.explode("shingles").alias("s", "weight")).groupBy("s").agg(F.collect_set("n_words").alias("lengths"), F.sqrt(F.max("weight")).alias("w"))
+    known = table(known, "known")
     empty = "doc_id long, item_id long, similarity double, start int, n_words int"
-    if not items.limit(1).count():
+    one = items.select("most").first()
+    if one is None:
         return spark.createDataFrame([], empty)
     # rows that repeat an id are told apart by their texts
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
@@ -120,27 +123,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # only hashes meet the benchmark's, which Spark sends to all tasks while they are few, and shuffles otherwise
     hits = hashed.select("doc_id", "row", F.posexplode_outer("h").alias("pos", "s")).join(known, "s")
     # a document's shared places; no more than its words
-    places = table(hits.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("pos", "lengths"))).alias("f")), "places")
+    places = table(hits.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("pos", "lengths", "w"))).alias("f")), "places")
     # what shares anything is cut into words again; of the others only texts that meet a mark by chance are shuffled
     mark = F.pmod(F.xxhash64("doc_id", "row"), F.lit(MARKS)).cast("int").alias("mark")
     some = docs.select("*", mark).join(F.broadcast(places.select(mark).distinct()), "mark", "left_semi")
     again = some.join(places.hint("merge"), ["doc_id", "row"]).select("doc_id", "f", tokens("text").alias("w"))
-    placed = again.select("doc_id", shingle_hashes("w").alias("h"), F.col("f.pos").alias("p"), F.col("f.lengths").alias("q"))
+    placed = again.select("doc_id", shingle_hashes("w").alias("h"), F.col("f.pos").alias("p"), F.col("f.lengths").alias("q"), F.col("f.w").alias("known"))
+    # the weight at each place: those between the known ones are foreign to the benchmark
+    most = f"sqrt({one.most!r}D)"
+    between = f"flatten(transform(p, (x, i) -> concat(array_repeat({most}, x - coalesce(get(p, i - 1), -1) - 1), array(known[i]))))"
+    weights = F.expr(f"concat({between}, array_repeat({most}, size(h) - element_at(p, -1) - 1))")
+    placed = placed.withColumn("z", F.arrays_zip(F.col("h").alias("s"), weights.alias("w")))
     wide = f"greatest(l - {K} + 1, 1)"
     # a place whose shingle no item has weighs at least as much as any other: beyond this share of them a window can't reach LEAST
     enough = f"greatest(least({wide}, size(h) - x) - cast(floor({wide} * {1 / LEAST - 1}) as int), 1)"
     windows = placed.select(
-        "doc_id", "h",
+        "doc_id", "z",
         F.expr(
             "flatten(transform(p, (x, i) -> transform("
             f"filter(q[i], l -> coalesce(get(p, i + {enough} - 1) < x + {wide}, false)), l -> named_struct('start', x, 'n_words', l))))"
         ).alias("windows"),
     )
     laid = (
-        windows.select("doc_id", F.explode_outer(F.expr(f"transform(windows, v -> named_struct('start', v.start, 'n_words', v.n_words, 'h', slice(h, v.start + 1, greatest(v.n_words - {K} + 1, 1))))")).alias("v"))
+        windows.select("doc_id", F.explode_outer(F.expr(f"transform(windows, v -> named_struct('start', v.start, 'n_words', v.n_words, 'z', slice(z, v.start + 1, greatest(v.n_words - {K} + 1, 1))))")).alias("v"))
         .where("v is not null")
         .select("doc_id", "v.*")
-        .withColumn("finger", fingerprint("h"))
+        .select("doc_id", "start", "n_words", F.col("z.s").alias("h"), fingerprint("array_distinct(z)").alias("finger"))
     )
     laid = table(laid, "laid")
     masks = F.create_map(*[x for b, (_, n) in enumerate(_block_bounds()) for x in (F.lit(b), F.array(*[F.lit(m) for m in _near_masks(n)]))])
