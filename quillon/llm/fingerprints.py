@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from quillon.llm.shared import table
 
 #: Cells of a fingerprint, and of each table of a larger sketch; a third of them for each of three hashes.
-CELLS, LARGER = 24, 48
+CELLS, LARGER = 24, 96
 #: Differing paragraphs that a table of a larger sketch is meant for; tables of one row at most.
-LOAD, TABLES = 8, 64
-#: Rounds of peeling, in each of which all single hashes go at once. What needs more of them counts as a failure.
+LOAD, TABLES = 4, 128
+#: Rounds of peeling, in each of which all single hashes go at once; what needs more of them counts as a failure.
 PEELS = 6
 #: Where a paragraph ends: a line's end, or a sentence's before a vowel.
 ENDS = r"[\n\r]+|(?<=[.!?] )(?=[AEIOUaeiou])"
@@ -48,68 +48,65 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit("check"))
 
 
-def _places(key: Column, seed: int, cells: int) -> Column:
-    """A hash's three cells."""
+def _at(key: Column, j: int, seed: int, cells: int) -> Column:
+    """A hash's cell in the j-th third."""
     third = cells // 3
-    return F.array(*[(F.pmod(F.xxhash64(key, F.lit(seed), F.lit(j)), F.lit(third)) + j * third).cast("int") for j in range(3)])
+    return (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(j)), F.lit(third)) + j * third).cast("int")
 
 
-def sketch(keys: Column, seed: int = 0, cells: int = CELLS) -> Column:
-    """Cells struct(at, n, key, check) of a set of hashes."""
-
-    def fill(placed: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
+def _entry(key: Column, sign: Column, seed: int, cells: int) -> list[Column]:
+    """A hash with its sign, its check and its cells."""
+    return [key.alias("key"), sign.alias("n"), _check(key).alias("check"), *[_at(key, j, seed, cells).alias(f"at{j}") for j in range(3)]]
 
-        def cell(at: Column) -> Column:
-            own = F.filter(placed, lambda p: F.array_contains(p["places"], at))
-            total = F.aggregate(own, zero, lambda a, p: F.struct((a["n"] + 1).alias("n"), a["key"].bitwiseXOR(p["k"]).alias("key"), a["check"].bitwiseXOR(p["c"]).alias("check")))
-            return _letting(total, lambda t: F.struct(at.alias("at"), t["n"].alias("n"), t["key"].alias("key"), t["check"].alias("check")))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell)
+def _added(cell: Column, entry: Column, sign: int = 1) -> Column:
+    n = cell["n"] + entry["n"] if sign > 0 else cell["n"] - entry["n"]
+    return F.struct(cell["at"].alias("at"), n.alias("n"), cell["key"].bitwiseXOR(entry["key"]).alias("key"), cell["check"].bitwiseXOR(entry["check"]).alias("check"))
 
-    return _letting(F.transform(keys, lambda k: F.struct(k.alias("k"), _check(k).alias("c"), _places(k, seed, cells).alias("places"))), fill)
 
+def _filled(entries: Column, places: list[Column]) -> Column:
+    """The cells at ``places``, given for each third, with what entries put into them."""
+    zero = lambda at: F.struct(at.alias("at"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
 
-def subtract(a: Column, b: Column) -> Column:
-    def less(x: Column, y: Column) -> Column:
-        return F.struct(x["at"].alias("at"), (x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check"))
+    def third(j: int) -> Column:
+        return F.transform(places[j], lambda at: F.aggregate(F.filter(entries, lambda e: e[f"at{j}"] == at), zero(at), lambda c, e: _added(c, e)))
 
-    return F.zip_with(a, b, less)
+    return F.concat(*[third(j) for j in range(3)])
 
 
-def _single(c: Column) -> Column:
-    return (F.abs(c["n"]) == 1) & (_check(c["key"]) == c["check"])
+def sketch(keys: Column, seed: int = 0, cells: int = CELLS) -> Column:
+    """Cells struct(at, n, key, check) of a set of hashes."""
+    third = cells // 3
+    places = [F.array(*map(F.lit, range(j * third, (j + 1) * third))) for j in range(3)]
+    return _letting(F.transform(keys, lambda k: F.struct(*_entry(k, F.lit(1), seed, cells))), lambda entries: _filled(entries, places))
 
 
-def peel(cells_: Column, seed: int = 0, cells: int = CELLS) -> Column:
-    """struct(more, less) of the hashes recovered from a difference, by sign; null if some cells stay."""
+def subtract(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: _added(x, y, -1))
 
-    def once(state: Column, _: Column) -> Column:
-        single = F.array_distinct(F.transform(F.filter(state["left"], _single), lambda c: F.struct(c["key"].alias("k"), c["n"].alias("n"))))
-        placed = F.transform(single, lambda s: F.struct(s["k"].alias("k"), s["n"].alias("n"), _check(s["k"]).alias("c"), _places(s["k"], seed, cells).alias("places")))
 
-        def without(found: Column) -> Column:
-            def rest(c: Column) -> Column:
-                mine = F.filter(found, lambda s: F.array_contains(s["places"], c["at"]))
-                take = lambda a, s: F.struct(
-                    a["at"].alias("at"), (a["n"] - s["n"]).alias("n"), a["key"].bitwiseXOR(s["k"]).alias("key"), a["check"].bitwiseXOR(s["c"]).alias("check")
-                )
-                return F.aggregate(mine, c, take)
+def _occupied(c: Column) -> Column:
+    return (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0)
 
-            got = F.concat(state["got"], F.transform(found, lambda s: F.struct(s["k"].alias("k"), s["n"].alias("n"))))
-            return F.struct(F.when(F.size(found) == 0, state["left"]).otherwise(F.transform(state["left"], rest)).alias("left"), got.alias("got"))
 
-        return _letting(placed, without)
+def peel(difference: Column, seed: int = 0, cells: int = CELLS) -> Column:
+    """struct(more, less) of the hashes recovered from a difference, by sign; null if some cells stay. Cells that are empty take no part."""
+    single = lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"]) == c["check"])
+    entry = lambda c: F.struct(*_entry(c["key"], c["n"], seed, cells))
+    meets = lambda e, at: (e["at0"] == at) | (e["at1"] == at) | (e["at2"] == at)
 
-    start = F.struct(cells_.alias("left"), F.array().cast("array<struct<k:bigint,n:int>>").alias("got"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(PEELS)), start, once)
+    def once(state: Column, _: Column) -> Column:
+        def without(found: Column) -> Column:
+            rest = F.transform(state["left"], lambda c: F.aggregate(F.filter(found, lambda e: meets(e, c["at"])), c, lambda x, e: _added(x, e, -1)))
+            got = F.concat(state["got"], F.transform(found, lambda e: F.struct(e["key"].alias("key"), e["n"].alias("n"))))
+            return F.when(F.size(found) == 0, state).otherwise(F.struct(F.filter(rest, _occupied).alias("left"), got.alias("got")))
 
-    def done(s: Column) -> Column:
-        empty = F.forall(s["left"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0))
-        sign = lambda way: F.transform(F.filter(s["got"], lambda g: g["n"] == way), lambda g: g["k"])
-        return F.when(empty, F.struct(sign(1).alias("more"), sign(-1).alias("less")))
+        return _letting(F.array_distinct(F.transform(F.filter(state["left"], single), entry)), without)
 
-    return _letting(end, done)
+    start = F.struct(F.filter(difference, _occupied).alias("left"), F.array().cast("array<struct<key:bigint,n:int>>").alias("got"))
+    sign = lambda got, way: F.transform(F.filter(got, lambda g: g["n"] == way), lambda g: g["key"])
+    end = lambda s: F.when(F.size(s["left"]) == 0, F.struct(sign(s["got"], 1).alias("more"), sign(s["got"], -1).alias("less")))
+    return _letting(F.aggregate(F.sequence(F.lit(1), F.lit(PEELS)), start, once), end)
 
 
 def _differing(recovered: Column) -> Column:
@@ -123,23 +120,40 @@ def _tables(a: Column, b: Column) -> Column:
     return F.least(F.greatest(wanted, F.lit(2)), F.lit(TABLES)).cast("int")
 
 
-def _of_table(keys: Column, at: Column, n: Column, seed: int) -> Column:
-    return F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(seed), F.lit("table")), n) == at)
+def _table_of(key: Column, n: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(seed), F.lit("table")), n)
+
+
+def _one_table(entries: Column, seed: int) -> Column:
+    """How many hashes differ, by one table of a larger sketch: both texts' hashes go in with their signs, which is one sketch less the other.
+
+    Only cells that get something are made.
+    """
+    places = [F.array_distinct(F.transform(entries, _of(f"at{j}"))) for j in range(3)]
+    return _differing(peel(_filled(entries, places), seed, LARGER))
+
+
+def _of(field: str):
+    return lambda e: e[field]
+
+
+def _signed(a: Column, b: Column, n: Column, seed: int) -> Column:
+    """Hashes of both with their signs, and the table of ``n`` that each goes to."""
+    part = lambda keys, sign: F.transform(keys, lambda k: F.struct(_table_of(k, n, seed).alias("t"), *_entry(k, F.lit(sign), seed, LARGER)))
+    return F.concat(part(a, 1), part(b, -1))
 
 
 def larger(a: Column, b: Column, seed: int) -> Column:
     """How many hashes differ by a larger sketch; null if a table of it could not be peeled, or it needs more than ``TABLES``."""
 
-    def every(n: Column) -> Column:
-        def one(at: Column) -> Column:
-            parts = F.struct(_of_table(a, at, n, seed).alias("a"), _of_table(b, at, n, seed).alias("b"))
-            return _letting(parts, lambda p: _differing(peel(subtract(sketch(p["a"], seed, LARGER), sketch(p["b"], seed, LARGER)), seed, LARGER)))
-
-        found = F.transform(F.sequence(F.lit(0), n - 1), one)
-        return _letting(found, lambda f: F.when(F.forall(f, lambda x: x.isNotNull()), F.aggregate(f, F.lit(0), lambda t, x: t + x)))
+    def every(x: Column) -> Column:
+        one = lambda at: _letting(F.filter(x["entries"], lambda e: e["t"] == at), lambda mine: _one_table(mine, seed))
+        found = F.transform(F.sequence(F.lit(0), x["n"].cast("long") - 1), one)
+        return _letting(found, lambda f: F.when(F.forall(f, lambda d: d.isNotNull()), F.aggregate(f, F.lit(0), lambda t, d: t + d)))
 
     fits = F.size(a) + F.size(b) <= LOAD * TABLES
-    return F.when(fits, _letting(_tables(a, b), every))
+    with_tables = _letting(_tables(a, b), lambda n: F.struct(n.alias("n"), _signed(a, b, n, seed).alias("entries")))
+    return F.when(fits, _letting(with_tables, every))
 
 
 def _settle(open_: DataFrame) -> DataFrame:
@@ -148,10 +162,11 @@ def _settle(open_: DataFrame) -> DataFrame:
     while open_.limit(1).count():
         n = _tables(F.col("a"), F.col("b"))
         cut = open_.withColumn("n", n).select("uid", "kind", "a", "b", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
-        cut = cut.select("uid", "kind", *[_of_table(F.col(x), F.col("at"), F.col("n"), seed).alias(x) for x in "ab"])
+        own = lambda x: F.filter(x, lambda k: _table_of(k, F.col("n"), seed) == F.col("at"))  # noqa: E731, B023
+        cut = cut.select("uid", "kind", own("a").alias("a"), own("b").alias("b"))
         # tables still too full for their size are cut again before they are tried
-        small = F.size("a") + F.size("b") <= 4 * LOAD
-        tried = F.when(small, _differing(peel(subtract(sketch(F.col("a"), seed, LARGER), sketch(F.col("b"), seed, LARGER)), seed, LARGER)))
+        small = F.size("a") + F.size("b") <= 6 * LOAD
+        tried = F.when(small, _letting(_signed(F.col("a"), F.col("b"), F.lit(1), seed), lambda entries: _one_table(entries, seed)))  # noqa: B023
         tried = table(cut.withColumn("d", tried), "larger")
         done.append(tried.where("d is not null").select("uid", "kind", "d"))
         open_ = tried.where("d is null").select("uid", "kind", "a", "b")
