@@ -7,6 +7,7 @@ later steps rank is as small as the limit. Ties are broken by path or id.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from quillon.functions import scores as S
 from quillon.functions import text as T
 from quillon.operators.filters import metadata, visible
+from quillon.operators.textindex import TextIndex
 from quillon.storage import table
 
 CEILING = 20.0  # the distance at which semantic similarity ends
@@ -36,10 +38,11 @@ def nearest(notes: DataFrame, vectors: DataFrame, query: Column, k: int) -> Data
 def nearest_of_each(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """(q_id, other, place): for each query (note_id, embedding) the k nearest other vectors, the nearest first.
 
-    Blocks of queries meet blocks of vectors; a task keeps k for each of its queries, and the best of those are sought by query.
+    Blocks of queries meet blocks of vectors; a task keeps k for each of its queries, and the best of those are sought by query. Only vectors
+    of a query's own length have a distance from it.
     """
-    q = queries.where("embedding is not null").select("note_id", "embedding")
-    v = vectors.where("embedding is not null").select("note_id", "embedding")
+    q = queries.where("embedding is not null").select("note_id", "embedding", F.size("embedding").alias("dims"))
+    v = vectors.where("embedding is not null").select("note_id", "embedding", F.size("embedding").alias("dims"))
     n, m = max(1, math.ceil(q.count() / block)), max(1, math.ceil(v.count() / block))
     deal = lambda df, own, parts, other, others: df.withColumn(own, F.pmod(F.xxhash64("note_id"), F.lit(parts)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
@@ -57,16 +60,24 @@ def nearest_of_each(queries: DataFrame, vectors: DataFrame, k: int, block: int =
             out.append(pd.DataFrame({"q_id": i, "other": others[first], "distance": d[first]}))
         return pd.concat(out, ignore_index=True)
 
-    met = deal(q, "i", n, "j", m).groupBy("i", "j").cogroup(deal(v, "j", m, "i", n).groupBy("i", "j")).applyInPandas(best, "q_id long, other long, distance double")
+    met = deal(q, "i", n, "j", m).groupBy("dims", "i", "j").cogroup(deal(v, "j", m, "i", n).groupBy("dims", "i", "j")).applyInPandas(best, "q_id long, other long, distance double")
     place = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "other"))
     return met.withColumn("place", place).where(F.col("place") <= k).select("q_id", "other", "place")
 
 
-def vector_search(notes: DataFrame, vectors: DataFrame, query: Column, top_k: int = 10, ceiling: float = CEILING, tags=None, **equal) -> DataFrame:
-    """Five times as many neighbours, then metadata, the best chunk of each path, blended scores, top k by distance."""
+Late = Callable[[DataFrame], DataFrame] | None
+
+
+def vector_search(notes: DataFrame, vectors: DataFrame, query: Column, top_k: int = 10, ceiling: float = CEILING, tags=None, late: Late = None, **equal) -> DataFrame:
+    """Five times as many neighbours, then metadata, the best chunk of each path, blended scores, top k by distance.
+
+    ``late`` adds columns that only the neighbours need, such as counts of accesses.
+    """
     top_k = max(1, min(top_k, 100))
     found = nearest(notes, vectors, query, 5 * top_k)
-    span = found.agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
+    found = late(found) if late else found
+    every = Window.partitionBy(F.lit(0))  # 500 rows at most
+    found = found.withColumns({"low": F.min("distance").over(every), "high": F.max("distance").over(every)})
     kept = found.where(metadata(tags, **equal))
     first = Window.partitionBy("path").orderBy("distance", "id")
     best = kept.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").orderBy("distance", "id").limit(top_k)
@@ -74,7 +85,7 @@ def vector_search(notes: DataFrame, vectors: DataFrame, query: Column, top_k: in
     relative = F.when(F.col("high") <= F.col("low"), 1.0).otherwise(1 - (F.col("distance") - F.col("low")) / (F.col("high") - F.col("low")))
     blended = 0.7 * absolute + 0.3 * relative
     boosted = F.when(F.col("access_count") > 0, F.least(F.lit(1.0), blended + 0.02 * F.log1p(F.col("access_count").cast("double")))).otherwise(blended)
-    return best.crossJoin(F.broadcast(span)).select(  # one row
+    return best.select(
         "id", "path", "title", "content_type", "domain", "workstream", "trust_state", "modified", "text", S.round3(boosted).alias("score"), S.round1(F.col("distance")).alias("distance"),
         F.col("distance").alias("exact"),
     )
@@ -150,14 +161,8 @@ def fuzzy_title(roots: DataFrame, terms: list[str], limit: int = 10) -> DataFram
     return newest.where(near).orderBy(F.desc("modified"), "path").limit(limit)
 
 
-def postings(notes: DataFrame) -> DataFrame:
-    """(id, term, tf, length) of path, title and text together: the text index."""
-    terms = notes.select("id", T.tokens(F.concat_ws(" ", "path", "title", "text")).alias("terms"))
-    return terms.select("id", F.size("terms").alias("length"), F.explode_outer("terms").alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
-
-
 def bm25(notes: DataFrame, terms: list[str], limit: int = 30, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, rank) by BM25. Only the query's terms are counted in each text; collection figures are one row."""
+    """(id, rank) by BM25 where there is no index: all texts are cut, and only the query's terms are counted; collection figures are one row."""
     all_terms = T.tokens(F.concat_ws(" ", "path", "title", "text"))
     base = notes.select("id", all_terms.alias("terms"))
     # texts are cut once; both the figures and the ranking read what is left of them
@@ -172,12 +177,17 @@ def bm25(notes: DataFrame, terms: list[str], limit: int = 30, k1: float = 1.2, b
     return ranked.where("rank > 0").orderBy(F.desc("rank"), "id").limit(limit)
 
 
-def text_search(notes: DataFrame, terms: list[str], top_k: int = 10, tags=None, **equal) -> DataFrame:
-    """Best by BM25 (three times as many), then metadata; all have the score 0.5 and an access boost."""
+def text_search(notes: DataFrame, terms: list[str], top_k: int = 10, tags=None, index: TextIndex | None = None, late: Late = None, **equal) -> DataFrame:
+    """Best by BM25 (three times as many), then metadata; all have the score 0.5 and an access boost.
+
+    With an ``index`` of the visible notes only the terms' postings are read, and then the notes that they name.
+    """
     seen = notes.where(visible())
-    top = bm25(seen, terms, 3 * top_k)
+    top = index.bm25(terms, 3 * top_k) if index else bm25(seen, terms, 3 * top_k)
+    found = seen.join(F.broadcast(top), "id")  # 3 * top_k rows
+    found = late(found) if late else found
     boost = F.when(F.col("access_count") > 0, F.least(F.lit(1.0), 0.5 + 0.02 * F.log1p(F.col("access_count").cast("double")))).otherwise(0.5)
-    return seen.join(top, "id").where(metadata(tags, **equal)).withColumn("score", S.round3(boost)).orderBy(F.desc("rank"), "id").limit(top_k)
+    return found.where(metadata(tags, **equal)).withColumn("score", S.round3(boost)).orderBy(F.desc("rank"), "id").limit(top_k)
 
 
 def search_facts(facts: DataFrame, query: Column, top_k: int = 10) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import scores as S
+from quillon.operators import vectorindex
 from quillon.operators.mining import contradiction
 from quillon.storage import table
 
@@ -29,31 +28,25 @@ def propagate(notes: DataFrame, sources: DataFrame, files: DataFrame, as_of: flo
     return j.select("path", F.when(F.col("stale"), "stale").when(F.col("sourced"), "validated").otherwise(F.col("trust_state")).alias("trust_state"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
-    """(a, b, similarity) of all pairs a < b of (note_id, embedding) with a cosine of at least ``threshold``.
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = 2048, recall: float | None = None, index: tuple[int, int] | None = None) -> DataFrame:
+    """(a, b, similarity) of pairs a < b of (note_id, embedding) with a cosine of at least ``threshold``, exact for every pair returned.
 
-    Vectors are dealt into blocks of about ``block``; each task multiplies two of them and only pairs near the threshold
-    leave it, to be judged again exactly. All vectors are compared, so the work grows with their square, in even tasks. Null
-    vectors, and vectors of length zero, are like nothing.
+    Without ``recall`` all pairs are found: vectors are dealt into blocks of about ``block``, each task multiplies two of them, and
+    the work grows with the square of the vectors, in even tasks. With it (say 0.95), candidates come from an index of signed random
+    projections (``vectorindex``) in which a pair at the threshold is found with that probability at least, and closer ones with a higher
+    one; where such an index would not save half of the work (few vectors, or a low threshold) all pairs are compared all the same. ``index`` gives the number of
+    directions and tables of the index itself.
+
+    Vectors of unlike length are not similar. Null vectors, and vectors of length zero, are like nothing.
     """
-    rows = vectors.where("embedding is not null").select("note_id", "embedding")
-    n = max(1, math.ceil(rows.count() / block))
-
-    def multiply(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        ids, own = frame["note_id"].to_numpy(), frame["own"].to_numpy()
-        unit = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
-        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        p, q = np.nonzero(unit[left] @ unit[right].T >= threshold - 1e-5)
-        a, b = ids[left[p]], ids[right[q]]
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        keep = (a < b) if i != j else (ids[left[p]] < ids[right[q]])
-        return pd.DataFrame({"a": a[keep], "b": b[keep]})
-
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("note_id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
-    near = dealt.groupBy("i", "j").applyInPandas(multiply, "a long, b long").distinct()
+    rows = vectors.where("embedding is not null").select("note_id", "embedding", F.size("embedding").alias("dims"))
+    n = rows.count()
+    tables = index or (vectorindex.layout(n, threshold, recall) if recall else None)
+    if tables:
+        near = vectorindex.candidates(rows, threshold, *tables, block=block)
+    else:
+        near = vectorindex.in_blocks(rows.withColumn("parts", F.lit(max(1, math.ceil(n / block)))), ["dims"], threshold)
+    near = near.distinct()
     one, two = rows.select(F.col("note_id").alias("a"), F.col("embedding").alias("va")), rows.select(F.col("note_id").alias("b"), F.col("embedding").alias("vb"))
     return near.join(one, "a").join(two, "b").select("a", "b", F.round(S.cosine(F.col("va"), F.col("vb")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
@@ -84,7 +77,41 @@ def leader_groups(items: DataFrame, pairs: DataFrame, order: str = "modified") -
     return leaders.select(F.col("id").alias("leader"), F.col("id").alias("member")).union(first.select("leader", F.col("a").alias("member")))
 
 
-def tag_groups(notes: DataFrame, least: int = 2) -> DataFrame:
+def shared_tags(sets: DataFrame, least: int = 2) -> DataFrame:
+    """(a, b, shared) of pairs a < b of (id, tags) with at least ``least`` tags in common, whatever their case.
+
+    A prefix filter: a set's tags are ordered from the rarest to the commonest, and of two sets with so many in common one of the first
+    n - least + 1 of each must be the same; so the commonest tags, above all one that every set has, are no key of the join. Null and empty sets
+    have nothing in common with any.
+    """
+    own = sets.where("tags is not null").select("id", F.array_distinct(F.transform(F.filter("tags", lambda t: t.isNotNull()), lambda t: F.lower(t))).alias("tags")).where(F.size("tags") >= least)
+    each = own.select("id", F.explode("tags").alias("tag"))
+    often = each.groupBy("tag").agg(F.count("*").alias("n"))
+    ordered = each.join(often, "tag").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "tag"))).alias("t")).select("id", F.transform("t", lambda x: x["tag"]).alias("tags"))
+    ordered = table(ordered, "tag-sets")
+    keys = ordered.select("id", "tags", F.explode(F.slice("tags", F.lit(1), F.size("tags") - least + 1)).alias("key"))
+    a, b = (keys.select(F.col("id").alias(x), F.col("tags").alias(f"t{x}"), "key") for x in "ab")
+    # a pair meets at each key that both begin with, and counts at the first of them
+    met = a.join(b, "key").where("a < b").withColumn("common", F.array_intersect("ta", "tb"))
+    return met.where((F.size("common") >= least) & (F.get("common", F.lit(0)) == F.col("key"))).select("a", "b", F.size("common").alias("shared"))
+
+
+def tag_groups(notes: DataFrame, least: int = 2, order: str = "modified") -> DataFrame:
+    """(leader, member) of groups of at least two notes (id, tags) that share ``least`` tags with their leader; the newest note leads.
+
+    Notes with the same set of tags have the same leader, so leaders are sought among the distinct sets, each as its newest note.
+    """
+    sets = F.array_sort(F.array_distinct(F.transform(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull()), lambda t: F.lower(t))))
+    rows = notes.select("id", F.col(order).alias("at"), sets.alias("tags")).where(F.size("tags") >= least)
+    newest = F.min(F.struct(F.col("at").isNull().alias("late"), (-F.col("at")).alias("back"), "id")).alias("first")
+    classes = table(rows.groupBy("tags").agg(newest, F.count("*").alias("n")).select("tags", F.col("first.id").alias("id"), (-F.col("first.back")).alias("modified"), "n"), "classes")
+    led = leader_groups(classes, shared_tags(classes, least))
+    size = led.join(classes.select(F.col("id").alias("member"), "n"), "member").groupBy("leader").agg(F.sum("n").alias("size")).where("size >= 2")
+    kept = led.join(size.select("leader"), "leader", "left_semi").join(classes.select(F.col("id").alias("member"), "tags"), "member").select("leader", "tags")
+    return rows.join(kept, "tags").select("leader", F.col("id").alias("member"))
+
+
+def equal_tag_sets(notes: DataFrame, least: int = 2) -> DataFrame:
     """Sets of tags that several notes share whole, with how many."""
     return notes.where(F.size("tags") >= least).groupBy(F.array_join(F.array_sort("tags"), ",").alias("tags")).agg(F.count("*").alias("n")).where("n >= 2")
 

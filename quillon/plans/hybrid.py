@@ -15,7 +15,7 @@ from quillon.storage import table
 STRONG, FUZZY = 0.7, 0.4
 
 
-def fuse(notes: DataFrame, vectors: DataFrame, query: Column, text: str, top_k: int = 10, tags=None, **equal) -> DataFrame:
+def fuse(notes: DataFrame, vectors: DataFrame, query: Column, text: str, top_k: int = 10, tags=None, late: search.Late = None, **equal) -> DataFrame:
     """(path, score, source) before ranking.
 
     Strong title matches raise a neighbour's score; if the neighbours fill the list, its tail makes room for title
@@ -23,7 +23,7 @@ def fuse(notes: DataFrame, vectors: DataFrame, query: Column, text: str, top_k:
     """
     terms = T.search_terms(text)
     # a few rows that several branches use: written, so that the scan behind them runs once
-    near = table(search.vector_search(notes, vectors, query, top_k, tags=tags, **equal).select("id", "path", "score", "exact"), "near")
+    near = table(search.vector_search(notes, vectors, query, top_k, tags=tags, late=late, **equal).select("id", "path", "score", "exact"), "near")
     if not terms:
         return near.select("path", "score", F.lit("vector").alias("source"))
     found = search.title_match(notes, terms, 1, 2 * top_k).withColumn("kw", ranking.keyword_title_score(F.col("title"), F.col("text"), terms, text))
@@ -46,10 +46,10 @@ def fuse(notes: DataFrame, vectors: DataFrame, query: Column, text: str, top_k:
     return kept.unionByName(filled)
 
 
-def hybrid_search(notes: DataFrame, vectors: DataFrame, query: Column, text: str, top_k: int = 10, facts: DataFrame | None = None, boosts: dict[str, float] | None = None, noise=None, tags=None, **equal) -> DataFrame:
+def hybrid_search(notes: DataFrame, vectors: DataFrame, query: Column, text: str, top_k: int = 10, facts: DataFrame | None = None, boosts: dict[str, float] | None = None, noise=None, tags=None, late: search.Late = None, **equal) -> DataFrame:
     """Fusion, fuzzy titles for free places, ranking by title overlap, type boosts, facts."""
     terms = T.search_terms(text)
-    merged = table(fuse(notes, vectors, query, text, top_k, tags, **equal), "fused")
+    merged = table(fuse(notes, vectors, query, text, top_k, tags, late, **equal), "fused")
     if terms:
         near = search.fuzzy_title(notes.where(search.metadata(tags, **equal)), terms, 2 * top_k).select("path", "modified").join(merged, "path", "left_anti")
         free = merged.agg((F.lit(top_k) - F.count("*")).alias("free"), F.count_if(F.col("source") == "keyword").alias("n_kw"))

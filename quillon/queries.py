@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from quillon.functions import scores as S
 from quillon.functions import text as T
 from quillon.operators import chunking, dml, filters, graph, health, mining, ranking, search, trust
+from quillon.operators.textindex import TextIndex
 from quillon.plans import hybrid, surfacing
 from quillon.sources import adapters as A
+from quillon.storage import shared_path
 
 TERMS = ["tion", "ther", "ening"]
 TEXT = "tion ther ening"
@@ -61,19 +63,23 @@ def _near_sql(k: int, where: str = "true", limit: int = TOP, ceiling: float = se
         floor(distance * 10 + 0.5) / 10 as shown from scored)"""
 
 
+def _late(spark: SparkSession, sf_dir: str):
+    return lambda rows: A.with_state(rows, spark, sf_dir, few=True)
+
+
 @query(f"{NOTES} select count(distinct path) as n_notes, sum(len(string_split(text, chr(10)))) :: bigint as n_chunks from notes")
 def note_counts(spark, sf_dir):
-    return health.counts(A.chunks(A.notes(spark, sf_dir)))
+    return health.counts(A.chunks(A.plain_notes(spark, sf_dir)))
 
 
 @query(f"{NOTES} select id, path, modified from seen order by modified desc, path limit 10")
 def recent_notes(spark, sf_dir):
-    return filters.recent(A.notes(spark, sf_dir)).select("id", "path", "modified")
+    return filters.recent(A.plain_notes(spark, sf_dir)).select("id", "path", "modified")
 
 
 @query(f"{NOTES} select id, path, score from (select *, 0.0 :: double as score from seen where domain = 'en' and content_type = 'decision' order by modified desc, path limit 20) where list_contains(tags, 'src8')")
 def metadata_filter(spark, sf_dir):
-    return filters.metadata_search(A.notes(spark, sf_dir), 20, tags=["SRC8"], domain="EN", content_type="Decision").select("id", "path", "score")
+    return filters.metadata_search(A.plain_notes(spark, sf_dir), 20, tags=["SRC8"], domain="EN", content_type="Decision").select("id", "path", "score")
 
 
 @query(f"{NOTES} select trust_state, count(*) as n from notes group by 1")
@@ -88,7 +94,7 @@ def contradiction_breakdown(spark, sf_dir):
 
 @query(f"{NOTES} select content_type, count(*) as n from notes group by 1")
 def content_type_dist(spark, sf_dir):
-    return health.breakdown(A.notes(spark, sf_dir), "content_type")
+    return health.breakdown(A.plain_notes(spark, sf_dir), "content_type")
 
 
 HEALTH = f"""{NOTES}, v as (select distinct vec_id from embeddings), figures as (
@@ -137,7 +143,7 @@ def composite_topk(spark, sf_dir):
 
 @query(f"{_near_sql(5 * TOP)} select id, path, score, shown as distance from vec")
 def vector_search_topk(spark, sf_dir):
-    return search.vector_search(A.notes(spark, sf_dir), A.vectors(spark, sf_dir), _vector(spark, sf_dir), TOP).select("id", "path", "score", "distance")
+    return search.vector_search(A.plain_notes(spark, sf_dir), A.vectors(spark, sf_dir), _vector(spark, sf_dir), TOP, late=_late(spark, sf_dir)).select("id", "path", "score", "distance")
 
 
 FILTER_SQL = "domain = 'en' and list_has_any(tags, ['src1', 'src3', 'src5', 'src7', 'en'])"
@@ -145,7 +151,7 @@ FILTER_SQL = "domain = 'en' and list_has_any(tags, ['src1', 'src3', 'src5', 'src
 
 @query(f"{_near_sql(5 * TOP, FILTER_SQL)} select id, path, score, shown as distance from vec")
 def vector_search_filtered(spark, sf_dir):
-    found = search.vector_search(A.notes(spark, sf_dir), A.vectors(spark, sf_dir), _vector(spark, sf_dir), TOP, tags=["src1", "src3", "src5", "src7", "EN"], domain="en")
+    found = search.vector_search(A.plain_notes(spark, sf_dir), A.vectors(spark, sf_dir), _vector(spark, sf_dir), TOP, tags=["src1", "src3", "src5", "src7", "EN"], domain="en", late=_late(spark, sf_dir))
     return found.select("id", "path", "score", "distance")
 
 
@@ -173,8 +179,8 @@ def search_facts(spark, sf_dir):
     select * from (select * from gained union all select * from added) order by from_fact, score desc, path limit 12"""
 )
 def fact_boost(spark, sf_dir):
-    n, q = A.notes(spark, sf_dir), _vector(spark, sf_dir)
-    found = search.vector_search(n, A.vectors(spark, sf_dir), q, TOP)
+    n, q = A.plain_notes(spark, sf_dir), _vector(spark, sf_dir)
+    found = search.vector_search(n, A.vectors(spark, sf_dir), q, TOP, late=_late(spark, sf_dir))
     return search.fact_boost(found, n, search.search_facts(A.facts(spark, sf_dir), q, 20), 12)
 
 
@@ -186,7 +192,7 @@ CHUNKS = "chunk as (select s.* exclude (text), unnest(string_split(text, chr(10)
     select id, path, ({BOTH}) :: int as matches from chunk where chunk_id = 0 and path in (select path from hit) order by matches desc, modified desc, path limit 10"""
 )
 def keyword_search(spark, sf_dir):
-    return search.keyword_search(A.chunks(A.notes(spark, sf_dir)), TERMS, 10).select("id", "path", "matches")
+    return search.keyword_search(A.chunks(A.plain_notes(spark, sf_dir)), TERMS, 10).select("id", "path", "matches")
 
 
 _COVER = " + ".join(f"max(case when contains(lower(title), '{t}') or contains(lower(text), '{t}') then 1 else 0 end)" for t in TERMS)
@@ -199,12 +205,12 @@ _FREQ = " + ".join(f"sum(case when contains(lower(text), '{t}') then 1 else 0 en
     order by coverage desc, density desc, modified desc, path limit 10"""
 )
 def content_term_search(spark, sf_dir):
-    return search.content_term_search(A.chunks(A.notes(spark, sf_dir)), TERMS, 2, 10).select("id", "path", "coverage", "frequency", "density")
+    return search.content_term_search(A.chunks(A.plain_notes(spark, sf_dir)), TERMS, 2, 10).select("id", "path", "coverage", "frequency", "density")
 
 
 @query(f"{NOTES} select id, path, ({MATCHES}) :: int as matches from seen where {MATCHES} >= 1 order by matches desc, modified desc, path limit 20")
 def title_match(spark, sf_dir):
-    return search.title_match(A.notes(spark, sf_dir), TERMS, 1, 20).select("id", "path", "matches")
+    return search.title_match(A.plain_notes(spark, sf_dir), TERMS, 1, 20).select("id", "path", "matches")
 
 
 @query(
@@ -212,21 +218,27 @@ def title_match(spark, sf_dir):
     select id, path from newest where list_bool_or([levenshtein(w, 'thand') = 1 or levenshtein(w, 'ening') = 1 for w in regexp_split_to_array(lower(title), '[^0-9a-z]+')]) order by modified desc, path limit 10"""
 )
 def fuzzy_title(spark, sf_dir):
-    return search.fuzzy_title(A.notes(spark, sf_dir), ["thand", "ening", "of"], 10).select("id", "path")
+    return search.fuzzy_title(A.plain_notes(spark, sf_dir), ["thand", "ening", "of"], 10).select("id", "path")
 
 
 _BM = ["tion", "ther", "anand"]
 _TF = ", ".join(f"len([1 for x in t if x = '{w}']) as tf{i}" for i, w in enumerate(_BM))
 _DF = ", ".join(f"count(*) filter (tf{i} > 0) as df{i}" for i in range(3))
 _BM25 = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * length / mean))" for i in range(3))
-BM25 = f"""tok as (select id, [x for x in regexp_split_to_array(lower(path || ' ' || title || ' ' || text), '[^0-9a-z]+') if x <> ''] as t from seen),
+
+
+def _bm25_sql(rows: str = "seen", limit: int = 30) -> str:
+    return f"""tok as (select id, [x for x in regexp_split_to_array(lower(path || ' ' || title || ' ' || text), '[^0-9a-z]+') if x <> ''] as t from {rows}),
     per as (select id, len(t) as length, {_TF} from tok), fig as (select count(*) as n, avg(length) as mean, {_DF} from per),
-    ranked as (select id, round({_BM25}, 6) as rank from per, fig), top as (select * from ranked where rank > 0 order by rank desc, id limit 30)"""
+    ranked as (select id, round({_BM25}, 6) as rank from per, fig), top as (select * from ranked where rank > 0 order by rank desc, id limit {limit})"""
+
+
+BM25 = _bm25_sql()
 
 
 @query(f"{NOTES}, {BM25} select id, rank from top")
 def fts_bm25(spark, sf_dir):
-    return search.bm25(A.notes(spark, sf_dir).where(filters.visible()), _BM, 30)
+    return A.text_index(spark, sf_dir).bm25(_BM, 30)
 
 
 @query(
@@ -234,7 +246,25 @@ def fts_bm25(spark, sf_dir):
     from seen s join top using (id) where domain = 'en' order by rank desc, s.id limit 10"""
 )
 def text_search(spark, sf_dir):
-    return search.text_search(A.notes(spark, sf_dir), _BM, 10, domain="en").select("id", "score")
+    return search.text_search(A.plain_notes(spark, sf_dir), _BM, 10, domain="en", index=A.text_index(spark, sf_dir), late=_late(spark, sf_dir)).select("id", "score")
+
+
+@query(
+    f"""{NOTES}, later as (select id, path, case when trust_state = 'stale' then 'tion ' || title else title end as title,
+        case when trust_state = 'validated' then text || ' anand ther' else text end as text from seen where trust_state <> 'contradicted'), {_bm25_sql("later", 50)}
+    select id, rank, (select count(*) from later) as n_notes, (select cast(sum(length) as bigint) from per) as n_terms from top"""
+)
+def text_index_changes(spark, sf_dir):
+    """An index of all notes that follows them through a change: some go, some get another title or text."""
+    was = A.notes(spark, sf_dir).where(filters.visible()).select("id", "path", "title", "text", "trust_state")
+    title = F.when(F.col("trust_state") == "stale", F.concat(F.lit("tion "), "title")).otherwise(F.col("title"))
+    text = F.when(F.col("trust_state") == "validated", F.concat("text", F.lit(" anand ther"))).otherwise(F.col("text"))
+    now = was.where("trust_state <> 'contradicted'").withColumns({"title": title, "text": text})
+    index = TextIndex(spark, shared_path(spark, "text-index"))
+    index.apply(was)
+    index.refresh(was, now)
+    figures = index.lengths().agg(F.count("*").alias("n_notes"), F.sum("length").alias("n_terms"))
+    return index.bm25(_BM, 50).crossJoin(F.broadcast(figures))  # one row
 
 
 _KW = f"""case when contains(lower(text), '{TEXT}') then least(1.0, base * 1.5) when contains(lower(title), '{TEXT}') then least(1.0, base * 1.2) else base end"""
@@ -250,13 +280,13 @@ FUSE = f"""{_near_sql(5 * TOP)}, hits as (select *, {MATCHES} as m from seen whe
 
 @query(f"{FUSE} select * from kept union all select path, score, source from new where n <= {TOP} - (select count(*) from kept)")
 def hybrid_fusion(spark, sf_dir):
-    return hybrid.fuse(A.notes(spark, sf_dir), A.vectors(spark, sf_dir), _vector(spark, sf_dir), TEXT, TOP)
+    return hybrid.fuse(A.plain_notes(spark, sf_dir), A.vectors(spark, sf_dir), _vector(spark, sf_dir), TEXT, TOP, late=_late(spark, sf_dir))
 
 
 @query()
 def hybrid_search(spark, sf_dir):
-    n = A.notes(spark, sf_dir)
-    found = hybrid.hybrid_search(n, A.vectors(spark, sf_dir), _vector(spark, sf_dir), TEXT, TOP, facts=A.facts(spark, sf_dir), boosts={"handoff": 1.3})
+    n = A.plain_notes(spark, sf_dir)
+    found = hybrid.hybrid_search(n, A.vectors(spark, sf_dir), _vector(spark, sf_dir), TEXT, TOP, facts=A.facts(spark, sf_dir), boosts={"handoff": 1.3}, late=_late(spark, sf_dir))
     return found.select("path", "score", "place")
 
 
@@ -265,19 +295,19 @@ def hybrid_search(spark, sf_dir):
     select vault, path, score from a order by score desc, vault, path limit 6"""
 )
 def federated_search(spark, sf_dir):
-    found = search.vector_search(A.notes(spark, sf_dir), A.vectors(spark, sf_dir), _vector(spark, sf_dir), TOP).select("id", "path", "score")
+    found = search.vector_search(A.plain_notes(spark, sf_dir), A.vectors(spark, sf_dir), _vector(spark, sf_dir), TOP, late=_late(spark, sf_dir)).select("id", "path", "score")
     return search.federated({"even": found.where("id % 2 = 0"), "odd": found.where("id % 2 = 1")}, 6).select("vault", "path", "score")
 
 
 @query(f"{NOTES} select id, path from notes where id not in (select vec_id from embeddings)")
 def unembedded_notes(spark, sf_dir):
-    return A.notes(spark, sf_dir).join(A.vectors(spark, sf_dir).select(F.col("note_id").alias("id")), "id", "left_anti").select("id", "path")
+    return A.plain_notes(spark, sf_dir).join(A.vectors(spark, sf_dir).select(F.col("note_id").alias("id")), "id", "left_anti").select("id", "path")
 
 
 @query(f"{NOTES} select count(distinct path) as embedded from notes join embeddings on vec_id = id where len(embedding) = 64")
 def embedding_coverage(spark, sf_dir):
     v = filters.valid_embeddings(A.vectors(spark, sf_dir), 64)
-    n = A.notes(spark, sf_dir)
+    n = A.plain_notes(spark, sf_dir)
     return n.join(v, n["id"] == v["note_id"]).agg(F.count_distinct("path").alias("embedded"))
 
 
@@ -293,7 +323,7 @@ def pinned_notes(spark, sf_dir):
 
 @query(f"{NOTES} select id, path from seen where content_type = 'handoff' order by modified desc, path limit 1")
 def latest_handoff(spark, sf_dir):
-    return filters.latest_handoff(A.notes(spark, sf_dir)).select("id", "path")
+    return filters.latest_handoff(A.plain_notes(spark, sf_dir)).select("id", "path")
 
 
 @query(
@@ -309,7 +339,7 @@ def brief_sections(spark, sf_dir):
 
 @query(f"{NOTES} select id, path, (date '2024-07-01' - review_by) :: int as days_overdue from seen where review_by < date '2024-07-01'")
 def overdue_reviews(spark, sf_dir):
-    return health.overdue(A.notes(spark, sf_dir), "2024-07-01").select("id", "path", "days_overdue")
+    return health.overdue(A.plain_notes(spark, sf_dir), "2024-07-01").select("id", "path", "days_overdue")
 
 
 @query(
@@ -482,12 +512,34 @@ def graph_expand(spark, sf_dir):
     return graph.expand(cand, _edges(spark, sf_dir), cand.select("node"))
 
 
-@query("select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding :: double[], b.embedding :: double[]), 6) as similarity from embeddings a join embeddings b on a.vec_id < b.vec_id where round(list_cosine_similarity(a.embedding :: double[], b.embedding :: double[]), 6) >= 0.4")
+_NEAR = """select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding :: double[], b.embedding :: double[]), 6) as similarity
+    from embeddings a join embeddings b on a.vec_id < b.vec_id where round(list_cosine_similarity(a.embedding :: double[], b.embedding :: double[]), 6) >= 0.4"""
+
+
+@query(_NEAR)
 def cosine_pairs(spark, sf_dir):
     return trust.similar_pairs(A.vectors(spark, sf_dir), 0.4)
 
 
-@query()
+@query(f"with near as ({_NEAR}) select count(*) as n_pairs, true as found_nine_tenths, true as all_true from near")
+def vector_index_recall(spark, sf_dir):
+    """The index of signed projections against all pairs: how many there are, whether 0.9 of them are found, and no other."""
+    v = A.vectors(spark, sf_dir)
+    every, found = (trust.similar_pairs(v, 0.4, index=index) for index in (None, (3, 24)))
+    met = every.withColumn("is", F.lit(1)).join(found.withColumn("got", F.lit(1)), ["a", "b", "similarity"], "full_outer")
+    return met.agg(F.count("is").alias("n_pairs"), (F.count_if(F.col("got").isNotNull() & F.col("is").isNotNull()) >= 0.9 * F.count("is")).alias("found_nine_tenths"), (F.count_if(F.col("is").isNull()) == 0).alias("all_true"))
+
+
+#: Leaders one after the other: what is left, newest first, loses its first and all that are like it.
+_LEADERS = """step as (select cast(null as bigint) as leader, cast([] as bigint[]) as members, (select list(id order by modified desc, id) from items) as rest
+    union all select rest[1], list_filter(rest, lambda x: x = rest[1] or list_contains(coalesce(near, []), x)), list_filter(rest, lambda x: x <> rest[1] and not list_contains(coalesce(near, []), x))
+    from step left join adjacent on adjacent.id = rest[1] where len(rest) > 0), led as (select leader, unnest(members) as member from step where leader is not null)"""
+
+
+@query(
+    f"""with recursive pairs as ({_NEAR}), adjacent as (select id, list(o) as near from (select a as id, b as o from pairs union all select b, a from pairs) group by id),
+    items as (select vec_id as id, vec_id as modified from embeddings), {_LEADERS} select * from led"""
+)
 def leader_groups(spark, sf_dir):
     v = A.vectors(spark, sf_dir)
     items = v.select(F.col("note_id").alias("id"), F.col("note_id").alias("modified"))
@@ -496,7 +548,31 @@ def leader_groups(spark, sf_dir):
 
 @query(f"{NOTES} select array_to_string(list_sort(tags), ',') as tags, count(*) as n from notes group by 1 having count(*) >= 2")
 def tag_groups(spark, sf_dir):
-    return trust.tag_groups(A.notes(spark, sf_dir))
+    return trust.equal_tag_sets(A.plain_notes(spark, sf_dir))
+
+
+_TAGGED = "tagged as (select id, modified, [lower(domain), workstream, agent] as tags from notes)"
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.plain_notes(spark, sf_dir).withColumn("tags", F.array(F.upper("domain"), "workstream", "agent"))
+
+
+@query(
+    f"""{NOTES}, {_TAGGED} select a.id as a, b.id as b, len(list_intersect(a.tags, b.tags)) :: int as shared from tagged a join tagged b on a.id < b.id
+    where len(list_intersect(a.tags, b.tags)) >= 2"""
+)
+def tag_overlap_pairs(spark, sf_dir):
+    return trust.shared_tags(_tagged(spark, sf_dir))
+
+
+@query(
+    f"""{NOTES.replace("with notes", "with recursive notes", 1)}, {_TAGGED}, items as (select * from tagged),
+    adjacent as (select a.id, list(b.id) as near from tagged a join tagged b on a.id <> b.id where len(list_intersect(a.tags, b.tags)) >= 2 group by a.id), {_LEADERS}
+    select leader, member from led where leader in (select leader from led group by 1 having count(*) >= 2)"""
+)
+def tag_overlap_groups(spark, sf_dir):
+    return trust.tag_groups(_tagged(spark, sf_dir))
 
 
 @query(f"{NOTES} select regexp_extract(path, '^(.*)/[^/]*$', 1) as folder, count(*) as n from notes group by 1 having count(*) >= 2")
@@ -629,7 +705,7 @@ def eval_mrr(spark, sf_dir):
 
 @query(f"{NOTES} select path from notes where suppressed")
 def suppressed_paths(spark, sf_dir):
-    return filters.suppressed_paths(A.notes(spark, sf_dir))
+    return filters.suppressed_paths(A.plain_notes(spark, sf_dir))
 
 
 @query(f"{NOTES} select path, case when id % 5 = 0 then least(1.0, 0.5 + 0.2) else 0.5 end :: double as confidence, (case when id % 5 = 0 then access_count + 5 else access_count end) :: bigint as access_count from notes")
@@ -711,9 +787,9 @@ def search_with_fallback(spark, sf_dir):
 
 def _fallback(spark, sf_dir):
     """The first search finds nothing; the second one does; the query is one about metadata."""
-    n = A.notes(spark, sf_dir)
+    n = A.plain_notes(spark, sf_dir)
     nothing = search.title_match(n, ["no such title"], 1, 10).select("path", F.lit(0.9).alias("score"))
-    indexed = n.join(search.bm25(n.where(filters.visible()), _BM, 30), "id").orderBy(F.desc("rank"), "id").limit(10).select("path", F.lit(0.5).alias("score"))
+    indexed = n.join(A.text_index(spark, sf_dir).bm25(_BM, 30), "id").orderBy(F.desc("rank"), "id").limit(10).select("path", F.lit(0.5).alias("score"))
     like = search.keyword_search(A.chunks(n), TERMS, 10).select("path", F.lit(0.5).alias("score"))
     hits = filters.metadata_search(n, 4, domain="en", content_type="hub").select("path", F.lit(1.0).alias("score"))
     return search.with_fallback([nothing, indexed, like], 10, hits)
@@ -721,13 +797,13 @@ def _fallback(spark, sf_dir):
 
 @query(f"{FALLBACK} select place :: int as place, path, '[' || place || '] ' || title || ' (' || path || ')' || chr(10) || left(text, 200) as context from f join notes using (path) where place <= 10")
 def ask_context(spark, sf_dir):
-    return search.ask_context(_fallback(spark, sf_dir), A.notes(spark, sf_dir), 200)
+    return search.ask_context(_fallback(spark, sf_dir), A.plain_notes(spark, sf_dir), 200)
 
 
 @query(f"{NOTES}, {BM25} select path, 0.5 :: double as composite from seen join top using (id) order by rank desc, id limit 10")
 def keyword_fallback(spark, sf_dir):
-    n = A.notes(spark, sf_dir).where(filters.visible())
-    return n.join(search.bm25(n, _BM, 30), "id").orderBy(F.desc("rank"), "id").limit(10).select("path", F.lit(0.5).alias("composite"))
+    n = A.plain_notes(spark, sf_dir).where(filters.visible())
+    return n.join(A.text_index(spark, sf_dir).bm25(_BM, 30), "id").orderBy(F.desc("rank"), "id").limit(10).select("path", F.lit(0.5).alias("composite"))
 
 
 @query(

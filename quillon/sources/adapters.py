@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators.filters import visible
+from quillon.operators.textindex import TextIndex
+from quillon.storage import shared_path
+
 TYPES = ("decision", "hub", "research", "project", "note", "handoff", "progress", "kaizen")
 EPOCH = 1704067200  # 2024-01-01
 AS_OF = 1719792000  # 2024-07-01
@@ -14,14 +18,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each note, with its whole text."""
-    docs = read(spark, sf_dir, "documents")
-    uses = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").alias("access_count"))
-    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+def plain_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each note, with its whole text, without what other tables say about it (see ``with_state``)."""
     i = F.col("doc_id")
-    trust = F.when(F.col("toxic") == 1, "contradicted").when(F.col("quality") == 1, "validated").when(F.col("quality") == 0, "stale").otherwise("unknown")
-    return docs.join(uses, "doc_id", "left").join(labels, "doc_id", "left").select(
+    return read(spark, sf_dir, "documents").select(
         i.alias("id"),
         F.concat(F.when(i % 97 == 0, "_PRIVATE/").otherwise(""), F.concat_ws("/", "source", "lang"), F.lit("/doc_"), i, F.lit(".md")).alias("path"),
         F.substring_index(F.translate(F.substring_index("text", " ", 8), "\n", " "), " ", 8).alias("title"),
@@ -33,12 +33,41 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(float(EPOCH)) + 3600 * i).alias("modified"),
         F.when(i % 3 == 0, F.date_add(F.lit("2024-01-01").cast("date"), (i % 365).cast("int"))).alias("review_by"),
         (i % 50 == 0).alias("suppressed"),
-        F.coalesce("access_count", F.lit(0)).alias("access_count"),
-        trust.alias("trust_state"),
         "text",
     )
 
 
+def with_state(rows: DataFrame, spark: SparkSession, sf_dir: str, few: bool = False) -> DataFrame:
+    """``rows`` (of plain notes) with access_count and trust_state. ``few``: they are a top-k, so their ids are sent to where events and labels lie."""
+    events, labels = read(spark, sf_dir, "events").select(F.col("user_id").alias("id")), read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
+    if few:
+        ids = F.broadcast(rows.select("id"))  # a search's limit bounds them
+        events, labels = events.join(ids, "id", "left_semi"), labels.join(ids, "id", "left_semi")
+    uses = events.groupBy("id").agg(F.count("*").alias("access_count"))
+    marks = labels.groupBy("id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    trust = F.when(F.col("toxic") == 1, "contradicted").when(F.col("quality") == 1, "validated").when(F.col("quality") == 0, "stale").otherwise("unknown")
+    joined = rows.join(uses, "id", "left").join(marks, "id", "left")
+    return joined.withColumns({"access_count": F.coalesce("access_count", F.lit(0)), "trust_state": trust}).drop("toxic", "quality")
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes with their state."""
+    return with_state(plain_notes(spark, sf_dir), spark, sf_dir)
+
+
+_INDEXES: dict[tuple[str, str], TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of the visible notes; a session builds it once, in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        index = TextIndex(spark, shared_path(spark, "text-index"))
+        index.apply(plain_notes(spark, sf_dir).where(visible()))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
 def chunks(notes_: DataFrame) -> DataFrame:
     """Lines of each note as its chunks; chunk 0 is the root. Other columns are those of the note."""
     rest = [c for c in notes_.columns if c != "text"]
