@@ -85,7 +85,8 @@ DOUBTS = (
     r"(?i)(?:haven't|hasn't|didn't)\s+(?:decided|chose)",
     r"(?i)(?:need to|want to)\s+decide",
 )
-FALSE_FINDS = ("example.com", "example.org", "test@", "noreply@", "your-api-key", "xxxx")
+#: A find that holds one of these, whatever its case, is none.
+FALSE_FINDS = ("@example.com", "@example.org", "@example.net", "noreply@", "no-reply@", "xxx-xx-xxxx", "000-00-0000", "test@test.com")
 
 
 def _found_by(name: str, category: str):
@@ -111,8 +112,10 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: list[t
 
 
 def redact(found: Column) -> Column:
-    """First and last three characters; shorter finds are hidden whole."""
-    return F.when(F.length(found) <= 8, "***").otherwise(F.concat(F.left(found, F.lit(3)), F.lit("***"), F.right(found, F.lit(3))))
+    """First and last three characters, with as many stars between as there are others; six or fewer are hidden whole (of six bytes or fewer every byte)."""
+    n = F.length(found)
+    stars = lambda k: F.repeat(F.lit("*"), k)
+    return F.when(F.octet_length(found) <= 6, stars(F.octet_length(found))).when(n <= 6, stars(n)).otherwise(F.concat(F.left(found, F.lit(3)), stars(n - 6), F.right(found, F.lit(3))))
 
 
 def signals(text: Column, phrases: tuple[str, ...]) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quillon.functions import scores as S
+from quillon.functions.snippets import truncate
 
 PRIORITY = ("handoff", "decision", "research", "hub")
 HIGH, SOME, PATH_ONLY = 0.199, 0.10, 0.25
@@ -123,8 +124,36 @@ def keyword_title_score(title: Column, text: Column, terms: list[str], query: st
     return F.when(F.lower(text).contains(q), F.least(F.lit(1.0), base * 1.5)).when(low.contains(q), F.least(F.lit(1.0), base * 1.2)).otherwise(base)
 
 
-def pack_budget(results: DataFrame, budget: int = 800, per_note: int = 400, most: int = 3) -> DataFrame:
-    """The first results that fit: none is longer than ``per_note`` tokens, all together than ``budget``."""
-    w = Window.orderBy("place")
-    size = F.least(F.floor(F.octet_length("text") / 4), F.lit(per_note))
-    return results.where(F.col("place") <= most).withColumn("tokens", size).withColumn("used", F.sum("tokens").over(w)).where(F.col("used") <= budget)
+#: Fixed values of packing: results at most (and for unclear queries), share of the leader's overlap below which results go, and tokens for all and for one note.
+MOST, MOST_UNCLEAR, GAP, BUDGET, PER_NOTE = 3, 2, 0.65, 800, 400
+
+
+def pack_context(results: DataFrame, key: list[str], budget: int = BUDGET, per_note: int = PER_NOTE, most: int = MOST, recent: bool = False) -> DataFrame:
+    """(key, place, path, entry, tokens) of what is shown of ranked results (key, place, path, title, content_type, score, overlap, trust_state, text, boosted).
+
+    An unclear query (the first result's overlap is not high) shows two at most. Behind a leader of some overlap the first result without any ends the list;
+    behind one of high overlap the first with less than ``GAP`` of it. Then a greedy fold: a note that doesn't fit into what is left of the budget is passed
+    over, and smaller ones behind it may still fit. ``boosted`` says that an overlap came from a content match, and so is none here. Of each query
+    only ``most`` rows are gathered.
+    """
+    few = results.where(F.col("place") <= most)
+    w = Window.partitionBy(*key)
+    own = F.when(F.coalesce("boosted", F.lit(False)), 0.0).otherwise(F.col("overlap"))
+    lead = F.first(own).over(w.orderBy("place"))
+    few = few.withColumns({"lead": lead, "lead_boosted": F.first(F.coalesce("boosted", F.lit(False))).over(w.orderBy("place"))})
+    few = few.where(F.lit(recent) | (F.col("lead") >= HIGH) | (F.col("place") <= MOST_UNCLEAR))
+    some, high = (F.col("lead") > 0) & (F.col("lead") < HIGH), (F.col("lead") >= HIGH) & ~F.col("lead_boosted")
+    ends = (some & (F.col("overlap") <= 0)) | (high & (F.col("overlap") < F.greatest(F.col("lead") * GAP, F.lit(SOME))))
+    few = few.withColumn("cut", F.min(F.when(ends & (F.col("place") > 1), F.col("place"))).over(w)).where("cut is null or place < cut")
+    trust = F.when(F.col("trust_state").isin("stale", "contradicted"), F.concat(F.lit(", trust: "), "trust_state")).otherwise("")
+    head = F.concat(F.lit("**"), "title", F.lit("** ("), "content_type", F.lit(", score: "), F.format_string("%.3f", F.col("score").cast("double")), trust, F.lit(")\n"), "path")
+    body = truncate(F.coalesce("text", F.lit("")), per_note * 4)
+    entry = F.when(body == "", head).otherwise(F.concat(head, F.lit("\n"), body))
+    listed = few.withColumn("entry", entry).withColumn("tokens", F.floor(F.octet_length("entry") / 4).cast("int")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "path", "entry", "tokens"))).alias("x"))
+
+    def fold(state: Column, x: Column) -> Column:
+        fits = state["used"] + x["tokens"] <= budget
+        return F.struct((state["used"] + F.when(fits, x["tokens"]).otherwise(0)).alias("used"), F.when(fits, F.array_append(state["kept"], x)).otherwise(state["kept"]).alias("kept"))
+
+    start = F.struct(F.lit(0).alias("used"), F.slice("x", F.lit(1), F.lit(0)).alias("kept"))
+    return listed.select(*key, F.inline(F.aggregate("x", start, fold, lambda s: s["kept"])))

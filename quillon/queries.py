@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scores as S
 from quillon.functions import text as T
-from quillon.operators import chunking, dml, filters, graph, health, mining, ranking, search, trust
+from quillon.functions.snippets import snippet, truncate
+from quillon.operators import answers, chunking, dml, filters, graph, guard, health, mining, provenance, ranking, search, trust
 from quillon.operators.textindex import TextIndex
 from quillon.plans import hybrid, surfacing
 from quillon.sources import adapters as A
@@ -616,9 +617,85 @@ def pii_scan(spark, sf_dir):
     return mining.scan(A.read(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
 
 
-@query()
+_FALSE = " or ".join(f"contains(lower(found), '{x}')" for x in mining.FALSE_FINDS)
+_HIDDEN = "case when strlen(found) <= 6 then repeat('*', strlen(found)) when length(found) <= 6 then repeat('*', length(found)) else left(found, 3) || repeat('*', length(found) - 6) || right(found, 3) end"
+
+
+@query(
+    f"with t as (select doc_id, text || {_SECRETS} || (case doc_id % 101 when 0 then ' a@example.net latest@corp.com' when 1 then ' 000-00-0000 no-reply@b.org' else '' end) as text from documents), "
+    "l as (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from t), f as ("
+    + " union all ".join(f"select doc_id, line :: int as line, '{n}' as rule, '{c}' as category, unnest(regexp_extract_all(content, '{_sql_text(p)}')) as found from l where not contains(content, 'regexp.')" for n, c, p in mining.RULES)
+    + f") select doc_id, line, rule, category, {_HIDDEN} as found from f where not ({_FALSE})"
+)
 def pii_redacted(spark, sf_dir):
-    return mining.scan(A.read(spark, sf_dir, "documents"), false_finds=mining.FALSE_FINDS).withColumn("found", mining.redact(F.col("found")))
+    more = "case doc_id % 101 when 0 then ' a@example.net latest@corp.com' when 1 then ' 000-00-0000 no-reply@b.org' else '' end"
+    text = F.expr(f"text || {_SECRETS} || ({more})".replace("chr(10)", "'\n'"))
+    rows = A.read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return mining.scan(rows, false_finds=mining.FALSE_FINDS).withColumn("found", mining.redact(F.col("found")))
+
+
+#: Names to be kept in: some that texts have, and as many that they don't; soft ones are let through in some folders.
+_TERMS_SQL = """terms as (select 'src' || n_nationkey || ' ' || n_name as term, 'hard' as tier from nation union all select c_name, 'hard' from customer
+    union all select distinct split_part(replace(text, chr(10), ' '), ' ', 3) || ' ' || split_part(replace(text, chr(10), ' '), ' ', 4), case when doc_id % 2 = 0 then 'soft' else 'hard' end from documents where doc_id % 10 = 0
+    union all select distinct split_part(replace(text, chr(10), ' '), ' ', 2), 'soft' from documents where doc_id % 25 = 3)"""
+
+
+@query(
+    rf"""{NOTES}, {_TERMS_SQL}, t as (select distinct * from terms where regexp_full_match(term, '[a-z]\w*( \w+)?')),
+    l as (select path, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as line from notes),
+    m as (select distinct path, line, term, tier from l join t on contains(lower(content), lower(term)) and regexp_matches(content, '(?i)\b' || term || '\b'))
+    select path, line :: int as line, tier, case when tier = 'hard' then 'hard_blocklist' else 'soft_blocklist' end as category, 'blocklist:' || term as rule,
+        {_HIDDEN.replace("found", "term")} as redacted, tier = 'soft' and regexp_matches(path, '^src1/[^/]*/[^/]*$') as reviewed,
+        case when tier = 'soft' and regexp_matches(path, '^src1/[^/]*/[^/]*$') then 'warning' else 'violation' end as outcome from m"""
+)
+def guard_names(spark, sf_dir):
+    d = A.read(spark, sf_dir, "documents").select("doc_id", F.split(F.translate("text", "\n", " "), " ").alias("w"))
+    word = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
+    nations = A.read(spark, sf_dir, "nation").select(F.concat(F.lit("src"), "n_nationkey", F.lit(" "), "n_name").alias("term"), F.lit("hard").alias("tier"))
+    names = A.read(spark, sf_dir, "customer").select(F.col("c_name").alias("term"), F.lit("hard").alias("tier"))
+    two = d.where("doc_id % 10 = 0").select(F.concat(word(2), F.lit(" "), word(3)).alias("term"), F.when(F.col("doc_id") % 2 == 0, "soft").otherwise("hard").alias("tier"))
+    one = d.where("doc_id % 25 = 3").select(word(1).alias("term"), F.lit("soft").alias("tier"))
+    terms = nations.union(names).union(two).union(one).where(F.col("term").rlike(r"^[a-z]\w*( \w+)?$")).distinct()
+    reviewed = terms.select("term", F.lit("soft_blocklist").alias("category"), F.lit("src1/*/*").alias("file"))
+    return guard.check(A.plain_notes(spark, sf_dir), terms, reviewed, rules=[("none", "none", "\x01none")])
+
+
+_SHOWN = """saves as (select 'new/' || event_id || '.md' as note_path, ts as saved_at, event_id % (select count(*) from documents) as named from events where event_type = 'purchase'),
+    shown as (select ts, event_id % (select count(*) from documents) as i from events where event_type <> 'purchase'),
+    found as (select note_path, n.path as source_path, 'file' as source_type, saved_at, 0 as rank, n.text as text from saves join notes n on n.id = named
+        union all select note_path, n.path, 'note', saved_at, 1, n.text from saves join shown on ts <= saved_at and saved_at - ts < interval 60 seconds join notes n on n.id = i),
+    captured as (select note_path, source_path, arg_min(source_type, rank) as source_type, max(saved_at) as captured_at, sha256(any_value(text)) as source_hash from found group by 1, 2)"""
+
+
+@query(f"{NOTES}, {_SHOWN} select note_path, source_path, source_type, source_hash from captured")
+def provenance_capture(spark, sf_dir):
+    """Saves name a file, and notes shown in the minute before count as sources too."""
+    return _captured(spark, sf_dir).drop("captured_at")
+
+
+def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = A.plain_notes(spark, sf_dir)
+    files = n.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    events = A.read(spark, sf_dir, "events").crossJoin(F.broadcast(n.agg(F.count("*").alias("n"))))  # one row
+    events = events.withColumn("id", F.col("event_id") % F.col("n")).join(n.select("id", "path"), "id")
+    saves = events.where("event_type = 'purchase'").select(F.concat(F.lit("new/"), "event_id", F.lit(".md")).alias("note_path"), F.col("ts").alias("saved_at"), F.array(F.concat(F.lit("./x/../"), "path"), F.lit("../out.md"), F.lit("/etc/x")).alias("sources"))
+    usage = events.where("event_type <> 'purchase'").select("ts", F.array("path", F.lit("picture.png")).alias("injected_paths"))
+    return provenance.capture(saves, usage, files)
+
+
+@query(
+    f"""{NOTES}, {_SHOWN}, now as (select path, sha256(case when trust_state = 'stale' then text || ' changed' else text end) as hash from notes where trust_state <> 'contradicted'),
+    div as (select distinct note_path from captured left join now on path = source_path where source_type = 'file' and coalesce(hash, '') <> source_hash)
+    select note_path as path, case when note_path in (select note_path from div) then 'stale' else 'validated' end as trust_state from (select distinct note_path from captured)"""
+)
+def provenance_trust(spark, sf_dir):
+    """What was captured at saving decides which notes are stale when some files have changed and others are gone."""
+    sources = _captured(spark, sf_dir).withColumn("captured_at", F.unix_timestamp(F.col("captured_at").cast("timestamp")))
+    n = A.notes(spark, sf_dir).where("trust_state <> 'contradicted'")
+    text = F.when(F.col("trust_state") == "stale", F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    files = n.select("path", F.sha2(text.cast("binary"), 256).alias("content_hash"))
+    saved = sources.select(F.col("note_path").alias("path"), F.lit("unknown").alias("trust_state")).distinct()
+    return trust.propagate(saved, sources, files, A.AS_OF)
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(T.STOP_WORDS))
@@ -830,6 +907,141 @@ def turn_markers(spark, sf_dir):
     return chunking.turn_markers(notes)
 
 
+def _truncate_sql(x: str, most: int) -> str:
+    start = most * 7 // 10
+    tail, space = f"substr({x}, {start + 1}, {most - start})", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    last = lambda mark, n: f"case when strpos(reverse({tail}), {mark}) > 0 then left({x}, {start}) || left({tail}, length({tail}) - strpos(reverse({tail}), {mark}) - {n} + 1) end"
+    sentence = rf"case when regexp_matches({tail}, '(?s)^.*[.!?][ \n]') then left({x}, {start}) || regexp_extract({tail}, '(?s)^(.*[.!?])[ \n]', 1) end"
+    return f"case when length({x}) <= {most} then {x} else coalesce(trim(coalesce({last('chr(10) || chr(10)', 2)}, {sentence}, {last('chr(10)', 1)}, {last(chr(39) + ' ' + chr(39), 1)}), {space}), left({x}, {most})) end"
+
+
+@query(f"select doc_id, {_truncate_sql('text', 300)} as cut from documents")
+def natural_cuts(spark, sf_dir):
+    return A.read(spark, sf_dir, "documents").select("doc_id", truncate(F.col("text"), 300).alias("cut"))
+
+
+_WORDS = ["tion", "ther", "anand", "inst"]
+
+
+@query(
+    rf"""with b as (select doc_id, trim(regexp_replace(text, '\A(?:[ \t]*(?:#[^\n]*)?\n)+', ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body from documents),
+    p as (select doc_id, body, case when contains(body, chr(10) || chr(10)) then chr(10) || chr(10) else chr(10) end as sep, string_split(body, sep) as p,
+        list_transform(p, lambda x: len(list_filter({_WORDS}, lambda w: contains(lower(x), w)))) as s, list_position(s, list_max(s)) as at,
+        case when at > 1 and length(p[at - 1]) < 100 then at - 1 else at end as first from b),
+    w as (select doc_id, body, case when list_max(s) = 0 then body else array_to_string(list_slice(p, first, len(p)), sep) end as part from p)
+    select doc_id, case when length(body) <= 200 then body else {_truncate_sql("part", 200)} end as snippet from w"""
+)
+def query_snippets(spark, sf_dir):
+    """The part of each text that fits the query's words best; some texts begin with headings."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# Title\n\n## Part\n"), "text")).otherwise(F.col("text"))
+    return A.read(spark, sf_dir, "documents").select("doc_id", snippet(text, F.array(*map(F.lit, _WORDS)), 200).alias("snippet"))
+
+
+_RANKED = """ranked as (select workstream, id, path, title, content_type, trust_state, text, (id % 7) / 20 :: double as overlap, (id % 9) / 10 :: double as score,
+    row_number() over (partition by workstream order by id % 7 desc, id) as place from seen)"""
+
+
+@query(
+    f"""{NOTES}, {_RANKED}, l as (select *, first_value(overlap) over (partition by workstream order by place) as lead from ranked where place <= 3),
+    e as (select *, min(case when place > 1 and ((lead > 0 and lead < 0.199 and overlap <= 0) or (lead >= 0.199 and overlap < greatest(lead * 0.65, 0.1))) then place end) over (partition by workstream) as cut
+        from l where lead >= 0.199 or place <= 2),
+    c as (select *, '**' || title || '** (' || content_type || ', score: ' || printf('%.3f', score) || (case when trust_state in ('stale', 'contradicted') then ', trust: ' || trust_state else '' end) || ')' || chr(10) || path
+        || (case when text = '' then '' else chr(10) || ({_truncate_sql("text", 1600)}) end) as entry from e where cut is null or place < cut),
+    t as (select *, strlen(entry) // 4 as tokens from c),
+    p as (select workstream, max(tokens) filter (place = 1) as t1, max(tokens) filter (place = 2) as t2, max(tokens) filter (place = 3) as t3 from t group by 1),
+    k as (select *, case when t1 <= 800 then t1 else 0 end as u1, case when u1 + coalesce(t2, 0) <= 800 then u1 + coalesce(t2, 0) else u1 end as u2 from p)
+    select t.workstream, place :: int as place, path, entry, tokens :: int as tokens from t join k using (workstream)
+    where (place = 1 and t1 <= 800) or (place = 2 and u1 + t2 <= 800) or (place = 3 and u2 + t3 <= 800)"""
+)
+def packed_context(spark, sf_dir):
+    """What is shown of each workstream's ranked notes: trims behind the leader, and a budget that passes over what doesn't fit."""
+    n = A.notes(spark, sf_dir).where(filters.visible())
+    n = n.withColumns({"overlap": (F.col("id") % 7) / 20, "score": (F.col("id") % 9) / 10, "boosted": F.lit(False)})
+    place = F.row_number().over(Window.partitionBy("workstream").orderBy(F.desc(F.col("id") % 7), "id"))
+    return ranking.pack_context(n.withColumn("place", place), ["workstream"])
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model might have said about each note: plain, fenced, behind thoughts, among other brackets, or broken off."""
+    n = A.plain_notes(spark, sf_dir)
+    facts = F.array(
+        F.struct(F.col("title").alias("text"), ((F.col("id") % 13) / 10).alias("confidence")), F.struct(F.lit("short").alias("text"), F.lit(0.9).alias("confidence")),
+        F.struct(F.concat(F.lit('said "}" in '), "path").alias("text"), F.lit(None).cast("double").alias("confidence")),
+    )
+    nodes = F.array(F.struct(F.lit("entity").alias("type"), F.col("domain").alias("name")), F.struct(F.lit("concept").alias("type"), F.col("workstream").alias("name")))
+    edges = F.array(*[F.struct(F.col("domain").alias("source"), t.alias("target"), F.lit(r).alias("relation")) for t, r in ((F.col("workstream"), "uses"), (F.lit("ghost"), "affects"))])
+    json = F.to_json(F.struct(facts.alias("facts"), nodes.alias("nodes"), edges.alias("edges")))
+    k = F.col("id") % 6
+    said = F.when(k == 1, F.concat(F.lit("Sure!\n```json\n"), json, F.lit("\n```\nAnything {else}?"))).when(k == 2, F.concat(F.lit('<think>maybe {"facts": []} or so</think> '), json, F.lit(" } done")))
+    said = said.when(k == 3, F.concat(F.lit("{a} [1] {\"x\": "), json)).when(k == 4, F.concat(F.lit("see {this: no} then "), json, F.lit(" and {\"facts\": []}"))).when(k == 5, F.left(json, F.length(json) - 2)).otherwise(json)
+    return n.select("id", "path", "title", said.alias("answer"))
+
+
+@query(
+    f"""{NOTES}, f as (select path as source_path, trim(title, ' ' || chr(9) || chr(10) || chr(13)) as fact_text, case when id % 13 between 1 and 10 then (id % 13) / 10 else 0.6 end as confidence, id from notes
+        union all select path, 'said "}}" in ' || path, 0.6, id from notes)
+    select source_path, fact_text, max(confidence) :: double as confidence from f where id % 6 <> 5 and strlen(fact_text) >= 10 group by 1, 2"""
+)
+def facts_from_answers(spark, sf_dir):
+    return answers.facts(_answered(spark, sf_dir).withColumnRenamed("path", "source_path"))
+
+
+@query(
+    f"""{NOTES}, ok as (select * from notes where id % 6 <> 5), n as (select distinct 'entity' as type, domain as name from ok union select 'concept', workstream from ok),
+    e as (select distinct 'entity' as source_type, domain as source, 'concept' as target_type, workstream as target, 'uses' as rel from ok
+        union select 'note', path, 'entity', domain, 'mentions' from ok union select 'note', path, 'concept', workstream, 'mentions' from ok)
+    select source_type, source, target_type, target, rel, case when source = 'en' and target = 'src1' then 0.25 else 1.0 end :: double as weight from e
+    union all select 'note', 'a', 'note', 'b', 'references', 0.5"""
+)
+def entity_merge(spark, sf_dir):
+    """The edges of a small graph after answers were merged into it."""
+    nodes = spark.createDataFrame([("entity", "en", None)], "type string, name string, note_id long")
+    edges = spark.createDataFrame([("entity", "en", "concept", "src1", "uses", 0.25), ("note", "a", "note", "b", "references", 0.5)], "source_type string, source string, target_type string, target string, rel string, weight double")
+    return answers.merge_entities(nodes, edges, _answered(spark, sf_dir))[1]
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes with references, decisions and fenced code behind their texts, as chunks."""
+    n, i = A.plain_notes(spark, sf_dir), F.col("id")
+    said = [
+        "\nsee docs/plan_", i % 7, ".md, http://docs.example.com/c/d.md, /etc/x/y.sh, ./sub/one.go and a.md/b.go", "\nDecision: use index ", i % 5, " for search.",
+        "\n```\nDecided: keep this in code\n```\nDecision: whether to go on\nwe chose to split table ", i % 3, " in two. And more\nchosen: a | b pipe of things",
+    ]
+    return A.chunks(n.withColumn("text", F.concat("text", *[F.lit(x) if isinstance(x, str) else x.cast("string") for x in said])))
+
+
+@query(
+    f"""{NOTES} select 'note' as source_type, path as source, 'note' as target_type, 'docs/plan_' || (id % 7) || '.md' as target, 'references' as rel from notes
+    union all select 'note', path, 'file', 'sub/one.go', 'references' from notes
+    union all select 'decision', 'use index ' || (id % 5) || ' for search', 'note', path, 'affects' from notes
+    union all select 'decision', 'split table ' || (id % 3) || ' in two', 'note', path, 'affects' from notes
+    union all select 'agent', agent, 'note', path, 'produced' from notes
+    union all select 'note', path, 'entity', 'tag:' || lower(unnest(tags)), 'mentions' from notes union all select 'note', path, 'entity', 'domain:' || lower(domain), 'mentions' from notes"""
+)
+def graph_rebuild(spark, sf_dir):
+    return graph.rebuild(_told(spark, sf_dir))[1]
+
+
+@query(
+    f"""{NOTES} select count(*) as notes, 0 :: bigint as failed, count(*) + 7 + 1 + 5 + 3 + count(distinct agent) + (select count(*) from (select unnest(tags) as t from notes union select unnest(tags) from notes))
+    + count(distinct domain) as nodes, (2 + 2 + 1 + 3) * count(*) as edges from notes"""
+)
+def graph_rebuild_figures(spark, sf_dir):
+    return graph.rebuild(_told(spark, sf_dir))[2]
+
+
+@query(
+    f"""{NOTES} select id, title as title, ['first ' || id, 'second'] as facts, case when id % 2 = 0 then ['a or b'] else [] end as conflicts from (select id, case when id % 3 = 0 then 'consolidated' else 'T' || id end as title from notes)"""
+)
+def consolidation_summaries(spark, sf_dir):
+    """What is read back from consolidations in Markdown, one for each note."""
+    i = F.col("id").cast("string")
+    head = F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("---\ntags: [x]\ntitle: \"T"), i, F.lit("\"\n---\n")))
+    clash = F.when(F.col("id") % 2 == 0, "\n### Conflicts\n- a or b\n- [describe contradiction here]\n").otherwise("")
+    text = F.concat(head, F.lit("# Head\n- no fact\n### Key Facts\n- first "), i, F.lit("\nplain\n- fact 1\n  - second\n## Other\n- none"), clash)
+    return A.plain_notes(spark, sf_dir).select("id", answers.summary(text).alias("s")).select("id", "s.title", "s.facts", "s.conflicts")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 
