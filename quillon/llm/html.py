@@ -8,13 +8,16 @@ from the root. For each branch, over the host's distinct pages that have it,
 
 A branch on one page only has importance 1 for both. Importance is the larger of the mean and content importance, and
 is weighed by what the style itself says: an article or main element (``MAIN``), other branches (``PLAIN``, or ``BESIDE``
-on a page whose article stands elsewhere), times ``MARKED`` for a form, or a word of navigation, adverts, comments and the
-like in a class or id. Branches below ``LEAST`` are removed, so the host's pages decide: a banner that repeats goes even
-from an article, and text of its own lifts a marked branch. Two cases are decided without entropy: what is navigation,
-header, footer, aside, menu, dialog or hidden by its tag, role or attribute (``NOISE``), and what is marked and beside an
-article. html, body and the elements around an article or main are neither noise nor marked; an article or main
-inside noise is an article. A main branch goes only if it repeats on ``FEW`` pages at least, and not if no main
-text of the page would be left: such a page is a copy of others.
+on a page whose article stands elsewhere), times ``MARKED`` for a word of navigation, adverts, comments and the like somewhere in a
+class or id. Branches below ``LEAST`` are removed, so the host's pages decide: a banner that repeats goes even
+from an article, and text of its own lifts a marked branch.
+
+Without entropy it is decided what is no text wherever it stands and however much it varies from page to page (``NOISE``): navigation, header, footer,
+aside, menu, dialog or hidden by tag, role or attribute; a form; and what a class or id calls reader comments, adverts, notices, menus or sidebars
+and nothing else ("comments", "comment-list", "cookie-notice", but not "related-comments-study" or "no-ads"). html, body and the elements around an
+article or main are not noise, unless what they hold are comments written as articles beside an article elsewhere; a form that holds all of a page's
+text is its wrapper. An article or main inside other noise is an article. A main branch goes only if it repeats on ``FEW`` pages
+at least, and not if no main text of the page would be left: such a page is a copy of others.
 
 What is left is cut into blocks at block elements; character references are decoded, white space in a block becomes one
 space, blocks are joined in page order by two line breaks. Scripts, styles, templates and comments are never text.
@@ -51,6 +54,8 @@ _RAW = frozenset("script style noscript template iframe object svg canvas textar
 _NOISE_TAGS = frozenset("nav header footer aside menu dialog search".split())
 #: What an unclosed one of these swallows is no text; the others of _RAW only lose their tag then.
 _ENDLESS = frozenset("script style textarea title noframes iframe".split())
+#: Elements that a following block, or the next of their kind, ends.
+_CLOSED_BY_NEXT = frozenset(["p", "li"])
 _MAIN_TAGS = frozenset(["article", "main"])
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _NOISE_WORDS = frozenset(
@@ -58,14 +63,33 @@ _NOISE_WORDS = frozenset(
     "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments disqus discussion login "
     "search toolbar skip copyright widget pagination pager".split()
 )
+#: Words that say what is no text, words that go with them in a name, and names that say text.
+_STRONG = frozenset(
+    "comment comments disqus advert adverts advertisement advertisements ad ads adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup "
+    "newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar".split()
+)
+_ALONG = frozenset(
+    "list box section area wrapper wrap container block item items body thread banner bar form row col column inner outer content panel slot unit group holder zone region left "
+    "right top bottom main page site global fixed sticky new first last message text title link links widget reader readers user users reply replies author meta".split()
+)
+_TEXT = frozenset("content post article entry story layout page main body".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+def _says_noise(names: list[str]) -> bool:
+    """Whether some class or id is made of words for what is no text, and none is a plain word for text."""
+    for name in names:
+        parts = {w.lower() for w in _PARTS.findall(name)}
+        if parts & _STRONG and parts <= _STRONG | _ALONG and not any(n.lower() in _TEXT for n in names):
+            return True
+    return False
+
+
 def _style(name: str, tag: str) -> tuple[str, str, bool]:
-    """A style's name in the tree, what it says (main, noise or nothing), and whether it is marked."""
+    """A style's name in the tree, what it says (main, noise, form, told by a name to be noise, or nothing), and whether it is marked."""
     found = {k.lower(): (v[1:-1] if v[:1] in "\"'" else v) for k, v in _ATTRIBUTE.findall(tag, len(name) + 1)} if len(tag) > len(name) + 2 else {}
-    marks = f"{found.get('class', '')} {found.get('id', '')}"
-    said = {w.lower() for w in _PARTS.findall(marks)} if marks.strip() else set()
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    said = {w.lower() for n in names for w in _PARTS.findall(n)}
     role = found.get("role", "").lower()
     label = name + "".join(f".{c}" for c in sorted(found.get("class", "").split())) + (f"#{found['id']}" if found.get("id") else "")
     label = _DIGITS.sub("0", label)
@@ -73,11 +97,15 @@ def _style(name: str, tag: str) -> tuple[str, str, bool]:
         return label, "", False
     if name in _NOISE_TAGS or role in _NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true":
         kind = "noise"
+    elif names and _says_noise(names):
+        kind = "told"
+    elif name == "form":
+        kind = "form"
     elif name in _MAIN_TAGS or role in ("main", "article"):
         kind = "main"
     else:
         kind = ""
-    return label, kind, name == "form" or bool(said & _NOISE_WORDS)
+    return label, kind, bool(said & _NOISE_WORDS)
 
 
 class Page:
@@ -85,8 +113,8 @@ class Page:
 
     def __init__(self, html: str):
         self.blocks: list[tuple[int, str]] = []  # branch and text, in page order
-        # elements: the one around, tag, style, what it says, whether marked, whether an article or main is inside
-        elements: list[list] = [[0, "", "", "", False, False]]
+        # elements: the one around, tag, style, what it says, whether marked
+        elements: list[list] = [[0, "", "", "", False]]
         shapes: list[list[str]] = [[]]
         stack: list[tuple[str, int]] = [("", 0)]
         open_ = Counter()  # names on the stack
@@ -111,12 +139,15 @@ class Page:
             if tag[1] == "/":
                 if name in _BLOCK:
                     flush()
-                if name in _STRUCTURE and open_[name]:
+                if name in _BLOCK and open_[name]:
                     closed = ""
                     while closed != name:
                         closed, _ = stack.pop()
                         open_[closed] -= 1
                 continue
+            if name in _BLOCK and stack[-1][0] in _CLOSED_BY_NEXT and (stack[-1][0] == "p" or stack[-1][0] == name):
+                flush()
+                open_[stack.pop()[0]] -= 1
             parent = stack[-1][1]
             if name in _RAW:
                 if tag[-2:] != "/>":
@@ -133,15 +164,11 @@ class Page:
             elif name in _BLOCK:
                 flush()
                 shapes[parent].append(name)
-                if name in _STRUCTURE:
-                    style = _style(name, tag)
-                    elements.append([parent, name, *style, False])
+                style = _style(name, tag) if name in _STRUCTURE or name in _CLOSED_BY_NEXT and len(tag) > len(name) + 2 else None
+                # a paragraph or list item is a branch of its own only if its name tells what it is
+                if style and (name in _STRUCTURE or style[1] == "told"):
+                    elements.append([parent, name, *style])
                     shapes.append([])
-                    if style[1] == "main":
-                        for _, e in reversed(stack):
-                            if elements[e][5]:
-                                break  # and so are those around it
-                            elements[e][5] = True
                     stack.append((name, len(elements) - 1))
                     open_[name] += 1
             elif name == "br":
@@ -153,17 +180,39 @@ class Page:
 
     def _merge(self, elements: list[list], shapes: list[list[str]]) -> None:
         """Elements of one way become one branch."""
-        self.ways, self.kinds, self.marked, self.shapes = [""], [""], [False], [shapes[0]]
+        told = [False] * len(elements)
+        for i, (parent, _, _, kind, _) in enumerate(elements):
+            told[i] = i > 0 and told[parent] or kind == "told"
+        mains = [i for i, e in enumerate(elements) if e[3] == "main"]
+        blocks = self.blocks
+        # comments may be articles too, and a form or what is told to be noise may be a wrapper of all text
+        for inside, forms in ((False, "noise"), (False, ""), (True, "noise"), (True, "")):
+            own = [i for i in mains if inside or not told[i]]
+            around = [False] * len(elements)
+            for i in own:
+                up = elements[i][0]
+                while up and not around[up]:
+                    around[up] = True
+                    up = elements[up][0]
+            of = self._ways(elements, shapes, around, forms, set(mains) - set(own))
+            self.blocks = [(of[e], t) for e, t in blocks]
+            if any(self.kinds[b] != "noise" for b, _ in self.blocks):
+                return
+
+    def _ways(self, elements: list[list], shapes: list[list[str]], around: list[bool], forms: str, none: set[int]) -> list[int]:
+        self.ways, self.kinds, self.marked, self.shapes = [""], [""], [False], [list(shapes[0])]
         known, of = {"": 0}, [0]
-        for (parent, name, label, kind, mark, around), shape in zip(elements[1:], shapes[1:], strict=True):
+        for i in range(1, len(elements)):
+            parent, name, label, kind, mark = elements[i]
+            kind = "noise" if i in none else {"told": "noise", "form": forms}.get(kind, kind)
             up = of[parent]
             inside = self.kinds[up]
-            if around and kind == "noise":
+            if around[i] and kind == "noise":
                 kind = ""
             # a header of an article is its own heading; other noise inside it is noise
             if kind == "" or kind == "noise" and name == "header" and inside == "main":
-                kind = inside if not (around and inside == "noise") else ""
-            mark = not around and (mark or self.marked[up] and kind == inside)
+                kind = inside if not (around[i] and inside == "noise") else ""
+            mark = not around[i] and (mark or self.marked[up] and kind == inside)
             # a way is known by a hash, however deep it is
             way = f"{_hash(f'{self.ways[up]}/{label}!{kind}!{mark}'):x}"
             if way not in known:
@@ -173,8 +222,8 @@ class Page:
                 self.marked.append(mark)
                 self.shapes.append([])
             of.append(known[way])
-            self.shapes[known[way]] += shape
-        self.blocks = [(of[e], t) for e, t in self.blocks]
+            self.shapes[known[way]] += shapes[i]
+        return of
 
     def weight(self, branch: int) -> float:
         """What the style itself says."""
