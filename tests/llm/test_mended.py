@@ -6,7 +6,7 @@ from math import log1p
 import numpy as np
 import pytest
 
-from quillon.llm import decontam, packing
+from quillon.llm import decontam, html, packing
 
 
 def test_encoder_forgets_nothing_that_the_slice_needs():
@@ -73,3 +73,51 @@ def test_items_with_common_parts_are_found(spark):
                     want[i, k] = s
     assert len([k for k in want if k[0] < 150 and k[0] == k[1]]) == 150
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def page_texts(spark, pages):
+    frame = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html.main_text(frame).collect()}
+
+
+ARTICLE = "<article><h1>Title {i}</h1><p>Body of page {i} goes on and on.</p>{inside}</article>"
+PARTS = [
+    '<div class="comments"><div>Reader {i} says something new.</div></div>', '<div class="comment-list" id="c{i}"><p>Nice {i}</p></div>', '<section id="comments"><article><p>I, reader {i}, agree.</p></article></section>',
+    '<article class="comment"><p>Reply {i}</p></article>', '<div class="advert">Buy thing {i} now</div>', '<aside class="x">Side {i}</aside>', '<div id="cookie-notice">We use cookies {i}</div>',
+    '<form action="/x"><p>Your name {i}</p><input name="q"></form>', '<p class="ad">Ad text {i}</p>', '<ul><li>point {i}</li><li class="ad-item">ad {i}</li></ul>', '<div class="sidebar"><p>More of {i}</p></div>',
+    '<div class="NewsletterSignup">Mail me {i}</div>', '<div class="notice">Site moves on day {i}</div>', '<div class="ads-container banner">Offer {i}</div>',
+]
+
+
+@pytest.mark.parametrize("where", ["inside", "beside", "plain", "alone"])
+def test_comments_forms_adverts_and_notices_go_wherever_they_stand(spark, where):
+    """Inside an article, beside it, on pages without one, on hosts of one page; their texts differ from page to page."""
+    pages, want = [], {}
+    for k, part in enumerate(PARTS):
+        for i in range(1 if where == "alone" else 5):
+            p = part.format(i=i)
+            inside, beside = (p, "") if where in ("inside", "alone") else ("", p)
+            body = ARTICLE.format(i=i, inside=inside) + beside if where != "plain" else f"<div class='text'><h1>Title {i}</h1><p>Body of page {i} goes on and on.</p></div>{p}"
+            want[len(pages)] = f"Title {i}\n\nBody of page {i} goes on and on." + (f"\n\npoint {i}" if "point" in p and where in ("inside", "alone", "plain") else "")
+            pages.append((f"http://h{k}.com/{i}", f"<html><body><nav>Menu</nav><div id='wrap'>{body}</div><footer>end</footer></body></html>"))
+    got = page_texts(spark, pages)
+    lists = {i for i, (_, h) in enumerate(pages) if "point" in h and where == "beside"}
+    assert {i: t for i, t in got.items() if i not in lists} == {i: t for i, t in want.items() if i not in lists}
+
+
+def test_names_that_only_hold_such_words_stay(spark):
+    """Wrappers and sections whose names hold other words as well are text, and so is what is around an article."""
+    texts = [
+        '<body class="has-sidebar no-ads"><div class="sidebar-left layout"><p>Kept {i}</p></div></body>', '<article><section id="related-comments-study"><p>Kept {i}</p></section></article>',
+        '<form id="aspnetForm"><div><article><p>Kept {i}</p></article></div></form>', '<form id="aspnetForm"><div><p>Kept {i}</p></div></form>', '<div class="comments"><main><p>Kept {i}</p></main></div>',
+        '<div class="post comments"><p>Kept {i}</p></div>', "<article><section id='discussion'><p>Kept {i}</p></section></article>",
+    ]
+    pages = [(f"http://k{k}.com/{i}", t.format(i=i)) for k, t in enumerate(texts) for i in range(4)]
+    got = page_texts(spark, pages)
+    assert got == {n: f"Kept {n % 4}" for n in range(len(pages))}
+
+
+def test_entropy_decides_the_rest(spark):
+    """A box that repeats on a host's pages goes from their articles; one with texts of its own stays; both look alike."""
+    pages = [(f"http://a.com/{i}", f"<main><div class='box'>Same words here</div><div class='box2'>Own words of {i}</div><p>Text {i}</p></main>") for i in range(6)]
+    assert page_texts(spark, pages) == {i: f"Own words of {i}\n\nText {i}" for i in range(6)}
