@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_FROM, LARGEST, KEPT = 6000, 7500, 10000  # bytes; kept: characters
+CHUNK_FROM, LARGEST = 6000, 7500  # bytes
 
 
-def by_headings(notes: DataFrame, text: str = "text") -> DataFrame:
-    """(…, chunk_id, chunk_heading, chunk) cut at ``## ``; a part that is too large is cut at ``### ``, then by size.
+def by_headings(notes: DataFrame, text: str = "text", kept: int | None = None) -> DataFrame:
+    """(…, chunk_heading, chunk) cut at ``## ``; a part that is too large is cut at ``### ``, then by size.
 
     Empty parts are dropped; a text without a part is one chunk, "(full)".
+    ``kept`` is what ``by_size`` has.
     """
     body = F.col(text)
     parts = F.transform(
@@ -41,24 +42,44 @@ def by_headings(notes: DataFrame, text: str = "text") -> DataFrame:
     chosen = F.when((F.octet_length(body) > CHUNK_FROM) & (F.size(fine) > 0), fine).otherwise(whole)
     keep = [c for c in notes.columns if c != text]
     cut = notes.select(*keep, F.explode_outer(chosen).alias("p"))
-    sized = by_size(cut.select(*keep, F.col("p.heading").alias("heading"), F.col("p.chunk").alias("chunk")), "chunk")
+    sized = by_size(cut.select(*keep, F.col("p.heading").alias("heading"), F.col("p.chunk").alias("chunk")), "chunk", kept=kept)
     return sized
 
 
-def by_size(rows: DataFrame, column: str, largest: int = LARGEST) -> DataFrame:
-    """Paragraphs packed in order into chunks of at most ``largest`` bytes; parts of one chunk get "(part n)"."""
-    # fold over the paragraphs: the finished chunks, and the one being filled
-    packed = F.expr(
-        f"aggregate(split({column}, '\\n\\n'), named_struct('done', cast(array() as array<string>), 'open', ''), (acc, p) -> "
-        f"if(acc.open = '', named_struct('done', acc.done, 'open', p), if(octet_length(acc.open) + 2 + octet_length(p) <= {largest}, "
-        "named_struct('done', acc.done, 'open', concat(acc.open, '\\n\\n', p)), named_struct('done', array_append(acc.done, acc.open), 'open', p))), "
-        "acc -> if(acc.open = '', acc.done, array_append(acc.done, acc.open)))"
-    )
+def _pieces(paragraph: Column, largest: int) -> Column:
+    """A paragraph that is too large in pieces, cut behind white space where there is some; pieces but the first begin with a sign, and nothing is lost."""
+    cut = lambda n: F.regexp_extract_all(paragraph, F.lit(rf"(?s).{{1,{n}}}(?:(?<=\s)|\z)|.{{1,{n}}}"), F.lit(0))
+    parts = F.when(F.octet_length(paragraph) == F.length(paragraph), cut(largest)).otherwise(cut(max(1, largest // 4)))
+    marked = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(_GOES_ON), p)))
+    return F.when(F.octet_length(paragraph) <= largest, F.array(paragraph)).otherwise(marked)
+
+
+_GOES_ON = "\x01"
+
+
+def by_size(rows: DataFrame, column: str, largest: int = LARGEST, kept: int | None = None) -> DataFrame:
+    """Paragraphs packed in order into chunks of at most ``largest`` bytes; parts of one chunk get "(part n)".
+
+    A paragraph that is larger is cut into pieces, so all of the text is in some chunk. ``kept``, if given, cuts each chunk to so many characters.
+    """
+    spaced = F.split(F.translate(column, _GOES_ON, ""), "\n\n")
+    parts = F.flatten(F.transform(spaced, lambda p: _pieces(p, largest)))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+
+    def step(acc: Column, p: Column) -> Column:
+        on = p.startswith(_GOES_ON)
+        plain = F.when(on, F.substring(p, F.lit(2), F.length(p))).otherwise(p)
+        joined = F.concat(acc["open"], F.when(on, "").otherwise("\n\n"), plain)
+        fits = acc["open"].isNull() | (F.octet_length(joined) <= largest) | (acc["open"] == "")
+        return F.struct(F.when(fits, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), F.when(acc["open"].isNull(), plain).when(fits, joined).otherwise(plain).alias("open"))
+
+    packed = F.aggregate(parts, start, step, lambda acc: F.array_append(acc["done"], acc["open"]))
+    packed = F.filter(F.transform(packed, lambda c: F.btrim(c, F.lit(" \t\r\n"))), lambda c: c != "")
     keep = [c for c in rows.columns if c not in (column, "heading")]
-    parts = F.when(F.octet_length(column) > largest, packed).otherwise(F.array(F.col(column)))
-    out = rows.select(*keep, "heading", F.size(parts).alias("n_parts"), F.posexplode_outer(parts).alias("part", "chunk"))
+    chosen = F.when(F.octet_length(column) > largest, packed).otherwise(F.array(F.col(column)))
+    out = rows.select(*keep, "heading", F.size(chosen).alias("n_parts"), F.posexplode_outer(chosen).alias("part", "chunk"))
     heading = F.when(F.col("n_parts") > 1, F.concat(F.col("heading"), F.lit(" (part "), F.col("part") + 1, F.lit(")"))).otherwise(F.col("heading"))
-    return out.select(*keep, heading.alias("chunk_heading"), F.left("chunk", F.lit(KEPT)).alias("chunk"))
+    return out.select(*keep, heading.alias("chunk_heading"), (F.left("chunk", F.lit(kept)) if kept else F.col("chunk")).alias("chunk"))
 
 
 def full_text(chunks: DataFrame) -> DataFrame:
@@ -79,8 +100,8 @@ def turn_markers(notes: DataFrame) -> DataFrame:
     fences = F.regexp_extract_all("text", F.lit(r"(?s)```.*?(?:```|\z)"), F.lit(0))
     masked = F.aggregate(fences, F.col("text"), lambda t, f: F.replace(t, f, F.replace(f, F.lit("\n"), F.lit("\n\x01"))))
     marked = F.regexp_replace(masked, TURN, "\x00$0")
-    parts = F.slice(F.split(marked, "\x00"), 2, 1_000_000)
-    rows = notes.select("path", F.posexplode_outer(parts).alias("turn", "part")).where("part is not null")
+    parts = F.split(marked, "\x00")
+    rows = notes.select("path", F.posexplode_outer(parts).alias("turn", "part")).where("turn > 0").withColumn("turn", F.col("turn") - 1)
     head = F.regexp_extract("part", TURN, 0)
     role = F.when(F.lower(head).rlike("user|human"), "user").otherwise("assistant")
     return rows.select("path", "turn", role.alias("role"), F.btrim(F.regexp_replace(F.translate(F.substring("part", F.length(head) + 1, F.length("part")), "\x01", ""), r"^\*{1,2}", ""), F.lit(" \n\t")).alias("text"))

@@ -33,21 +33,22 @@ def delete(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(gone.select(*key).distinct(), key, "left_anti")
 
 
-def delete_notes(tables: dict[str, DataFrame], paths: DataFrame) -> dict[str, DataFrame]:
-    """The notes of ``paths`` and all that hangs on them: vectors, edges, nodes, sources and facts; then nodes without edges."""
+def delete_notes(tables: dict[str, DataFrame], paths: DataFrame, with_facts: bool = False) -> dict[str, DataFrame]:
+    """The notes of ``paths`` and all that hangs on them: vectors, edges, nodes and sources; then nodes without edges. Facts stay, unless told otherwise."""
     notes, nodes, edges = tables["notes"], tables["nodes"], tables["edges"]
     gone = notes.join(paths, "path", "left_semi").select("id")
     gone_nodes = nodes.join(gone.select(F.col("id").alias("note_id")), "note_id", "left_semi").select(F.col("id").alias("node"))
     left = edges.join(gone_nodes.withColumnRenamed("node", "src"), "src", "left_anti").join(gone_nodes.withColumnRenamed("node", "dst"), "dst", "left_anti")
     ends = left.select(F.col("src").alias("id")).union(left.select(F.col("dst").alias("id"))).distinct()
     kept = nodes.join(gone_nodes.withColumnRenamed("node", "id"), "id", "left_anti")
+    facts = tables["facts"].join(paths.select(F.col("path").alias("source_path")), "source_path", "left_anti") if with_facts else tables["facts"]
     return tables | {
         "notes": delete(notes, paths, ["path"]),
         "vectors": tables["vectors"].join(gone.select(F.col("id").alias("note_id")), "note_id", "left_anti"),
         "edges": left,
         "nodes": kept.where("type = 'note'").unionByName(kept.where("type <> 'note'").join(ends, "id", "left_semi")),
         "sources": tables["sources"].join(paths.select(F.col("path").alias("note_path")), "note_path", "left_anti"),
-        "facts": tables["facts"].join(paths.select(F.col("path").alias("source_path")), "source_path", "left_anti"),
+        "facts": facts,
     }
 
 

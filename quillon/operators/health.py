@@ -60,13 +60,26 @@ def health_score(figures: DataFrame) -> DataFrame:
     return figures.select("total", score.cast("int").alias("score"), F.when(score >= 80, "excellent").when(score >= 60, "good").when(score >= 40, "fair").otherwise("poor").alias("label"))
 
 
+#: Shares of use that are low and high for all, and very low for one hook of more than so many uses; tokens of a use that are many.
+LOW, HIGH, VERY_LOW, SOME_USES, MANY_TOKENS = 0.3, 0.8, 0.2, 3, 500
+
+
 def budget_report(usage: DataFrame) -> DataFrame:
-    """Injections of each hook, how many were used, and what to do about it."""
-    g = usage.groupBy("hook_name").agg(
-        F.count("*").alias("injections"), F.count_if("was_referenced").alias("referenced"), F.sum("estimated_tokens").alias("tokens")
-    ).withColumn("utilisation", S.round3(F.col("referenced") / F.col("injections"))).withColumn("average", F.floor(F.col("tokens") / F.col("injections")))
-    advice = F.when((F.col("utilisation") < 0.2) & (F.col("injections") > 3), "drop").when(F.col("utilisation") < 0.3, "narrow").when(F.col("utilisation") > 0.8, "widen").when(F.col("average") > 500, "shorten").otherwise("keep")
-    return g.withColumn("advice", advice)
+    """Injections of each hook and, with the hook ``null``, of all: how many were used, tokens, and what to do about it.
+
+    ``advice`` is a list: "raise" the bar or "calibrated" for all, "adjust" and "shorten" for a hook.
+    """
+    sums = [F.count("*").alias("injections"), F.count_if("was_referenced").alias("referenced"), F.sum("estimated_tokens").alias("tokens")]
+    each = usage.groupBy("hook_name").agg(*sums)
+    every = each.agg(*[F.sum(c).alias(c) for c in ("injections", "referenced", "tokens")]).where("injections > 0").select(F.lit(None).cast("string").alias("hook_name"), "injections", "referenced", "tokens")
+    g = each.withColumn("own", F.lit(True)).unionByName(every.withColumn("own", F.lit(False)))
+    g = g.withColumns({"rate": F.col("referenced") / F.col("injections"), "average": F.floor(F.col("tokens") / F.col("injections"))}).withColumn("utilisation", S.round3(F.col("rate")))
+    own = F.col("own")
+    advice = F.array(
+        F.when(~own & (F.col("rate") < LOW), "raise"), F.when(~own & (F.col("rate") > HIGH), "calibrated"),
+        F.when(own & (F.col("utilisation") < VERY_LOW) & (F.col("injections") > SOME_USES), "adjust"), F.when(own & (F.col("average") > MANY_TOKENS), "shorten"),
+    )
+    return g.select("hook_name", "injections", "referenced", "tokens", "utilisation", "average", F.filter(advice, lambda x: x.isNotNull()).alias("advice"))
 
 
 def last_sessions(usage: DataFrame, n: int) -> DataFrame:
@@ -76,9 +89,9 @@ def last_sessions(usage: DataFrame, n: int) -> DataFrame:
 
 
 def overdue(roots: DataFrame, as_of: str) -> DataFrame:
-    """Visible notes whose review date has passed, with the days since; most overdue first."""
+    """Visible notes whose review date has come, with the days since (0 on the day itself)."""
     days = F.date_diff(F.lit(as_of).cast("date"), "review_by")
-    return roots.where(visible()).withColumn("days_overdue", days).where("days_overdue > 0")
+    return roots.where(visible()).withColumn("days_overdue", days).where("days_overdue >= 0")
 
 
 def brief(roots: DataFrame, vectors_: DataFrame | None = None) -> DataFrame:

@@ -133,31 +133,35 @@ def contradiction(text: Column, similarity: Column) -> Column:
     return F.when(kind.isNotNull() & (similarity >= 0.7) & (sure >= 0.3), F.struct(kind.alias("kind"), S.round3(sure).alias("confidence")))
 
 
-def decisions(messages: DataFrame, key: list[str], text: str = "text", role: str = "role") -> DataFrame:
-    """Decisions in messages that aren't the user's and have 20 characters at least; a pandas UDF, as matches look around."""
+#: Letters before a match in which doubts count, behind it in which a reason does, and around it as its context; the first patterns that need no reason.
+BEFORE, BEHIND, AROUND, EXPLICIT, LEAST_TEXT = 20, 200, 100, 2, 20
+
+
+def decisions_in(text: str, need_reason: bool = True) -> list[dict]:
+    """Decisions in a text, pattern by pattern, of equal ones the first. A reason counts from the match's begin on; it, or an explicit marker, makes a decision sure."""
     import re
 
-    patterns, reason, doubts = [re.compile(p) for p in DECISIONS], re.compile(REASON), [re.compile(p) for p in DOUBTS]
-
-    def find(body: str) -> list[dict]:
-        out, seen = [], set()
-        for i, p in enumerate(patterns):
-            for m in p.finditer(body):
-                what = m[0].strip()
-                if what.lower() in seen or any(d.search(body[max(0, m.start() - 20) : m.end()]) for d in doubts):
-                    continue
-                explicit = i < 2
-                if not explicit and not reason.search(body[max(0, m.start() - 200) : m.end() + 200]):
-                    continue
-                seen.add(what.lower())
-                out.append({"decision": what, "confidence": "high" if i < 3 else "medium", "context": body[max(0, m.start() - 100) : m.end() + 100]})
-        return out
+    out, seen = [], set()
+    for i, p in enumerate(map(re.compile, DECISIONS)):
+        for m in p.finditer(text):
+            what = m[0].strip()
+            if any(re.search(d, text[max(0, m.start() - BEFORE) : m.end()]) for d in DOUBTS) or what.lower() in seen:
+                continue
+            seen.add(what.lower())
+            sure = i < EXPLICIT or re.search(REASON, text[m.start() : m.end() + BEHIND]) is not None
+            if sure or not need_reason:
+                out.append({"decision": what, "confidence": "high" if sure else "medium", "context": text[max(0, m.start() - AROUND) : m.end() + AROUND].strip()})
+    return out
+
+
+def decisions(messages: DataFrame, key: list[str], text: str = "text", role: str = "role", need_reason: bool = True) -> DataFrame:
+    """Decisions in messages that aren't the user's and have 20 bytes at least; a pandas UDF, as matches look around."""
 
     @F.pandas_udf("array<struct<decision:string,confidence:string,context:string>>")
     def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(find)
+        return bodies.map(lambda body: decisions_in(body, need_reason))
 
-    worth = messages.where((F.lower(role) != "user") & (F.length(text) >= 20) & F.col(text).rlike("(?i)decision|chose|picked|selected|decided|went\\s+with|let'?s|going\\s+"))
+    worth = messages.where(~F.col(role).eqNullSafe("user") & (F.octet_length(text) >= LEAST_TEXT) & F.col(text).rlike("(?i)decision|chose|picked|selected|decided|went\\s+with|let'?s|going\\s+"))
     return worth.select(*key, F.explode_outer(run(F.col(text))).alias("d")).where("d is not null").select(*key, "d.decision", "d.confidence", "d.context")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import scores as S
 from quillon.functions import text as T
 from quillon.functions.snippets import snippet, truncate
-from quillon.operators import answers, chunking, dml, filters, graph, guard, health, mining, provenance, ranking, search, trust
+from quillon.operators import answers, chunking, dml, filters, graph, guard, health, mining, provenance, ranking, search, sessions, trust
 from quillon.operators.textindex import TextIndex
 from quillon.plans import hybrid, surfacing
 from quillon.sources import adapters as A
@@ -338,15 +338,17 @@ def brief_sections(spark, sf_dir):
     return health.brief(A.notes(spark, sf_dir))
 
 
-@query(f"{NOTES} select id, path, (date '2024-07-01' - review_by) :: int as days_overdue from seen where review_by < date '2024-07-01'")
+@query(f"{NOTES} select id, path, (date '2024-07-01' - review_by) :: int as days_overdue from seen where review_by <= date '2024-07-01'")
 def overdue_reviews(spark, sf_dir):
     return health.overdue(A.plain_notes(spark, sf_dir), "2024-07-01").select("id", "path", "days_overdue")
 
 
 @query(
-    """with g as (select event_type as hook_name, count(*) as injections, count(*) filter (event_type = 'purchase') as referenced, sum(floor(value) :: bigint) :: bigint as tokens from events group by 1),
+    """with e as (select event_type as hook_name, count(*) as injections, count(*) filter (event_type = 'purchase') as referenced, sum(floor(value) :: bigint) :: bigint as tokens from events group by 1),
+    g as (select * from e union all select null, sum(injections) :: bigint, sum(referenced) :: bigint, sum(tokens) :: bigint from e),
     u as (select *, floor(referenced / injections * 1000 + 0.5) / 1000 as utilisation, floor(tokens / injections) :: bigint as average from g)
-    select *, case when utilisation < 0.2 and injections > 3 then 'drop' when utilisation < 0.3 then 'narrow' when utilisation > 0.8 then 'widen' when average > 500 then 'shorten' else 'keep' end as advice from u"""
+    select *, list_filter([case when hook_name is null and referenced / injections < 0.3 then 'raise' end, case when hook_name is null and referenced / injections > 0.8 then 'calibrated' end,
+        case when hook_name is not null and utilisation < 0.2 and injections > 3 then 'adjust' end, case when hook_name is not null and average > 500 then 'shorten' end], lambda x: x is not null) as advice from u"""
 )
 def usage_budget(spark, sf_dir):
     return health.budget_report(A.usage(spark, sf_dir))
@@ -926,9 +928,9 @@ _WORDS = ["tion", "ther", "anand", "inst"]
 @query(
     rf"""with b as (select doc_id, trim(regexp_replace(text, '\A(?:[ \t]*(?:#[^\n]*)?\n)+', ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body from documents),
     p as (select doc_id, body, case when contains(body, chr(10) || chr(10)) then chr(10) || chr(10) else chr(10) end as sep, string_split(body, sep) as p,
-        list_transform(p, lambda x: len(list_filter({_WORDS}, lambda w: contains(lower(x), w)))) as s, list_position(s, list_max(s)) as at,
-        case when at > 1 and length(p[at - 1]) < 100 then at - 1 else at end as first from b),
-    w as (select doc_id, body, case when list_max(s) = 0 then body else array_to_string(list_slice(p, first, len(p)), sep) end as part from p)
+        list_transform(p, lambda x: len(list_filter({_WORDS}, lambda w: contains(lower(x), w)))) as s, list_position(s, list_max(s)) as spot,
+        case when spot > 1 and length(p[spot - 1]) < 100 then spot - 1 else spot end as first from b),
+    w as (select doc_id, body, case when list_max(s) = 0 then body when sep = chr(10) then array_to_string(list_slice(p, first, len(p)), chr(10)) else array_to_string(list_slice(p, first, len(p)), chr(10) || chr(10)) end as part from p)
     select doc_id, case when length(body) <= 200 then body else {_truncate_sql("part", 200)} end as snippet from w"""
 )
 def query_snippets(spark, sf_dir):
@@ -1042,6 +1044,62 @@ def consolidation_summaries(spark, sf_dir):
     return A.plain_notes(spark, sf_dir).select("id", answers.summary(text).alias("s")).select("id", "s.title", "s.facts", "s.conflicts")
 
 
+_TALK = """m as (select conv_id as session_id, turn, role, text || (case when role = 'assistant' then chr(10) || '- Next: do thing ' || (turn % 4) || chr(10) || '* no mark' || chr(10) || '2. todo ' || turn || ' now' else '' end) as text from conversations),
+    big as (select session_id, count(*) filter (role = 'user') as n_user, count(*) filter (role = 'assistant') as n_assistant from m group by 1 having count(*) >= 3)"""
+
+
+def _first_words_sql(x: str, most: int) -> str:
+    space = "' ' || chr(9) || chr(10) || chr(13)"
+    line = f"trim(string_split(trim({x}, {space}), chr(10))[1], {space})"
+    head = f"left({line}, {most})"
+    sentence, word = rf"regexp_extract({head}, '(?s)^(.*[.!?])', 1)", rf"regexp_extract({head}, '(?s)^(.+)[ \t]', 1)"
+    return f"case when length({line}) <= {most} then {line} when length({sentence}) > {most // 2} then trim({sentence}, {space}) when {word} <> '' then trim({word}, {space}) else trim({head}, {space}) end"
+
+
+@query(
+    f"""with {_TALK}, t as (select session_id, turn, {_first_words_sql("text", 150)} as topic from m where role = 'user'),
+    t1 as (select session_id, left(topic, 50) as k, min(turn) as turn, arg_min(topic, turn) as topic from t where topic <> '' group by 1, 2),
+    topics as (select session_id, list(topic order by turn) as topics from (select * from t1 qualify row_number() over (partition by session_id order by turn, k) <= 8) group by 1),
+    a as (select * from m where role = 'assistant' qualify row_number() over (partition by session_id order by turn desc) <= 3),
+    s as (select session_id, turn, 1 as line, '- Next: do thing ' || (turn % 4) as step from a union all select session_id, turn, 2, '2. todo ' || turn || ' now' from a),
+    s1 as (select session_id, step, min((turn, line)) as spot from s group by 1, 2),
+    steps as (select session_id, list(step order by spot) as next_steps from (select * from s1 qualify row_number() over (partition by session_id order by spot) <= 5) group by 1),
+    f as (select session_id, 'docs/d' || (turn % 30) || '.md' as path, min(turn) as turn from m group by 1, 2),
+    files as (select session_id, list(path order by turn) filter (n <= 20) as files, greatest(count(*) - 20, 0) as more_files from (select *, row_number() over (partition by session_id order by turn) as n from f) group by 1),
+    c as (select session_id, 'tool' || (turn % 3) as tool, count(*) as c from m where role = 'assistant' group by 1, 2),
+    tools as (select session_id, sum(c) :: bigint as n_calls, string_agg(tool || ' (' || c || ')', ', ' order by c desc, tool) as tools from c group by 1)
+    select session_id, n_user, n_assistant, coalesce(n_calls, 0) as n_calls, coalesce(topics, []) as topics, [] :: varchar[] as decisions, [] :: varchar[] as notes, files, more_files, coalesce(tools, '') as tools,
+        coalesce(next_steps, []) as next_steps from big left join topics using (session_id) left join steps using (session_id) left join files using (session_id) left join tools using (session_id)"""
+)
+def session_handoffs(spark, sf_dir):
+    """A handoff of each conversation, with seeded next steps, tools and changed files."""
+    c, turn = A.read(spark, sf_dir, "conversations"), F.col("turn")
+    more = F.concat(F.lit("\n- Next: do thing "), turn % 4, F.lit("\n* no mark\n2. todo "), turn, F.lit(" now"))
+    m = c.select(F.col("conv_id").alias("session_id"), "turn", "role", F.concat("text", F.when(F.col("role") == "assistant", more).otherwise("")).alias("text"))
+    calls = m.where("role = 'assistant'").select("session_id", "turn", F.concat(F.lit("tool"), turn % 3).alias("tool"), F.lit(None).cast("map<string,string>").alias("input"))
+    paths = F.array(F.concat(F.lit("docs/d"), turn % 30, F.lit(".md")), F.lit("tmp/x"), F.lit("a.LOG"), F.concat(F.lit("DOCS/D"), turn % 30, F.lit(".md")))
+    return sessions.handoffs(m, calls, m.select("session_id", "turn", F.explode(paths).alias("path")).withColumn("turn", F.when(F.col("path").startswith("DOCS"), turn + 1000).otherwise(turn)))
+
+
+@query(
+    """with s as (select user_id as owner, event_id as session_id, ts as moment, event_type as kind, case when event_id % 11 = 0 then '  ' else 'said ' || event_id end as text from events),
+    o as (select *, case kind when 'purchase' then 0 when 'click' then 1 else 2 end as rank from s where trim(text) <> ''),
+    two as (select *, row_number() over (partition by owner, rank order by moment desc, session_id desc) as n from o qualify n <= 2),
+    j as (select s.session_id, arg_min(two.session_id, (rank, n)) as recovered_from, arg_min(rank, (rank, n)) as rank, arg_min(two.text, (rank, n)) as context
+        from s left join two on two.owner = s.owner and two.session_id <> s.session_id group by 1)
+    select session_id, recovered_from, case rank when 0 then 'handoff' when 1 then 'instance' when 2 then 'session_index' else 'none' end as source,
+        (case rank when 0 then 1.0 when 1 then 0.4 when 2 then 0.3 else 0.0 end) :: double as completeness, context from j"""
+)
+def session_recovery(spark, sf_dir):
+    """For each event as a session: what its user's best and newest other session left."""
+    e = A.read(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 11 == 0, "  ").otherwise(F.concat(F.lit("said "), "event_id"))
+    rows = e.select(F.col("event_id").alias("session_id"), F.col("user_id").alias("owner"), F.col("ts").alias("at"), "event_type", text.alias("text"))
+    kind = F.col("event_type")
+    parts = {"handoff": rows.where(kind == "purchase"), "instance": rows.where(kind == "click"), "session_index": rows.where(~kind.isin("purchase", "click"))}
+    return sessions.recover(rows, parts)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 
