@@ -1,14 +1,15 @@
 """Licence paragraphs by a sparse word n-gram logistic regression (operator 6), with Spark expressions only.
 
 A paragraph is a line, with the lines after it as long as each but the last is a wrapped one: at most ``WRAP`` letters
-long, without a mark of a sentence's end, and followed by a line with text. Its features are n-grams of one to three
-words with weights in the model, which is multinomial with "unknown" as a class of its own. The model is trained on
-``training_rows``: notices, and statements made of sentence patterns and licence names, against sentences that use the
-same words otherwise. Every fifth pattern and notice is left out of the fit as a whole and sets the temperature, and
-every fifth is left out of both, for tests. The penalty leaves few n-grams a weight; ``marks`` is a set of words such that each
+long, without a mark of a sentence's end, and followed by a line with text. It is judged sentence by sentence. Features are n-grams of one to three
+words, the sentence's begin and end among them, with weights in the model, which is multinomial with "unknown" as a class of its own. The model is trained on
+``training_rows``: notices, and statements made of sentence patterns and licence names, against sentences that use the same words otherwise, and
+against ``MENTIONS``: sentences that name a licence and give none (questions, denials, comparisons, talk about it). So a name alone is
+no notice unless it is the whole sentence, as in a heading. Every fifth pattern and notice, and every fifth name, is left out of the fit as a whole and sets the temperature; another
+fifth of both is left out where figures for wordings and names that were never seen are wanted (``held_out``). The penalty leaves few n-grams a weight; ``marks`` is a set of words such that each
 n-gram that speaks for a family has one. A paragraph without a mark can't be judged other than unknown, so only texts and paragraphs
-with a mark are cut into words. A prediction counts if the class is a family, its probability is at least ``SURE``, and
-the paragraph's word pairs lie to at least ``ALIKE`` in one template of that family (or the template's in it).
+with a mark are cut into words. A prediction counts if the class is a family, its probability is at least ``SURE``, and one template of that family
+confirms it both ways: at least ``ALIKE`` of the template's word pairs are in the sentence, and at least ``OWN`` of the sentence's in the template.
 
 Null and empty texts have no paragraphs. Each row of ``documents`` has one result row (rows that repeat an id share
 findings); null ids stay, without findings. Equal probabilities: the first family by name. Extra columns are ignored.
@@ -23,9 +24,14 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import table
+from quillon.llm.shared import spread_join, table
 
-SURE, ALIKE, UNKNOWN, WRAP = 0.5, 0.5, "unknown", 120
+#: A notice counts as much as so many other rows, of which there are more.
+NOTICE_WEIGHT = 3.0
+SURE, ALIKE, OWN, UNKNOWN, WRAP = 0.5, 0.4, 0.2, "unknown", 120
+#: Where a sentence ends, and the words that stand for a sentence's begin and end.
+SENTENCES = r"(?<=[.!?;][\"')\]]?)\s+(?=[\"'(\[]*[A-Z])"
+BEGIN, END = "^", "$"
 #: Short public notices of licence families, and plain sentences that use words of theirs.
 NOTICES = {
     "Apache-2.0": [
@@ -156,14 +162,38 @@ OTHERS = [
 ]
 #: What is said of a licence.
 PATTERNS = [
-    "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This software is distributed under the terms of the {}.", "{}", "License: {}",
-    "This project is released under the {} license.", "Available under {}", "The code is made available under the {}, see LICENSE for details.", "Distributed under the {}.",
-    "SPDX-License-Identifier: {}", "Published under {}.", "This library is covered by the {}.", "Subject to the terms and conditions of the {}.", "The {}",
-    "You may use this file under the terms of the {}.", "Licensed {}", "All content is provided under {}.", "This program is free software under the {}.", "Its source is licensed under the {} unless stated otherwise.",
-    "License {}", "SPDX-License-Identifier: ({})", "License :: {}", "License identifier: {}", "license = {}", "SPDX identifier {} in this file", "Code license: {}",
+    "{}", "Licensed under the {}.", "Released under {}.", "This software is distributed under the terms of the {}.", "Available under the {}.",
+    "{}.", "License: {}", "This project is released under the {} license.", "Available under {}", "Distributed under the {}.",
+    "SPDX-License-Identifier: {}", "Released under the {}.", "Published under {}.", "This library is covered by the {}.", "You may use this file under the terms of the {}.",
+    "Licensed under {}", "The {}", "This work is licensed under the {}.", "All content is provided under {}.", "This program is free software under the {}.",
+    "Its source is licensed under the {} unless stated otherwise.", "License {}", "The code is made available under the {}, see LICENSE for details.", "License :: {}", "Code license: {}",
+    "SPDX-License-Identifier: ({})", "Licensed {}", "Subject to the terms and conditions of the {}.", "license = {}", "SPDX identifier {} in this file",
+    "License identifier: {}", "For terms see the {}.", "We put all of this under the {}, so go ahead.", "See the {} for what you may do.", "This file is part of a project that is licensed under the {}, and so are its tests.",
+    "Shared by us under {}",
 ]
+#: Sentences that name a licence and give none.
+MENTIONS = [
+    "Do not use the {} for this work.", "Our talk explains why the {} matters to courts.", "This code is not licensed under the {}.", "The {} movement", "What does the {} require?",
+    "We compared the {} with other licenses.", "Is it released under the {}?", "Students read the {} in class.", "A lawyer explained the {} to us.", "It was once under the {} but no longer is.",
+    "She wrote a book about the {}.", "The {} was written in those years.", "Few people understand the {}.", "He asked whether it is licensed under the {}.", "Unlike the {} this one has no such clause.",
+    "The history of the {} is long.", "This is not released under the {}.", "Never licensed under the {}.", "Should we choose the {} for the project?", "They moved away from the {} last year.",
+    "Why is the {} so popular?", "The {} is often confused with others.", "Nobody here likes the {}.", "An article on the {} appeared today.", "The court read the {} in another way.",
+    "Some say that the {} is too strict.", "Code under the {} cannot be used here.", "We refuse to accept the {}.", "The talk on {} begins at nine.", "{} explained in five minutes",
+    "Let us discuss {} and its problems.", "You can't combine it with the {}.", "The difference between the {} and another one", "Nothing in this file is under the {}.", "It isn't distributed under the {}.",
+    "The authors of the {} met in spring.", "Our company bans the {}.", "Have you read the {}?", "I would rather have the {} than this.", "The text of the {} has many words.",
+    "Before 2010 it was distributed under the {}.", "No part of it is covered by the {}.", "They considered the {} and chose something else.", "Critics of the {} disagree.", "If it were under the {} we could use it.",
+    "That is against the {}.", "This guide teaches the {} step by step.", "The {} and you", "News about the {}", "He never heard of the {}.",
+    "This is not under the {}.", "It is not under the {}.", "Not licensed under the {}.", "We love the {}", "I like the {} a lot.", "This work is not licensed under the {}.", "The {} rules", "Our lawyers dislike the {}.",
+    "This does not fall under the {}.", "No code here is under the {}.",
+]
+#: The same for statements of rights.
+CLAIMS = [
+    "All rights reserved by the {} were lost.", "The {} reserved all rights to the land.", "Not all rights are reserved to the {}.", "The {} is proprietary and nobody knows why.",
+    "A confidential letter reached the {}.", "Copying of the {} was prohibited in those days.", "Are all rights reserved for the {}?", "The {} gave written permission to the visitors.",
+]
+OWNERS = ["queen", "king", "crown", "church", "village", "state", "family", "museum", "guild", "bank"]
 #: Words that stand in most English texts, and a German one. N-grams of these alone are no features.
-COMMON = frozenset("a all an and any are as at be by for from in is it may not of on or see that the this to under use was with you your mit".split())
+COMMON = frozenset([BEGIN, END]) | frozenset("a all an and any are as at be by for from in is it may not of on or see that the this to under use was with you your".split())
 #: Sentences for any word.
 PLAIN = [
     "They talked about the {} again.", "A {} was seen near the road.", "The old {} is gone and nobody asked.", "Some {} and other things.", "In the {} of the year it is that.",
@@ -174,7 +204,9 @@ BETWEEN = r"\.*+[^a-z0-9.]++\.*+|^\.++|\.++$"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), BETWEEN), lambda w: w != "")
+    """Words of a sentence between its begin and its end; none if it has no word."""
+    own = F.filter(F.split(F.lower(text), BETWEEN), lambda w: w != "")
+    return F.when(F.size(own) > 0, F.concat(F.array(F.lit(BEGIN)), own, F.array(F.lit(END)))).otherwise(own)
 
 
 def ngrams(words: str) -> Column:
@@ -185,17 +217,34 @@ def ngrams(words: str) -> Column:
     return F.expr(f"array_distinct(concat({', '.join(parts)}))")
 
 
-def training_rows() -> list[tuple[str, str, str]]:
-    """(family, text, use); use is fit, temperature or test, and the same for all rows of one pattern or notice."""
-    use = lambda i: {3: "temperature", 4: "test"}.get(i % 5, "fit")
-    rows = [(f, t, use(i)) for f, ts in NOTICES.items() for i, t in enumerate(ts)]
-    rows += [(f, p.format(n), use(i)) for f, names in {**NAMES, UNKNOWN: OTHERS}.items() for i, p in enumerate(PATTERNS) for n in names]
-    # every word of the above that isn't part of one family's name alone, in plain sentences
-    cut = lambda t: {w for w in re.split(BETWEEN, t.lower()) if w}
-    named = {f: {w for n in names for w in cut(n)} for f, names in NAMES.items()}
+def _cut(text: str) -> set[str]:
+    return {w for w in re.split(BETWEEN, text.lower()) if w}
+
+
+def plain_sentences() -> list[str]:
+    """Sentences of the unknown class that aren't about a family's licence: with every word of notices that isn't part of one family's name alone."""
+    said = [t for f, ts in NOTICES.items() if f != UNKNOWN for t in ts] + [p.format(n) for names in NAMES.values() for p in PATTERNS for n in names]
+    named = {f: {w for n in names for w in _cut(n)} for f, names in NAMES.items()}
     own = {w for f, ws in named.items() for w in ws if not any(w in other for g, other in named.items() if g != f)}
-    words = sorted({w for f, t, _ in rows if f != UNKNOWN for w in cut(t)} - own | {"mit", "apache", "expat", "universal", "zero"})
-    return rows + [(UNKNOWN, p.format(w), use(i)) for i, p in enumerate(PLAIN) for w in words]
+    words = sorted({w for t in said for w in _cut(t)} - own | {"mit", "apache", "expat", "universal", "zero"})
+    return [p.format(w) for p in PLAIN for w in words] + NOTICES[UNKNOWN] + [p.format(n) for p in PATTERNS for n in OTHERS]
+
+
+def training_rows() -> list[tuple[str, str, str]]:
+    """(family, text, use); use is fit, temperature, test, or mixed where only one of pattern and name is left out."""
+    turn = lambda i: {3: "temperature", 4: "test"}.get(i % 5, "fit")
+
+    def use(i: int, k: int) -> str:
+        pattern, name = turn(i), turn(k + 1)
+        return pattern if pattern == name else pattern if name == "fit" and pattern != "test" else "mixed"
+
+    rows = [(f, t, turn(i)) for f, ts in NOTICES.items() for i, t in enumerate(ts)]
+    rows += [(f, p.format(n), use(i, k)) for f, names in {**NAMES, UNKNOWN: OTHERS}.items() for i, p in enumerate(PATTERNS) for k, n in enumerate(names)]
+    rows += [(UNKNOWN, p.format(n), use(i, k)) for names in [*NAMES.values(), OTHERS] for i, p in enumerate(MENTIONS) for k, n in enumerate(names)]
+    rows += [(UNKNOWN, p.format(n), use(i, k)) for i, p in enumerate(CLAIMS) for k, n in enumerate(OWNERS)]
+    done = {t for _, t, _ in rows}
+    more = [t for t in plain_sentences() if t not in done]
+    return rows + [(UNKNOWN, t, turn(i * len(PLAIN) // len(more))) for i, t in enumerate(more)]
 
 
 def model_rows(spark: SparkSession) -> DataFrame:
@@ -203,22 +252,25 @@ def model_rows(spark: SparkSession) -> DataFrame:
     classes = sorted(NOTICES)
     rows = json.dumps([{"family": f, "text": t, "use": u, "label": classes.index(f)} for f, t, u in training_rows()])
     made = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<family:string,text:string,use:string,label:double>>")))
-    # a word that stands in a plain sentence says nothing alone
-    plain = sorted({w for f, t, _ in training_rows() if f == UNKNOWN for w in re.split(BETWEEN, t.lower())})
     grams = F.filter(ngrams("w"), lambda g: F.size(F.array_except(F.split(g, " "), F.array(*map(F.lit, sorted(COMMON))))) > 0)
-    return made.withColumn("w", words(F.col("text"))).withColumn("grams", F.array_except(grams, F.array(*map(F.lit, plain))))
+    return made.withColumn("w", words(F.col("text"))).withColumn("grams", grams)
 
 
-def train(spark: SparkSession) -> tuple[list[tuple[str, list[float]]], dict[str, float], float]:
-    """The n-grams with weights (one for each class, by name), the classes' offsets, and the temperature."""
+def train(spark: SparkSession, held_out: bool = False) -> tuple[list[tuple[str, list[float]]], dict[str, float], float]:
+    """The n-grams with weights (one for each class, by name), the classes' offsets, and the temperature.
+
+    With ``held_out`` patterns and names of the test rows are left out of the fit.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer
 
     classes = sorted(NOTICES)
     data = model_rows(spark).coalesce(1).cache()
-    fit = data.where("use = 'fit'")
+    fit = data.where("use = 'fit'" if held_out else "use <> 'temperature'")
     counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1.0, vocabSize=16384).fit(fit)
-    fitted = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=0.9, maxIter=50, standardization=False).fit(counts.transform(fit).select("features", "label"))
+    fitted = LogisticRegression(family="multinomial", regParam=0.0001, elasticNetParam=0.5, maxIter=80, standardization=False, weightCol="weight").fit(
+        counts.transform(fit).select("features", "label", F.when(F.col("family") == UNKNOWN, 1.0).otherwise(NOTICE_WEIGHT).alias("weight"))
+    )
     # a few hundred rows, all from this file
     left = counts.transform(data.where("use = 'temperature'")).select("features", "label")
     raw = [(list(r["rawPrediction"]), int(r["label"])) for r in fitted.transform(left).select("rawPrediction", "label").collect()]
@@ -268,9 +320,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, line, family, probability, alike) of every paragraph that is a licence notice; ``line`` is its first line."""
     spark = docs.sparkSession
     grams, offsets, temperature = train(spark)
-    classes, told = sorted(offsets), marks(grams, offsets)
-    # as many entries as the training rows have n-grams that matter
-    weights = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"gram": g, "w": w} for g, w in grams])), "array<struct<gram:string,w:array<double>>>")))
+    told = marks(grams, offsets)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def marked(text: Column) -> Column:
@@ -279,11 +329,22 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     # a wrapped line is joined to the next by \x1f, so that lines can still be counted
     wrapped = F.regexp_replace("text", rf"(?m)(?<=^|\x1f)([^\n]{{1,{WRAP - 1}}}+(?<![.:;!?\s])[ \t\r]*+)\n(?=[^\n]*+\S)", "$1\x1f")
     lines = texts.where(marked(F.col("text"))).select("doc_id", F.posexplode_outer(F.split(wrapped, "\n")).alias("number", "paragraph"))
-    found = lines.where(marked(F.col("paragraph"))).withColumn("w", words(F.col("paragraph"))).where(F.arrays_overlap("w", F.array(*map(F.lit, told))))
+    sentences = lines.where(marked(F.col("paragraph"))).select("doc_id", "number", F.explode(F.split("paragraph", SENTENCES)).alias("sentence"))
+    found = sentences.where(marked(F.col("sentence"))).withColumn("w", words(F.col("sentence"))).where(F.arrays_overlap("w", F.array(*map(F.lit, told))))
     found = table(found.select("doc_id", F.col("number").alias("line"), "w", F.xxhash64("w").alias("key")), "licence-lines")
     # what many documents have is judged once
-    once = found.groupBy("key", "w").agg(F.lit(1).alias("one"))
-    features = once.select("key", "w", F.explode(ngrams("w")).alias("gram"))
+    confirmed = table(judge(found.groupBy("key", "w").agg(F.lit(1).alias("one")), grams, offsets, temperature), "licence-paragraphs")
+    met = spread_join(found, confirmed, ["key", "w"])
+    best = met.groupBy("doc_id", "line").agg(F.max(F.struct("probability", "alike", "family")).alias("b"))
+    return best.select("doc_id", "line", "b.family", F.round("b.probability", 6).alias("probability"), F.round("b.alike", 6).alias("alike"))
+
+
+def judge(sentences: DataFrame, grams: list[tuple[str, list[float]]], offsets: dict[str, float], temperature: float) -> DataFrame:
+    """(key, w, family, probability, alike) of those of distinct sentences (key, w) that are notices."""
+    spark, classes = sentences.sparkSession, sorted(offsets)
+    # as many entries as the training rows have n-grams that matter
+    weights = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"gram": g, "w": w} for g, w in grams])), "array<struct<gram:string,w:array<double>>>")))
+    features = sentences.select("key", "w", F.explode(ngrams("w")).alias("gram"))
     z = F.array(*[(F.sum(F.col("weight")[i]) + offsets[c]) / temperature for i, c in enumerate(classes)])
     logits = features.join(F.broadcast(weights.withColumnRenamed("w", "weight")), "gram").groupBy("key", "w").agg(z.alias("z"))
     names = ", ".join(f"'{c}'" for c in classes)
@@ -292,12 +353,12 @@ def paragraphs(docs: DataFrame) -> DataFrame:
         F.expr(f"element_at(array({names}), cast(array_position(z, array_max(z)) as int))").alias("family"),
         F.expr("1 / aggregate(z, 0D, (acc, x) -> acc + exp(x - array_max(z)))").alias("probability"),
     ).where((F.col("family") != UNKNOWN) & (F.col("probability") >= SURE))
-    pairs = lambda w: F.expr(f"if(size({w}) > 1, array_distinct(transform(sequence(0, size({w}) - 2), i -> concat_ws(' ', {w}[i], {w}[i + 1]))), {w})")
-    known = model_rows(spark).where(f"family <> '{UNKNOWN}'").select("family", pairs("w").alias("template"))
+    pairs = lambda w: F.expr(f"array_distinct(transform(sequence(0, size({w}) - 2), i -> concat_ws(' ', {w}[i], {w}[i + 1])))")
+    known = model_rows(spark).where(f"family <> '{UNKNOWN}' and size(w) > 1").select("family", pairs("w").alias("template")).distinct()
     shared = judged.withColumn("own", pairs("w")).join(F.broadcast(known), "family")
-    alike = F.size(F.array_intersect("own", "template")) / F.least(F.size("own"), F.size("template"))
-    confirmed = shared.groupBy("key", "w", "family", "probability").agg(F.max(alike).alias("alike")).where(F.col("alike") >= ALIKE)
-    return found.join(table(confirmed, "licence-paragraphs"), ["key", "w"]).select("doc_id", "line", "family", F.round("probability", 6).alias("probability"), F.round("alike", 6).alias("alike"))
+    both = F.size(F.array_intersect("own", "template"))
+    shared = shared.withColumn("both", both).where((F.col("both") >= ALIKE * F.size("template")) & (F.col("both") >= OWN * F.size("own")))
+    return shared.groupBy("key", "w", "family", "probability").agg(F.max(2 * F.col("both") / (F.size("own") + F.size("template"))).alias("alike"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
