@@ -365,7 +365,7 @@ def test_licences_unseen_wordings_and_wrapped_notices(spark):
 
 
 def test_licences_held_out_templates(spark):
-    """Whole patterns and notices that neither the fit nor the temperature saw: precision, recall, calibration error."""
+    """Of the model in use, on patterns, notices and names that set neither weights nor temperature alone: precision, recall, calibration error."""
     grams, offsets, temperature = licenses.train(spark)
     classes, weight = sorted(offsets), dict(grams)
     rows = licenses.model_rows(spark).where("use = 'test'").select("family", "grams", "w").collect()

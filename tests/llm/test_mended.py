@@ -6,7 +6,7 @@ from math import log1p
 import numpy as np
 import pytest
 
-from quillon.llm import decontam, html, packing
+from quillon.llm import decontam, html, licenses, packing
 
 
 def test_encoder_forgets_nothing_that_the_slice_needs():
@@ -121,3 +121,31 @@ def test_entropy_decides_the_rest(spark):
     """A box that repeats on a host's pages goes from their articles; one with texts of its own stays; both look alike."""
     pages = [(f"http://a.com/{i}", f"<main><div class='box'>Same words here</div><div class='box2'>Own words of {i}</div><p>Text {i}</p></main>") for i in range(6)]
     assert page_texts(spark, pages) == {i: f"Own words of {i}\n\nText {i}" for i in range(6)}
+
+
+def test_sentences_that_name_a_licence_and_give_none(spark):
+    said = {
+        "Do not use the GNU General Public License for this work.": None, "Our talk explains why the GNU General Public License matters to courts.": None, "This code is NOT licensed under the MIT License.": None,
+        "The unlicense movement": None, "All rights reserved by the queen were lost.": None, "Our lawyers dislike the Mozilla Public License": None, "This is not under the Apache License.": None,
+        "Did they ever compare it with the BSD 3-Clause License?": None, "Foo is a small library. Licensed under the MIT License. See LICENSE.": "MIT", "GNU GENERAL PUBLIC LICENSE": "GPL",
+        "SPDX-License-Identifier: BSD-3-Clause": "BSD", "The reader asked what the CC BY 4.0 means. Nobody knew.": None,
+    }
+    rows = list(enumerate(said))
+    got = {r.doc_id: r.family for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[i] for i, t in rows} == said
+
+
+def test_licences_of_unseen_names_and_wordings(spark):
+    """A model that saw neither the names nor the patterns of the test rows: what it says is mostly right, and of mentions it says nothing."""
+    grams, offsets, temperature = licenses.train(spark, held_out=True)
+    classes, weight = sorted(offsets), dict(grams)
+    rows = licenses.model_rows(spark).where("use = 'test'").select("family", "grams").collect()
+    right = said = there = wrong = 0
+    for r in rows:
+        z = np.array([sum(weight[g][i] for g in r.grams if g in weight) + offsets[c] for i, c in enumerate(classes)])
+        best = classes[int(z.argmax())]
+        said += best != licenses.UNKNOWN
+        there += r.family != licenses.UNKNOWN
+        right += best == r.family != licenses.UNKNOWN
+        wrong += best != licenses.UNKNOWN == r.family
+    assert there > 50 and right / said > 0.75 and right / there > 0.3 and wrong / (len(rows) - there) < 0.05
