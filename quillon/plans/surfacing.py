@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import prompts as P
 from quillon.functions import scores as S
 from quillon.functions import text as T
 from quillon.operators import graph, ranking, search
@@ -12,18 +13,29 @@ from quillon.storage import table
 
 FAR, SEMANTIC, COMPOSITE = 16.3, 0.25, 0.70
 WEIGHTS, RECENT_WEIGHTS, RECENT_LEAST = (0.3, 0.3, 0.4), (0.1, 0.7, 0.2), 0.45
-#: Prompts that ask for nothing.
-SMALL_TALK = ("yes", "no", "ok", "okay", "thanks", "thank", "you", "please", "sure", "great", "good", "nice", "cool", "hello", "hi", "hey", "bye", "continue", "done", "next")
+#: The shortest prompt (in bytes) that is answered, and the similarity of terms up to which a topic is new.
+SHORTEST, NEW_TOPIC = 20, 0.35
 
 
-def decide(prompts: DataFrame, text: str = "text") -> DataFrame:
-    """The first gate that stops a prompt, or "search": short, slash command, small talk, no signal."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, "[^\\w\\s]", "")), r"\s+"), lambda w: w != "")
-    talk = (F.size(words) <= 5) & F.forall(words, lambda w: w.isin(*SMALL_TALK))
-    specific = F.size(F.regexp_extract_all(text, F.lit(r'"([^"]+)"'), F.lit(1))) + F.size(F.regexp_extract_all(text, F.lit(T.ascii_boundaries(r"\b[A-Z]{2,}\b")), F.lit(0))) + F.size(F.regexp_extract_all(text, F.lit("[a-z]+-[a-z]+"), F.lit(0)))
-    broad = F.size(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{5,}"), F.lit(0))))
-    decision = F.when(F.length(F.btrim(text)) < 20, "skip_short").when(F.btrim(text).startswith("/"), "skip_slash").when(talk, "skip_conversational").when((specific == 0) & (broad <= 1), "skip_lowsignal").otherwise("search")
-    return prompts.withColumn("decision", decision)
+def decide(prompts: DataFrame, text: str = "text", session: str | None = None, order: str | None = None) -> DataFrame:
+    """The first gate that stops a prompt, or "search": short, slash command, small talk, no signal, a task, the topic of the prompt before.
+
+    Prompts about what is recent pass the gates of signal, mode and topic. The last gate needs the columns of the session and of the order in it; it
+    compares with the terms of the prompt before in the session.
+    """
+    p = F.col(text)
+    mode, recent = P.mode(p), P.asks_for_recent(p)
+    same = F.lit(False)
+    if session and order:
+        terms = T.term_array(p)
+        prompts = prompts.withColumn("_terms", terms).withColumn("_before", F.lag("_terms").over(Window.partitionBy(session).orderBy(order)))
+        same = F.coalesce(S.jaccard(F.col("_terms"), F.col("_before")) > NEW_TOPIC, F.lit(False))
+    decision = (
+        F.when(F.coalesce(F.octet_length(p), F.lit(0)) < SHORTEST, "skip_short").when(F.btrim(p).startswith("/"), "skip_slash").when(P.small_talk(p), "skip_conversational")
+        .when(~recent & P.low_signal(p), "skip_lowsignal").when(~recent & (mode == "executing"), "skip_executing").when(~recent & (mode == "socializing"), "skip_socializing")
+        .when(~recent & same, "skip_sametopic").otherwise("search")
+    )
+    return prompts.withColumns({"decision": decision, "mode": mode}).drop("_terms", "_before")
 
 
 def surface(notes: DataFrame, vectors: DataFrame, query: Column, text: str, as_of: float, edges: DataFrame | None = None, most: int = 5) -> DataFrame:

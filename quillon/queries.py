@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import prompts as P
 from quillon.functions import scores as S
 from quillon.functions import text as T
 from quillon.functions.snippets import snippet, truncate
@@ -793,9 +794,81 @@ def feedback_up(spark, sf_dir):
     return dml.feedback(n, n.where("id % 5 = 0").select("path"), True).select("path", "confidence", "access_count")
 
 
-@query()
+_ASKED = """p as (select conv_id, turn, case (conv_id + turn) % 9 when 0 then 'fix the build and add tests for ' when 1 then 'What are the risks and benefits of ' when 2 then 'where is the ' when 3 then 'thanks, great! '
+    when 4 then 'what did we decide last session about ' when 5 then 'the "big plan" for JWTX and cross-site or real-time API of ' when 6 then 'low confidence and stale notes about ' when 7 then '/run ' else '' end
+    || left(text, case when turn % 4 = 0 then 4 else 60 end) as text from conversations where role = 'user')"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' turns, with some seeded words in front."""
+    k = (F.col("conv_id") + F.col("turn")) % 9
+    head = F.lit("")
+    for i, said in enumerate((
+        "fix the build and add tests for ", "What are the risks and benefits of ", "where is the ", "thanks, great! ", "what did we decide last session about ",
+        'the "big plan" for JWTX and cross-site or real-time API of ', "low confidence and stale notes about ", "/run ",
+    )):
+        head = F.when(k == i, said).otherwise(head)
+    rest = F.when(F.col("turn") % 4 == 0, F.left("text", F.lit(4))).otherwise(F.left("text", F.lit(60)))
+    return A.read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(head, rest).alias("text"))
+
+
+def _sql_list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _contains_sql(low: str, words) -> str:
+    return f"len(list_filter({_sql_list(words)}, lambda k: contains({low}, k))) > 0"
+
+
+def _once_sql(terms: str) -> str:
+    return f"list_filter({terms}, lambda t, i: list_position(list_transform({terms}, lambda u: lower(u)), lower(t)) = i)"
+
+
+_MODE = f"""m as (select *, trim(lower(text), ' ' || chr(9) || chr(10) || chr(13)) as low, [w for w in regexp_split_to_array(low, '\\s+') if w <> ''] as words,
+    len(regexp_extract_all(low, '{P.VERBS}')) as verbs,
+    (case when regexp_matches(words[1], '{P.VERBS}') then 2 else 0 end) + (case when verbs >= 1 then 1 else 0 end) + (case when verbs >= 2 then 1 else 0 end) + (case when regexp_matches(low, '{P.TASKS}') then 1 else 0 end) as tasks,
+    regexp_matches(low, '{P.JUDGING}') as judging, least(len(regexp_extract_all(low, '{P.JUDGED}')), 3) + (case when judging then 1 else 0 end) as judged,
+    (case when regexp_matches(low, '{P.ASKING}') then 2 else 0 end) + (case when regexp_matches(low, '{P.ASKED}') then 1 else 0 end) + (case when contains(low, '?') then 1 else 0 end) as asked,
+    case when len(words) = 0 then 'socializing' when tasks >= 2 or (tasks >= 1 and judged = 0 and asked = 0) then 'executing' when judged >= 2 or (judged >= 1 and judging) then 'reflecting'
+        when asked >= 1 then 'exploring' when len(words) <= 15 and tasks = 0 and judged = 0 then 'deepening' else 'exploring' end as mode, {_contains_sql("low", P.RECENT)} as recent from p)"""
+_TERMS = f"""k as (select *, list_filter(list_transform(regexp_extract_all(text, '"([^"]+)"', 1), lambda t: trim(t)), lambda t: strlen(t) >= 2) as quoted,
+    list_filter(regexp_extract_all(text, '\\b[A-Z]{{2,}}\\b'), lambda t: not list_contains({_sql_list(P.PLAIN_ACRONYMS + P.TECH_ACRONYMS)}, lower(t))) as acronyms,
+    list_filter(regexp_extract_all(text, '\\b\\w+-\\w+(?:-\\w+)*\\b'), lambda t: not list_contains({_sql_list(P.HYPHENATED)}, lower(t))) as joined,
+    list_filter(regexp_extract_all(text, '\\b[a-zA-Z]{{5,}}\\b'), lambda t: not list_contains({_sql_list(P.STOP)}, lower(t))) as long,
+    quoted || acronyms || joined as sp, {_once_sql("sp")} as specific, list_transform(specific, lambda t: lower(t)) as lows, list_filter({_once_sql("long")}, lambda t: not list_contains(lows, lower(t))) as broad from m)"""
+
+
+@query(f"with {_ASKED}, {_MODE}, {_TERMS} select conv_id, turn, mode, recent, specific, broad from k")
+def prompt_modes(spark, sf_dir):
+    terms = P.key_terms(F.col("text"))
+    return _asked(spark, sf_dir).select("conv_id", "turn", P.mode(F.col("text")).alias("mode"), P.asks_for_recent(F.col("text")).alias("recent"), terms["specific"].alias("specific"), terms["broad"].alias("broad"))
+
+
+@query(
+    f"""with {_ASKED}, h as (select *, lower(text) as low, {_contains_sql("lower(text)", P.DOUBT)} as doubt, {_contains_sql("lower(text)", P.ORIGIN)} as origin,
+        list_sort(list_transform(list_filter({_sql_list(P.STATES)}, lambda k: contains(lower(text), k)), lambda k: [lpad(length(k)::varchar, 3, '0'), k]), 'DESC') as s from p),
+    g as (select *, case when len(s) = 0 then null when s[1][2] in ('contradicted', 'contradiction') then 'contradicted' when s[1][2] in ('validated', 'verified') then 'validated' else 'stale' end as state from h)
+    select conv_id, turn, case when state is null and doubt then 'stale' else state end as trust_state, state is not null or doubt or origin as about_metadata, doubt as low_confidence, origin as provenance,
+        {_contains_sql("low", P.STALE)} as stale, {" || ".join(f"(case when {_contains_sql('low', words)} then ['{kind}={factor}'] else [] end)" for (kind, factor), words in P.TYPES.items())} as factors from g"""
+)
+def prompt_hints(spark, sf_dir):
+    text = F.col("text")
+    h = _asked(spark, sf_dir).select("conv_id", "turn", P.metadata_hints(text).alias("h"), P.asks_for_stale(text).alias("stale"), P.type_factors(text).alias("f"))
+    factors = F.transform(F.map_entries("f"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return h.select("conv_id", "turn", "h.*", "stale", factors.alias("factors"))
+
+
+@query(
+    f"""with {_ASKED}, {_MODE}, {_TERMS}, e as (select *, list_distinct_terms as terms from (select *,
+        list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: trim(w, '{_sql_text(T.TRIM)}')), lambda t: length(t) >= 2 and (length(t) > 2 or list_contains({_sql_list(sorted(T.SHORT_TERMS))}, t)) and not list_contains({_sql_list(sorted(T.STOP_WORDS))}, t)) as list_distinct_terms from k)),
+    b as (select *, list_distinct(terms) as now, list_distinct(lag(terms) over (partition by conv_id order by turn)) as before, rtrim(low, '.!?,;:') as bare, [rtrim(w, '.!?,;:') for w in regexp_split_to_array(rtrim(low, '.!?,;:'), '\\s+') if w <> ''] as social from e)
+    select conv_id, turn, mode, case when strlen(text) < 20 then 'skip_short' when starts_with(trim(text), '/') then 'skip_slash'
+        when list_contains({_sql_list(P.PHRASES)}, bare) or (len(social) <= 5 and len(list_filter(social, lambda w: not list_contains({_sql_list(P.SOCIAL)}, w))) = 0) then 'skip_conversational'
+        when not recent and len(specific) = 0 and len(broad) <= 1 then 'skip_lowsignal' when not recent and mode = 'executing' then 'skip_executing' when not recent and mode = 'socializing' then 'skip_socializing'
+        when not recent and before is not null and (case when len(list_distinct(now || before)) = 0 then 1.0 else len(list_intersect(now, before)) / len(list_distinct(now || before)) end) > 0.35 then 'skip_sametopic' else 'search' end as decision from b"""
+)
 def prompt_gates(spark, sf_dir):
-    return surfacing.decide(A.read(spark, sf_dir, "conversations").where("role = 'user'")).select("conv_id", "turn", "decision")
+    return surfacing.decide(_asked(spark, sf_dir), session="conv_id", order="turn").select("conv_id", "turn", "mode", "decision")
 
 
 @query()
