@@ -65,6 +65,16 @@ def overlap(terms: list[str], title: str, path: str) -> float:
     return 0.0 if not hits or total <= 2 and share < 0.30 else share * hits / total
 
 
+def plain_overlap(terms: list[str], with_path: bool):
+    """The overlap with the title's words, or with those of title and path."""
+
+    @F.pandas_udf(DoubleType())
+    def run(title: pd.Series, path: pd.Series) -> pd.Series:
+        return pd.Series([overlap(terms, t, p if with_path else "") for t, p in zip(title, path, strict=True)], dtype="float64")
+
+    return run
+
+
 def title_overlap(terms: list[str]):
     @F.pandas_udf(DoubleType())
     def run(title: pd.Series, path: pd.Series) -> pd.Series:

@@ -879,9 +879,44 @@ def decisions(spark, sf_dir):
 
 @query()
 def surfaced_notes(spark, sf_dir):
+    """For a prompt that is one note's title, near another note's vector."""
+    n = A.plain_notes(spark, sf_dir)
+    prompt = n.where("id = 16").first().title
+    edges = A.note_edges(n, n.agg(F.max("id")).first()[0] + 1)
+    found = surfacing.surface(n, A.vectors(spark, sf_dir), _vector(spark, sf_dir), prompt, A.AS_OF, edges, A.chunks(n), late=_late(spark, sf_dir))
+    return found.select("path", "score", "overlap", "boosted", "mode", "place")
+
+
+@query()
+def recent_notes_for_a_prompt(spark, sf_dir):
     n = A.notes(spark, sf_dir)
-    found = surfacing.surface(n, A.vectors(spark, sf_dir), _vector(spark, sf_dir), TEXT, A.AS_OF, A.note_edges(n, 1000))
-    return found.select("path", "score", "mode", "place")
+    return surfacing.recent_surface(n, A.vectors(spark, sf_dir), _vector(spark, sf_dir), "latest tion ther ening", A.EPOCH + 30 * 86400).select("path", "score", "overlap", "place")
+
+
+@query(f"{NOTES}, {BM25} select path, 0.5 :: double as score from seen join (select * from top order by rank desc, id limit 9) using (id) order by rank desc, id limit 3")
+def keyword_surface(spark, sf_dir):
+    return surfacing.keyword_surface(A.plain_notes(spark, sf_dir), " ".join(_BM), A.text_index(spark, sf_dir)).select("path", "score")
+
+
+@query(
+    f"""{NOTES}, {CHUNKS}, hit as (select distinct path from chunk where {BOTH} > 0)
+    select path, 0.5 :: double as score from (select path from chunk where chunk_id = 0 and path in (select path from hit) order by ({BOTH}) desc, modified desc, path limit 3)"""
+)
+def keyword_surface_without_index(spark, sf_dir):
+    n = A.plain_notes(spark, sf_dir)
+    return surfacing.keyword_surface(n, TEXT, chunks=A.chunks(n)).select("path", "score")
+
+
+@query(
+    f"""{NOTES}, {PINS}, found as (select path, row_number() over (order by modified desc, path) as place from seen order by modified desc, path limit 10),
+    f as (select path, 0 as rank, pinned_at as moment, 1.0 as score from pins where pinned_at < 200 union all select path, 1, place, 0.25 from found where path not in (select path from pins where pinned_at < 200))
+    select path, score :: double as score, row_number() over (order by rank, moment, path) :: int as place from f"""
+)
+def pinned_first(spark, sf_dir):
+    n = A.plain_notes(spark, sf_dir)
+    pins = n.where(filters.visible() & F.expr("id % 13 = 0 and id < 200")).select("path", F.col("id").alias("pinned_at"))
+    found = filters.recent(n, 10).withColumns({"score": F.lit(0.25), "overlap": F.lit(0.0), "place": F.row_number().over(Window.orderBy(F.desc("modified"), "path"))})
+    return surfacing.with_pinned(found, n, pins).select("path", "score", "place")
 
 
 @query()
