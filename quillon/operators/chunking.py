@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 CHUNK_FROM, LARGEST = 6000, 7500  # bytes
 
 
-def by_headings(notes: DataFrame, text: str = "text", kept: int | None = None) -> DataFrame:
+def by_headings(notes: DataFrame, text: str = "text", kept: int | None = None, numbered: bool = False) -> DataFrame:
     """(…, chunk_heading, chunk) cut at ``## ``; a part that is too large is cut at ``### ``, then by size.
 
     Empty parts are dropped; a text without a part is one chunk, "(full)".
-    ``kept`` is what ``by_size`` has.
+    ``kept`` is what ``by_size`` has; ``numbered`` adds each chunk's place: ``place`` of its heading, ``part`` below it.
     """
     body = F.col(text)
     parts = F.transform(
@@ -41,8 +41,8 @@ def by_headings(notes: DataFrame, text: str = "text", kept: int | None = None) -
     whole = F.array(F.struct(F.lit("(full)").alias("heading"), body.alias("chunk")))
     chosen = F.when((F.octet_length(body) > CHUNK_FROM) & (F.size(fine) > 0), fine).otherwise(whole)
     keep = [c for c in notes.columns if c != text]
-    cut = notes.select(*keep, F.explode_outer(chosen).alias("p"))
-    sized = by_size(cut.select(*keep, F.col("p.heading").alias("heading"), F.col("p.chunk").alias("chunk")), "chunk", kept=kept)
+    cut = notes.select(*keep, F.posexplode_outer(chosen).alias("place", "p"))
+    sized = by_size(cut.select(*keep, *(["place"] if numbered else []), F.col("p.heading").alias("heading"), F.col("p.chunk").alias("chunk")), "chunk", kept=kept, numbered=numbered)
     return sized
 
 
@@ -57,7 +57,7 @@ def _pieces(paragraph: Column, largest: int) -> Column:
 _GOES_ON = "\x01"
 
 
-def by_size(rows: DataFrame, column: str, largest: int = LARGEST, kept: int | None = None) -> DataFrame:
+def by_size(rows: DataFrame, column: str, largest: int = LARGEST, kept: int | None = None, numbered: bool = False) -> DataFrame:
     """Paragraphs packed in order into chunks of at most ``largest`` bytes; parts of one chunk get "(part n)".
 
     A paragraph that is larger is cut into pieces, so all of the text is in some chunk. ``kept``, if given, cuts each chunk to so many characters.
@@ -79,7 +79,7 @@ def by_size(rows: DataFrame, column: str, largest: int = LARGEST, kept: int | No
     chosen = F.when(F.octet_length(column) > largest, packed).otherwise(F.array(F.col(column)))
     out = rows.select(*keep, "heading", F.size(chosen).alias("n_parts"), F.posexplode_outer(chosen).alias("part", "chunk"))
     heading = F.when(F.col("n_parts") > 1, F.concat(F.col("heading"), F.lit(" (part "), F.col("part") + 1, F.lit(")"))).otherwise(F.col("heading"))
-    return out.select(*keep, heading.alias("chunk_heading"), (F.left("chunk", F.lit(kept)) if kept else F.col("chunk")).alias("chunk"))
+    return out.select(*keep, *(["part"] if numbered else []), heading.alias("chunk_heading"), (F.left("chunk", F.lit(kept)) if kept else F.col("chunk")).alias("chunk"))
 
 
 def full_text(chunks: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,26 @@ def feedback(rows: DataFrame, paths: DataFrame, up: bool) -> DataFrame:
     return update(rows, paths, ["path"], {"confidence": F.greatest(F.lit(0.05), sure - 0.3)})
 
 
+def feedback_like(rows: DataFrame, pattern: str, up: bool) -> DataFrame:
+    """Feedback on all paths that fit a shell pattern, in which * goes across folders; without * or ? it is one path."""
+    regex = "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
+    return feedback(rows, rows.where(F.col("path").rlike(regex)).select("path"), up)
+
+
+def new_facts(rows: DataFrame) -> DataFrame:
+    """Facts (fact_text, source_path, confidence, chunk_id) with their defaults and an id that follows from note and text."""
+    sure = F.when((F.col("confidence") > 0) & (F.col("confidence") <= 1), F.col("confidence")).otherwise(0.6)
+    return rows.where("fact_text is not null and trim(fact_text) <> ''").select(
+        F.xxhash64("source_path", "fact_text").alias("fact_id"), "fact_text", "source_path", F.coalesce("chunk_id", F.lit(0)).alias("chunk_id"), sure.alias("confidence")
+    )
+
+
+def hook_events(rows: DataFrame) -> DataFrame:
+    """Hook events as they are logged: no status means "empty", and counts are never negative."""
+    count = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).alias(c)
+    return rows.select("session_id", "hook_name", "ts", F.coalesce(F.nullif(F.trim("status"), F.lit("")), F.lit("empty")).alias("status"), count("notes_count"), count("estimated_tokens"), count("duration_ms"))
+
+
 def keep_newest(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """The newest n rows: a distributed top-k."""
     return rows.orderBy(*order).limit(n)

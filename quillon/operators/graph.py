@@ -86,6 +86,17 @@ def by_relationship(edges: DataFrame) -> DataFrame:
     return edges.groupBy("rel").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rel")
 
 
+def by_type(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
+
+
+def public_walks(walks: DataFrame, nodes: DataFrame, most: int = 60) -> DataFrame:
+    """The first walks (depth, walk) without a private note or file on them; nodes are (id, type, name)."""
+    private = nodes.where(F.col("type").isin("note", "file") & F.upper("name").startswith("_PRIVATE/")).select(F.col("id").alias("node"))
+    bad = walks.select("walk", F.explode("walk").alias("node")).join(private, "node", "left_semi").select("walk").distinct()
+    return walks.join(bad, "walk", "left_anti").orderBy("depth", "walk").limit(most)
+
+
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that are no notes and have no edge."""
     ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()

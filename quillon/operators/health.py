@@ -64,6 +64,23 @@ def health_score(figures: DataFrame) -> DataFrame:
 LOW, HIGH, VERY_LOW, SOME_USES, MANY_TOKENS = 0.3, 0.8, 0.2, 3, 500
 
 
+def tool_score(figures: DataFrame) -> DataFrame:
+    """Four parts of 25, cut to a whole number: vectors, knowledge (ten times its share, 25 at most), notes of the last week, use."""
+    share = lambda a: F.col(a) / F.greatest(F.col("total"), F.lit(1))
+    parts = 25 * share("embedded") + F.least(F.lit(25.0), 250 * share("knowledge")) + F.least(F.lit(25.0), 25 * share("recent")) + 25 * share("accessed")
+    score = F.least(F.greatest(F.floor(parts), F.lit(0)), F.lit(100))
+    return figures.select("total", score.cast("int").alias("score"))
+
+
+def most_used(roots: DataFrame, n: int = 5) -> DataFrame:
+    return roots.where(~F.coalesce("suppressed", F.lit(False))).orderBy(F.desc("access_count"), "path").limit(n)
+
+
+def average_confidence(roots: DataFrame, confidence: Column) -> DataFrame:
+    """One row: the mean of confidences above zero of notes that aren't suppressed."""
+    return roots.where(~F.coalesce("suppressed", F.lit(False))).agg(F.round(F.avg(F.when(confidence > 0, confidence)), 6).alias("average"))
+
+
 def budget_report(usage: DataFrame) -> DataFrame:
     """Injections of each hook and, with the hook ``null``, of all: how many were used, tokens, and what to do about it.
 
@@ -94,8 +111,8 @@ def overdue(roots: DataFrame, as_of: str) -> DataFrame:
     return roots.where(visible()).withColumn("days_overdue", days).where("days_overdue >= 0")
 
 
-def brief(roots: DataFrame, vectors_: DataFrame | None = None) -> DataFrame:
-    """Sections of a briefing: newest, handoffs, decisions, surest, stale; ten or twenty rows each."""
+def brief(roots: DataFrame, confidence: Column | None = None) -> DataFrame:
+    """Sections of a briefing: newest, handoffs, decisions, most used, stale and, with a ``confidence``, the surest; ten or twenty rows each."""
     seen = roots.where(visible())
 
     def top(name: str, where: Column, n: int, *order) -> DataFrame:
@@ -108,6 +125,8 @@ def brief(roots: DataFrame, vectors_: DataFrame | None = None) -> DataFrame:
         top("accessed", F.col("access_count") > 0, 10, F.desc("access_count")),
         top("stale", F.col("trust_state") == "stale", 10, F.desc("modified")),
     ]
+    if confidence is not None:
+        parts.append(top("sure", confidence > 0.7, 10, confidence.desc(), F.desc("access_count")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -176,12 +176,19 @@ def referenced(usage: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.groupBy("session_id", "path").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("was_referenced"))
 
 
+#: Fixed value: letters of a pair's heading.
+HEADING = 80
+
+
 def turn_groups(turns: DataFrame) -> DataFrame:
-    """(conv_id, pair, heading, text): a user's turn and what follows it; what comes before the first is a preamble."""
+    """(conv_id, pair, heading, text, first_turn): a user's turn and what follows it; what comes before the first is a preamble. The heading is the question's first line."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     numbered = turns.withColumn("pair", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w)).where("pair > 0 or role <> 'assistant'")
     ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return numbered.groupBy("conv_id", "pair").agg(F.array_join(F.transform(ordered, lambda t: t["text"]), "\n\n").alias("text"), F.min("turn").alias("first_turn"))
+    said = numbered.groupBy("conv_id", "pair").agg(F.transform(ordered, lambda t: t["text"]).alias("texts"), F.min("turn").alias("first_turn"))
+    first = F.btrim(F.substring_index(F.btrim(F.coalesce(F.get("texts", F.lit(0)), F.lit("")), F.lit(" \t\r\n")), "\n", 1))
+    heading = F.when(F.col("pair") == 0, "(preamble)").otherwise(F.left(first, F.lit(HEADING)))
+    return said.select("conv_id", "pair", heading.alias("heading"), F.array_join("texts", "\n\n").alias("text"), "first_turn")
 
 
 def alternating_pairs(turns: DataFrame) -> DataFrame:

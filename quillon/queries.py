@@ -13,8 +13,9 @@ from quillon.functions import text as T
 from quillon.functions.snippets import snippet, truncate
 from quillon.operators import answers, chunking, dml, filters, graph, guard, health, mining, provenance, ranking, search, sessions, trust
 from quillon.operators.textindex import TextIndex
-from quillon.plans import hybrid, surfacing
+from quillon.plans import hybrid, indexing, surfacing
 from quillon.sources import adapters as A
+from quillon.sources import writers
 from quillon.storage import shared_path
 
 TERMS = ["tion", "ther", "ening"]
@@ -333,10 +334,73 @@ def latest_handoff(spark, sf_dir):
     (select 'sessions', path from seen where content_type in ('handoff', 'progress') order by modified desc, path limit 10) union all
     (select 'decisions', path from seen where content_type = 'decision' order by modified desc, path limit 10) union all
     (select 'accessed', path from seen where access_count > 0 order by access_count desc, path limit 10) union all
-    (select 'stale', path from seen where trust_state = 'stale' order by modified desc, path limit 10)"""
+    (select 'stale', path from seen where trust_state = 'stale' order by modified desc, path limit 10) union all
+    (select 'sure', path from (select *, {CONFIDENCE} as conf from seen) where conf > 0.7 order by conf desc, access_count desc, path limit 10)"""
 )
 def brief_sections(spark, sf_dir):
-    return health.brief(A.notes(spark, sf_dir))
+    return health.brief(A.notes(spark, sf_dir), _confidence())
+
+
+@query(
+    f"""{HEALTH}, s as (select total, 25.0 * embedded / total + least(25.0, 250.0 * knowledge / total) + least(25.0, 25.0 * recent / total) + 25.0 * accessed / total as parts from figures)
+    select total, least(greatest(floor(parts), 0), 100) :: int as score from s"""
+)
+def health_score_of_tools(spark, sf_dir):
+    return health.tool_score(health.health(A.notes(spark, sf_dir), A.vectors(spark, sf_dir), A.AS_OF))
+
+
+@query(f"{NOTES} select id, access_count from notes where not suppressed order by access_count desc, path limit 5")
+def most_used_notes(spark, sf_dir):
+    return health.most_used(A.notes(spark, sf_dir)).select("id", "access_count")
+
+
+@query(f"{NOTES}, c as (select *, {CONFIDENCE} as conf from notes where not suppressed) select round(avg(conf) filter (conf > 0), 6) as average from c")
+def average_confidence(spark, sf_dir):
+    return health.average_confidence(A.notes(spark, sf_dir), _confidence())
+
+
+@query(
+    f"""{NOTES}, t as (select 'note' as type, path as name from notes union select 'agent', agent from notes union select 'entity', 'tag:' || lower(unnest(tags)) from notes)
+    select type, count(*) as n from t group by 1"""
+)
+def graph_nodes_by_type(spark, sf_dir):
+    return graph.by_type(A.graph_nodes(A.plain_notes(spark, sf_dir)))
+
+
+@query(f"{NOTES} select id as note_id, left(title || chr(10) || text, 4000) as head, strlen(title || chr(10) || text) <= 7500 as whole from notes where id not in (select vec_id from embeddings)")
+def notes_to_embed(spark, sf_dir):
+    """What a model would be given of notes without vectors: all of short ones, as much as fits of long ones."""
+    n = A.plain_notes(spark, sf_dir)
+    rows = indexing.to_embed(n, A.vectors(spark, sf_dir)).join(n.select(F.col("id").alias("note_id"), (F.octet_length("title") + 1 + F.octet_length("text")).alias("size")), "note_id")
+    fits = F.octet_length("content") <= indexing.EMBEDDED
+    whole = F.when(fits, F.octet_length("content") == F.col("size"))
+    return rows.select("note_id", F.left("content", F.lit(4000)).alias("head"), whole.alias("whole"))
+
+
+@query(f"{NOTES} select count(*) as chunks, count(v.vec_id) as embedded, 'progressive' as mode from notes left join embeddings v on v.vec_id = id")
+def index_modes(spark, sf_dir):
+    return indexing.index_mode(A.plain_notes(spark, sf_dir), A.vectors(spark, sf_dir))
+
+
+@query(
+    f"""{NOTES} select id, case when domain = 'en' and starts_with(path, 'src1') then access_count + 5 else access_count end as access_count,
+    case when domain = 'en' and starts_with(path, 'src1') then least(1.0, 0.5 + 0.2) else 0.5 end :: double as confidence from notes"""
+)
+def feedback_by_pattern(spark, sf_dir):
+    rows = A.notes(spark, sf_dir).withColumn("confidence", F.lit(0.5))
+    return dml.feedback_like(rows, "src1*/en/*.md", True).select("id", "access_count", "confidence")
+
+
+@query(
+    f"""{NOTES} select path as file, sha256('---' || chr(10) || 'title: "' || replace(replace(regexp_replace(title, '[\r\n]+', ' ', 'g'), '\', '\\'), '"', '\"') || '"' || chr(10) || 'content_type: ' || content_type || chr(10)
+    || 'tags:' || chr(10) || '  - ' || domain || chr(10) || '  - ' || workstream || chr(10) || '---' || chr(10) || chr(10) || text || chr(10)) as digest from notes"""
+)
+def notes_as_files(spark, sf_dir):
+    """Notes written as Markdown files and read back."""
+    folder = shared_path(spark, "note-files")
+    table_ = writers.markdown(A.plain_notes(spark, sf_dir))
+    writers.write(table_, folder)
+    return writers.read_back(spark, folder).select("file", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
 
 
 @query(f"{NOTES} select id, path, (date '2024-07-01' - review_by) :: int as days_overdue from seen where review_by <= date '2024-07-01'")
@@ -733,10 +797,11 @@ def turn_pairs(spark, sf_dir):
 
 @query(
     """with t as (select *, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as pair from conversations)
-    select conv_id, pair :: bigint as pair, sha256(string_agg(text, chr(10) || chr(10) order by turn)) as text_hash, min(turn) as first_turn from t where pair > 0 or role <> 'assistant' group by 1, 2"""
+    select conv_id, pair :: bigint as pair, sha256(string_agg(text, chr(10) || chr(10) order by turn)) as text_hash, min(turn) as first_turn,
+        case when any_value(pair) = 0 then '(preamble)' else left(trim(string_split(trim(arg_min(text, turn), ' ' || chr(9) || chr(10) || chr(13)), chr(10))[1]), 80) end as heading from t where pair > 0 or role <> 'assistant' group by 1, 2"""
 )
 def turn_groups(spark, sf_dir):
-    return mining.turn_groups(A.read(spark, sf_dir, "conversations")).select("conv_id", "pair", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"), "first_turn")
+    return mining.turn_groups(A.read(spark, sf_dir, "conversations")).select("conv_id", "pair", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"), "first_turn", "heading")
 
 
 @query("select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as n from conversations where role = 'assistant') where n <= 2")

@@ -108,7 +108,7 @@ def graph_nodes(notes_: DataFrame) -> DataFrame:
     """Note, agent and tag nodes with ids that follow from type and name."""
     note = notes_.select(F.lit("note").alias("type"), F.col("path").alias("name"), F.col("id").alias("note_id"))
     agent = notes_.select(F.lit("agent").alias("type"), F.col("agent").alias("name")).distinct().withColumn("note_id", F.lit(None).cast("long"))
-    tag = notes_.select(F.lit("entity").alias("type"), F.concat(F.lit("tag:"), F.lower(F.explode_outer("tags"))).alias("name")).distinct()
+    tag = notes_.select(F.explode("tags").alias("tag")).select(F.lit("entity").alias("type"), F.concat(F.lit("tag:"), F.lower("tag")).alias("name")).distinct()
     return note.unionByName(agent).unionByName(tag.withColumn("note_id", F.lit(None).cast("long")))
 
 

@@ -7,17 +7,23 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SKIP_FOLDERS = (".git", "node_modules", ".obsidian", ".trash", "_PRIVATE")
+#: Folders and files that are no notes; more can be given.
+SKIP_FOLDERS = (".git", "node_modules", ".smart-env", ".obsidian", ".logseq", ".claude", ".trash", "_PRIVATE")
+SKIP_FILES = ("CLAUDE.md",)
 
 
-def walk(spark: SparkSession, folder: str, ignore: list[str] | None = None) -> DataFrame:
-    """(path, content, modified, content_hash) of every Markdown file below ``folder`` outside skipped and ignored places."""
+def walk(spark: SparkSession, folder: str, ignore: list[str] | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
+    """(path, content, modified, content_hash) of every Markdown file below ``folder`` outside skipped and ignored places.
+
+    Spark's file sources follow links and don't tell them; a path that isn't below the folder when it is listed is left out.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
     root = re.escape(folder.rstrip("/").removeprefix("file://"))
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^.*?{root}/", "")
     files = raw.select(path.alias("path"), F.decode("content", "UTF-8").alias("content"), F.unix_timestamp("modificationTime").cast("double").alias("modified"))
     parts = F.split("path", "/")
-    skipped = F.arrays_overlap(parts, F.array(*map(F.lit, SKIP_FOLDERS)))
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    skipped = F.arrays_overlap(folders, F.array(*map(F.lit, SKIP_FOLDERS + skip))) | F.element_at(parts, -1).isin(*SKIP_FILES) | F.col("path").startswith("/") | F.array_contains(parts, "..")
     return files.where(~skipped & ~ignored(F.col("path"), ignore or [])).withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
 
 
