@@ -22,6 +22,8 @@ from pyspark.sql.types import StructType
 from quillon.llm.shared import table
 
 LIMIT, STEP = 16 << 20, 12
+#: Shards that a task writes, on average, where there are more than partitions.
+SHARDS_OF_A_TASK = 2
 
 
 def _prefix(bits: int) -> str:
@@ -81,11 +83,16 @@ def _dealt(docs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     )
     # only sizes and hashes are grouped
     tree = table(directory(table(rows.select("hash", "bytes"), "sizes"), limit), "directory")
-    depths = sorted(r[0] for r in tree.select("depth").distinct().collect()) or [0]  # 65 at most
-    # each row's prefix at every depth that the directory has; one of them is its bucket
-    own = F.array(*[F.struct(F.lit(d).alias("depth"), F.expr(_prefix(d)).alias("prefix")) for d in depths])
-    keyed = rows.withColumn("at", F.explode(own)).select("row", "bytes", "hash", "at.depth", "at.prefix")
-    placed = keyed.join(tree.select("depth", "prefix", F.col("bytes").alias("shard_bytes"), "overflow"), ["depth", "prefix"])
+    # a row meets the buckets that share its first bits, as many as tell nearly all buckets apart, and its own bits choose one; so no text is copied for the lookup,
+    # and it is shuffled for it only where the directory is too large to be sent to all tasks
+    figures = tree.agg(F.max("depth").alias("depth"), F.count("*").alias("n")).first()
+    bits = min(figures.depth or 0, max(figures.n, 1).bit_length() + 2)
+    wider = F.expr(f"sequence(shiftleft(prefix, {bits} - depth), shiftleft(prefix + 1, {bits} - depth) - 1)")
+    entries = tree.select(
+        "depth", "prefix", F.col("bytes").alias("shard_bytes"), "overflow", F.explode(F.when(F.col("depth") >= bits, F.array(F.expr(f"shiftrightunsigned(prefix, depth - {bits})"))).otherwise(wider)).alias("first"),
+    )
+    own = (F.col("depth") == 0) | (F.expr("shiftrightunsigned(hash, 64 - depth)") == F.col("prefix"))
+    placed = rows.withColumn("first", F.expr(_prefix(bits))).join(entries, "first").where(own).drop("first")
     # buckets of 64 bits that are too large: rows equal in id and text, all of one size; as many to a part as fit
     over = table(placed.where("overflow").withColumn("number", F.monotonically_increasing_id()), "overflow")
     over = over.withColumn("file", F.shiftright("number", 33))
@@ -129,8 +136,9 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     folder = "shard"
     while folder in {c.lower() for c in docs.columns}:
         folder += "_"
-    # a shard is bounded, so one task can hold it
-    dealt.select("row.*", F.col("shard").alias(folder)).repartition(F.col(folder)).write.partitionBy(folder).parquet(path)
+    # a shard is bounded, so one task can hold it, and a few on average
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tree.count() // SHARDS_OF_A_TASK)
+    dealt.select("row.*", F.col("shard").alias(folder)).repartition(parts, F.col(folder)).write.partitionBy(folder).parquet(path)
     return tree
 
 

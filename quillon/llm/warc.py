@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import shared_path, spread_join, table
+from quillon.llm.shared import shared_path, small_batches, spread_join, table
 
 FRAME, BUNDLE, LEVEL = 1 << 20, 64 << 20, 3
 SEEK_MAGIC, SKIP_MAGIC = 0x8F92EAB1, 0x184D2A5E
@@ -34,31 +34,32 @@ INDEX = "page_id long, record_id string, bundle string, frame int, offset long,
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, payload_digest: str) -> str:
+    """An identifier of page and payload: rows that repeat an id with other payloads have others; rows equal in both are equal records."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{payload_digest}')}>"
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One record; a revisit keeps the HTTP head of its response, with the length of the full payload, and no payload."""
+def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, sha: str | None = None) -> bytes:
+    """One record, ``sha`` being its payload's digest if it is known; a revisit keeps the HTTP head of its response, with the length of the full payload, and no payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = head if refers_to is not None else head + payload
+    block, sha = head if refers_to is not None else head + payload, sha or digest(payload)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, sha)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         *([] if page_id is None else [f"X-Page-ID: {page_id}"]),
         *([] if url is None else ["WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A")]),
-        f"WARC-Payload-Digest: sha1:{digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{sha}",
     ]
     if refers_to is not None:
         lines += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: {record_id(refers_to)}",
+            f"WARC-Refers-To: {record_id(refers_to, sha)}",
             f"X-Refers-To-Page: {refers_to}",
         ]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -127,8 +128,8 @@ def _writer(folder: str):
             nonlocal bundle, size
             if frame:
                 bundle = bundle or _Bundle(folder)
-                for at, n, page_id in index[len(index) - len(frame) :]:
-                    done.append((page_id, record_id(page_id), bundle.path, len(bundle.frames), at, n))
+                for at, n, page_id, name in index[len(index) - len(frame) :]:
+                    done.append((page_id, name, bundle.path, len(bundle.frames), at, n))
                 bundle.add(b"".join(frame))
                 frame.clear()
                 size = 0
@@ -141,8 +142,10 @@ def _writer(folder: str):
         done: list[tuple] = []
         for batch in batches:
             for page_id, url, html, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                raw = write_record(page_id, url, (html or "").encode(), refers)
-                index.append((size, len(raw), page_id))
+                payload = (html or "").encode()
+                sha = digest(payload)
+                raw = write_record(page_id, url, payload, refers, sha)
+                index.append((size, len(raw), page_id, record_id(page_id, sha)))
                 frame.append(raw)
                 size += len(raw)
                 if size >= FRAME:
@@ -179,7 +182,8 @@ def equal_payloads(pages: DataFrame, least: int = 0) -> DataFrame:
 def write_bundles(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
     """Write one record for each page to bundles in ``folder``; returns the index, which is itself a shared table."""
     folder = folder or shared_path(pages.sparkSession, "bundles")
-    return table(equal_payloads(pages, least).select("page_id", "url", "html", "refers_to").mapInArrow(_writer(folder), INDEX), "index")
+    with small_batches(pages.sparkSession, 256):
+        return table(equal_payloads(pages, least).select("page_id", "url", "html", "refers_to").mapInArrow(_writer(folder), INDEX), "index")
 
 
 def read_frame(path: str, number: int) -> bytes:
