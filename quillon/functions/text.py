@@ -61,6 +61,36 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def short_slug(text: Column, words: int = 5, letters: int = 50) -> Column:
+    """The first words of the first line as a name of a file."""
+    first = F.array_join(F.slice(F.filter(F.split(F.substring_index(text, "\n", 1), r"\s+"), lambda w: w != ""), 1, words), "-")
+    plain = F.btrim(F.regexp_replace(F.lower(first), "[^a-z0-9-]", ""), F.lit("-"))
+    return F.rtrim(F.left(plain, F.lit(letters)), F.lit("-"))
+
+
+def normalized(text: Column) -> Column:
+    """Dashes and underscores as blanks, runs of white space as one."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, "[\u2014\u2013_-]", " "), r"\s+", " "))
+
+
+def file_title(name: Column) -> Column:
+    """What a file's name says, without a date in front, in lower case."""
+    return F.lower(normalized(F.regexp_replace(name, r"^\d{4}[-_]\d{2}[-_]\d{2}[-_ ]*", "")))
+
+
+def relative_age(seconds: Column) -> Column:
+    hours = F.floor(seconds / 3600)
+    days = F.floor(hours / 24)
+    ago = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit} ago"))
+    return F.when(hours < 1, "just now").when(hours == 1, "1 hour ago").when(hours < 24, ago(hours, "hours")).when(days == 1, "yesterday").otherwise(ago(days, "days"))
+
+
+def leading_date(text: Column) -> Column:
+    """The date that a text begins with, written with dashes or slashes; null if there is none."""
+    head = F.left(F.btrim(text), F.lit(10))
+    return F.coalesce(F.try_to_date(head, "yyyy-MM-dd"), F.try_to_date(head, "yyyy/MM/dd"))
+
+
 def parse_date(text: Column) -> Column:
     """A date written in any of three ways, else null."""
     return F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(text, "yyyy/MM/dd"), F.to_date(F.try_to_timestamp(text)))
@@ -93,6 +123,35 @@ def neutral_tags(text: Column) -> Column:
     return F.regexp_replace(text, r"<(/?[A-Za-z][^<>]*)>", "[$1]")
 
 
+#: Tags that frame contexts and instructions for models, and other marks that models take for such.
+FRAMES = (
+    "vault-context", "plugin-context", "session-bootstrap", "vault-handoff", "vault-decisions", "vault-staleness", "vault-source-divergence", "system-reminder", "system", "instructions",
+    "tool_result", "tool_use", "important",
+)
+MARKS = {"[inst]": "[[inst]]", "[/inst]": "[[/inst]]", "<<sys>>": "[[sys]]", "<</sys>>": "[[/sys]]", "<![cdata[": "[CDATA[", "]]>": "]]&gt;"}
+
+
+def neutral_frames(text: Column, frames: tuple[str, ...] = FRAMES) -> Column:
+    """Tags that frame contexts, and marks of instructions, made harmless, whatever their case; all other text stays as it is."""
+    out = text
+    for mark, plain in MARKS.items():
+        # each mark is replaced once: what stands for a mark is not looked at again
+        guard = r"(?<!\[)" if mark.startswith("[") else ""
+        out = F.regexp_replace(out, f"(?i){guard}{re.escape(mark)}", re.sub(r"([\\$])", r"\\\1", plain))
+    names = "|".join(map(re.escape, frames))
+    closed = F.regexp_replace(out, f"(?i)<(/(?:{names}))>", "[$1]")
+    single = F.regexp_replace(closed, f"(?i)<((?:{names})/?)>", "[$1]")
+    return F.regexp_replace(single, f"(?i)<((?:{names})) ", "[$1 ")
+
+
+def without_injection(text: Column, phrases: list[str]) -> Column:
+    """A text, or a note that it was left out if it holds one of the phrases, whatever the case."""
+    bad = F.lit(False)
+    for p in phrases:
+        bad = bad | F.lower(text).contains(p.lower())
+    return F.when(bad, "[content filtered for security]").otherwise(text)
+
+
 def shared_stem(a: Column, b: Column) -> Column:
     """Both have five characters at least, differ by three in length at most, and agree on all but the last of the shorter."""
     shorter = F.least(F.length(a), F.length(b))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scores as S
-from quillon.functions.text import ascii_boundaries
+from quillon.functions.text import ascii_boundaries, file_title, normalized
 
 #: Names, categories and patterns of sensitive data.
 RULES = [
@@ -166,13 +166,13 @@ def decisions(messages: DataFrame, key: list[str], text: str = "text", role: str
 
 
 def referenced(usage: DataFrame, answers: DataFrame) -> DataFrame:
-    """(session_id, path, was_referenced): whether a session's answers name a path, its file name, or the name in plain words."""
+    """(session_id, path, was_referenced): whether a session's answers name a path, its file name, the name in plain words, or its title's words without a date."""
     name = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.md$", "")
-    plain = F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
+    plain, title = normalized(F.lower(name)), file_title(name)
     paths = usage.select("session_id", F.explode_outer("injected_paths").alias("path")).where("path is not null").distinct()
     said = F.lower("answer")
     joined = paths.join(answers, "session_id", "left")
-    hit = said.contains(F.lower("path")) | ((F.length(name) > 3) & said.contains(F.lower(name))) | ((F.length(plain) > 5) & F.regexp_replace(said, "[^a-z0-9]+", " ").contains(plain))
+    hit = said.contains(F.lower("path")) | ((F.length(name) > 3) & said.contains(F.lower(name))) | ((F.length(plain) > 5) & normalized(said).contains(plain)) | ((F.length(title) >= 3) & normalized(said).contains(title))
     return joined.groupBy("session_id", "path").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("was_referenced"))
 
 

@@ -120,9 +120,16 @@ def rank(results: DataFrame, terms: list[str], noise: list[str] | None = None) -
     return kept.withColumn("place", F.row_number().over(Window.orderBy(*three_tiers(kept))))
 
 
-def type_boosts(results: DataFrame, boosts: dict[str, float]) -> DataFrame:
-    factor = S.lookup(F.col("content_type"), boosts, 1.0)
-    return results.withColumn("score", S.round3(F.least(F.lit(1.0), F.col("score") * factor)))
+#: Fixed value: what a stale note's confidence is multiplied with.
+STALE = 0.75
+
+
+def type_boosts(results: DataFrame, boosts: dict[str, float], stale_wanted: bool = False) -> DataFrame:
+    """Scores times the factors of their types, one at most; where stale notes are asked for, theirs without what being stale took."""
+    boosted = S.round3(F.least(F.lit(1.0), F.col("score") * S.lookup(F.lower("content_type"), boosts, 1.0)))
+    if stale_wanted:
+        boosted = F.when(F.lower("trust_state") == "stale", S.round3(F.least(F.lit(1.0), boosted / STALE))).otherwise(boosted)
+    return results.withColumn("score", boosted)
 
 
 def keyword_title_score(title: Column, text: Column, terms: list[str], query: str) -> Column:

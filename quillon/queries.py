@@ -377,7 +377,7 @@ def notes_to_embed(spark, sf_dir):
     return rows.select("note_id", F.left("content", F.lit(4000)).alias("head"), whole.alias("whole"))
 
 
-@query(f"{NOTES} select count(*) as chunks, count(v.vec_id) as embedded, 'progressive' as mode from notes left join embeddings v on v.vec_id = id")
+@query(f"{NOTES} select count(*) as chunks, count(v.vec_id) as embedded, case when count(v.vec_id) = 0 then 'lite' when count(v.vec_id) < count(*) then 'progressive' else 'full' end as mode from notes left join embeddings v on v.vec_id = id")
 def index_modes(spark, sf_dir):
     return indexing.index_mode(A.plain_notes(spark, sf_dir), A.vectors(spark, sf_dir))
 
@@ -429,12 +429,14 @@ def recent_usage_sessions(spark, sf_dir):
 
 
 @query(
-    """with inj as (select distinct conv_id, 'notes/' || lower(list_extract(string_split(replace(text, chr(10), ' '), ' '), 1)) || '.md' as path from conversations where role = 'user'),
+    r"""with inj as (select distinct conv_id, 'notes/' || lower(list_extract(string_split(replace(text, chr(10), ' '), ' '), 1)) || '.md' as path from conversations where role = 'user'),
     ans as (select conv_id, string_agg(text, chr(10) order by turn) as answer from conversations where role = 'assistant' group by 1),
-    n as (select conv_id, path, lower(path) as p, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.md$', '') as name from inj),
-    m as (select *, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) as plain from n)
+    n as (select conv_id, path, lower(path) as p, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.md$', '') as name from inj),
+    m as (select *, trim(regexp_replace(regexp_replace(lower(name), '[—–_-]', ' ', 'g'), '\s+', ' ', 'g')) as plain,
+        lower(trim(regexp_replace(regexp_replace(regexp_replace(name, '^\d{4}[-_]\d{2}[-_]\d{2}[-_ ]*', ''), '[—–_-]', ' ', 'g'), '\s+', ' ', 'g'))) as title from n),
+    a as (select conv_id, answer, trim(regexp_replace(regexp_replace(lower(answer), '[—–_-]', ' ', 'g'), '\s+', ' ', 'g')) as said from ans)
     select conv_id :: varchar as session_id, path, coalesce(contains(lower(answer), p) or (length(name) > 3 and contains(lower(answer), lower(name)))
-        or (length(plain) > 5 and contains(regexp_replace(lower(answer), '[^a-z0-9]+', ' ', 'g'), plain)), false) as was_referenced from m left join ans using (conv_id)"""
+        or (length(plain) > 5 and contains(said, plain)) or (length(title) >= 3 and contains(said, title)), false) as was_referenced from m left join a using (conv_id)"""
 )
 def references_feedback(spark, sf_dir):
     c = A.read(spark, sf_dir, "conversations")
@@ -1273,6 +1275,39 @@ def session_recovery(spark, sf_dir):
     return sessions.recover(rows, parts)
 
 
+@query(
+    f"""{_near_sql(5 * TOP)}, b as (select path, trust_state, least(1.0, floor(least(1.0, score * (case content_type when 'handoff' then 1.3 when 'decision' then 1.3 else 1.0 end)) * 1000 + 0.5) / 1000) as first from vec)
+    select path, case when trust_state = 'stale' then floor(least(1.0, first / 0.75) * 1000 + 0.5) / 1000 else first end as score from b"""
+)
+def boosts_for_stale(spark, sf_dir):
+    """Neighbours with the factors of their types, for a prompt that asks for stale notes."""
+    found = search.vector_search(A.plain_notes(spark, sf_dir), A.vectors(spark, sf_dir), _vector(spark, sf_dir), TOP, late=_late(spark, sf_dir))
+    return ranking.type_boosts(found, {"handoff": 1.3, "decision": 1.3}, stale_wanted=True).select("path", "score")
+
+
+@query(
+    f"""with g as (select *, (row_number() over (order by ts, event_id))::bigint as n, lag(ts) over w as before, lead(ts) over w as after from events window w as (partition by user_id order by ts, event_id)),
+    top as (select max(ts) - interval 10 minutes as mark from events)
+    select user_id, 'expired' as event, epoch_us(ts + interval 30 minutes) as moment from g, top where (after is null or after - ts >= interval 30 minutes) and ts + interval 30 minutes < mark"""
+)
+def expired_claims(spark, sf_dir):
+    """Events as claims of half an hour, streamed: when each user's claim expired, as far as the stream's time has passed."""
+    from quillon.streaming import timed
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    timed.use_rocksdb(spark)
+    try:
+        source, out = shared_path(spark, "claims-in"), shared_path(spark, "claims-out")
+        rows = A.read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("seconds"))
+        rows.write.parquet(source)
+        told = timed.expiring(spark.readStream.schema(rows.schema).parquet(source), ["user_id"], timed.CLAIM_SECONDS)
+        told.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "claims-state")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(told.schema).parquet(out).where("event = 'expired'").select("user_id", "event", F.unix_micros("at").alias("moment"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 
