@@ -23,7 +23,10 @@ def neighbours(edges: DataFrame, node: int, direction: str = "both") -> DataFram
 
 
 def traverse(edges: DataFrame, start: int, depth: int = 5, rel: str | None = None, least: float = 0.0, limit: int = 1000, reverse: bool = False) -> DataFrame:
-    """(node, depth, walk, total) of walks without cycles from ``start``, shortest first, then by walk."""
+    """(node, depth, walk, total) of walks without cycles from ``start``, shortest first, then by walk.
+
+    Longer walks come after all shorter ones, so nothing more is walked once there are ``limit``; a step begins with fewer walks than that.
+    """
     step = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel", "weight") if reverse else edges
     step = step.where(F.col("weight") >= least)
     if rel:
@@ -34,6 +37,8 @@ def traverse(edges: DataFrame, start: int, depth: int = 5, rel: str | None = Non
     )
     found = front = table(front, "front")
     for d in range(2, min(depth, 10) + 1):
+        if found.limit(limit).count() >= limit:
+            break
         front = front.join(step, front["node"] == step["src"]).where(~F.array_contains("walk", F.col("dst"))).select(
             F.col("dst").alias("node"), F.lit(d).alias("depth"), F.array_append("walk", F.col("dst")).alias("walk"), (F.col("total") + F.col("weight")).alias("total")
         )
