@@ -18,7 +18,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
@@ -160,3 +160,30 @@ class TextIndex:
             tf = F.col(f"tf{i}")
             rank = rank + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / mean))
         return per.crossJoin(F.broadcast(df)).select("id", F.round(rank, 6).alias("rank")).where("rank > 0").orderBy(F.desc("rank"), "id").limit(limit)  # one row
+
+    def bm25_many(self, queries: DataFrame, limit: int = 30, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """(query_id, id, rank, place): the best notes of each of many queries (query_id, terms) in one job, each as ``bm25`` would rank them.
+
+        Postings meet the queries' distinct terms, and only directories of theirs are read; a term's number of notes is counted once for all queries. Common terms
+        are joined by Spark's skew join. Queries without terms, and null ones, find nothing.
+        """
+        commits = self.commits()
+        n, total = sum(c[1] for c in commits), sum(c[2] for c in commits)
+        mean = max(total, 1) / max(n, 1)
+        asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).where("term is not null")
+        wanted = asked.select("term").distinct()
+        own = self._live(reduce(DataFrame.unionByName, [self._met(c, wanted) for c in commits]), commits) if commits else self.postings().withColumn("seg", F.lit(0))
+        tf = own.groupBy("term", "id", "length").agg(F.sum("tf").alias("tf"))
+        df = tf.groupBy("term").agg(F.count("*").alias("df"))
+        idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
+        scored = tf.join(df, "term").select("term", "id", part.alias("part")).join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("rank")).where("rank > 0")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank"), "id"))
+        return scored.withColumn("place", place).where(F.col("place") <= limit)
+
+    def _met(self, commit: tuple[int, int, int, int, int], wanted: DataFrame) -> DataFrame:
+        """A segment's postings of terms in a table; the join on the bucket lets Spark prune directories when it runs."""
+        seg, _, _, buckets, _ = commit
+        folder = f"{self.path}/postings/seg={seg}"
+        rows = self.spark.read.schema(f"{POSTINGS}, bucket int").option("basePath", folder).parquet(folder)
+        return rows.join(wanted.withColumn("bucket", bucket_of(F.col("term"), buckets)), ["bucket", "term"], "left_semi").drop("bucket").withColumn("seg", F.lit(seg))

@@ -1308,6 +1308,22 @@ def expired_claims(spark, sf_dir):
     return spark.read.schema(told.schema).parquet(out).where("event = 'expired'").select("user_id", "event", F.unix_micros("at").alias("moment"))
 
 
+@query(
+    f"""{NOTES}, q as (select item_id as query_id, unnest(list_distinct(list_slice(list_filter(regexp_split_to_array(lower(text), '[^0-9a-z]+'), lambda x: x <> ''), 1, 6))) as term from benchmark),
+    tok as (select id, list_filter(regexp_split_to_array(lower(path || ' ' || title || ' ' || text), '[^0-9a-z]+'), lambda x: x <> '') as t from seen),
+    fig as (select count(*) as n, avg(len(t)) as mean from tok), post as (select id, len(t) as length, unnest(t) as term from tok),
+    tf as (select id, length, term, count(*) as tf from post where term in (select term from q) group by all), df as (select term, count(*) as df from tf group by 1),
+    s as (select query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) as rank from q join tf using (term) join df using (term), fig group by 1, 2),
+    r as (select *, row_number() over (partition by query_id order by rank desc, id) as place from s where rank > 0)
+    select query_id, count(*) as found, round(max(rank), 5) as best, min(place) :: int as first from r where place <= 5 group by 1"""
+)
+def batch_search(spark, sf_dir):
+    """The first words of each benchmark item as a query, all in one job."""
+    items = A.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.tokens(F.col("text")), 1, 6).alias("terms"))
+    found = A.text_index(spark, sf_dir).bm25_many(items, 5)
+    return found.groupBy("query_id").agg(F.count("*").alias("found"), F.round(F.max("rank"), 5).alias("best"), F.min("place").alias("first"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 

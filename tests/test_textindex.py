@@ -91,3 +91,16 @@ def test_a_failed_attempt_does_not_count(spark, made):
     assert {r.id for r in index.postings(["alpha"]).collect()} == {1, 2}
     index.apply(spark.createDataFrame(FIRST[3:], NOTES))
     assert {r.id for r in index.postings(["alpha"]).collect()} == {1, 2, 4}
+
+
+def test_many_queries_at_once(spark, made):
+    index = made()
+    now = spark.createDataFrame(FIRST, NOTES)
+    index.apply(now)
+    index.apply(add=spark.createDataFrame([(2, "a/two.md", "Two", "beta beta beta", "y")], NOTES), remove=now.where("id = 1"))
+    queries = {1: TERMS, 2: ["beta", "beta"], 3: ["none"], 4: [], 5: ["guide", None]}
+    got = index.bm25_many(spark.createDataFrame(list(queries.items()), "query_id int, terms array<string>"), 3).orderBy("query_id", "place").collect()
+    for q, terms in queries.items():
+        want = rows(index.bm25([t for t in terms if t], 3))
+        assert [(r.id, round(r.rank, 5)) for r in got if r.query_id == q] == [(i, round(x, 5)) for i, x in want]
+    assert made("empty").bm25_many(spark.createDataFrame([(1, ["a"])], "query_id int, terms array<string>")).count() == 0
