@@ -685,7 +685,7 @@ def test_queries_equal_sql(spark):
     from quillon.llm import queries as q
 
     con = duckdb.connect()
-    for t in ("conversations", "documents", "pages"):
+    for t in ("conversations", "documents", "embeddings", "pages"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in q.oracle_sql().items():
         got, rel = q.queries()[name](spark, SF), con.sql(sql)
