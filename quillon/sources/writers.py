@@ -23,6 +23,13 @@ def _quoted(x: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"[\r\n]+", " "), r'(["\\])', r"\\$1"), F.lit('"'))
 
 
+def plain_title(content: Column) -> Column:
+    """A file's content with its title as it was before it was quoted, still between quotes; all else stays."""
+    title = F.regexp_extract(content, r'^---\ntitle: "((?:[^"\\\n]|\\.)*+)"\n', 1)
+    rest = F.substr(content, F.length(title) + 13)
+    return F.when(content.startswith('---\ntitle: "'), F.concat(F.lit('---\ntitle: "'), F.regexp_replace(title, r'\\(["\\])', "$1"), rest)).otherwise(content)
+
+
 def markdown(notes: DataFrame) -> DataFrame:
     """(file, content) of notes (path, title, content_type, tags, text). Notes without a path are named by type, day and title (``day`` is a column then)."""
     tags = F.array_join(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.concat(F.lit("  - "), t)), "\n")

@@ -38,3 +38,11 @@ def test_an_order_is_no_customer_of_its_number(equal):
     customer = "select unnest([0, 1, 2, 3, null]) :: bigint as c_custkey"
     orders = "select * from (values (0 :: bigint, 1 :: bigint, '1-URGENT'), (-3, 1, '1-URGENT'), (5, 2, '2-HIGH')) t(o_orderkey, o_custkey, o_orderpriority)"
     assert len(equal("prune_orphans", customer=customer, orders=orders)) == 3
+
+
+def test_titles_with_quotes_in_files(equal, spark):
+    texts = """(1, 'say "hi" to \\ all'), (2, '"'), (3, 'a "b'), (4, '\\"x\\\\" y'), (5, 'plain'), (6, ''), (7, 'a' || chr(10) || 'title: "b"')"""
+    documents = f"select i :: bigint as doc_id, t as text, 'en' as lang, 'src1' as source from (values {texts}) v(i, t)"
+    labels, events = "select 0 :: bigint as doc_id, 0 as toxic, 0 as quality where false", "select 0 :: bigint as user_id where false"
+    embeddings = "select 0 :: bigint as vec_id where false"
+    assert len(equal("notes_as_files", documents=documents, labels=labels, events=events, embeddings=embeddings)) == 7
