@@ -77,15 +77,13 @@ def leader_groups(items: DataFrame, pairs: DataFrame, order: str = "modified") -
     return leaders.select(F.col("id").alias("leader"), F.col("id").alias("member")).union(first.select("leader", F.col("a").alias("member")))
 
 
-def shared_tags(sets: DataFrame, least: int = 2) -> DataFrame:
-    """(a, b, shared) of pairs a < b of (id, tags) with at least ``least`` tags in common, whatever their case.
+def set_pairs(sets: DataFrame, least: int = 2) -> DataFrame:
+    """(a, b, shared) of pairs a < b of (id, tags), distinct sets of plain tags, with at least ``least`` in common.
 
     A prefix filter: a set's tags are ordered from the rarest to the commonest, and of two sets with so many in common one of the first
-    n - least + 1 of each must be the same; so the commonest tags, above all one that every set has, are no key of the join. Null and empty sets
-    have nothing in common with any.
+    n - least + 1 of each must be the same; so the commonest tags, above all one that every set has, are no key of the join.
     """
-    own = sets.where("tags is not null").select("id", F.array_distinct(F.transform(F.filter("tags", lambda t: t.isNotNull()), lambda t: F.lower(t))).alias("tags")).where(F.size("tags") >= least)
-    each = own.select("id", F.explode("tags").alias("tag"))
+    each = sets.where(F.size("tags") >= least).select("id", F.explode("tags").alias("tag"))
     often = each.groupBy("tag").agg(F.count("*").alias("n"))
     ordered = each.join(often, "tag").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "tag"))).alias("t")).select("id", F.transform("t", lambda x: x["tag"]).alias("tags"))
     ordered = table(ordered, "tag-sets")
@@ -96,6 +94,29 @@ def shared_tags(sets: DataFrame, least: int = 2) -> DataFrame:
     return met.where((F.size("common") >= least) & (F.get("common", F.lit(0)) == F.col("key"))).select("a", "b", F.size("common").alias("shared"))
 
 
+def shared_tags(sets: DataFrame, least: int = 2, block: int = 1024, task: int = 4_000_000) -> DataFrame:
+    """(a, b, shared) of pairs a < b of (id, tags) with at least ``least`` tags in common, whatever their case.
+
+    Sets are compared once for each distinct set (``set_pairs``). Ids of one set lie in blocks of about ``block``, and what is dealt to the tasks are pairs of
+    blocks, about ``task`` pairs of ids to each; so a set of many copies is no single task. Null and empty sets have nothing in common with any.
+    """
+    plain = F.array_sort(F.array_distinct(F.transform(F.filter("tags", lambda t: t.isNotNull()), lambda t: F.lower(t))))
+    own = sets.where("tags is not null and id is not null").select("id", plain.alias("tags")).where(F.size("tags") >= least)
+    classes = own.groupBy("tags").agg(F.count("*").alias("n")).select("tags", "n", F.monotonically_increasing_id().alias("set"))
+    classes = table(classes, "sets")
+    parts = F.ceil(F.col("n") / block).cast("int").alias("parts")
+    dealt = own.join(classes.select("tags", "set", parts), "tags").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    blocks = table(dealt.groupBy("set", "part").agg(F.collect_list("id").alias("ids")), "blocks")
+    pairs = set_pairs(classes.select(F.col("set").alias("id"), "tags"), least).select(F.col("a").alias("s"), F.col("b").alias("t"), "shared")
+    pairs = table(pairs.union(classes.select("set", "set", F.size("tags"))), "set-pairs")
+    left, right = (blocks.select(F.col("set").alias(x), F.col("part").alias(f"p{x}"), F.col("ids").alias(f"i{x}")) for x in "st")
+    met = table(pairs.join(left, "s").join(right, "t").where("s <> t or ps <= pt"), "block-pairs")
+    rows = met.agg(F.sum(F.size("is").cast("double") * F.size("it"))).first()[0] or 0
+    met = met.repartition(min(max(1, math.ceil(rows / task)), 20_000), "s", "ps", "t", "pt")
+    each = met.withColumn("x", F.explode("is")).withColumn("y", F.explode("it")).where("if(s = t and ps = pt, x < y, x <> y)")
+    return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
+
+
 def tag_groups(notes: DataFrame, least: int = 2, order: str = "modified") -> DataFrame:
     """(leader, member) of groups of at least two notes (id, tags) that share ``least`` tags with their leader; the newest note leads.
 
@@ -105,7 +126,7 @@ def tag_groups(notes: DataFrame, least: int = 2, order: str = "modified") -> Dat
     rows = notes.select("id", F.col(order).alias("at"), sets.alias("tags")).where(F.size("tags") >= least)
     newest = F.min(F.struct(F.col("at").isNull().alias("late"), (-F.col("at")).alias("back"), "id")).alias("first")
     classes = table(rows.groupBy("tags").agg(newest, F.count("*").alias("n")).select("tags", F.col("first.id").alias("id"), (-F.col("first.back")).alias("modified"), "n"), "classes")
-    led = leader_groups(classes, shared_tags(classes, least))
+    led = leader_groups(classes, set_pairs(classes, least))
     size = led.join(classes.select(F.col("id").alias("member"), "n"), "member").groupBy("leader").agg(F.sum("n").alias("size")).where("size >= 2")
     kept = led.join(size.select("leader"), "leader", "left_semi").join(classes.select(F.col("id").alias("member"), "tags"), "member").select("leader", "tags")
     return rows.join(kept, "tags").select("leader", F.col("id").alias("member"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import queries as core
+from quillon.operators import trust
 
 
 @pytest.fixture
@@ -46,3 +47,13 @@ def test_titles_with_quotes_in_files(equal, spark):
     labels, events = "select 0 :: bigint as doc_id, 0 as toxic, 0 as quality where false", "select 0 :: bigint as user_id where false"
     embeddings = "select 0 :: bigint as vec_id where false"
     assert len(equal("notes_as_files", documents=documents, labels=labels, events=events, embeddings=embeddings)) == 7
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_tags_are_compared_once_for_each_set(spark, block):
+    kinds = [["A", "b", "c"], ["b", "a"], ["c", "B", "z"], ["z"], None, ["a", None, "A", "b"]]
+    rows = [(i, kinds[i % 6] if i < 120 else ["all", "q"]) for i in range(150)] + [(3, ["a", "b"])]
+    got = trust.shared_tags(spark.createDataFrame(rows, "id long, tags array<string>"), block=block, task=500)
+    assert "array_intersect" not in got._jdf.queryExecution().optimizedPlan().toString()
+    sets = [(i, {x.lower() for x in t or [] if x}) for i, t in rows]
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, j, len(x & y)) for i, x in sets for j, y in sets if i < j and len(x & y) >= 2)
