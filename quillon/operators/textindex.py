@@ -16,15 +16,19 @@ taken. A term that most notes have is spread over tasks by ranges of (term, id).
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.storage import table
 
 FIELDS = ("path", "title", "text")
 POSTINGS = "term string, id long, field string, tf long, length long"
+#: What a task sorts or holds at most, in terms.
+TASK_TERMS = 2_000_000
 COMMIT = "seg int, notes long, terms long, buckets int, gone long"
 
 
@@ -33,17 +37,20 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 
 def counted(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of notes; terms are counted in the tasks that read a text before anything is shuffled."""
+    """(postings, lengths) of notes; a text's terms are counted in its own row, so no task holds a table of terms."""
     once = notes.select("id", *FIELDS).dropDuplicates(["id"])
-    cut = once.select(F.col("id").cast("long").alias("id"), *[T.tokens(F.coalesce(f, F.lit(""))).alias(f) for f in FIELDS])
+    cut = once.select(F.col("id").cast("long").alias("id"), *[F.sort_array(T.tokens(F.coalesce(f, F.lit("")))).alias(f) for f in FIELDS])
     cut = cut.withColumn("length", sum((F.size(f) for f in FIELDS), F.lit(0)).cast("long"))
-    each = F.flatten(F.array(*[F.transform(f, _of_field(f)) for f in FIELDS]))
-    postings = cut.select("id", "length", F.inline(each)).groupBy("term", "id", "field", "length").agg(F.count("*").alias("tf"))
+    # equal terms lie side by side: where each run of them begins, and the end
+    begins = {f"{f}_at": F.expr(f"filter(sequence(1, size({f}) + 1), i -> i = 1 or i > size({f}) or {f}[i - 1] <> {f}[i - 2])") for f in FIELDS}
+    runs = [F.expr(f"transform(slice({f}_at, 1, size({f}_at) - 1), (i, k) -> struct({f}[i - 1] as term, '{f}' as field, cast({f}_at[k + 1] - i as bigint) as tf))") for f in FIELDS]
+    postings = cut.withColumns(begins).select("id", "length", F.inline(F.flatten(F.array(*runs))))
     return postings.select("term", "id", "field", "tf", "length"), cut.select("id", "length")
 
 
-def _of_field(name: str):
-    return lambda t: F.struct(t.alias("term"), F.lit(name).alias("field"))
+def tasks(terms: float) -> int:
+    """So many tasks that none has much more than ``TASK_TERMS`` of them."""
+    return max(1, ceil(terms / TASK_TERMS))
 
 
 class TextIndex:
@@ -112,10 +119,10 @@ class TextIndex:
         (old.join(touched, "id", "left_semi") if commits else old).write.mode("overwrite").parquet(at("gone"))
         postings, lengths = counted(add if add is not None else self.spark.createDataFrame([], "id long, path string, title string, text string"))
         lengths.write.mode("overwrite").parquet(at("lengths"))
-        dealt = postings.withColumn("bucket", bucket_of(F.col("term"), self.buckets)).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
         figures = lambda name: self.spark.read.schema("id long, length long").parquet(at(name)).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         came, went = figures("lengths"), figures("gone")
+        dealt = postings.withColumn("bucket", bucket_of(F.col("term"), self.buckets)).repartitionByRange(tasks(came[1]), "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
         commit = self.spark.range(1).select(*[F.lit(v).cast(t).alias(n) for n, t, v in (("seg", "int", seg), ("notes", "long", came[0] - went[0]), ("terms", "long", came[1] - went[1]), ("buckets", "int", self.buckets), ("gone", "long", went[0]))])
         commit.write.mode("append").parquet(f"{self.path}/commits")
         self._commits = None
@@ -133,7 +140,7 @@ class TextIndex:
         at = lambda name: f"{other.path}/{name}/seg=0"
         commits = self.commits()
         self.lengths().write.mode("overwrite").parquet(at("lengths"))
-        rows = self.postings().withColumn("bucket", bucket_of(F.col("term"), other.buckets)).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+        rows = self.postings().withColumn("bucket", bucket_of(F.col("term"), other.buckets)).repartitionByRange(tasks(sum(c[2] for c in commits)), "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
         rows.write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
         figures = [F.lit(0), F.lit(sum(c[1] for c in commits)), F.lit(sum(c[2] for c in commits)), F.lit(other.buckets), F.lit(0)]
         self.spark.range(1).select(*[v.cast(t).alias(n) for v, n, t in zip(figures, ("seg", "notes", "terms", "buckets", "gone"), ("int", "long", "long", "int", "long"), strict=True)]).write.mode("overwrite").parquet(f"{other.path}/commits")
@@ -173,11 +180,14 @@ class TextIndex:
         asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).where("term is not null")
         wanted = asked.select("term").distinct()
         own = self._live(reduce(DataFrame.unionByName, [self._met(c, wanted) for c in commits]), commits) if commits else self.postings().withColumn("seg", F.lit(0))
-        tf = own.groupBy("term", "id", "length").agg(F.sum("tf").alias("tf"))
+        tf = own.repartition(tasks(total), "term", "id").groupBy("term", "id", "length").agg(F.sum("tf").alias("tf"))
+        tf = table(tf, "asked-postings")
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
         idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
         part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-        scored = tf.join(df, "term").select("term", "id", part.alias("part")).join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("rank")).where("rank > 0")
+        met = df.join(asked, "term").agg(F.sum("df")).first()[0] or 0
+        parts = tf.join(df, "term").select("term", "id", part.alias("part")).join(asked, "term").select("query_id", "id", "part")
+        scored = parts.repartition(tasks(met), "query_id", "id").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("rank")).where("rank > 0")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank"), "id"))
         return scored.withColumn("place", place).where(F.col("place") <= limit)
 
