@@ -7,11 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions import scores as S
 from quillon.operators import vectorindex
 from quillon.operators.mining import contradiction
 from quillon.storage import table
 
+#: Vectors of a block at most where all are compared; a task holds two blocks.
+WIDE = 65_536
+
 
 def divergence(sources: DataFrame, files: DataFrame) -> DataFrame:
     """Sources of type file whose content has another hash now, or is gone."""
@@ -39,16 +41,15 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 2048, recal
 
     Vectors of unlike length are not similar. Null vectors, and vectors of length zero, are like nothing.
     """
-    rows = vectors.where("embedding is not null").select("note_id", "embedding", F.size("embedding").alias("dims"))
+    rows = vectors.where("embedding is not null and note_id is not null").select("note_id", "embedding", F.size("embedding").alias("dims"))
     n = rows.count()
     tables = index or (vectorindex.layout(n, threshold, recall) if recall else None)
     if tables:
-        near = vectorindex.candidates(rows, threshold, *tables, block=block)
+        near = vectorindex.candidates(rows, threshold, *tables, block=max(block, min(WIDE, n // 16)))
     else:
-        near = vectorindex.in_blocks(rows.withColumn("parts", F.lit(max(1, math.ceil(n / block)))), ["dims"], threshold)
-    near = near.distinct()
-    one, two = rows.select(F.col("note_id").alias("a"), F.col("embedding").alias("va")), rows.select(F.col("note_id").alias("b"), F.col("embedding").alias("vb"))
-    return near.join(one, "a").join(two, "b").select("a", "b", F.round(S.cosine(F.col("va"), F.col("vb")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+        # a vector is sent once for each block: blocks grow with the vectors up to WIDE
+        near = vectorindex.in_blocks(rows.withColumn("parts", F.lit(max(1, math.ceil(n / max(block, min(WIDE, n // 16)))))), ["dims"], threshold)
+    return near.select("a", "b", F.round("similarity", 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def leader_groups(items: DataFrame, pairs: DataFrame, order: str = "modified") -> DataFrame:

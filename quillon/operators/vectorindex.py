@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Tables and directions of an index at most, and what putting a vector into a table costs, in comparisons.
 MOST_TABLES, MOST_DIRECTIONS, PUT = 200, 1200, 64
 SEED = 11
+#: Vectors of a tile, and pairs of which cosines are reckoned at once.
+TILE, PAIRS = 2048, 200_000
 
 
 def layout(n: int, threshold: float, recall: float) -> tuple[int, int] | None:
@@ -49,8 +51,8 @@ def _vectors(column: pa.Array, dims: int) -> np.ndarray:
     return np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), copy=False).reshape(len(column), dims)
 
 
-def keys(rows: DataFrame, bits: int, tables: int) -> DataFrame:
-    """Each of ``rows`` (note_id, embedding, dims) with its key in every table (table, key)."""
+def keys(rows: DataFrame, bits: int, tables: int, signs: bool = False) -> DataFrame:
+    """Each of ``rows`` (note_id, embedding, dims) with its key in every table (table, key); with ``signs`` its keys in all of them, as bytes."""
     kind = dict(rows.dtypes)["note_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,41 +64,85 @@ def keys(rows: DataFrame, bits: int, tables: int) -> DataFrame:
                 part = batch.filter(pa.array(size == dims))
                 if dims not in made:
                     made[dims] = directions(dims, bits, tables)
-                signs = (_vectors(part.column("embedding"), dims) @ made[dims] > 0).reshape(part.num_rows, tables, bits)
-                key = signs @ power
+                above = (_vectors(part.column("embedding"), dims) @ made[dims] > 0).reshape(part.num_rows, tables, bits)
+                key = above @ power
+                every = pa.array([k.tobytes() for k in key.astype("<i8")], pa.binary())
                 for t in range(tables):
                     n = part.num_rows
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("note_id"), part.column("embedding"), part.column("dims"), pa.array(np.full(n, t, np.int32)), pa.array(key[:, t].astype(np.int64))],
-                        ["note_id", "embedding", "dims", "table", "key"],
+                        [part.column("note_id"), part.column("embedding"), part.column("dims"), pa.array(np.full(n, t, np.int32)), pa.array(key[:, t].astype(np.int64)), *([every] if signs else [])],
+                        ["note_id", "embedding", "dims", "table", "key", *(["signs"] if signs else [])],
                     )
 
-    return rows.select("note_id", "embedding", "dims").mapInArrow(run, f"note_id {kind}, embedding {dict(rows.dtypes)['embedding']}, dims int, table int, key long")
+    return rows.select("note_id", "embedding", "dims").mapInArrow(run, f"note_id {kind}, embedding {dict(rows.dtypes)['embedding']}, dims int, table int, key long" + (", signs binary" if signs else ""))
+
+
+def _exact(left: np.ndarray, right: np.ndarray, norms: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Cosines of rows of two tables, summed in the order of their components, as ``scores.cosine`` does."""
+    dot = np.zeros(len(left))
+    for d in range(left.shape[1]):
+        dot += left[:, d] * right[:, d]
+    whole = norms[0] * norms[1]
+    return np.where(whole == 0, 0.0, dot / np.where(whole == 0, 1.0, whole))
+
+
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(vectors))
+    for d in range(vectors.shape[1]):
+        total += vectors[:, d] * vectors[:, d]
+    return np.sqrt(total)
 
 
 def in_blocks(rows: DataFrame, group: list[str], threshold: float) -> DataFrame:
-    """(a, b) of vectors of one group with a cosine near ``threshold`` or above; ``parts`` says into how many blocks the group is cut."""
-    kind = dict(rows.dtypes)["note_id"]
+    """(a, b, similarity) of vectors of one group with a cosine near ``threshold`` or above; ``parts`` says into how many blocks the group is cut.
+
+    A task multiplies tiles of ``TILE`` vectors, so what it holds besides its two blocks is bounded. Rows with ``signs``, their keys in all tables, meet in the first table in
+    which their keys are equal, and in no other. A null component has no similarity.
+    """
+    kind, signed = dict(rows.dtypes)["note_id"], "signs" in rows.columns
 
     def multiply(frame: pa.Table) -> pa.Table:
         dims, i, j = (frame.column(c)[0].as_py() for c in ("dims", "i", "j"))
         ids, own = frame.column("note_id").to_numpy(), frame.column("own").to_numpy()
-        unit = _vectors(frame.column("embedding"), dims)
+        column = frame.column("embedding").combine_chunks()
+        raw = column.flatten()
+        known = ~np.isnan(np.zeros(len(ids)))
+        if raw.null_count:
+            known = ~raw.is_null().to_numpy(zero_copy_only=False).reshape(len(ids), dims).any(axis=1)
+        exact = raw.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), dims)
+        unit = np.nan_to_num(exact)
         unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        p, q = np.nonzero(unit[left] @ unit[right].T >= threshold - 1e-5)
-        a, b = ids[left[p]], ids[right[q]]
-        keep = (a < b) if i == j else (a != b)
-        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+        norms = _norms(exact)
+        if signed:
+            keys_ = np.frombuffer(b"".join(frame.column("signs").to_pylist()), dtype="<i8").reshape(len(ids), -1)
+            before = keys_[:, : frame.column("table")[0].as_py()]
+        left, right = np.flatnonzero((own == i) & known), np.flatnonzero((own == j) & known)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for x in range(0, len(left), TILE):
+            for y in range(0, len(right), TILE):
+                one, two = left[x : x + TILE], right[y : y + TILE]
+                p, q = np.nonzero(unit[one] @ unit[two].T >= threshold - 1e-5)
+                p, q = one[p], two[q]
+                keep = (ids[p] < ids[q]) if i == j else (ids[p] != ids[q])
+                p, q = p[keep], q[keep]
+                for k in range(0, len(p), PAIRS):
+                    m, n = p[k : k + PAIRS], q[k : k + PAIRS]
+                    if signed:
+                        new = ~(before[m] == before[n]).any(axis=1)
+                        m, n = m[new], n[new]
+                    with np.errstate(all="ignore"):
+                        out.append((np.minimum(ids[m], ids[n]), np.maximum(ids[m], ids[n]), _exact(exact[m], exact[n], (norms[m], norms[n]))))
+        a, b, c = (np.concatenate([o[k] for o in out]) if out else np.array([]) for k in range(3))
+        return pa.table({"a": pa.array(a, frame.schema.field("note_id").type) if out else pa.array([], frame.schema.field("note_id").type), "b": pa.array(b, frame.schema.field("note_id").type) if out else pa.array([], frame.schema.field("note_id").type), "similarity": pa.array(c, pa.float64())})
 
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("note_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "parts")
-    return dealt.groupBy(*group, "i", "j").applyInArrow(multiply, f"a {kind}, b {kind}")
+    return dealt.groupBy(*group, "i", "j").applyInArrow(multiply, f"a {kind}, b {kind}, similarity double")
 
 
 def candidates(rows: DataFrame, threshold: float, bits: int, tables: int, block: int = 2048) -> DataFrame:
-    """(a, b) of vectors that share a key in some table and are near the threshold or above it; may repeat a pair."""
-    keyed = keys(rows, bits, tables)
+    """(a, b, similarity) of vectors that share a key in some table and are near the threshold or above it, each pair once."""
+    keyed = keys(rows, bits, tables, signs=True)
     group = ["dims", "table", "key"]
     # keys of more vectors than a block are cut; a join that Spark sends to all tasks while they are few, and splits where it is skewed
     large = keyed.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > block).select(*group, F.ceil(F.col("n") / block).cast("long").alias("parts"))

@@ -3,11 +3,12 @@
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillon import queries as core
-from quillon.operators import textindex, trust
+from quillon.operators import textindex, trust, vectorindex
 
 
 @pytest.fixture
@@ -82,3 +83,19 @@ def test_tasks_of_a_text_index_follow_its_terms(spark, tmp_path, monkeypatch):
     assert len(written) >= terms // 200
     many = index.bm25_many(spark.createDataFrame([(1, ["w3", "b"]), (2, ["w5"])], "query_id int, terms array<string>"))
     assert [(r.id, r["rank"]) for r in many.where("query_id = 1").orderBy("place").collect()] == [tuple(r) for r in index.bm25(["w3", "b"]).collect()]
+
+
+def test_blocks_tell_a_pair_once_with_its_cosine(spark, monkeypatch):
+    monkeypatch.setattr(vectorindex, "TILE", 5)
+    monkeypatch.setattr(vectorindex, "PAIRS", 7)
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=4) + (i % 3)).astype(np.float32).tolist()) for i in range(90)] + [(90, [1.0, None, 0.0, 0.0]), (91, [0.0] * 4)]
+    vectors = spark.createDataFrame(rows, "note_id long, embedding array<float>").withColumn("dims", F.size("embedding"))
+    every = vectorindex.in_blocks(vectors.withColumn("parts", F.lit(3)), ["dims"], 0.5).collect()
+    found = vectorindex.candidates(vectors, 0.5, 1, 8, block=20).collect()
+    for got in (every, found):
+        assert len({(r.a, r.b) for r in got}) == len(got) > 500
+    cosines = {(r.a, r.b): r.similarity for r in every}
+    assert all(cosines[r.a, r.b] == r.similarity for r in found) and len(found) > 0.9 * len(every)
+    want = [(float(np.dot(x, y) / np.sqrt(np.dot(x, x) * np.dot(y, y))), i, j) for i, x in rows[:90] for j, y in rows[:90] if i < j]
+    assert sorted((i, j) for c, i, j in want if c >= 0.5) == sorted(k for k, c in cosines.items() if c >= 0.5)
