@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.storage import shared_dir, shared_path, table
+from quillon.storage import shared_dir, shared_path, small_batches, table
 
 __all__ = ["connected_components", "hot_keys", "join_hot", "shared_dir", "shared_path", "small_batches", "spread_join", "table"]
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within this, jobs hand rows to Python workers in batches of ``rows``: for rows of many kilobytes each."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def hot_keys(many: DataFrame, keys: list[str]) -> DataFrame:
     """Keys with more rows than an even shuffle partition; so there are at most as many as partitions.
 
