@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillon.operators import provenance
 from quillon.sources import writers
 
 
@@ -19,3 +20,22 @@ def test_notes_lie_under_their_own_names(spark, tmp_path):
     writers.write(spark.createDataFrame([("a.md", "new")], "file string, content string"), folder)
     assert writers.read_back(spark, folder).where(F.col("file") == "a.md").collect() == [("a.md", "new")]
     assert writers.read_back(spark, folder).count() == len(got)
+
+
+def test_pairs_of_saves_and_shown_notes_are_not_dealt_again(spark):
+    rows = [("n.md", 100, ["a.md"]), ("m.md", 100, []), ("o.md", 119, []), ("o.md", 161, None), ("o.md", 119, []), ("./p.md", 60, ["./c.md", "c.md"]), ("q.md", None, ["a.md"])]
+    saves = spark.createDataFrame(rows, "note_path string, at int, sources array<string>").withColumn("saved_at", F.timestamp_seconds("at"))
+    shown = [(t, p) for t in (0, 1, 39, 41, 59, 60, 100, 101, 118) for p in ("a.md", "./b.md", "b.md", "m.md", "./m.md", "x.png", "./p.md", "../z.md")] + [(160, "b.md")]
+    usage = spark.createDataFrame([(t, [p]) for t, p in shown], "at int, injected_paths array<string>").withColumn("ts", F.timestamp_seconds("at"))
+    files = spark.createDataFrame([("a.md", "1"), ("b.md", "2")], "path string, content_hash string")
+    hashes, want = {"a.md": "1", "b.md": "2"}, {}
+    for note, at, _ in rows:
+        for t, p in shown:
+            plain = p.removeprefix("./")
+            if at is not None and t <= at < t + 60 and p.endswith(".md") and p != note and p[:2] != "..":
+                want[note, plain] = ("note", hashes.get(plain, ""), max(at, want.get((note, plain), ("", "", 0))[2]))
+    want |= {("n.md", "a.md"): ("file", "1", 100), ("./p.md", "c.md"): ("file", "", 60), ("q.md", "a.md"): ("file", "1", None)}
+    got = provenance.capture(saves, usage, files).withColumn("at", F.unix_timestamp("captured_at")).collect()
+    assert {(r.note_path, r.source_path): (r.source_type, r.source_hash, r.at) for r in got} == want and len(got) == len(want)
+    single = provenance.capture(saves.where("note_path = 'm.md'"), usage, files)
+    assert "Aggregate [note_path" not in single._jdf.queryExecution().optimizedPlan().toString() and single.count() == 4
