@@ -114,7 +114,8 @@ def shared_tags(sets: DataFrame, least: int = 2, block: int = 1024, task: int =
     met = table(pairs.join(left, "s").join(right, "t").where("s <> t or ps <= pt"), "block-pairs")
     rows = met.agg(F.sum(F.size("is").cast("double") * F.size("it"))).first()[0] or 0
     met = met.repartition(min(max(1, math.ceil(rows / task)), 20_000), "s", "ps", "t", "pt")
-    each = met.withColumn("x", F.explode("is")).withColumn("y", F.explode("it")).where("if(s = t and ps = pt, x < y, x <> y)")
+    # what a generated stage makes of a row is held until it goes on to the next one: the lambda ends the stage, so that is one id with a block, not a block with a block
+    each = met.withColumn("x", F.explode(F.transform("is", lambda x: x))).withColumn("y", F.explode("it")).where("if(s = t and ps = pt, x < y, x <> y)")
     return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
 
 

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import guard, provenance
+from quillon.operators import guard, provenance, trust
 from quillon.sources import writers
 
 
@@ -72,3 +72,13 @@ def test_finds_are_not_shuffled(spark):
         ]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairs_of_two_blocks_are_not_held_at_once(spark):
+    rows = [(i, ["a", "b"] + ["c"] * (i % 3)) for i in range(300)]
+    got = trust.shared_tags(spark.createDataFrame(rows, "id long, tags array<string>"), block=64)
+    assert sorted((r.a, r.b) for r in got.collect()) == [(i, j) for i in range(300) for j in range(i + 1, 300)]
+    plan = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode" in x]
+    # one of the two stands outside the generated stage that makes the pairs
+    generated = ["*(" in x for x in plan[:2]]
+    assert generated == [True, False]
